@@ -1,0 +1,20 @@
+"""Join helpers with an explicit size check before any broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Largest dimension (rows) that is broadcast on an explicit hint. Above it the
+# join is left to the planner and AQE (sort-merge with skew splitting).
+DEFAULT_BROADCAST_ROWS = 2_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """``F.broadcast(df)`` only when ``df`` has at most ``max_rows`` rows.
+
+    The check is a bounded job (``limit(max_rows + 1).count()``), so it never
+    reads more than ``max_rows + 1`` rows of the dimension.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
