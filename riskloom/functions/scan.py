@@ -10,8 +10,9 @@ the data. This module computes the same columns without that limit:
    partitions and every partition is about the same size.
 2. Inside each partition (sorted locally) a vectorised Arrow pass computes the
    running aggregates of the rows *in that partition*; its state is O(1).
-3. A partial aggregate per (partition, key) - computed on the same, reused
-   exchange - gives what each partition holds of each key. A window over
+3. The scanned partitions are persisted; a hash aggregate per
+   (partition, key) over that one copy gives what each partition holds of
+   each key. A window over
    that small table sums what *earlier* partitions hold. Only the first key
    of a partition can continue from an earlier partition, so after the
    filter the carry table has at most one row per partition: a proven bound,
@@ -29,6 +30,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -204,13 +206,19 @@ def prefix_scan(df: DataFrame, keys: list[str], order: list[str], spec: ScanSpec
 
     ``order`` should end in a unique column so that the order is total.
     NULL keys form one group (as SQL window partitions do); NULLs sort first.
+
+    The sorted, locally scanned frame is persisted (memory, then disk) and
+    both the per-partition summary and the final join read that one copy:
+    the range bounds are sampled once, so the partition ids the carry table
+    refers to are the ids of the rows it is joined to. A lost block is
+    recomputed from the same shuffle dependency (same bounds), so the ids
+    survive executor loss.
     """
     spark = df.sparkSession
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort_cols = [F.col(c).asc_nulls_first() for c in keys + order]
     ranged = df.repartitionByRange(n_parts, *sort_cols).withColumn(_PID, F.spark_partition_id())
 
-    # local pass
     out_names = []
     out_fields = list(ranged.schema.fields)
     tmp = {}
@@ -222,9 +230,9 @@ def prefix_scan(df: DataFrame, keys: list[str], order: list[str], spec: ScanSpec
         out_fields.append(T.StructField(t, dtype, True))
 
     local_spec = ScanSpec()
-    if spec.count_as:
-        add(spec.count_as, T.LongType())
-        local_spec.count_as = tmp[spec.count_as]
+    add("__cnt", T.LongType())
+    local_spec.count_as = tmp["__cnt"]
+    cnt_local = local_spec.count_as
     for name, src in spec.sums.items():
         dt = T.DoubleType() if isinstance(_spark_type(df, src), (T.DoubleType, T.FloatType)) else T.LongType()
         add(name, dt)
@@ -240,16 +248,12 @@ def prefix_scan(df: DataFrame, keys: list[str], order: list[str], spec: ScanSpec
     for name, src in spec.lags.items():
         add(name, _spark_type(df, src))
         local_spec.lags[tmp[name]] = src
-    need_count = spec.count_as is None
-    if need_count:
-        add("__cnt", T.LongType())
-        local_spec.count_as = tmp["__cnt"]
-    cnt_local = local_spec.count_as
 
-    scanned = ranged.sortWithinPartitions(*sort_cols).mapInArrow(
-        _local_scan_fn(keys, local_spec, out_names), T.StructType(out_fields))
+    scanned = (ranged.sortWithinPartitions(*sort_cols)
+               .mapInArrow(_local_scan_fn(keys, local_spec, out_names), T.StructType(out_fields))
+               .persist(StorageLevel.MEMORY_AND_DISK))
 
-    # what each partition holds of each key (partial aggregate, same exchange)
+    # what each partition holds of each key; every aggregate is hash based
     aggs = [F.count(F.lit(1)).alias("__c_cnt")]
     for name, src in spec.sums.items():
         aggs.append(F.coalesce(F.sum(src), F.lit(0)).alias(f"__c_{name}"))
@@ -257,58 +261,48 @@ def prefix_scan(df: DataFrame, keys: list[str], order: list[str], spec: ScanSpec
         aggs.append(F.count(src).alias(f"__c_{name}"))
     for name, src in spec.maxes.items():
         aggs.append(F.max(src).alias(f"__c_{name}"))
-    # The previous row's value of the first order column is the largest value
-    # of that column among earlier rows of the key (rows are sorted on it):
-    # a plain max, which keeps the partial aggregate hash based. Other lags
-    # need the last row itself (max_by on the full order -> sort aggregate).
+    # the previous row's value of the first order column is the largest value
+    # of that column among earlier rows of the key (rows are sorted on it);
+    # any other lag takes the value of the partition's last row of the key
     mono_lags = {n: s for n, s in spec.lags.items() if order and s == order[0]}
-    lag_srcs = [(n, s) for n, s in spec.lags.items() if n not in mono_lags]
-    for name, src in mono_lags.items():
-        aggs.append(F.max(src).alias(f"__c_{name}"))
-    if lag_srcs:
-        ord_struct = F.struct(*[F.col(c) for c in order])
-        aggs.append(F.max_by(F.struct(*[F.col(s).alias(n) for n, s in lag_srcs]), ord_struct)
-                    .alias("__c_last"))
-    per_part = ranged.groupBy(_PID, *keys).agg(*aggs)
+    for name, src in spec.lags.items():
+        if name in mono_lags:
+            aggs.append(F.max(src).alias(f"__c_{name}"))
+        else:
+            aggs.append(F.max_by(src, cnt_local).alias(f"__c_{name}"))
+    per_part = scanned.groupBy(_PID, *keys).agg(*aggs)
     w = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    w_prev = Window.partitionBy(*keys).orderBy(_PID)
     carry_cols = [F.sum("__c_cnt").over(w).alias("__k_cnt")]
-    for name in spec.sums:
-        carry_cols.append(F.sum(f"__c_{name}").over(w).alias(f"__k_{name}"))
-    for name in spec.nonnull:
+    for name in list(spec.sums) + list(spec.nonnull):
         carry_cols.append(F.sum(f"__c_{name}").over(w).alias(f"__k_{name}"))
     for name in list(spec.maxes) + list(mono_lags):
         carry_cols.append(F.max(f"__c_{name}").over(w).alias(f"__k_{name}"))
-    if lag_srcs:
-        carry_cols.append(F.lag("__c_last").over(Window.partitionBy(*keys).orderBy(_PID))
-                          .alias("__k_last"))
-    carry = (per_part.select(_PID, *[F.col(k).alias(f"__k_key_{k}") for k in keys], *carry_cols)
+    for name in spec.lags:
+        if name not in mono_lags:
+            carry_cols.append(F.lag(f"__c_{name}").over(w_prev).alias(f"__k_{name}"))
+    carry = (per_part.select(F.col(_PID).alias("__k_pid"),
+                             *[F.col(k).alias(f"__k_key_{k}") for k in keys], *carry_cols)
              .where(F.col("__k_cnt").isNotNull()))
-    # at most one row per range partition -> bounded broadcast
+    # only the first key of a partition can continue from an earlier one:
+    # at most one carry row per range partition -> bounded broadcast
     cond = F.col(_PID) == F.col("__k_pid")
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"__k_key_{k}"))
-    carry = carry.withColumnRenamed(_PID, "__k_pid")
     joined = scanned.join(F.broadcast(carry), cond, "left")
 
-    def with_carry(local: str, carried: str, how: str) -> Column:
-        if how == "add":
-            return F.col(local) + F.coalesce(F.col(carried), F.lit(0))
-        if how == "max":
-            return F.greatest(F.col(local), F.col(carried))
-        raise ValueError(how)
+    def add_carry(local: str, carried: str) -> Column:
+        return F.col(local) + F.coalesce(F.col(carried), F.lit(0))
 
     final = []
     if spec.count_as:
-        final.append(with_carry(tmp[spec.count_as], "__k_cnt", "add").alias(spec.count_as))
-    for name in spec.sums:
-        final.append(with_carry(tmp[name], f"__k_{name}", "add").alias(name))
-    for name in spec.nonnull:
-        final.append(with_carry(tmp[name], f"__k_{name}", "add").alias(name))
+        final.append(add_carry(cnt_local, "__k_cnt").alias(spec.count_as))
+    for name in list(spec.sums) + list(spec.nonnull):
+        final.append(add_carry(tmp[name], f"__k_{name}").alias(name))
     for name in spec.maxes:
-        final.append(with_carry(tmp[name], f"__k_{name}", "max")
+        final.append(F.greatest(F.col(tmp[name]), F.col(f"__k_{name}"))
                      .cast(_spark_type(df, spec.maxes[name])).alias(name))
     for name in spec.lags:
-        carried = F.col(f"__k_{name}") if name in mono_lags else F.col("__k_last").getField(name)
-        final.append(F.when(F.col(cnt_local) == 0, carried)
+        final.append(F.when(F.col(cnt_local) == 0, F.col(f"__k_{name}"))
                      .otherwise(F.col(tmp[name])).alias(name))
     return joined.select(*[F.col(c) for c in df.columns], *final)
