@@ -1,0 +1,3 @@
+"""riskloom: order-risk analytics as Spark DataFrame jobs."""
+
+__all__ = ["config", "session"]

@@ -8,6 +8,7 @@ so that every downstream comparison can be checked exactly against SQL.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,9 @@ PROFILE_FEATURES = ("order_value", "days_since_previous_order", "prior_order_cou
 def forest_scores(ds: DataFrame, features, log_cols, out: str, cfg: ForestConfig | None = None) -> DataFrame:
     """M3-M6 (or M13-M14): transform, standardise, fit and score -> (id, out)."""
     cfg = cfg or ForestConfig()
-    x = M.transform(M.eligible(ds), features, log_cols)
+    # the model input (id + a few doubles) is read four times: scaler
+    # statistics, row count, tree sample and scoring -> keep one copy
+    x = M.transform(M.eligible(ds), features, log_cols).persist(StorageLevel.MEMORY_AND_DISK)
     fcols = [f"f_{c}" for c in features]
     z, _ = M.standardise(x, fcols)
     model = M.fit_isolation_forest(z, fcols, cfg)

@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The analyses this library re-expresses are batch-only (no watermark,
+window, state or late data anywhere), so no streaming operator is built.
+"""
