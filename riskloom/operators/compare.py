@@ -32,7 +32,8 @@ def forest_scores(ds: DataFrame, features, log_cols, out: str, cfg: ForestConfig
     fcols = [f"f_{c}" for c in features]
     z, _ = M.standardise(x, fcols)
     model = M.fit_isolation_forest(z, fcols, cfg)
-    return M.score(z, model, out=out)
+    # scores feed a rank (several passes) and a join: compute them once
+    return M.score(z, model, out=out).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _stand_in(ds: DataFrame, out: str) -> DataFrame:

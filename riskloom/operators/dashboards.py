@@ -74,13 +74,16 @@ def customer_dashboard(export: DataFrame) -> DataFrame:
         F.sum("flagged_transaction_flag").cast("bigint").alias("flagged_transactions"),
         F.sum("high_risk_flag").cast("bigint").alias("high_risk_transactions"),
         F.max("transaction_risk_score").alias("max_transaction_risk_score"),
-        F.avg("behaviour_anomaly_percentile").alias("_mp"),
+        # mean percentile from integer billionths: the sum does not depend on row order
+        F.sum(F.floor(F.col("behaviour_anomaly_percentile") * 1e9 + 0.5).cast("bigint")).alias("_mps"),
+        F.count("behaviour_anomaly_percentile").alias("_mpn"),
         F.max("behaviour_anomaly_percentile").alias("_xp"),
     )
     return g.select("CustomerID", "transactions", (F.col("_v").cast("double") / 100).alias("total_order_value"),
                     (F.coalesce(F.col("_fv"), F.lit(0)).cast("double") / 100).alias("flagged_order_value"),
                     "flagged_transactions", "high_risk_transactions", "max_transaction_risk_score",
-                    round_half_up("_mp", 4).alias("avg_behaviour_percentile"),
+                    round_half_up(F.col("_mps").cast("double") / (F.col("_mpn") * 1e9), 4)
+                    .alias("avg_behaviour_percentile"),
                     round_half_up("_xp", 4).alias("max_behaviour_percentile")
                     ).orderBy(F.col("flagged_order_value").desc(), "CustomerID")
 

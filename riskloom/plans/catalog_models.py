@@ -16,9 +16,19 @@ import tempfile
 from ..operators import compare, dashboards, forest, marts, profile
 from ..functions.ranking import average_rank_pct
 from ..sources.io import read_dataset_csv, write_dataset_csv
-from .catalog import _ds
+from .catalog import _ds as _build_ds
 
 _RES = {}
+_DS = {}
+
+
+def _ds(spark, sf):
+    # one dataset object per session and folder: its history scan is persisted
+    # once and shared by every model query built on it
+    key = (id(spark), sf)
+    if key not in _DS:
+        _DS[key] = _build_ds(spark, sf)
+    return _DS[key]
 
 
 def _res(spark, sf, scorer):

@@ -178,7 +178,8 @@ def model_oracles() -> dict[str, str]:
                CAST(SUM(flagged_transaction_flag) AS BIGINT) AS flagged_transactions,
                CAST(SUM(high_risk_flag) AS BIGINT) AS high_risk_transactions,
                MAX(transaction_risk_score) AS max_transaction_risk_score,
-               {r('AVG(behaviour_anomaly_percentile)', 4)} AS avg_behaviour_percentile,
+               {r('CAST(SUM(CAST(FLOOR(behaviour_anomaly_percentile * 1e9 + 0.5) AS BIGINT)) AS DOUBLE) / (COUNT(behaviour_anomaly_percentile) * 1e9)', 4)}
+                   AS avg_behaviour_percentile,
                {r('MAX(behaviour_anomaly_percentile)', 4)} AS max_behaviour_percentile
         FROM export GROUP BY CustomerID""")
     o["monthly_flagged_rate"] = with_binding(f"""
