@@ -1,3 +1,15 @@
 """riskloom: order-risk analytics as Spark DataFrame jobs."""
 
+import sys as _sys
+
+try:
+    # Functions that run inside Python workers (mapInArrow, applyInPandas,
+    # mapInPandas) are shipped by value, so executors need no installed copy
+    # of this package and any working directory works.
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # pragma: no cover - older cloudpickle: ship with --py-files
+    pass
+
 __all__ = ["config", "session"]
