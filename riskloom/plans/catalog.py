@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import RiskConfig
 from ..operators import audit, baselines, geopay, marts, patterns, quality, scoring
-from ..sources.binding import bind_driver_tables
+from ..sources.binding import bind_driver_tables, bind_events
+from ..sources.io import mart_path, register_views, write_mart
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -115,10 +117,45 @@ def base_queries() -> dict[str, Query]:
     q["investigation_preview"] = _on_ds(marts.investigation_preview)
     q["flagged_volume"] = _on_ds(marts.flagged_volume)
     q["monthly_risk"] = _on_ds(marts.monthly_risk)
-    # events binding: the same scoring over purchase events (no geography)
+    # second binding: the same analyses over purchase events (no geography)
+    q["score_events"] = lambda s, sf: scoring.score_transactions(bind_events(s, sf), _no_addresses(s))
+    q["event_gap_distribution"] = lambda s, sf: patterns.gap_distribution(bind_events(s, sf))
+    q["event_risk_level_distribution"] = lambda s, sf: scoring.risk_level_distribution(
+        scoring.score_frame(bind_events(s, sf), _no_addresses(s)))
+    # Views registered and read back through the SQL surface
+    q["view_level_counts"] = _view_level_counts
+    # partitioned mart written to the shared folder, read back with month pruning
+    q["mart_month_pruned"] = _mart_month_pruned
     return q
 
 
+def _no_addresses(spark):
+    return spark.createDataFrame([], "AddressID bigint, City string, StateProvinceID int")
+
+
+def _view_level_counts(spark, sf):
+    # the views stack two deep, as in the published schema
+    register_views(spark, {"vw_transaction_risk_analysis": _risk(spark, sf)})
+    register_views(spark, {"vw_fraud_analytics_dataset": marts.vw_fraud_analytics_dataset(
+        spark.table("vw_transaction_risk_analysis"))})
+    return spark.sql("""
+        SELECT risk_level, COUNT(*) AS transaction_count
+        FROM vw_fraud_analytics_dataset
+        GROUP BY risk_level, risk_level_order
+        ORDER BY risk_level_order DESC""")
+
+
+PRUNED_MONTH = "1998-08"
+
+
+def _mart_month_pruned(spark, sf):
+    ds = _ds(spark, sf)
+    path = mart_path(spark, f"fraud_dataset_{abs(hash(sf))}")
+    write_mart(ds, path, "order_year_month")
+    back = spark.read.schema(ds.schema).parquet(path).where(F.col("order_year_month") == PRUNED_MONTH)
+    return marts.monthly_risk(back)
+
+
 def all_queries() -> dict[str, Query]:
     q = base_queries()
     try:

@@ -124,5 +124,33 @@ def model_queries():
     q["behaviour_anomaly_scores"] = lambda s, sf: compare.forest_scores(
         _ds(s, sf), forest.BEHAVIOUR_FEATURES, forest.BEHAVIOUR_LOG, "behaviour_anomaly_score")
     q["monthly_flagged_rate"] = _ds_q(marts.monthly_risk)
+    # M3 / M13 model inputs, M4 scaler check, M5 fitted node table, M10 score histogram
+    q["model_input_initial"] = _ds_q(lambda d: forest.transform(forest.eligible(d), forest.INITIAL_FEATURES,
+                                                                forest.INITIAL_LOG))
+    q["model_input_behaviour"] = _ds_q(lambda d: forest.transform(forest.eligible(d), forest.BEHAVIOUR_FEATURES,
+                                                                  forest.BEHAVIOUR_LOG))
+    q["scaled_check_initial"] = _ds_q(_scaled_check)
+    q["forest_nodes_initial"] = lambda s, sf: _forest_nodes(s, _ds(s, sf))
+    q["score_histogram"] = _res_q(lambda r: profile.histogram(r, "anomaly_score", 50), "forest")
+    q["score_histogram_standin"] = _res_q(lambda r: profile.histogram(r, "anomaly_score", 50), "ratio")
 
     return q
+
+
+def _model_input(ds):
+    x = forest.transform(forest.eligible(ds), forest.INITIAL_FEATURES, forest.INITIAL_LOG)
+    return x, [f"f_{c}" for c in forest.INITIAL_FEATURES]
+
+
+def _scaled_check(ds):
+    x, cols = _model_input(ds)
+    z, _ = forest.standardise(x, cols)
+    return forest.scaled_check(z, cols)
+
+
+def _forest_nodes(spark, ds):
+    """M5 output: the fitted node table (bounded: trees x (2 psi - 1) rows)."""
+    x, cols = _model_input(ds)
+    z, _ = forest.standardise(x, cols)
+    model = forest.fit_isolation_forest(z, cols)
+    return spark.createDataFrame(model.nodes, forest.NODE_SCHEMA)

@@ -182,6 +182,7 @@ def model_oracles() -> dict[str, str]:
                    AS avg_behaviour_percentile,
                {r('MAX(behaviour_anomaly_percentile)', 4)} AS max_behaviour_percentile
         FROM export GROUP BY CustomerID""")
+    o["score_histogram_standin"] = _hist_res()
     o["monthly_flagged_rate"] = with_binding(f"""
         SELECT order_year_month, COUNT(*) AS total_transactions,
                CAST(SUM(flagged_transaction_flag) AS BIGINT) AS flagged_transactions,
@@ -190,3 +191,17 @@ def model_oracles() -> dict[str, str]:
                    AS flagged_transaction_rate
         FROM ds GROUP BY order_year_month""")
     return o
+
+
+def _hist_res(bins: int = 50) -> str:
+    return _m(f""", vals AS (SELECT anomaly_score AS v FROM res WHERE anomaly_score IS NOT NULL),
+        rng0 AS (SELECT MIN(v) AS lo0, MAX(v) AS hi0 FROM vals),
+        rng AS (SELECT CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo,
+                       CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi FROM rng0),
+        b AS (SELECT LEAST(CAST(FLOOR((v - lo) / (hi - lo) * {bins}) AS BIGINT) + 1, {bins}) AS bin
+              FROM vals, rng WHERE v >= lo AND v <= hi),
+        c AS (SELECT bin, COUNT(*) AS n FROM b GROUP BY bin),
+        g AS (SELECT CAST(range AS BIGINT) AS bin FROM range(1, {bins + 1}))
+        SELECT g.bin, lo + (g.bin - 1) * (hi - lo) / {bins} AS bin_start, lo + g.bin * (hi - lo) / {bins} AS bin_end,
+               CAST(COALESCE(c.n, 0) AS BIGINT) AS count
+        FROM g CROSS JOIN rng LEFT JOIN c ON g.bin = c.bin""")

@@ -29,3 +29,11 @@ def write_mart(df: DataFrame, path: str, partition_by: str | None = "order_year_
     if partition_by:
         w = w.partitionBy(partition_by)
     w.parquet(path)
+
+
+def mart_path(spark: SparkSession, name: str) -> str:
+    """A folder for a written mart inside the shared checkpoint folder."""
+    import os
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    return os.path.join(ensure_checkpoint_dir(spark), "marts", f"{name}-{uuid.uuid4().hex[:8]}")
