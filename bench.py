@@ -55,7 +55,7 @@ def main() -> None:
           lambda: run(compare.forest_scores(ds(), forest.INITIAL_FEATURES, forest.INITIAL_LOG, "anomaly_score")))
     def q9():
         d = ds()
-        run(compare.export_dataset(d, compare.model_results(d, "forest")))
+        run(compare.export_dataset(d, compare.model_scores(d, "forest")))
 
     timed("q9_export_dataset", q9)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")

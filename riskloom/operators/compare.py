@@ -45,8 +45,14 @@ def with_top_flags(df: DataFrame, pct: str, prefix: str) -> DataFrame:
     return df.withColumns({f"{prefix}{name}": flag(F.col(pct) >= p) for p, name in SHARES})
 
 
-def model_results(ds: DataFrame, scorer: str = "forest", cfg: ForestConfig | None = None) -> DataFrame:
-    """M7 + M11 + M12 + M15: eligible rows with both models' scores and ranks."""
+def model_scores(ds: DataFrame, scorer: str = "forest", cfg: ForestConfig | None = None) -> DataFrame:
+    """M6 + M11 + M12 + M14 + M15 on narrow frames: one row per eligible id.
+
+    Columns: SalesOrderID, anomaly_score, anomaly_prediction, anomaly_flag,
+    anomaly_percentile, top_*_anomaly, behaviour_anomaly_score,
+    behaviour_anomaly_percentile, behaviour_top_*. Ranks are computed on the
+    (id, score) frames, not on the wide dataset.
+    """
     if scorer == "forest":
         s1 = forest_scores(ds, M.INITIAL_FEATURES, M.INITIAL_LOG, "anomaly_score", cfg)
         s2 = forest_scores(ds, M.BEHAVIOUR_FEATURES, M.BEHAVIOUR_LOG, "behaviour_anomaly_score", cfg)
@@ -55,18 +61,26 @@ def model_results(ds: DataFrame, scorer: str = "forest", cfg: ForestConfig | Non
         s2 = _stand_in(ds, "behaviour_anomaly_score")
     else:
         raise ValueError(scorer)
-    res = (M.eligible(ds)
-           .join(s1, "SalesOrderID", "left")
-           .join(s2, "SalesOrderID", "left"))
-    res = res.withColumns({
-        "anomaly_prediction": F.when(F.col("anomaly_score") > 0, -1).otherwise(1),
-        "anomaly_flag": flag(F.col("anomaly_score") > 0),
-    })
-    res = average_rank_pct(res, "anomaly_score", "anomaly_percentile")
-    res = average_rank_pct(res, "behaviour_anomaly_score", "behaviour_anomaly_percentile")
-    res = with_top_flags(res, "anomaly_percentile", "")
-    res = res.withColumnsRenamed({f"{n}": f"{n}_anomaly" for _, n in SHARES})
-    return with_top_flags(res, "behaviour_anomaly_percentile", "behaviour_")
+    ids = M.eligible(ds).select("SalesOrderID")
+    r1 = average_rank_pct(s1, "anomaly_score", "anomaly_percentile")
+    r1 = with_top_flags(r1, "anomaly_percentile", "").withColumnsRenamed(
+        {n: f"{n}_anomaly" for _, n in SHARES})
+    r2 = with_top_flags(average_rank_pct(s2, "behaviour_anomaly_score", "behaviour_anomaly_percentile"),
+                        "behaviour_anomaly_percentile", "behaviour_")
+    out = ids.join(r1, "SalesOrderID", "left").join(r2, "SalesOrderID", "left")
+    flags = {f"{n}_anomaly": F.coalesce(F.col(f"{n}_anomaly"), F.lit(0)) for _, n in SHARES}
+    flags.update({f"behaviour_{n}": F.coalesce(F.col(f"behaviour_{n}"), F.lit(0)) for _, n in SHARES})
+    flags["anomaly_prediction"] = F.when(F.col("anomaly_score") > 0, -1).otherwise(1)
+    flags["anomaly_flag"] = flag(F.col("anomaly_score") > 0)
+    # narrow (id + a dozen numbers), read by the results frame and the export
+    return out.withColumns(flags).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def model_results(ds: DataFrame, scorer: str = "forest", cfg: ForestConfig | None = None,
+                  scores: DataFrame | None = None) -> DataFrame:
+    """M7: the eligible dataset rows with both models' scores, ranks and flags."""
+    scores = scores if scores is not None else model_scores(ds, scorer, cfg)
+    return M.eligible(ds).join(scores, "SalesOrderID", "left")
 
 
 # ---------------------------------------------------------------- M8-M12
@@ -192,12 +206,16 @@ EXPORT_MODEL_COLUMNS = ("model_eligible_flag", "behaviour_anomaly_score", "behav
                         "anomaly_score", "anomaly_percentile")
 
 
-def export_dataset(ds: DataFrame, res: DataFrame) -> DataFrame:
-    """Q9: every dataset row + log value + model columns (flags 0, scores NULL if not eligible)."""
-    r = res.select(F.col("SalesOrderID").alias("_rid"), "behaviour_anomaly_score",
-                   "behaviour_anomaly_percentile", F.col("behaviour_top_1pct").alias("_b1"),
-                   F.col("behaviour_top_5pct").alias("_b5"), F.col("behaviour_top_10pct").alias("_b10"),
-                   "anomaly_score", "anomaly_percentile", F.lit(1).alias("_elig"))
+def export_dataset(ds: DataFrame, scores: DataFrame) -> DataFrame:
+    """Q9: every dataset row + log value + model columns (flags 0, scores NULL if not eligible).
+
+    ``scores`` is :func:`model_scores` output (or a results frame with the
+    same columns): one narrow join on the order id.
+    """
+    r = scores.select(F.col("SalesOrderID").alias("_rid"), "behaviour_anomaly_score",
+                      "behaviour_anomaly_percentile", F.col("behaviour_top_1pct").alias("_b1"),
+                      F.col("behaviour_top_5pct").alias("_b5"), F.col("behaviour_top_10pct").alias("_b10"),
+                      "anomaly_score", "anomaly_percentile", F.lit(1).alias("_elig"))
     j = ds.withColumn("log_order_value", F.log1p("order_value")).join(
         r, F.col("SalesOrderID") == F.col("_rid"), "left")
     return j.select(*ds.columns, "log_order_value",

@@ -31,15 +31,19 @@ def _ds(spark, sf):
     return _DS[key]
 
 
-def _res(spark, sf, scorer):
+def _scores(spark, sf, scorer):
     key = (id(spark), sf, scorer)
     if key not in _RES:
-        _RES[key] = compare.model_results(_ds(spark, sf), scorer)
+        _RES[key] = compare.model_scores(_ds(spark, sf), scorer)
     return _RES[key]
 
 
+def _res(spark, sf, scorer):
+    return compare.model_results(_ds(spark, sf), scores=_scores(spark, sf, scorer))
+
+
 def _export(spark, sf, scorer):
-    return compare.export_dataset(_ds(spark, sf), _res(spark, sf, scorer))
+    return compare.export_dataset(_ds(spark, sf), _scores(spark, sf, scorer))
 
 
 def _ds_q(fn, *a, **k):
