@@ -9,18 +9,21 @@ the data. This module computes the same columns without that limit:
    unique id, so Spark's sampled range bounds split a hot key over many
    partitions and every partition is about the same size.
 2. Inside each partition (sorted locally) a vectorised Arrow pass computes the
-   running aggregates of the rows *in that partition*; its state is O(1).
-3. The scanned partitions are persisted; a hash aggregate per
-   (partition, key) over that one copy gives what each partition holds of
-   each key. A window over
-   that small table sums what *earlier* partitions hold. Only the first key
-   of a partition can continue from an earlier partition, so after the
-   filter the carry table has at most one row per partition: a proven bound,
-   so it is broadcast.
+   running aggregates of the rows *in that partition*; its state is O(1). It
+   also marks the partition's first and last row.
+3. A key can only continue across a partition boundary through those two
+   rows, so the carry from earlier partitions is computed from the marked
+   rows alone: at most two rows per partition (a filter over the persisted
+   scan, no aggregate over the data, no shuffle of per-key summaries). The
+   carry table has at most one row per partition - a proven bound - and is
+   broadcast.
 4. A broadcast join adds the carry to the local values.
 
-One full shuffle of the data (the range exchange), no task ever holds more
-than one range partition, and nothing passes through the driver.
+One full shuffle of the data (the range exchange); no task holds more than
+one range partition; nothing passes through the driver. The scanned
+partitions are persisted so the marked rows and the final join read the same
+copy; a lost block is recomputed through the same shuffle dependency (same
+range bounds), so partition ids stay consistent after executor loss.
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _PID = "__scan_pid"
+_EDGE = "__scan_edge"      # 1 = first row of the partition, 2 = last row, 3 = both
 
 
 @dataclass
@@ -59,9 +63,7 @@ def _np_values(arr: pa.Array, fill):
 def _fill_for(typ: pa.DataType):
     if pa.types.is_string(typ) or pa.types.is_large_string(typ):
         return ""
-    if pa.types.is_timestamp(typ):
-        return pa.scalar(0, type=typ)
-    if pa.types.is_date(typ):
+    if pa.types.is_timestamp(typ) or pa.types.is_date(typ):
         return pa.scalar(0, type=typ)
     if pa.types.is_boolean(typ):
         return False
@@ -76,17 +78,14 @@ def _local_scan_fn(key_names, spec: ScanSpec, out_names):
     lag_items = list(spec.lags.items())
 
     def fn(batches):
-        prev_key = None          # list of (valid, value) of the last row seen
+        prev_key = None          # [(value, valid)] of the last row seen
         st_cnt = 0
-        st_sum = {}
-        st_nn = {}
-        st_max = {}              # name -> (has, value)
-        st_last = {}             # lag name -> 1-element arrow array
+        st_sum, st_nn, st_max, st_last = {}, {}, {}, {}
+        pending = None           # one batch of look-ahead to mark the last row
         for rb in batches:
             n = rb.num_rows
             if n == 0:
                 continue
-            # group starts
             new = np.zeros(n, dtype=bool)
             keys_now = []
             for k in key_names:
@@ -94,48 +93,39 @@ def _local_scan_fn(key_names, spec: ScanSpec, out_names):
                 vals, valid = _np_values(arr, _fill_for(arr.type))
                 keys_now.append((vals, valid))
                 if n > 1:
-                    diff = (valid[1:] != valid[:-1]) | (valid[1:] & (vals[1:] != vals[:-1]))
-                    new[1:] |= diff
-            if prev_key is None:
-                first_new = True
+                    new[1:] |= (valid[1:] != valid[:-1]) | (valid[1:] & (vals[1:] != vals[:-1]))
+            first_batch = prev_key is None
+            if first_batch:
+                cont0 = False
             else:
-                first_new = False
+                cont0 = True
                 for (vals, valid), (pv, pvalid) in zip(keys_now, prev_key):
                     if valid[0] != pvalid or (valid[0] and vals[0] != pv):
-                        first_new = True
+                        cont0 = False
                         break
-            cont0 = not first_new
             new[0] = True
             starts = np.flatnonzero(new)
             gid = np.cumsum(new) - 1
-            first_group = gid == 0
-            carry_rows = first_group & cont0
+            carry_rows = (gid == 0) & cont0
             pos = np.arange(n, dtype=np.int64) - starts[gid]
 
             out_cols = {}
             cnt = pos + np.where(carry_rows, st_cnt, 0)
-            if spec.count_as:
-                out_cols[spec.count_as] = pa.array(cnt, type=pa.int64())
-            last_cnt = int(cnt[-1]) + 1
-
+            out_cols[spec.count_as] = pa.array(cnt, type=pa.int64())
             new_sum, new_nn, new_max, new_last = {}, {}, {}, {}
-            # sums and non-null counts
             for name, src in sum_items:
                 arr = rb.column(rb.schema.get_field_index(src))
                 is_float = pa.types.is_floating(arr.type)
                 vals, valid = _np_values(arr, 0)
-                vals = vals.astype(np.float64 if is_float else np.int64)
-                vals = np.where(valid, vals, 0)
-                cs = np.cumsum(vals)
-                excl = cs - vals
+                vals = np.where(valid, vals.astype(np.float64 if is_float else np.int64), 0)
+                excl = np.cumsum(vals) - vals
                 before = excl - excl[starts][gid] + np.where(carry_rows, st_sum.get(name, 0), 0)
                 out_cols[name] = pa.array(before, type=pa.float64() if is_float else pa.int64())
                 new_sum[name] = before[-1] + vals[-1]
             for name, src in nn_items:
                 arr = rb.column(rb.schema.get_field_index(src))
                 valid = np.asarray(arr.is_valid().to_numpy(zero_copy_only=False), dtype=np.int64)
-                cs = np.cumsum(valid)
-                excl = cs - valid
+                excl = np.cumsum(valid) - valid
                 before = excl - excl[starts][gid] + np.where(carry_rows, st_nn.get(name, 0), 0)
                 out_cols[name] = pa.array(before, type=pa.int64())
                 new_nn[name] = int(before[-1] + valid[-1])
@@ -143,8 +133,7 @@ def _local_scan_fn(key_names, spec: ScanSpec, out_names):
                 arr = rb.column(rb.schema.get_field_index(src))
                 is_float = pa.types.is_floating(arr.type)
                 vals, valid = _np_values(arr, 0)
-                vals = vals.astype(np.float64)
-                vals = np.where(valid, vals, -np.inf)
+                vals = np.where(valid, vals.astype(np.float64), -np.inf)
                 cm = pd.Series(vals).groupby(gid).cummax().to_numpy()
                 before = np.empty(n, dtype=np.float64)
                 before[0] = -np.inf
@@ -155,10 +144,9 @@ def _local_scan_fn(key_names, spec: ScanSpec, out_names):
                     before = np.where(carry_rows, np.maximum(before, cval), before)
                 ok = before > -np.inf
                 if is_float:
-                    out = pa.array(np.where(ok, before, 0.0), type=pa.float64(), mask=~ok)
+                    out_cols[name] = pa.array(np.where(ok, before, 0.0), type=pa.float64(), mask=~ok)
                 else:
-                    out = pa.array(np.where(ok, before, 0).astype(np.int64), type=arr.type, mask=~ok)
-                out_cols[name] = out
+                    out_cols[name] = pa.array(np.where(ok, before, 0).astype(np.int64), type=arr.type, mask=~ok)
                 lastv = max(before[-1], vals[-1])
                 new_max[name] = (lastv > -np.inf, lastv)
             for name, src in lag_items:
@@ -170,32 +158,45 @@ def _local_scan_fn(key_names, spec: ScanSpec, out_names):
                 null_idx = new.copy()
                 if cont0:
                     null_idx[0] = False
-                idx = pa.array(np.arange(n, dtype=np.int64), mask=null_idx)
-                out_cols[name] = ext.take(idx)
+                out_cols[name] = ext.take(pa.array(np.arange(n, dtype=np.int64), mask=null_idx))
                 new_last[name] = arr.slice(n - 1, 1)
-
-            # carry the state of the last group into the next batch
-            st_cnt = last_cnt
-            for name, _ in sum_items:
-                st_sum[name] = new_sum[name]
-            for name, _ in nn_items:
-                st_nn[name] = new_nn[name]
-            for name, _ in max_items:
-                st_max[name] = new_max[name]
-            for name, _ in lag_items:
-                st_last[name] = new_last[name]
+            edge = np.zeros(n, dtype=np.int32)
+            if first_batch:
+                edge[0] = 1
+            out_cols[_EDGE] = edge
+
+            st_cnt = int(cnt[-1]) + 1
+            st_sum.update(new_sum)
+            st_nn.update(new_nn)
+            st_max.update(new_max)
+            st_last.update(new_last)
             prev_key = [(vals[-1], valid[-1]) for vals, valid in keys_now]
-            # assemble
+
             arrays = [rb.column(i) for i in range(rb.num_columns)]
             names = list(rb.schema.names)
             for name in out_names:
                 arrays.append(out_cols[name])
                 names.append(name)
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            if pending is not None:
+                yield _finish(pending, last=False)
+            pending = (arrays, names)
+        if pending is not None:
+            yield _finish(pending, last=True)
 
     return fn
 
 
+def _finish(pending, last: bool) -> pa.RecordBatch:
+    arrays, names = pending
+    i = names.index(_EDGE)
+    edge = np.asarray(arrays[i]).copy()
+    if last:
+        edge[-1] |= 2
+    arrays = list(arrays)
+    arrays[i] = pa.array(edge, type=pa.int32())
+    return pa.RecordBatch.from_arrays(arrays, names=names)
+
+
 def _spark_type(df: DataFrame, c: str):
     return df.schema[c].dataType
 
@@ -206,22 +207,15 @@ def prefix_scan(df: DataFrame, keys: list[str], order: list[str], spec: ScanSpec
 
     ``order`` should end in a unique column so that the order is total.
     NULL keys form one group (as SQL window partitions do); NULLs sort first.
-
-    The sorted, locally scanned frame is persisted (memory, then disk) and
-    both the per-partition summary and the final join read that one copy:
-    the range bounds are sampled once, so the partition ids the carry table
-    refers to are the ids of the rows it is joined to. A lost block is
-    recomputed from the same shuffle dependency (same bounds), so the ids
-    survive executor loss.
     """
     spark = df.sparkSession
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort_cols = [F.col(c).asc_nulls_first() for c in keys + order]
     ranged = df.repartitionByRange(n_parts, *sort_cols).withColumn(_PID, F.spark_partition_id())
 
-    out_names = []
+    out_names: list[str] = []
     out_fields = list(ranged.schema.fields)
-    tmp = {}
+    tmp: dict[str, str] = {}
 
     def add(name, dtype):
         t = f"__scan_l_{name}"
@@ -229,70 +223,82 @@ def prefix_scan(df: DataFrame, keys: list[str], order: list[str], spec: ScanSpec
         out_names.append(t)
         out_fields.append(T.StructField(t, dtype, True))
 
-    local_spec = ScanSpec()
+    local = ScanSpec()
     add("__cnt", T.LongType())
-    local_spec.count_as = tmp["__cnt"]
-    cnt_local = local_spec.count_as
+    local.count_as = cnt_local = tmp["__cnt"]
     for name, src in spec.sums.items():
-        dt = T.DoubleType() if isinstance(_spark_type(df, src), (T.DoubleType, T.FloatType)) else T.LongType()
-        add(name, dt)
-        local_spec.sums[tmp[name]] = src
+        is_float = isinstance(_spark_type(df, src), (T.DoubleType, T.FloatType))
+        add(name, T.DoubleType() if is_float else T.LongType())
+        local.sums[tmp[name]] = src
     for name, src in spec.nonnull.items():
         add(name, T.LongType())
-        local_spec.nonnull[tmp[name]] = src
+        local.nonnull[tmp[name]] = src
     for name, src in spec.maxes.items():
         st = _spark_type(df, src)
-        dt = T.DoubleType() if isinstance(st, (T.DoubleType, T.FloatType)) else st
-        add(name, dt)
-        local_spec.maxes[tmp[name]] = src
+        add(name, T.DoubleType() if isinstance(st, (T.DoubleType, T.FloatType)) else st)
+        local.maxes[tmp[name]] = src
     for name, src in spec.lags.items():
         add(name, _spark_type(df, src))
-        local_spec.lags[tmp[name]] = src
+        local.lags[tmp[name]] = src
+    out_names.append(_EDGE)
+    out_fields.append(T.StructField(_EDGE, T.IntegerType(), True))
 
     scanned = (ranged.sortWithinPartitions(*sort_cols)
-               .mapInArrow(_local_scan_fn(keys, local_spec, out_names), T.StructType(out_fields))
+               .mapInArrow(_local_scan_fn(keys, local, out_names), T.StructType(out_fields))
                .persist(StorageLevel.MEMORY_AND_DISK))
 
-    # what each partition holds of each key; every aggregate is hash based
-    aggs = [F.count(F.lit(1)).alias("__c_cnt")]
+    # ---- carry from the partition edges (<= 2 rows per partition)
+    edges = scanned.where(F.col(_EDGE) > 0)
+    firsts = edges.where((F.col(_EDGE) % 2) == 1).select(
+        F.col(_PID).alias("__f_pid"), *[F.col(k).alias(f"__fk_{k}") for k in keys])
+    # totals of the partition's last key within the partition = last row's
+    # exclusive local values + the row itself
+    tot = {"__t_cnt": F.col(cnt_local) + 1}
     for name, src in spec.sums.items():
-        aggs.append(F.coalesce(F.sum(src), F.lit(0)).alias(f"__c_{name}"))
+        tot[f"__t_{name}"] = F.col(tmp[name]) + F.coalesce(F.col(src), F.lit(0)).cast(
+            "double" if isinstance(_spark_type(df, src), (T.DoubleType, T.FloatType)) else "bigint")
     for name, src in spec.nonnull.items():
-        aggs.append(F.count(src).alias(f"__c_{name}"))
+        tot[f"__t_{name}"] = F.col(tmp[name]) + F.col(src).isNotNull().cast("bigint")
     for name, src in spec.maxes.items():
-        aggs.append(F.max(src).alias(f"__c_{name}"))
-    # the previous row's value of the first order column is the largest value
-    # of that column among earlier rows of the key (rows are sorted on it);
-    # any other lag takes the value of the partition's last row of the key
-    mono_lags = {n: s for n, s in spec.lags.items() if order and s == order[0]}
+        tot[f"__t_{name}"] = F.greatest(F.col(tmp[name]), F.col(src).cast(out_type(df, src)))
     for name, src in spec.lags.items():
-        if name in mono_lags:
-            aggs.append(F.max(src).alias(f"__c_{name}"))
-        else:
-            aggs.append(F.max_by(src, cnt_local).alias(f"__c_{name}"))
-    per_part = scanned.groupBy(_PID, *keys).agg(*aggs)
-    w = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    w_prev = Window.partitionBy(*keys).orderBy(_PID)
-    carry_cols = [F.sum("__c_cnt").over(w).alias("__k_cnt")]
+        tot[f"__t_{name}"] = F.col(src)            # the last row's own value
+    lasts = edges.where(F.col(_EDGE) >= 2).select(
+        _PID, *[F.col(k).alias(f"__lk_{k}") for k in keys], *[c.alias(n) for n, c in tot.items()])
+    parts = lasts.join(F.broadcast(firsts), F.col(_PID) == F.col("__f_pid"), "left")
+
+    # one row per partition: a window over this tiny table (a single task is fine)
+    w = Window.orderBy(_PID)
+    same_key_as_prev = F.lit(True)
+    whole = F.lit(True)
+    for k in keys:
+        same_key_as_prev = same_key_as_prev & F.col(f"__fk_{k}").eqNullSafe(F.lag(f"__lk_{k}").over(w))
+        whole = whole & F.col(f"__fk_{k}").eqNullSafe(F.col(f"__lk_{k}"))
+    cont = F.coalesce(whole & same_key_as_prev, F.lit(False))
+    parts = parts.withColumn("__run", F.sum(F.when(cont, 0).otherwise(1)).over(
+        w.rowsBetween(Window.unboundedPreceding, 0)))
+    wr = Window.partitionBy("__run").orderBy(_PID).rowsBetween(Window.unboundedPreceding, 0)
+    mono = {n for n, s in spec.lags.items() if order and s == order[0]}
+    cum = {"__k_cnt": F.sum("__t_cnt").over(wr)}
     for name in list(spec.sums) + list(spec.nonnull):
-        carry_cols.append(F.sum(f"__c_{name}").over(w).alias(f"__k_{name}"))
-    for name in list(spec.maxes) + list(mono_lags):
-        carry_cols.append(F.max(f"__c_{name}").over(w).alias(f"__k_{name}"))
+        cum[f"__k_{name}"] = F.sum(f"__t_{name}").over(wr)
+    for name in list(spec.maxes) + [n for n in spec.lags if n in mono]:
+        cum[f"__k_{name}"] = F.max(f"__t_{name}").over(wr)
     for name in spec.lags:
-        if name not in mono_lags:
-            carry_cols.append(F.lag(f"__c_{name}").over(w_prev).alias(f"__k_{name}"))
-    carry = (per_part.select(F.col(_PID).alias("__k_pid"),
-                             *[F.col(k).alias(f"__k_key_{k}") for k in keys], *carry_cols)
-             .where(F.col("__k_cnt").isNotNull()))
-    # only the first key of a partition can continue from an earlier one:
-    # at most one carry row per range partition -> bounded broadcast
+        if name not in mono:
+            cum[f"__k_{name}"] = F.col(f"__t_{name}")
+    # the carry of a partition's last key goes to the next non-empty partition
+    carry = parts.select(F.lead(_PID).over(w).alias("__k_pid"),
+                         *[F.col(f"__lk_{k}").alias(f"__k_key_{k}") for k in keys],
+                         *[c.alias(n) for n, c in cum.items()]).where(F.col("__k_pid").isNotNull())
+
     cond = F.col(_PID) == F.col("__k_pid")
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"__k_key_{k}"))
     joined = scanned.join(F.broadcast(carry), cond, "left")
 
-    def add_carry(local: str, carried: str) -> Column:
-        return F.col(local) + F.coalesce(F.col(carried), F.lit(0))
+    def add_carry(local_col: str, carried: str) -> Column:
+        return F.col(local_col) + F.coalesce(F.col(carried), F.lit(0))
 
     final = []
     if spec.count_as:
@@ -306,3 +312,8 @@ def prefix_scan(df: DataFrame, keys: list[str], order: list[str], spec: ScanSpec
         final.append(F.when(F.col(cnt_local) == 0, F.col(f"__k_{name}"))
                      .otherwise(F.col(tmp[name])).alias(name))
     return joined.select(*[F.col(c) for c in df.columns], *final)
+
+
+def out_type(df: DataFrame, src: str):
+    st = _spark_type(df, src)
+    return T.DoubleType() if isinstance(st, (T.DoubleType, T.FloatType)) else st

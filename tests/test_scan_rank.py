@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -6,19 +7,23 @@ from riskloom.functions.ranking import average_rank_pct, equal_width_histogram,
 from riskloom.functions.scan import ScanSpec, prefix_scan
 
 
-def test_prefix_scan_hot_key_matches_pandas(spark):
-    # one customer holds most rows; the range exchange spreads it over 16 partitions
-    rng = np.random.default_rng(7)
-    n = 20000
-    cust = np.where(rng.random(n) < 0.7, 1, rng.integers(2, 50, n))
+@pytest.mark.parametrize("n,parts", [(20000, 16), (150, 64), (3000, 7)])
+def test_prefix_scan_hot_key_matches_pandas(spark, n, parts):
+    # one customer holds most rows; the range exchange spreads it over many
+    # partitions (some partitions hold only that customer, some may be empty)
+    rng = np.random.default_rng(7 + n)
+    cust = np.where(rng.random(n) < 0.7, 1, rng.integers(2, 50, n)).astype("float")
+    cust[rng.random(n) < 0.03] = np.nan          # NULL keys form one group
     pdf = pd.DataFrame({"k": cust, "t": rng.integers(0, 500, n), "id": np.arange(n),
                         "v": rng.integers(-100, 1000, n).astype("float")})
     pdf.loc[rng.random(n) < 0.05, "v"] = np.nan
-    df = spark.createDataFrame(pdf).withColumn("v", F.when(F.isnan("v"), None).otherwise(F.col("v").cast("long")))
+    df = (spark.createDataFrame(pdf)
+          .withColumn("v", F.when(F.isnan("v"), None).otherwise(F.col("v").cast("long")))
+          .withColumn("k", F.when(F.isnan("k"), None).otherwise(F.col("k").cast("long"))))
     spec = ScanSpec(count_as="cnt", sums={"s": "v"}, nonnull={"nn": "v"}, maxes={"mx": "v"},
                     lags={"lt": "t", "lv": "v"})
-    got = prefix_scan(df, ["k"], ["t", "id"], spec, num_partitions=16).toPandas().sort_values("id")
-    exp = pdf.sort_values(["k", "t", "id"]).copy()
+    got = prefix_scan(df, ["k"], ["t", "id"], spec, num_partitions=parts).toPandas().sort_values("id")
+    exp = pdf.assign(k=pdf.k.fillna(-1)).sort_values(["k", "t", "id"]).copy()
     g = exp.groupby("k")
     exp["cnt"] = g.cumcount()
     exp["s"] = g["v"].transform(lambda s: s.fillna(0).cumsum().shift(1, fill_value=0))
