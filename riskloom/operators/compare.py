@@ -30,8 +30,8 @@ def forest_scores(ds: DataFrame, features, log_cols, out: str, cfg: ForestConfig
     # statistics, row count, tree sample and scoring -> keep one copy
     x = M.transform(M.eligible(ds), features, log_cols).persist(StorageLevel.MEMORY_AND_DISK)
     fcols = [f"f_{c}" for c in features]
-    z, _ = M.standardise(x, fcols)
-    model = M.fit_isolation_forest(z, fcols, cfg)
+    z, stats = M.standardise(x, fcols)
+    model = M.fit_isolation_forest(z, fcols, cfg, n=M.row_count(stats))
     # scores feed a rank (several passes) and a join: compute them once
     return M.score(z, model, out=out).persist(StorageLevel.MEMORY_AND_DISK)
 

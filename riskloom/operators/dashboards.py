@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import flag, round_half_up, to_cents
@@ -56,8 +56,11 @@ def geography_dashboard(export: DataFrame) -> DataFrame:
         F.sum(to_cents("order_value")).alias("_v"),
         F.sum(F.when(F.col("flagged_transaction_flag") == 1, to_cents("order_value"))).alias("_fv"),
     )
-    # share of all flagged value: one total over the grouped result (place pairs)
-    total = F.sum("_fv").over(Window.partitionBy())
+    # share of all flagged value: the total is one number read as a scalar
+    # (place pairs can be many, so no single-partition window over them)
+    fv_total = export.agg(F.sum(F.when(F.col("flagged_transaction_flag") == 1,
+                                       to_cents("order_value"))).alias("t")).first()["t"]
+    total = F.lit(float(fv_total) if fv_total else None).cast("double")
     return g.select("billing_city", "shipping_city", "transactions", "mismatch_transactions",
                     (F.col("_v").cast("double") / 100).alias("total_order_value"),
                     (F.coalesce(F.col("_fv"), F.lit(0)).cast("double") / 100).alias("flagged_order_value"),

@@ -91,9 +91,9 @@ def transform(x: DataFrame, features, log_cols, id_col: str = "SalesOrderID") ->
 
 def scaler_stats(x: DataFrame, cols) -> dict:
     """Mean and population standard deviation per column (one aggregate)."""
-    row = x.agg(*[F.avg(c).alias(f"m_{c}") for c in cols],
+    row = x.agg(F.count(F.lit(1)).alias("__n"), *[F.avg(c).alias(f"m_{c}") for c in cols],
                 *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
-    stats = {}
+    stats = {"__n": row["__n"]}
     for c in cols:
         sd = row[f"s_{c}"]
         stats[c] = (row[f"m_{c}"] or 0.0, sd if sd and sd > 0 else 1.0)
@@ -106,6 +106,10 @@ def standardise(x: DataFrame, cols, stats: dict | None = None) -> tuple[DataFram
     return x.withColumns({c: (F.col(c) - F.lit(stats[c][0])) / F.lit(stats[c][1]) for c in cols}), stats
 
 
+def row_count(stats: dict) -> int | None:
+    return stats.get("__n")
+
+
 def scaled_check(z: DataFrame, cols) -> DataFrame:
     """M4 check: mean and sample std of each scaled column (2 places)."""
     return z.agg(*[F.round(F.avg(c), 2).alias(f"{c}_mean") for c in cols],
@@ -188,11 +192,11 @@ class IsolationForestModel:
 
 
 def fit_isolation_forest(x: DataFrame, features, cfg: ForestConfig | None = None,
-                         id_col: str = "SalesOrderID") -> IsolationForestModel:
+                         id_col: str = "SalesOrderID", n: int | None = None) -> IsolationForestModel:
     """M5: fit on ``x`` (one row per id, feature columns already prepared)."""
     cfg = cfg or ForestConfig()
     features = list(features)
-    n = x.count()
+    n = x.count() if n is None else n
     if n == 0:
         raise ValueError("no rows to fit")
     psi = min(cfg.max_samples, n)

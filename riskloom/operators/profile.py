@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as K
@@ -82,8 +82,10 @@ def describe_numeric(ds: DataFrame, cols=NUMERIC_COLUMNS) -> DataFrame:
 def value_shares(ds: DataFrame, col: str) -> DataFrame:
     """P5: share of rows per value (``value_counts(normalize=True)``)."""
     g = ds.groupBy(F.col(col).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())  # one row per distinct value: a handful
-    return g.select("value", (F.col("n").cast("double") / total.cast("double")).alias("share")
+    # the total is one number (an aggregate read as a scalar), so a column
+    # with many distinct values never meets in one task
+    total = ds.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    return g.select("value", (F.col("n").cast("double") / F.lit(float(total or 0))).alias("share")
                     ).orderBy(F.col("share").desc(), "value")
 
 
