@@ -30,6 +30,7 @@ from ..functions.numeric import to_cents
 ONLINE_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM")
 NO_PERSON_SEGMENT = "MACHINERY"
 REGISTERED_RETURN_FLAG = "A"
+SUPPLIER_KEY_RANGE = 1 << 32
 
 TX_COLUMNS = ("SalesOrderID", "CustomerID", "OrderDate", "DueDate", "ShipDate", "TotalDue",
               "OnlineOrderFlag", "CreditCardID", "BillToAddressID", "ShipToAddressID")
@@ -56,8 +57,26 @@ class Roles:
         }
 
 
+# Declared schemas of the driver tables: reads need no schema-inference job
+# (and no footer reads at planning time on a large table).
+DRIVER_SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    reader = spark.read
+    if name in DRIVER_SCHEMAS:
+        reader = reader.schema(DRIVER_SCHEMAS[name])
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def bind_driver_tables(spark: SparkSession, sf_dir: str) -> Roles:
@@ -69,11 +88,17 @@ def bind_driver_tables(spark: SparkSession, sf_dir: str) -> Roles:
 
     # per order: ship/due dates and the card (supplier of the first line;
     # line numbers repeat inside an order, so the supplier breaks ties)
+    # (line number, supplier) is packed into one bigint - line number in the
+    # high 32 bits, supplier key (< 2^32) in the low bits - so the smallest
+    # pair is a plain min and the aggregate stays hash based (a min over a
+    # struct forces a sort of the whole line table)
+    packed = F.col("l_linenumber").cast("bigint") * F.lit(SUPPLIER_KEY_RANGE) + F.col("l_suppkey")
     lines = lineitem.groupBy("l_orderkey").agg(
         F.min("l_shipdate").alias("ShipDate"),
         F.max("l_shipdate").alias("DueDate"),
-        F.min(F.struct("l_linenumber", "l_suppkey")).getField("l_suppkey").alias("CreditCardID"),
-    )
+        F.min(packed).alias("_first_line"),
+    ).select("l_orderkey", "ShipDate", "DueDate",
+             F.pmod(F.col("_first_line"), F.lit(SUPPLIER_KEY_RANGE)).alias("CreditCardID"))
     tx = (
         orders.select(
             F.col("o_orderkey").alias("SalesOrderID"),
@@ -124,8 +149,8 @@ def bind_events(spark: SparkSession, sf_dir: str, event_type: str = "purchase")
         F.col("event_id").alias("SalesOrderID"),
         F.col("user_id").alias("CustomerID"),
         F.col("ts").alias("OrderDate"),
-        F.lit(None).cast("timestamp").alias("DueDate"),
-        F.lit(None).cast("timestamp").alias("ShipDate"),
+        F.lit(None).cast("timestamp_ntz").alias("DueDate"),
+        F.lit(None).cast("timestamp_ntz").alias("ShipDate"),
         to_cents("value").alias("TotalDue"),
         F.lit(1).alias("OnlineOrderFlag"),
         F.lit(None).cast("bigint").alias("CreditCardID"),
