@@ -1,13 +1,15 @@
 """Bench: headline jobs at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
 Each job is executed completely with the ``noop`` sink (no collect to the
-driver). Times are wall seconds after one warm-up run of the scoring job.
+driver). Times are the median wall seconds of three runs, after one warm-up
+run of the scoring job.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
 import time
 
@@ -40,10 +42,14 @@ def main() -> None:
     run(risk())  # warm-up (JVM, Python workers, file listing)
     times = {}
 
-    def timed(name, fn):
-        t0 = time.perf_counter()
-        fn()
-        times[name] = round(time.perf_counter() - t0, 3)
+    def timed(name, fn, runs: int = 3):
+        # median of `runs` timed runs (after the common warm-up)
+        samples = []
+        for _ in range(runs):
+            t0 = time.perf_counter()
+            fn()
+            samples.append(time.perf_counter() - t0)
+        times[name] = round(statistics.median(samples), 3)
 
     timed("g1_score_transactions", lambda: run(risk()))
     timed("h4_customer_risk_summary", lambda: run(marts.vw_customer_risk_summary(risk())))
