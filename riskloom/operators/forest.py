@@ -181,12 +181,18 @@ class IsolationForestModel:
         first_of = dict(zip(sizes.index.astype(int), firsts))
         glob = nd["tree"].map(first_of).to_numpy(dtype=np.int64)
         feat = nd["feature"].to_numpy(dtype=np.int64)
-        left = np.where(feat >= 0, nd["left"].to_numpy(dtype=np.int64) + glob, -1)
-        right = np.where(feat >= 0, nd["right"].to_numpy(dtype=np.int64) + glob, -1)
+        own = np.arange(len(nd), dtype=np.int64)
+        leaf = feat < 0
+        # leaves loop to themselves (threshold +inf), so every row takes the
+        # same number of steps and no per-step leaf mask is needed
+        left = np.where(leaf, own, nd["left"].to_numpy(dtype=np.int64) + glob)
+        right = np.where(leaf, own, nd["right"].to_numpy(dtype=np.int64) + glob)
+        thr = np.where(leaf, np.inf, nd["threshold"].to_numpy(dtype=np.float64))
         leaf_val = nd["depth"].to_numpy(dtype=np.float64) + average_path_length(nd["size"].to_numpy())
         return {
-            "roots": firsts, "feature": feat, "threshold": nd["threshold"].to_numpy(dtype=np.float64),
+            "roots": firsts, "feature": np.where(leaf, 0, feat), "threshold": thr,
             "left": left, "right": right, "leaf": leaf_val,
+            "steps": int(nd["depth"].max()) if len(nd) else 0,
             "norm": float(average_path_length(np.array([self.psi]))[0]),
         }
 
@@ -225,19 +231,15 @@ def fit_isolation_forest(x: DataFrame, features, cfg: ForestConfig | None = None
 # ---------------------------------------------------------------- M6 score
 
 def _score_batch(x: np.ndarray, arr: dict) -> np.ndarray:
+    """Mean path length over all trees for a batch of rows -> 2^(-E[h]/c(psi))."""
     n = x.shape[0]
-    roots = arr["roots"]
-    idx = np.repeat(roots[:, None], n, axis=1)
-    feat, thr, left, right = arr["feature"], arr["threshold"], arr["left"], arr["right"]
+    xt = np.ascontiguousarray(x.T)                     # (features, rows)
     cols = np.arange(n)[None, :]
-    for _ in range(64):
-        f = feat[idx]
-        inner = f >= 0
-        if not inner.any():
-            break
-        fv = x[cols.repeat(idx.shape[0], axis=0), np.where(inner, f, 0)]
-        nxt = np.where(fv <= thr[idx], left[idx], right[idx])
-        idx = np.where(inner, nxt, idx)
+    idx = np.repeat(arr["roots"][:, None], n, axis=1)  # (trees, rows)
+    feat, thr, left, right = arr["feature"], arr["threshold"], arr["left"], arr["right"]
+    for _ in range(arr["steps"]):
+        go_left = xt[feat[idx], cols] <= thr[idx]
+        idx = np.where(go_left, left[idx], right[idx])
     h = arr["leaf"][idx].mean(axis=0)
     return np.power(2.0, -h / arr["norm"])
 
