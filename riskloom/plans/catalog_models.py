@@ -8,14 +8,11 @@ against SQL).
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 
 
 from ..operators import compare, dashboards, forest, marts, profile
 from ..functions.ranking import average_rank_pct
-from ..sources.io import read_dataset_csv, write_dataset_csv
+from ..sources.io import mart_path, read_dataset_csv, write_dataset_csv
 from .catalog import _ds as _build_ds
 
 _RES = {}
@@ -61,8 +58,7 @@ def _exp_q(fn, scorer, *a, **k):
 def _export_csv(spark, sf, scorer):
     """Q12: write the export as CSV under the checkpoint folder and read it back."""
     exp = _export(spark, sf, scorer)
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="riskloom-export-")
-    path = os.path.join(base, f"export-{scorer}-{os.getpid()}-{abs(hash(sf))}")
+    path = mart_path(spark, f"export-{scorer}")
     write_dataset_csv(exp, path)
     return read_dataset_csv(spark, path, exp.schema)
 

@@ -19,6 +19,7 @@ def _plan(df) -> str:
 
 
 def test_scoring_plan_has_one_range_exchange_and_no_customer_window(spark):
+    spark.catalog.clearCache()   # look at a fresh plan, not at scans cached by other tests
     r = bind_driver_tables(spark, SF)
     p = _plan(scoring.score_transactions(r.tx, r.addr))
     # the history is one range exchange on (customer, date, id) ...
@@ -33,6 +34,7 @@ def test_scoring_plan_has_one_range_exchange_and_no_customer_window(spark):
 
 
 def test_monthly_summary_aggregates_partially_before_the_shuffle(spark):
+    spark.catalog.clearCache()
     r = bind_driver_tables(spark, SF)
     p = _plan(marts.monthly_risk(marts.vw_fraud_analytics_dataset(scoring.score_transactions(r.tx, r.addr))))
     assert "partial_count" in p and "hashpartitioning(order_year_month" in p
