@@ -8,6 +8,8 @@ so that every downstream comparison can be checked exactly against SQL.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,28 +47,44 @@ def with_top_flags(df: DataFrame, pct: str, prefix: str) -> DataFrame:
     return df.withColumns({f"{prefix}{name}": flag(F.col(pct) >= p) for p, name in SHARES})
 
 
+def _ranked(ds: DataFrame, scorer: str, which: str, cfg: ForestConfig | None) -> DataFrame:
+    """One model's narrow frame: id, score, percentile and top-share flags."""
+    if which == "initial":
+        name, pct, prefix = "anomaly_score", "anomaly_percentile", ""
+        s = (forest_scores(ds, M.INITIAL_FEATURES, M.INITIAL_LOG, name, cfg) if scorer == "forest"
+             else _stand_in(ds, name))
+    else:
+        name, pct, prefix = "behaviour_anomaly_score", "behaviour_anomaly_percentile", "behaviour_"
+        s = (forest_scores(ds, M.BEHAVIOUR_FEATURES, M.BEHAVIOUR_LOG, name, cfg) if scorer == "forest"
+             else _stand_in(ds, name))
+    r = with_top_flags(average_rank_pct(s, name, pct), pct, prefix)
+    if which == "initial":
+        r = r.withColumnsRenamed({n: f"{n}_anomaly" for _, n in SHARES})
+    return r
+
+
 def model_scores(ds: DataFrame, scorer: str = "forest", cfg: ForestConfig | None = None) -> DataFrame:
     """M6 + M11 + M12 + M14 + M15 on narrow frames: one row per eligible id.
 
     Columns: SalesOrderID, anomaly_score, anomaly_prediction, anomaly_flag,
     anomaly_percentile, top_*_anomaly, behaviour_anomaly_score,
     behaviour_anomaly_percentile, behaviour_top_*. Ranks are computed on the
-    (id, score) frames, not on the wide dataset.
+    (id, score) frames, not on the wide dataset. With the forest, the two
+    independent models (fit, score, rank) run as concurrent Spark jobs from
+    two driver threads; results do not depend on it.
     """
+    if scorer not in ("forest", "ratio"):
+        raise ValueError(scorer)
     if scorer == "forest":
-        s1 = forest_scores(ds, M.INITIAL_FEATURES, M.INITIAL_LOG, "anomaly_score", cfg)
-        s2 = forest_scores(ds, M.BEHAVIOUR_FEATURES, M.BEHAVIOUR_LOG, "behaviour_anomaly_score", cfg)
-    elif scorer == "ratio":
-        s1 = _stand_in(ds, "anomaly_score")
-        s2 = _stand_in(ds, "behaviour_anomaly_score")
+        def build(which):
+            r = _ranked(ds, scorer, which, cfg).persist(StorageLevel.MEMORY_AND_DISK)
+            r.count()  # materialise inside the thread so both models overlap
+            return r
+        with ThreadPoolExecutor(max_workers=2) as pool:
+            r1, r2 = pool.map(build, ["initial", "behaviour"])
     else:
-        raise ValueError(scorer)
+        r1, r2 = _ranked(ds, scorer, "initial", cfg), _ranked(ds, scorer, "behaviour", cfg)
     ids = M.eligible(ds).select("SalesOrderID")
-    r1 = average_rank_pct(s1, "anomaly_score", "anomaly_percentile")
-    r1 = with_top_flags(r1, "anomaly_percentile", "").withColumnsRenamed(
-        {n: f"{n}_anomaly" for _, n in SHARES})
-    r2 = with_top_flags(average_rank_pct(s2, "behaviour_anomaly_score", "behaviour_anomaly_percentile"),
-                        "behaviour_anomaly_percentile", "behaviour_")
     out = ids.join(r1, "SalesOrderID", "left").join(r2, "SalesOrderID", "left")
     flags = {f"{n}_anomaly": F.coalesce(F.col(f"{n}_anomaly"), F.lit(0)) for _, n in SHARES}
     flags.update({f"behaviour_{n}": F.coalesce(F.col(f"behaviour_{n}"), F.lit(0)) for _, n in SHARES})
