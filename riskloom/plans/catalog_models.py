@@ -124,6 +124,10 @@ def model_queries():
     q["behaviour_anomaly_scores"] = lambda s, sf: compare.forest_scores(
         _ds(s, sf), forest.BEHAVIOUR_FEATURES, forest.BEHAVIOUR_LOG, "behaviour_anomaly_score")
     q["monthly_flagged_rate"] = _ds_q(marts.monthly_risk)
+    # reports over the published (written) marts
+    q["published_monthly_risk"] = lambda s, sf: marts.monthly_risk(_published(s, sf).read_dataset(s))
+    q["published_overview_kpis_standin"] = lambda s, sf: dashboards.overview_kpis(
+        _published(s, sf).read_export(s))
     # M3 / M13 model inputs, M4 scaler check, M5 fitted node table, M10 score histogram
     q["model_input_initial"] = _ds_q(lambda d: forest.transform(forest.eligible(d), forest.INITIAL_FEATURES,
                                                                 forest.INITIAL_LOG))
@@ -154,3 +158,16 @@ def _forest_nodes(spark, ds):
     z, _ = forest.standardise(x, cols)
     model = forest.fit_isolation_forest(z, cols)
     return spark.createDataFrame(model.nodes, forest.NODE_SCHEMA)
+
+
+_PUB = {}
+
+
+def _published(spark, sf):
+    from ..sources.binding import bind_driver_tables
+    from .publish import publish_marts
+    key = (id(spark), sf)
+    if key not in _PUB:
+        _PUB[key] = publish_marts(spark, bind_driver_tables(spark, sf), name=f"risk_{abs(hash(sf))}",
+                                  scorer="ratio")
+    return _PUB[key]

@@ -183,6 +183,7 @@ def model_oracles() -> dict[str, str]:
                {r('MAX(behaviour_anomaly_percentile)', 4)} AS max_behaviour_percentile
         FROM export GROUP BY CustomerID""")
     o["score_histogram_standin"] = _hist_res()
+    o["published_overview_kpis_standin"] = o["overview_kpis" + s]
     o["monthly_flagged_rate"] = with_binding(f"""
         SELECT order_year_month, COUNT(*) AS total_transactions,
                CAST(SUM(flagged_transaction_flag) AS BIGINT) AS flagged_transactions,
@@ -190,6 +191,7 @@ def model_oracles() -> dict[str, str]:
                {r('CAST(SUM(flagged_transaction_flag) AS DOUBLE) * 100 / CAST(COUNT(*) AS DOUBLE)')}
                    AS flagged_transaction_rate
         FROM ds GROUP BY order_year_month""")
+    o["published_monthly_risk"] = o["monthly_flagged_rate"]
     return o
 
 
