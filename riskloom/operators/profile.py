@@ -6,8 +6,6 @@ come from :mod:`riskloom.functions.ranking` (no single task holds a column).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -216,7 +214,3 @@ def high_risk_review(ds: DataFrame) -> DataFrame:
     return (ds.where(F.col("risk_level") == K.LEVEL_HIGH).select(*REVIEW_COLUMNS)
               .orderBy(F.col("transaction_risk_score").desc(), F.col("amount_vs_customer_avg").desc_nulls_last(),
                        "SalesOrderID"))
-
-
-def union_all(frames):
-    return reduce(lambda a, b: a.unionByName(b), frames)

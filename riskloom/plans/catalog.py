@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..config import RiskConfig
 from ..operators import audit, baselines, geopay, marts, patterns, quality, scoring
@@ -124,8 +123,8 @@ def base_queries() -> dict[str, Query]:
         scoring.score_frame(bind_events(s, sf), _no_addresses(s)))
     # Views registered and read back through the SQL surface
     q["view_level_counts"] = _view_level_counts
-    # partitioned mart written to the shared folder, read back with month pruning
-    q["mart_month_pruned"] = _mart_month_pruned
+    # the dataset written as a month-partitioned mart to the shared folder, read back
+    q["mart_monthly_risk"] = _mart_monthly_risk
     return q
 
 
@@ -145,15 +144,12 @@ def _view_level_counts(spark, sf):
         ORDER BY risk_level_order DESC""")
 
 
-PRUNED_MONTH = "1998-08"
-
-
-def _mart_month_pruned(spark, sf):
+def _mart_monthly_risk(spark, sf):
+    """The monthly report over the dataset written as a month-partitioned mart."""
     ds = _ds(spark, sf)
     path = mart_path(spark, f"fraud_dataset_{abs(hash(sf))}")
     write_mart(ds, path, "order_year_month")
-    back = spark.read.schema(ds.schema).parquet(path).where(F.col("order_year_month") == PRUNED_MONTH)
-    return marts.monthly_risk(back)
+    return marts.monthly_risk(spark.read.schema(ds.schema).parquet(path))
 
 
 def all_queries() -> dict[str, Query]:

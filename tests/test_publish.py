@@ -19,3 +19,17 @@ def test_publish_and_report_from_written_marts(spark):
     assert sorted(marts.monthly_risk(ds).collect()) == sorted(live.collect())
     k = dashboards.overview_kpis(ex).first()
     assert k.total_transactions == 1500 and k.model_eligible_transactions == 1350
+
+
+def test_month_filter_prunes_partitions(spark):
+    import contextlib
+    import io
+    roles = bind_driver_tables(spark, "/root/testdata/sf0.001")
+    base = os.path.join(tempfile.mkdtemp(prefix="riskloom-pub-"), "p")
+    pub = publish_marts(spark, roles, scorer="ratio", base=base)
+    one = pub.read_dataset(spark).where("order_year_month = '1998-08'")
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        one.explain("formatted")
+    assert "PartitionFilters: [isnotnull(order_year_month" in buf.getvalue()
+    assert one.count() == pub.read_dataset(spark).where("order_year_month = '1998-08'").count()
