@@ -264,3 +264,34 @@ def score(x: DataFrame, model: IsolationForestModel, out: str = "anomaly_score",
     schema = T.StructType([T.StructField(id_col, x.schema[id_col].dataType),
                            T.StructField(out, T.DoubleType())])
     return x.select(id_col, *feats).mapInPandas(fn, schema)
+
+
+# ---------------------------------------------------------------- API in the survey's terms
+
+def transform_initial(x: DataFrame) -> DataFrame:
+    """M3: initial model inputs (log of value, gap, prior average and ratio)."""
+    return transform(x, INITIAL_FEATURES, INITIAL_LOG)
+
+
+def transform_behaviour(x: DataFrame) -> DataFrame:
+    """Behaviour model inputs (log of gap and prior count, raw ratio, channel)."""
+    return transform(x, BEHAVIOUR_FEATURES, BEHAVIOUR_LOG)
+
+
+class IsolationForest:
+    """``IsolationForest(cfg).fit(x).score(x)`` over prepared feature columns."""
+
+    def __init__(self, cfg: ForestConfig | None = None, id_col: str = "SalesOrderID"):
+        self.cfg = cfg or ForestConfig()
+        self.id_col = id_col
+        self.model: IsolationForestModel | None = None
+
+    def fit(self, x: DataFrame, features=None) -> "IsolationForest":
+        features = list(features or [c for c in x.columns if c != self.id_col])
+        self.model = fit_isolation_forest(x, features, self.cfg, self.id_col)
+        return self
+
+    def score(self, x: DataFrame, out: str = "anomaly_score") -> DataFrame:
+        if self.model is None:
+            raise ValueError("fit first")
+        return score(x, self.model, out=out, id_col=self.id_col)

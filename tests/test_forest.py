@@ -45,3 +45,10 @@ def test_small_input_and_constant_columns(spark):
 def test_path_length_constant():
     assert M.average_path_length(np.array([0, 1, 2]))[2] == 1.0
     assert abs(M.average_path_length(np.array([256]))[0] - 10.2448) < 1e-3
+
+
+def test_wrapper_api(spark):
+    df, out = _frame(spark, n=800)
+    f = M.IsolationForest(ForestConfig(n_trees=40)).fit(df)
+    s = f.score(df).toPandas().set_index("SalesOrderID")["anomaly_score"]
+    assert len(s) == 800 and s.loc[out].min() > s.median()
