@@ -14,10 +14,10 @@ values come from the skew-proof prefix scan over a range-partitioned table.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .caching import persist_adaptive
 from .scan import ScanSpec, prefix_scan
 
 _V = "__rk_value"
@@ -60,7 +60,7 @@ def average_rank_pct(df: DataFrame, value: str, out: str,
     """Add ``out`` = average-tie rank / count of non-null values (NULL stays NULL)."""
     groups = list(groups or [])
     # the input is read twice (value counts, then the join back): one copy
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = persist_adaptive(df)
     pos = _attach_totals(value_positions(df, value, groups), groups)
     pct = pos.select(
         *[F.col(g).alias(f"__rk_j_{g}") for g in groups],

@@ -33,11 +33,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .caching import persist_adaptive
+
 _PID = "__scan_pid"
 _EDGE = "__scan_edge"      # 1 = first row of the partition, 2 = last row, 3 = both
 
@@ -208,10 +209,13 @@ def prefix_scan(df: DataFrame, keys: list[str], order: list[str], spec: ScanSpec
     ``order`` should end in a unique column so that the order is total.
     NULL keys form one group (as SQL window partitions do); NULLs sort first.
     """
-    spark = df.sparkSession
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort_cols = [F.col(c).asc_nulls_first() for c in keys + order]
-    ranged = df.repartitionByRange(n_parts, *sort_cols).withColumn(_PID, F.spark_partition_id())
+    # Without an explicit count the exchange starts from
+    # spark.sql.shuffle.partitions and AQE may coalesce neighbouring ranges to
+    # its advisory size: small inputs get few tasks, large ones keep many, and
+    # partitions stay contiguous key ranges (all the carry logic needs).
+    ranged = (df.repartitionByRange(num_partitions, *sort_cols) if num_partitions
+              else df.repartitionByRange(*sort_cols)).withColumn(_PID, F.spark_partition_id())
 
     out_names: list[str] = []
     out_fields = list(ranged.schema.fields)
@@ -244,8 +248,8 @@ def prefix_scan(df: DataFrame, keys: list[str], order: list[str], spec: ScanSpec
     out_fields.append(T.StructField(_EDGE, T.IntegerType(), True))
 
     scanned = (ranged.sortWithinPartitions(*sort_cols)
-               .mapInArrow(_local_scan_fn(keys, local, out_names), T.StructType(out_fields))
-               .persist(StorageLevel.MEMORY_AND_DISK))
+               .mapInArrow(_local_scan_fn(keys, local, out_names), T.StructType(out_fields)))
+    scanned = persist_adaptive(scanned)
 
     # ---- carry from the partition edges (<= 2 rows per partition)
     edges = scanned.where(F.col(_EDGE) > 0)

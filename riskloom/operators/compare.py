@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as K
 from ..config import ForestConfig
+from ..functions.caching import persist_adaptive
 from ..functions.numeric import flag, round_half_up
 from ..functions.ranking import average_rank_pct, exact_percentiles
 from . import forest as M
@@ -30,12 +30,12 @@ def forest_scores(ds: DataFrame, features, log_cols, out: str, cfg: ForestConfig
     cfg = cfg or ForestConfig()
     # the model input (id + a few doubles) is read four times: scaler
     # statistics, row count, tree sample and scoring -> keep one copy
-    x = M.transform(M.eligible(ds), features, log_cols).persist(StorageLevel.MEMORY_AND_DISK)
+    x = persist_adaptive(M.transform(M.eligible(ds), features, log_cols))
     fcols = [f"f_{c}" for c in features]
     z, stats = M.standardise(x, fcols)
     model = M.fit_isolation_forest(z, fcols, cfg, n=M.row_count(stats))
     # scores feed a rank (several passes) and a join: compute them once
-    return M.score(z, model, out=out).persist(StorageLevel.MEMORY_AND_DISK)
+    return persist_adaptive(M.score(z, model, out=out))
 
 
 def _stand_in(ds: DataFrame, out: str) -> DataFrame:
@@ -77,7 +77,7 @@ def model_scores(ds: DataFrame, scorer: str = "forest", cfg: ForestConfig | None
         raise ValueError(scorer)
     if scorer == "forest":
         def build(which):
-            r = _ranked(ds, scorer, which, cfg).persist(StorageLevel.MEMORY_AND_DISK)
+            r = persist_adaptive(_ranked(ds, scorer, which, cfg))
             r.count()  # materialise inside the thread so both models overlap
             return r
         with ThreadPoolExecutor(max_workers=2) as pool:
@@ -91,7 +91,7 @@ def model_scores(ds: DataFrame, scorer: str = "forest", cfg: ForestConfig | None
     flags["anomaly_prediction"] = F.when(F.col("anomaly_score") > 0, -1).otherwise(1)
     flags["anomaly_flag"] = flag(F.col("anomaly_score") > 0)
     # narrow (id + a dozen numbers), read by the results frame and the export
-    return out.withColumns(flags).persist(StorageLevel.MEMORY_AND_DISK)
+    return persist_adaptive(out.withColumns(flags))
 
 
 def model_results(ds: DataFrame, scorer: str = "forest", cfg: ForestConfig | None = None,
