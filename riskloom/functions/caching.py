@@ -6,6 +6,10 @@ exchange inside it keeps ``spark.sql.shuffle.partitions`` partitions (200
 tiny tasks on small data, no skew splitting on large data). The cached plan
 is built when ``persist`` is called; the setting is switched on for that call
 only and the session's own value is restored afterwards.
+
+Copies are kept on disk by default: they exist to give several consumers one
+consistent copy (and to avoid recomputation), not to hold data in executor
+memory, which stays free for execution.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ _KEY = "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
 _LOCK = threading.Lock()   # set / persist / restore must not interleave between threads
 
 
-def persist_adaptive(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
+def persist_adaptive(df: DataFrame, level: StorageLevel = StorageLevel.DISK_ONLY) -> DataFrame:
     spark = df.sparkSession
     with _LOCK:
         before = spark.conf.get(_KEY, None)

@@ -33,6 +33,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -249,7 +250,9 @@ def prefix_scan(df: DataFrame, keys: list[str], order: list[str], spec: ScanSpec
 
     scanned = (ranged.sortWithinPartitions(*sort_cols)
                .mapInArrow(_local_scan_fn(keys, local, out_names), T.StructType(out_fields)))
-    scanned = persist_adaptive(scanned)
+    # disk only: the scan is as large as its input; executor memory stays free
+    # for execution, and the copy still pins the partition ids
+    scanned = persist_adaptive(scanned, StorageLevel.DISK_ONLY)
 
     # ---- carry from the partition edges (<= 2 rows per partition)
     edges = scanned.where(F.col(_EDGE) > 0)
