@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import kdtree, metric_join, mixing, warc
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,9 +16,30 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.link(table(spark, sf_dir, "embeddings"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def llm_queries() -> dict[str, Query]:
-    return {"op8_mix_sources": op8_mix_sources}
+    return {f.__name__: f for f in (op4_top_k, op5_near_vectors, op6_warc, op8_mix_sources)}
+
+
+WARC_SQL = """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    f AS (SELECT page_id, sha256(html) AS payload_digest, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes FROM p),
+    g AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM f)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to FROM g"""
 
 
 def llm_oracles() -> dict[str, str]:
-    return {}
+    return {"op4_top_k": kdtree.top_k_sql(), "op5_near_vectors": metric_join.link_sql(), "op6_warc": WARC_SQL}
