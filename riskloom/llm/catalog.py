@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kdtree, metric_join, mixing, quality, warc
+from . import kdtree, metric_join, mixing, packing, quality, warc
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,8 +32,18 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer's file; the same path must exist on the executors."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_quality, op4_top_k, op5_near_vectors, op6_warc, op8_mix_sources)}
+    return {f.__name__: f for f in (op3_quality, op4_top_k, op5_near_vectors, op6_warc, op8_mix_sources, op10_pack)}
 
 
 WARC_SQL = """
