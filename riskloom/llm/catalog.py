@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kdtree, metric_join, mixing, packing, quality, warc
+from . import kdtree, metric_join, minhash, mixing, packing, quality, warc
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,7 +47,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_quality, op4_top_k, op5_near_vectors, op6_warc, op8_mix_sources, op10_pack)}
+    return {f.__name__: f for f in (op2_near_duplicates, op3_quality, op4_top_k, op5_near_vectors, op6_warc, op8_mix_sources, op10_pack)}
 
 
 WARC_SQL = """

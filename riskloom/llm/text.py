@@ -133,3 +133,24 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     before = np.cumsum(lengths) - lengths
     return np.repeat(starts - before, lengths) + np.arange(total)
+
+
+def word_prints(prints: Fingerprints, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprint of each lower-case word, start, end, words before each document)."""
+    start, end, first = words(data, offsets)
+    return prints.of(prints.prefix(lower_ascii(data)), start, end), start, end, first
+
+
+def shingles(word: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, document) of every run of ``k`` words; a shorter document has one run of all its words."""
+    n = np.diff(first)
+    powers = [pow(BASE, j, 2**64) for j in range(k)]
+    doc = np.repeat(np.arange(len(n)), n)
+    acc = np.zeros(len(word), np.uint64)
+    for j in range(k):
+        if j < len(word):
+            part = word[j:] * np.uint64(powers[j])
+            acc[: len(word) - j] += np.where(doc[j:] == doc[: len(word) - j], part, np.uint64(0))
+    at = np.arange(len(word)) - first[doc]
+    keep = (at + k <= n[doc]) | (at == 0)
+    return mix64(acc[keep]), doc[keep]
