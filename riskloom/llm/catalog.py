@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kdtree, metric_join, minhash, mixing, packing, quality, warc
+from . import kdtree, metric_join, minhash, mixing, packing, ppm, quality, warc
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op7_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -47,7 +51,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_near_duplicates, op3_quality, op4_top_k, op5_near_vectors, op6_warc, op8_mix_sources, op10_pack)}
+    return {f.__name__: f for f in (op2_near_duplicates, op3_quality, op4_top_k, op5_near_vectors, op6_warc, op7_ppm_score, op8_mix_sources, op10_pack)}
 
 
 WARC_SQL = """
