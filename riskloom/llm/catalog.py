@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kdtree, metric_join, minhash, mixing, packing, ppm, quality, warc
+from . import kdtree, metric_join, minhash, mixing, packing, ppm, quality, suffix, warc
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_near_duplicates, op3_quality, op4_top_k, op5_near_vectors, op6_warc, op7_ppm_score, op8_mix_sources, op10_pack)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_near_duplicates, op3_quality, op4_top_k, op5_near_vectors, op6_warc, op7_ppm_score, op8_mix_sources, op10_pack)}
 
 
 WARC_SQL = """

@@ -93,15 +93,16 @@ def turns(spark, targets: list[tuple[str | None, int, float]], block_words: int)
     counts = dealt.groupBy("chunk", "place").agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("place").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("chunk", "place", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
-    ranked = dealt.join(base, ["chunk", "place"]).select("slot", "place", (F.col("base") + F.col("rank")).alias("turn"))
+    # the planner takes generated rows for few: no broadcast of what grows with the slots
+    ranked = dealt.join(base.hint("merge"), ["chunk", "place"]).select("slot", "place", (F.col("base") + F.col("rank")).alias("turn"))
 
     need = spark.createDataFrame(
         [(k, _need(size, goal, block_words)) for k, (_, size, goal) in enumerate(targets)], "place long, need long")
     have = counts.groupBy("place").agg(F.sum("n").alias("have"))
-    late = (need.join(have, "place", "left").withColumn("have", F.coalesce("have", F.lit(0)))
+    late = (need.join(F.broadcast(have), "place", "left").withColumn("have", F.coalesce("have", F.lit(0)))
             .where("have < need")
             .select(F.lit(n).cast("long").alias("slot"), "place", F.explode(F.expr("sequence(have, need - 1)")).alias("turn")))
-    return ranked.join(need, "place").where("turn < need").drop("need").unionByName(late)
+    return ranked.join(F.broadcast(need), "place").where("turn < need").drop("need").unionByName(late)
 
 
 def _need(size: int, target: float, block_words: int) -> int:
@@ -132,7 +133,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 8,
     base = rows.groupBy("place", "range").agg(F.sum("size").alias("n")).select(
         "place", "range", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
     inside = Window.partitionBy("place", "range").orderBy("h", "doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
-    at = rows.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(base, ["place", "range"])
+    at = rows.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(base.hint("merge"), ["place", "range"])
     at = at.withColumn("at", F.col("base") + F.col("within"))
 
     # a document's share of each block (place, block): words [lo, hi) of the block
@@ -144,12 +145,12 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 8,
 
     sizes = spark.createDataFrame([(k, -(-n // block_words), n, round(t)) for k, (_, n, t) in enumerate(targets)],
                                   "place long, blocks long, words long, goal long")
-    slots = turns(spark, targets, block_words).join(sizes.where("blocks > 0"), "place")
+    slots = turns(spark, targets, block_words).join(F.broadcast(sizes.where("blocks > 0")), "place")
     # a turn takes the whole block, but for the last one, which stops at the target
     used = slots.select("place", F.expr("turn % blocks").alias("block"), F.expr(
         f"least({block_words}, goal - (turn div blocks) * words - (turn % blocks) * {block_words})").alias("reach"))
     used = used.groupBy("place", "block", "reach").agg(F.count("*").alias("times"))
-    taken = (cut.join(used, ["place", "block"])
+    taken = (cut.join(used.hint("merge"), ["place", "block"])
              .groupBy("row").agg(F.sum(F.expr("times * greatest(0, least(hi, reach) - lo)")).alias("taken")))
-    return at.join(taken, "row", "left").select(
+    return at.join(taken.hint("merge"), "row", "left").select(
         "doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *keep)

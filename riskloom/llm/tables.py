@@ -24,7 +24,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def size_in_bytes(df: DataFrame) -> int:
     """The planner's estimate of a frame's bytes (file sizes for a scan); sets partition counts only."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def parts(spark: SparkSession, n_bytes: int, each: int) -> int:
