@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kdtree, metric_join, minhash, mixing, packing, ppm, quality, suffix, warc
+from . import kdtree, metric_join, minhash, mixing, packing, passages, ppm, quality, suffix, warc
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,7 +17,7 @@ def op7_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "text_key")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_passages(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     """The public tokenizer's file; the same path must exist on the executors."""
     import public_tokenizers
@@ -54,8 +58,13 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_near_duplicates, op3_quality, op4_top_k, op5_near_vectors, op6_warc, op7_ppm_score, op8_mix_sources, op10_pack)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_near_duplicates, op3_quality, op4_top_k, op5_near_vectors, op6_warc, op7_ppm_score, op8_mix_sources, op9_passages, op10_pack)} | {"pipeline": pipeline}
 
 
 WARC_SQL = """
@@ -68,4 +77,6 @@ WARC_SQL = """
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op4_top_k": kdtree.top_k_sql(), "op5_near_vectors": metric_join.link_sql(), "op6_warc": WARC_SQL}
+    import corpus_pipeline
+    own = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return own | {"op4_top_k": kdtree.top_k_sql(), "op5_near_vectors": metric_join.link_sql(), "op6_warc": WARC_SQL}

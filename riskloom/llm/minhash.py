@@ -131,7 +131,7 @@ class Sampler:
 
 
 def signatures(docs: DataFrame, idf, bands: int, rows_: int) -> DataFrame:
-    """(doc_id, a, b, bands): the class (a, b) of equal shingle counts and the band keys; empty texts have none."""
+    """(doc_id, text_key, a, b, bands): the class (a, b) of equal shingle counts and the band keys; empty texts have none."""
     def sign(batches):
         sampler = Sampler(bands * rows_)
         weights = idf.value
@@ -154,9 +154,11 @@ def signatures(docs: DataFrame, idf, bands: int, rows_: int) -> DataFrame:
             null = np.diff(at) == 0
             yield pa.RecordBatch.from_pydict({
                 "doc_id": rows.column(rows.schema.get_field_index("doc_id")),
+                "text_key": rows.column(rows.schema.get_field_index("text_key")),
                 "a": pa.array(a.view(np.int64), mask=null), "b": pa.array(b.view(np.int64), mask=null),
                 "bands": pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(keys.ravel().view(np.int64)))})
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, a long, b long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(
+        sign, "doc_id long, text_key long, a long, b long, bands array<long>")
 
 
 def vectors(docs: DataFrame) -> DataFrame:
@@ -209,7 +211,7 @@ def verify(pairs: DataFrame, held: DataFrame, idf) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest doc_id of its group), kept (one per group)."""
+    """One row per document: doc_id, class_id (smallest doc_id of its group), kept (one per group), text_key (hash of its text)."""
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(inverse_frequencies(docs))
     signed = written(signatures(docs, idf, bands, rows).withColumn("row", F.monotonically_increasing_id()), "near-signed")
@@ -276,4 +278,4 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, bands: int = BAND
     head = out.groupBy("grp").agg(F.min("doc_id").alias("class_id"),
                                   F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("row").alias("r"))).alias("first"))
     return out.join(head.select("grp", "class_id", F.col("first.r").alias("r")), "grp").select(
-        "doc_id", "class_id", (F.col("row") == F.col("r")).alias("kept"))
+        "doc_id", "class_id", (F.col("row") == F.col("r")).alias("kept"), "text_key")

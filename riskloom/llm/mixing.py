@@ -114,14 +114,13 @@ def _need(size: int, target: float, block_words: int) -> int:
     return passes * -(-size // block_words) + -(-rest // block_words)
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 8,
-        keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target, taken (and the columns ``keep``)."""
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 8) -> DataFrame:
+    """One row per document: doc_id, size, source, source_size, target, taken, text_key (hash of doc_id and text)."""
     spark = docs.sparkSession
     sized = written(docs.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "source",
         F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("h"), *keep), "mix-sizes")
+        F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("h")), "mix-sizes")
     totals = {r.source: r.n for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     targets = source_targets(totals)
     listed = spark.createDataFrame([(s, n, t, k) for k, (s, n, t) in enumerate(targets)],
@@ -153,4 +152,18 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 8,
     taken = (cut.join(used.hint("merge"), ["place", "block"])
              .groupBy("row").agg(F.sum(F.expr("times * greatest(0, least(hi, reach) - lo)")).alias("taken")))
     return at.join(taken.hint("merge"), "row", "left").select(
-        "doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *keep)
+        "doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.col("h").alias("text_key"))
+
+
+def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 8) -> DataFrame:
+    """The mix itself: every document as often as it is taken; the one at a source's target is cut after its last word taken."""
+    taken = (mix(docs, block_words, seed).where("taken > 0").groupBy("doc_id", "text_key")
+             .agg(F.first("size").alias("size"), F.sum("taken").alias("taken")).withColumnRenamed("doc_id", "id"))
+    keyed = docs.withColumn("text_key", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))).dropDuplicates(["doc_id", "text_key"])
+    both = keyed.join(taken.hint("merge"), (keyed.text_key == taken.text_key) & keyed.doc_id.eqNullSafe(taken.id))
+    part = F.expr("taken % size")
+    # how many words each copy holds: whole ones, then the rest
+    copies = both.withColumn("copy", F.explode(F.concat(
+        F.expr("array_repeat(size, int(taken div size))"), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")))))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)), 1, F.col("copy").cast("int")), " ")
+    return copies.withColumn("text", F.when(F.col("copy") < F.col("size"), cut).otherwise(F.col("text"))).select(*docs.columns)
