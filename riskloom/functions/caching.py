@@ -1,37 +1,29 @@
-"""Persist with adaptive execution inside the cached plan.
-
-Spark plans a cached query without AQE unless
-``spark.sql.optimizer.canChangeCachedPlanOutputPartitioning`` is on, so every
-exchange inside it keeps ``spark.sql.shuffle.partitions`` partitions (200
-tiny tasks on small data, no skew splitting on large data). The cached plan
-is built when ``persist`` is called; the setting is switched on for that call
-only and the session's own value is restored afterwards.
-
-Copies are kept on disk by default: they exist to give several consumers one
-consistent copy (and to avoid recomputation), not to hold data in executor
-memory, which stays free for execution.
+"""Intermediate results as tables in the shared folder.
+
+A frame that several consumers read is written once as Parquet under the
+folder the session names in ``spark.checkpoint.dir`` and read back. Nothing
+stays in the executors' block stores, a lost executor costs a re-read, readers
+prune columns and push filters, and the written plan is an ordinary query, so
+adaptive execution sizes and splits its partitions.
 """
 
 from __future__ import annotations
 
-import threading
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..session import ensure_checkpoint_dir
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
 
-_KEY = "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
-_LOCK = threading.Lock()   # set / persist / restore must not interleave between threads
+def run_folder(spark: SparkSession) -> str:
+    """This application's own folder below the shared one."""
+    return f"{ensure_checkpoint_dir(spark)}/riskloom-{spark.sparkContext.applicationId}"
 
 
-def persist_adaptive(df: DataFrame, level: StorageLevel = StorageLevel.DISK_ONLY) -> DataFrame:
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """The rows of ``df``, written to the shared folder and read back."""
     spark = df.sparkSession
-    with _LOCK:
-        before = spark.conf.get(_KEY, None)
-        spark.conf.set(_KEY, "true")
-        try:
-            return df.persist(level)
-        finally:
-            if before is None:
-                spark.conf.unset(_KEY)
-            else:
-                spark.conf.set(_KEY, before)
+    path = f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

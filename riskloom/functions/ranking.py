@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .caching import persist_adaptive
+from .caching import materialise
 from .scan import ScanSpec, prefix_scan
 
 _V = "__rk_value"
@@ -31,7 +31,7 @@ def value_positions(df: DataFrame, value, groups: list[str] | None = None,
     """
     groups = list(groups or [])
     v = F.col(value) if isinstance(value, str) else value
-    counts = (df.select(*groups, v.alias(_V)).where(F.col(_V).isNotNull())
+    counts = (df.select(*groups, v.alias(_V)).where(F.col(_V).isNotNull() & ~F.isnan(F.col(_V).cast("double")))
                 .groupBy(*groups, _V).agg(F.count(F.lit(1)).alias("__rk_c")))
     spec = ScanSpec(sums={"__rk_before": "__rk_c"})
     return prefix_scan(counts, groups, [_V], spec, num_partitions)
@@ -60,7 +60,7 @@ def average_rank_pct(df: DataFrame, value: str, out: str,
     """Add ``out`` = average-tie rank / count of non-null values (NULL stays NULL)."""
     groups = list(groups or [])
     # the input is read twice (value counts, then the join back): one copy
-    df = persist_adaptive(df)
+    df = materialise(df, "ranked")
     pos = _attach_totals(value_positions(df, value, groups), groups)
     pct = pos.select(
         *[F.col(g).alias(f"__rk_j_{g}") for g in groups],

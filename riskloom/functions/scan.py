@@ -33,12 +33,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .caching import persist_adaptive
+from .caching import materialise
 
 _PID = "__scan_pid"
 _EDGE = "__scan_edge"      # 1 = first row of the partition, 2 = last row, 3 = both
@@ -135,22 +134,24 @@ def _local_scan_fn(key_names, spec: ScanSpec, out_names):
                 arr = rb.column(rb.schema.get_field_index(src))
                 is_float = pa.types.is_floating(arr.type)
                 vals, valid = _np_values(arr, 0)
-                vals = np.where(valid, vals.astype(np.float64), -np.inf)
+                # integers stay integers: a double is exact only up to 2^53
+                kind, low = (np.float64, -np.inf) if is_float else (np.int64, np.iinfo(np.int64).min)
+                vals = np.where(valid, vals.astype(kind), low)
                 cm = pd.Series(vals).groupby(gid).cummax().to_numpy()
-                before = np.empty(n, dtype=np.float64)
-                before[0] = -np.inf
+                before = np.empty(n, dtype=kind)
+                before[0] = low
                 before[1:] = cm[:-1]
-                before[starts] = -np.inf
-                has, cval = st_max.get(name, (False, -np.inf))
+                before[starts] = low
+                has, cval = st_max.get(name, (False, low))
                 if cont0 and has:
                     before = np.where(carry_rows, np.maximum(before, cval), before)
-                ok = before > -np.inf
+                ok = before > low
                 if is_float:
                     out_cols[name] = pa.array(np.where(ok, before, 0.0), type=pa.float64(), mask=~ok)
                 else:
                     out_cols[name] = pa.array(np.where(ok, before, 0).astype(np.int64), type=arr.type, mask=~ok)
                 lastv = max(before[-1], vals[-1])
-                new_max[name] = (lastv > -np.inf, lastv)
+                new_max[name] = (lastv > low, lastv)
             for name, src in lag_items:
                 arr = rb.column(rb.schema.get_field_index(src))
                 head = st_last.get(name)
@@ -250,9 +251,9 @@ def prefix_scan(df: DataFrame, keys: list[str], order: list[str], spec: ScanSpec
 
     scanned = (ranged.sortWithinPartitions(*sort_cols)
                .mapInArrow(_local_scan_fn(keys, local, out_names), T.StructType(out_fields)))
-    # disk only: the scan is as large as its input; executor memory stays free
-    # for execution, and the copy still pins the partition ids
-    scanned = persist_adaptive(scanned, StorageLevel.DISK_ONLY)
+    # one written copy pins the partition ids; the edges are read back by a
+    # pushed filter on a few columns, the rows once
+    scanned = materialise(scanned, "scan")
 
     # ---- carry from the partition edges (<= 2 rows per partition)
     edges = scanned.where(F.col(_EDGE) > 0)

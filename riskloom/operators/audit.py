@@ -55,16 +55,13 @@ def audit_columns(tables: dict[str, DataFrame], names=CORE_TABLES,
             aggs.append(F.count(F.col(c)).alias(f"__nn{i}"))
             if approx_distinct:
                 aggs.append(F.approx_count_distinct(F.col(c)).alias(f"__ad{i}"))
-        one = df.agg(*aggs)
-        for i, f in enumerate(df.schema.fields):
-            cols = [F.lit(name).alias("table_name"),
-                    F.lit(f.name).alias("column_name"),
-                    F.lit(i + 1).cast("bigint").alias("ordinal_position"),
-                    F.lit(f.dataType.simpleString()).alias("data_type"),
-                    (F.col("__rows") - F.col(f"__nn{i}")).alias("null_count")]
-            if approx_distinct:
-                cols.append(F.col(f"__ad{i}").alias("approx_distinct"))
-            frames.append(one.select(*cols))
+        # one aggregate per table, then a row per column from its single result row
+        rows = F.array(*[F.struct(
+            F.lit(f.name).alias("column_name"), F.lit(i + 1).cast("bigint").alias("ordinal_position"),
+            F.lit(f.dataType.simpleString()).alias("data_type"), (F.col("__rows") - F.col(f"__nn{i}")).alias("null_count"),
+            *([F.col(f"__ad{i}").alias("approx_distinct")] if approx_distinct else []))
+            for i, f in enumerate(df.schema.fields)])
+        frames.append(df.agg(*aggs).select(F.lit(name).alias("table_name"), F.explode(rows).alias("c")).select("table_name", "c.*"))
     return _union(frames).orderBy("table_name", "ordinal_position")
 
 

@@ -2,8 +2,8 @@
 
 ``model_results`` attaches two anomaly scores to the eligible rows of the
 dataset. ``scorer="forest"`` fits the two Isolation Forests;
-``scorer="ratio"`` uses a deterministic stand-in score (the rounded ratio)
-so that every downstream comparison can be checked exactly against SQL.
+``scorer="ratio"`` uses deterministic stand-in scores (the rounded ratio, the
+gap), one per model, so that every downstream comparison can be checked exactly against SQL.
 """
 
 from __future__ import annotations
@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from .. import config as K
 from ..config import ForestConfig
-from ..functions.caching import persist_adaptive
+from ..functions.caching import materialise
 from ..functions.numeric import flag, round_half_up
 from ..functions.ranking import average_rank_pct, exact_percentiles
 from . import forest as M
 
+# Fixed shares, column lists and preview fields of the published results.
 SHARES = ((0.99, "top_1pct"), (0.95, "top_5pct"), (0.90, "top_10pct"))
 PROFILE_FEATURES = ("order_value", "days_since_previous_order", "prior_order_count",
                     "prior_avg_order_value", "amount_vs_customer_avg")
@@ -30,21 +31,26 @@ def forest_scores(ds: DataFrame, features, log_cols, out: str, cfg: ForestConfig
     cfg = cfg or ForestConfig()
     # the model input (id + a few doubles) is read four times: scaler
     # statistics, row count, tree sample and scoring -> keep one copy
-    x = persist_adaptive(M.transform(M.eligible(ds), features, log_cols))
+    x = materialise(M.transform(M.eligible(ds), features, log_cols), "model-input")
     fcols = [f"f_{c}" for c in features]
     z, stats = M.standardise(x, fcols)
     model = M.fit_isolation_forest(z, fcols, cfg, n=M.row_count(stats))
     # scores feed a rank (several passes) and a join: compute them once
-    return persist_adaptive(M.score(z, model, out=out))
+    return materialise(M.score(z, model, out=out), "scores")
+
+
+# Deterministic stand-in scores, one per model, so that swapped models show.
+STAND_IN = {"anomaly_score": lambda: F.col("amount_vs_customer_avg") - F.lit(3.0),
+            "behaviour_anomaly_score": lambda: F.lit(30.0) - F.col("days_since_previous_order")}
 
 
 def _stand_in(ds: DataFrame, out: str) -> DataFrame:
-    return M.eligible(ds).select("SalesOrderID", (F.col("amount_vs_customer_avg") - F.lit(3.0)).alias(out))
+    return M.eligible(ds).select("SalesOrderID", STAND_IN[out]().cast("double").alias(out))
 
 
 def with_top_flags(df: DataFrame, pct: str, prefix: str) -> DataFrame:
-    """0/1 flags for percentile >= 0.99, 0.95, 0.90 (NULL -> 0)."""
-    return df.withColumns({f"{prefix}{name}": flag(F.col(pct) >= p) for p, name in SHARES})
+    """0/1 flags for percentile >= 0.99, 0.95, 0.90; NULL without a percentile."""
+    return df.withColumns({f"{prefix}{name}": F.when(F.col(pct).isNotNull(), flag(F.col(pct) >= p)) for p, name in SHARES})
 
 
 def _ranked(ds: DataFrame, scorer: str, which: str, cfg: ForestConfig | None) -> DataFrame:
@@ -77,21 +83,19 @@ def model_scores(ds: DataFrame, scorer: str = "forest", cfg: ForestConfig | None
         raise ValueError(scorer)
     if scorer == "forest":
         def build(which):
-            r = persist_adaptive(_ranked(ds, scorer, which, cfg))
-            r.count()  # materialise inside the thread so both models overlap
-            return r
+            return materialise(_ranked(ds, scorer, which, cfg), f"ranked-{which}")
         with ThreadPoolExecutor(max_workers=2) as pool:
             r1, r2 = pool.map(build, ["initial", "behaviour"])
     else:
         r1, r2 = _ranked(ds, scorer, "initial", cfg), _ranked(ds, scorer, "behaviour", cfg)
     ids = M.eligible(ds).select("SalesOrderID")
     out = ids.join(r1, "SalesOrderID", "left").join(r2, "SalesOrderID", "left")
-    flags = {f"{n}_anomaly": F.coalesce(F.col(f"{n}_anomaly"), F.lit(0)) for _, n in SHARES}
-    flags.update({f"behaviour_{n}": F.coalesce(F.col(f"behaviour_{n}"), F.lit(0)) for _, n in SHARES})
-    flags["anomaly_prediction"] = F.when(F.col("anomaly_score") > 0, -1).otherwise(1)
-    flags["anomaly_flag"] = flag(F.col("anomaly_score") > 0)
+    # a row without a score is neither normal nor an anomaly: prediction and flags stay NULL
+    scored = F.col("anomaly_score").isNotNull()
+    flags = {"anomaly_prediction": F.when(scored, F.when(F.col("anomaly_score") > 0, -1).otherwise(1)),
+             "anomaly_flag": F.when(scored, flag(F.col("anomaly_score") > 0))}
     # narrow (id + a dozen numbers), read by the results frame and the export
-    return persist_adaptive(out.withColumns(flags))
+    return materialise(out.withColumns(flags), "model-scores")
 
 
 def model_results(ds: DataFrame, scorer: str = "forest", cfg: ForestConfig | None = None,

@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import ForestConfig
+from ..functions.numeric import round_half_up
 
+# Fixed feature lists of the two models.
 EULER_GAMMA = 0.5772156649015329
 
 INITIAL_FEATURES = ("order_value", "days_since_previous_order", "prior_order_count",
@@ -68,11 +70,17 @@ def eligible(ds: DataFrame) -> DataFrame:
 
 
 def eligibility_counts(ds: DataFrame) -> DataFrame:
-    """M2 check: first orders and model rows."""
+    """M2 check: first orders, model rows, and model rows a missing feature leaves without a score."""
+    missing = F.lit(False)
+    for c in dict.fromkeys((*INITIAL_FEATURES, *BEHAVIOUR_FEATURES)):
+        v = F.col(c).cast("double")
+        missing = missing | v.isNull() | F.isnan(v)
     return ds.agg(F.sum(F.when(F.col("prior_order_count") == 0, 1).otherwise(0)).cast("bigint")
                   .alias("first_transactions"),
                   F.sum(F.when(F.col("prior_order_count") > 0, 1).otherwise(0)).cast("bigint")
-                  .alias("model_rows"))
+                  .alias("model_rows"),
+                  F.sum(F.when((F.col("prior_order_count") > 0) & missing, 1).otherwise(0)).cast("bigint")
+                  .alias("unscored_rows"))
 
 
 def transform(x: DataFrame, features, log_cols, id_col: str = "SalesOrderID") -> DataFrame:
@@ -112,8 +120,8 @@ def row_count(stats: dict) -> int | None:
 
 def scaled_check(z: DataFrame, cols) -> DataFrame:
     """M4 check: mean and sample std of each scaled column (2 places)."""
-    return z.agg(*[F.round(F.avg(c), 2).alias(f"{c}_mean") for c in cols],
-                 *[F.round(F.stddev_samp(c), 2).alias(f"{c}_std") for c in cols])
+    return z.agg(*[round_half_up(F.avg(c), 2).alias(f"{c}_mean") for c in cols],
+                 *[round_half_up(F.stddev_samp(c), 2).alias(f"{c}_std") for c in cols])
 
 
 # ---------------------------------------------------------------- M5 fit
@@ -135,6 +143,8 @@ def _hash01(*cols):
 def _build_tree(pdf: pd.DataFrame, features: list[str], psi: int, seed: int) -> pd.DataFrame:
     tree = int(pdf["tree"].iloc[0])
     pdf = pdf.sort_values(["__h", "__id"]).head(psi)
+    if len(pdf) < psi:
+        raise ValueError(f"tree {tree} got {len(pdf)} of {psi} rows: raise oversample")
     x = pdf[features].to_numpy(dtype=np.float64)
     rng = np.random.default_rng([seed, tree])
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
@@ -199,7 +209,21 @@ class IsolationForestModel:
 
 def fit_isolation_forest(x: DataFrame, features, cfg: ForestConfig | None = None,
                          id_col: str = "SalesOrderID", n: int | None = None) -> IsolationForestModel:
-    """M5: fit on ``x`` (one row per id, feature columns already prepared)."""
+    """M5: fit on ``x`` (one row per id, feature columns already prepared).
+
+    The node table (at most trees x (2 psi - 1) rows) comes to the driver to be
+    broadcast for scoring.
+    """
+    cfg = cfg or ForestConfig()
+    n = x.count() if n is None else n
+    nodes = grow_forest(x, features, cfg, id_col, n).toPandas()
+    return IsolationForestModel(features=list(features), psi=min(cfg.max_samples, n), n_trees=cfg.n_trees,
+                                offset=cfg.offset, nodes=nodes)
+
+
+def grow_forest(x: DataFrame, features, cfg: ForestConfig | None = None,
+                id_col: str = "SalesOrderID", n: int | None = None) -> DataFrame:
+    """The node table of the fitted forest, one group of sampled rows per tree."""
     cfg = cfg or ForestConfig()
     features = list(features)
     n = x.count() if n is None else n
@@ -222,10 +246,7 @@ def fit_isolation_forest(x: DataFrame, features, cfg: ForestConfig | None = None
                .withColumn("__h", F.xxhash64(F.col("__id"), F.col("tree"), F.lit(cfg.seed), F.lit("rank"))))
     seed = cfg.seed
     feats = list(features)
-    nodes = (cand.groupBy("tree")
-                 .applyInPandas(lambda pdf: _build_tree(pdf, feats, psi, seed), NODE_SCHEMA)
-                 .toPandas())
-    return IsolationForestModel(features=feats, psi=psi, n_trees=trees, offset=cfg.offset, nodes=nodes)
+    return cand.groupBy("tree").applyInPandas(lambda pdf: _build_tree(pdf, feats, psi, seed), NODE_SCHEMA)
 
 
 # ---------------------------------------------------------------- M6 score

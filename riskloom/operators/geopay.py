@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import broadcast_if_small
 from ..functions.numeric import cents_to_money, flag
 
 # Fixed labels of the published analyses.
@@ -22,7 +21,8 @@ def with_locations(df: DataFrame, addr: DataFrame) -> DataFrame:
 
     AddressID must be unique in ``addr`` (a repeated id would multiply rows).
     """
-    a = broadcast_if_small(addr.select("AddressID", "City", "StateProvinceID"))
+    # no hint: the planner and AQE broadcast the dimension by its bytes, or not
+    a = addr.select("AddressID", "City", "StateProvinceID")
     bill = a.select(F.col("AddressID").alias("_bill_id"), F.col("City").alias("billing_city"),
                     F.col("StateProvinceID").alias("billing_state"))
     ship = a.select(F.col("AddressID").alias("_ship_id"), F.col("City").alias("shipping_city"),

@@ -6,13 +6,14 @@ driver tables by :func:`riskloom.sources.binding.bind_driver_tables`.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import RiskConfig
 from ..operators import audit, baselines, geopay, marts, patterns, quality, scoring
-from ..sources.binding import bind_driver_tables, bind_events
+from ..sources.binding import CORE_COLUMNS, SCORE_COLUMNS, TX_COLUMNS, bind_driver_tables, bind_events, bind_orders
 from ..sources.io import mart_path, register_views, write_mart
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,13 +23,18 @@ def _roles(spark, sf):
     return bind_driver_tables(spark, sf)
 
 
+def _scoring_roles(spark, sf):
+    # the score reads no due or ship date
+    return bind_driver_tables(spark, sf, SCORE_COLUMNS)
+
+
 def _risk(spark, sf):
-    r = _roles(spark, sf)
+    r = _scoring_roles(spark, sf)
     return scoring.score_transactions(r.tx, r.addr, RiskConfig())
 
 
 def _scored(spark, sf):
-    r = _roles(spark, sf)
+    r = _scoring_roles(spark, sf)
     return scoring.score_frame(r.tx, r.addr, RiskConfig())
 
 
@@ -36,13 +42,14 @@ def _ds(spark, sf):
     return marts.vw_fraud_analytics_dataset(_risk(spark, sf))
 
 
-def _tx(fn):
-    return lambda spark, sf: fn(_roles(spark, sf).tx)
+def _tx(fn, *columns):
+    """A query on the order role, bound with the columns it declares (all if none are named)."""
+    return lambda spark, sf: fn(bind_orders(spark, sf, columns or TX_COLUMNS))
 
 
 def _tx_addr(fn):
     def q(spark, sf):
-        r = _roles(spark, sf)
+        r = _scoring_roles(spark, sf)
         return fn(r.tx, r.addr)
     return q
 
@@ -61,33 +68,34 @@ def base_queries() -> dict[str, Query]:
     q["audit_tables"] = lambda s, sf: audit.audit_tables(_roles(s, sf).tables())
     q["audit_columns"] = lambda s, sf: audit.audit_columns(_roles(s, sf).tables())
     q["table_volumes"] = lambda s, sf: audit.table_volumes(_roles(s, sf).tables())
-    q["transaction_coverage"] = _tx(audit.transaction_coverage)
-    q["value_baseline"] = _tx(audit.value_baseline)
-    q["customer_purchasing"] = _tx(audit.customer_purchasing)
-    q["order_frequency_distribution"] = _tx(audit.order_frequency_distribution)
+    q["transaction_coverage"] = _tx(audit.transaction_coverage, *CORE_COLUMNS)
+    q["value_baseline"] = _tx(audit.value_baseline, *CORE_COLUMNS)
+    q["customer_purchasing"] = _tx(audit.customer_purchasing, *CORE_COLUMNS)
+    q["order_frequency_distribution"] = _tx(audit.order_frequency_distribution, *CORE_COLUMNS)
     q["customer_cards"] = lambda s, sf: (lambda r: audit.customer_cards(r.cust, r.bridge, r.card))(_roles(s, sf))
     q["order_locations"] = _tx_addr(audit.order_locations)
     # B - data quality
-    q["duplicate_orders"] = _tx(quality.duplicate_orders)
+    q["duplicate_orders"] = _tx(quality.duplicate_orders, *CORE_COLUMNS)
     q["missing_core_fields"] = _tx(quality.missing_core_fields)
-    q["invalid_values"] = _tx(quality.invalid_values)
+    q["invalid_values"] = _tx(quality.invalid_values, *CORE_COLUMNS)
     q["date_inconsistencies"] = _tx(quality.date_inconsistencies)
-    q["orphan_customers"] = lambda s, sf: (lambda r: quality.orphan_customers(r.tx, r.cust))(_roles(s, sf))
+    q["orphan_customers"] = lambda s, sf: (lambda r: quality.orphan_customers(r.tx, r.cust))(
+        bind_driver_tables(s, sf, CORE_COLUMNS))
     q["orphan_cards"] = lambda s, sf: (lambda r: quality.orphan_cards(r.tx, r.card))(_roles(s, sf))
     q["orphan_addresses"] = _tx_addr(quality.orphan_addresses)
     q["card_coverage"] = _tx(quality.card_coverage)
     q["customer_coverage"] = lambda s, sf: (lambda r: quality.customer_coverage(r.cust, r.tx))(_roles(s, sf))
     # D - baselines
-    q["order_sequence"] = _tx(baselines.order_sequence)
-    q["previous_order"] = _tx(baselines.previous_order)
-    q["historical_baseline"] = _tx(baselines.historical_baseline)
-    q["largest_deviations"] = _tx(baselines.largest_deviations)
+    q["order_sequence"] = _tx(baselines.order_sequence, *CORE_COLUMNS)
+    q["previous_order"] = _tx(baselines.previous_order, *CORE_COLUMNS)
+    q["historical_baseline"] = _tx(baselines.historical_baseline, *CORE_COLUMNS)
+    q["largest_deviations"] = _tx(baselines.largest_deviations, *CORE_COLUMNS)
     # E - patterns
-    q["transaction_timing"] = _tx(patterns.transaction_timing)
-    q["gap_distribution"] = _tx(patterns.gap_distribution)
-    q["rapid_repeats"] = _tx(patterns.rapid_repeats)
-    q["amount_spikes"] = _tx(patterns.amount_spikes)
-    q["pattern_indicators"] = _tx(patterns.pattern_indicators)
+    q["transaction_timing"] = _tx(patterns.transaction_timing, *CORE_COLUMNS)
+    q["gap_distribution"] = _tx(patterns.gap_distribution, *CORE_COLUMNS)
+    q["rapid_repeats"] = _tx(patterns.rapid_repeats, *CORE_COLUMNS)
+    q["amount_spikes"] = _tx(patterns.amount_spikes, *CORE_COLUMNS)
+    q["pattern_indicators"] = _tx(patterns.pattern_indicators, *CORE_COLUMNS, "CreditCardID")
     # F - payment and geography
     q["location_relationship"] = _tx_addr(geopay.location_relationship)
     q["location_mismatches"] = _tx_addr(geopay.location_mismatches)
@@ -147,16 +155,11 @@ def _view_level_counts(spark, sf):
 def _mart_monthly_risk(spark, sf):
     """The monthly report over the dataset written as a month-partitioned mart."""
     ds = _ds(spark, sf)
-    path = mart_path(spark, f"fraud_dataset_{abs(hash(sf))}")
+    path = mart_path(spark, f"fraud_dataset_{zlib.crc32(sf.encode()):08x}")
     write_mart(ds, path, "order_year_month")
     return marts.monthly_risk(spark.read.schema(ds.schema).parquet(path))
 
 
 def all_queries() -> dict[str, Query]:
-    q = base_queries()
-    try:
-        from . import catalog_models
-        q.update(catalog_models.model_queries())
-    except ImportError:  # pragma: no cover - during the first build steps
-        pass
-    return q
+    from . import catalog_models
+    return base_queries() | catalog_models.model_queries()

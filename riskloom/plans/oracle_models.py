@@ -5,16 +5,16 @@ from __future__ import annotations
 from .oracle import r, with_binding
 from .oracle_profile import profile_oracles
 
-# The stand-in score: ratio - 3 on eligible rows; ranks with average ties.
+# The stand-in scores: ratio - 3 and 30 - gap on eligible rows; ranks with average ties.
 RES = """
 , res0 AS (
-    SELECT *, amount_vs_customer_avg - 3.0 AS anomaly_score, amount_vs_customer_avg - 3.0 AS behaviour_anomaly_score
+    SELECT *, amount_vs_customer_avg - 3.0 AS anomaly_score, CAST(30.0 - days_since_previous_order AS DOUBLE) AS behaviour_anomaly_score
     FROM ds WHERE prior_order_count > 0
 ),
 res1 AS (
     SELECT *,
-        CASE WHEN anomaly_score > 0 THEN -1 ELSE 1 END AS anomaly_prediction,
-        CASE WHEN anomaly_score > 0 THEN 1 ELSE 0 END AS anomaly_flag,
+        CASE WHEN anomaly_score > 0 THEN -1 WHEN anomaly_score <= 0 THEN 1 END AS anomaly_prediction,
+        CASE WHEN anomaly_score > 0 THEN 1 WHEN anomaly_score <= 0 THEN 0 END AS anomaly_flag,
         CASE WHEN anomaly_score IS NOT NULL THEN
             (RANK() OVER (ORDER BY anomaly_score) - 1
              + CAST(COUNT(*) OVER (PARTITION BY anomaly_score) + 1 AS DOUBLE) / 2)
@@ -27,12 +27,12 @@ res1 AS (
 ),
 res AS (
     SELECT *,
-        CASE WHEN anomaly_percentile >= 0.99 THEN 1 ELSE 0 END AS top_1pct_anomaly,
-        CASE WHEN anomaly_percentile >= 0.95 THEN 1 ELSE 0 END AS top_5pct_anomaly,
-        CASE WHEN anomaly_percentile >= 0.9 THEN 1 ELSE 0 END AS top_10pct_anomaly,
-        CASE WHEN behaviour_anomaly_percentile >= 0.99 THEN 1 ELSE 0 END AS behaviour_top_1pct,
-        CASE WHEN behaviour_anomaly_percentile >= 0.95 THEN 1 ELSE 0 END AS behaviour_top_5pct,
-        CASE WHEN behaviour_anomaly_percentile >= 0.9 THEN 1 ELSE 0 END AS behaviour_top_10pct
+        CASE WHEN anomaly_percentile IS NOT NULL THEN CAST(anomaly_percentile >= 0.99 AS INTEGER) END AS top_1pct_anomaly,
+        CASE WHEN anomaly_percentile IS NOT NULL THEN CAST(anomaly_percentile >= 0.95 AS INTEGER) END AS top_5pct_anomaly,
+        CASE WHEN anomaly_percentile IS NOT NULL THEN CAST(anomaly_percentile >= 0.9 AS INTEGER) END AS top_10pct_anomaly,
+        CASE WHEN behaviour_anomaly_percentile IS NOT NULL THEN CAST(behaviour_anomaly_percentile >= 0.99 AS INTEGER) END AS behaviour_top_1pct,
+        CASE WHEN behaviour_anomaly_percentile IS NOT NULL THEN CAST(behaviour_anomaly_percentile >= 0.95 AS INTEGER) END AS behaviour_top_5pct,
+        CASE WHEN behaviour_anomaly_percentile IS NOT NULL THEN CAST(behaviour_anomaly_percentile >= 0.9 AS INTEGER) END AS behaviour_top_10pct
     FROM res1
 ),
 export AS (
@@ -72,6 +72,32 @@ ANOMALY_COLS = ("SalesOrderID, CustomerID, OrderDate, order_value, days_since_pr
                 "prior_avg_order_value, amount_vs_customer_avg, anomaly_score")
 
 
+def _input(features, logs) -> str:
+    columns = {c: (f"LN(1 + {c})" if c in logs else f"CAST({c} AS DOUBLE)") for c in features}
+    whole = " AND ".join(f"{c} IS NOT NULL" for c in features)
+    return "SELECT SalesOrderID, " + ", ".join(f"{e} AS f_{c}" for c, e in columns.items()) + f" FROM ds WHERE prior_order_count > 0 AND {whole}"
+
+
+def _input_oracle(features, logs) -> str:
+    return with_binding("SELECT SalesOrderID, " + ", ".join(f"{r(f'f_{c}', 6)} AS f_{c}" for c in features) + f" FROM ({_input(features, logs)}) x")
+
+
+def _scaled_oracle(features, logs) -> str:
+    n = [f"f_{c}" for c in features]
+    stats = ", ".join(f"AVG({c}) AS m_{c}, CASE WHEN STDDEV_POP({c}) > 0 THEN STDDEV_POP({c}) ELSE 1 END AS s_{c}" for c in n)
+    z = ", ".join(f"(x.{c} - t.m_{c}) / t.s_{c} AS {c}" for c in n)
+    out = ", ".join(f"{r(f'AVG({c})')} + 0.0 AS {c}_mean, {r(f'STDDEV_SAMP({c})')} + 0.0 AS {c}_std" for c in n)
+    return with_binding(f", x AS ({_input(features, logs)}), t AS (SELECT {stats} FROM x), z AS (SELECT {z} FROM x, t) SELECT {out} FROM z")
+
+
+INITIAL = ("order_value", "days_since_previous_order", "prior_order_count", "prior_avg_order_value",
+           "amount_vs_customer_avg", "OnlineOrderFlag")
+INITIAL_LOGS = ("order_value", "days_since_previous_order", "prior_avg_order_value", "amount_vs_customer_avg")
+BEHAVIOUR = ("days_since_previous_order", "prior_order_count", "amount_vs_customer_avg", "OnlineOrderFlag")
+BEHAVIOUR_LOGS = ("days_since_previous_order", "prior_order_count")
+UNSCORED = "(order_value + days_since_previous_order + prior_avg_order_value + amount_vs_customer_avg + OnlineOrderFlag) IS NULL"
+
+
 def model_oracles() -> dict[str, str]:
     o = profile_oracles()
     o["ratio_percentile_rank"] = with_binding("""
@@ -87,7 +113,9 @@ def model_oracles() -> dict[str, str]:
             "amount_vs_customer_avg", "OnlineOrderFlag")).join(["SELECT ", " FROM ds"]))
     o["eligibility_counts"] = with_binding(
         "SELECT CAST(SUM(CASE WHEN prior_order_count = 0 THEN 1 ELSE 0 END) AS BIGINT) AS first_transactions, "
-        "CAST(SUM(CASE WHEN prior_order_count > 0 THEN 1 ELSE 0 END) AS BIGINT) AS model_rows FROM ds")
+        "CAST(SUM(CASE WHEN prior_order_count > 0 THEN 1 ELSE 0 END) AS BIGINT) AS model_rows, "
+        "CAST(COUNT(*) FILTER (WHERE prior_order_count > 0 AND (order_value + days_since_previous_order "
+        "+ prior_avg_order_value + amount_vs_customer_avg + OnlineOrderFlag) IS NULL) AS BIGINT) AS unscored_rows FROM ds")
     s = "_standin"
     o["flag_rate" + s] = _m(f"""
         SELECT anomaly_flag, COUNT(*) AS transaction_count,
@@ -192,6 +220,20 @@ def model_oracles() -> dict[str, str]:
                    AS flagged_transaction_rate
         FROM ds GROUP BY order_year_month""")
     o["published_monthly_risk"] = o["monthly_flagged_rate"]
+    # reports that hold no score are the same for every scorer
+    for name in ("export_checks", "overview_kpis", "geography_dashboard"):
+        o[name] = o[name + s]
+    o["model_input_initial"] = _input_oracle(INITIAL, INITIAL_LOGS)
+    o["model_input_behaviour"] = _input_oracle(BEHAVIOUR, BEHAVIOUR_LOGS)
+    o["scaled_check_initial"] = _scaled_oracle(INITIAL, INITIAL_LOGS)
+    o["scaled_check_behaviour"] = _scaled_oracle(BEHAVIOUR, BEHAVIOUR_LOGS)
+    o["forest_invariants"] = with_binding(f"""
+        SELECT CAST(300 AS BIGINT) AS trees, CAST(LEAST(256, COUNT(*) FILTER (WHERE NOT {UNSCORED})) AS BIGINT) AS least_root_rows,
+               CAST(LEAST(256, COUNT(*) FILTER (WHERE NOT {UNSCORED})) AS BIGINT) AS most_root_rows,
+               CAST(COUNT(*) FILTER (WHERE NOT {UNSCORED}) AS BIGINT) AS scored_rows,
+               CAST(COUNT(*) FILTER (WHERE {UNSCORED}) AS BIGINT) AS unscored_rows,
+               CAST(0 AS BIGINT) AS scores_out_of_range, CAST(0 AS BIGINT) AS wrong_flags
+        FROM ds WHERE prior_order_count > 0""")
     return o
 
 

@@ -32,6 +32,11 @@ NO_PERSON_SEGMENT = "MACHINERY"
 REGISTERED_RETURN_FLAG = "A"
 SUPPLIER_KEY_RANGE = 1 << 32
 
+# Columns of an order that come from the order table alone, and those that need
+# the order's lines, its customer or its supplier.
+CORE_COLUMNS = ("SalesOrderID", "CustomerID", "OrderDate", "TotalDue", "OnlineOrderFlag")
+LINE_COLUMNS = ("DueDate", "ShipDate", "CreditCardID", "ShipToAddressID")
+SCORE_COLUMNS = (*CORE_COLUMNS, "CreditCardID", "BillToAddressID", "ShipToAddressID")
 TX_COLUMNS = ("SalesOrderID", "CustomerID", "OrderDate", "DueDate", "ShipDate", "TotalDue",
               "OnlineOrderFlag", "CreditCardID", "BillToAddressID", "ShipToAddressID")
 
@@ -79,42 +84,62 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def bind_driver_tables(spark: SparkSession, sf_dir: str) -> Roles:
-    orders = read_table(spark, sf_dir, "orders")
-    lineitem = read_table(spark, sf_dir, "lineitem")
-    customer = read_table(spark, sf_dir, "customer")
-    supplier = read_table(spark, sf_dir, "supplier")
-    nation = read_table(spark, sf_dir, "nation")
+def bind_orders(spark: SparkSession, sf_dir: str, columns=TX_COLUMNS) -> DataFrame:
+    """The ``tx`` role with ``columns`` only.
 
-    # per order: ship/due dates and the card (supplier of the first line;
-    # line numbers repeat inside an order, so the supplier breaks ties)
-    # (line number, supplier) is packed into one bigint - line number in the
-    # high 32 bits, supplier key (< 2^32) in the low bits - so the smallest
-    # pair is a plain min and the aggregate stays hash based (a min over a
-    # struct forces a sort of the whole line table)
-    packed = F.col("l_linenumber").cast("bigint") * F.lit(SUPPLIER_KEY_RANGE) + F.col("l_suppkey")
-    lines = lineitem.groupBy("l_orderkey").agg(
+    The line table, customers and suppliers are joined only for columns that
+    come from them; a question about orders alone reads the order table alone.
+    """
+    orders = read_table(spark, sf_dir, "orders")
+    tx = orders.select(
+        F.col("o_orderkey").alias("SalesOrderID"),
+        F.col("o_custkey").alias("CustomerID"),
+        F.col("o_orderdate").alias("OrderDate"),
+        to_cents("o_totalprice").alias("TotalDue"),
+        F.when(F.col("o_orderpriority").isin(*ONLINE_PRIORITIES), 1).otherwise(0).alias("OnlineOrderFlag"),
+    )
+    if set(columns) & set(LINE_COLUMNS):
+        lines = first_lines(read_table(spark, sf_dir, "lineitem"))
+        tx = tx.join(lines, F.col("SalesOrderID") == F.col("l_orderkey"), "left")
+    if "BillToAddressID" in columns:
+        customer = read_table(spark, sf_dir, "customer")
+        tx = tx.join(customer.select("c_custkey", F.col("c_nationkey").cast("bigint").alias("BillToAddressID")),
+                     F.col("CustomerID") == F.col("c_custkey"), "left")
+    if "ShipToAddressID" in columns:
+        supplier = read_table(spark, sf_dir, "supplier")
+        tx = tx.join(supplier.select("s_suppkey", F.col("s_nationkey").cast("bigint").alias("ShipToAddressID")),
+                     F.col("CreditCardID") == F.col("s_suppkey"), "left")
+    return tx.select(*[c for c in TX_COLUMNS if c in columns])
+
+
+def first_lines(lineitem: DataFrame) -> DataFrame:
+    """Per order: ship and due date and the card (supplier of the first line).
+
+    Line numbers repeat inside an order, so the supplier breaks ties. The pair
+    is packed into one bigint - line number in the high 32 bits, supplier in
+    the low ones - so the smallest pair is a plain min and the aggregate stays
+    hash based. A supplier that does not fit raises an error.
+    """
+    supplier = F.col("l_suppkey")
+    fits = supplier.isNull() | ((supplier >= 0) & (supplier < SUPPLIER_KEY_RANGE))
+    packed = F.when(fits, F.col("l_linenumber").cast("bigint") * F.lit(SUPPLIER_KEY_RANGE) + supplier).otherwise(
+        F.raise_error(F.concat(F.lit("supplier key outside 0 ... 2^32 - 1: "), supplier.cast("string"))).cast("bigint"))
+    return lineitem.groupBy("l_orderkey").agg(
         F.min("l_shipdate").alias("ShipDate"),
         F.max("l_shipdate").alias("DueDate"),
         F.min(packed).alias("_first_line"),
     ).select("l_orderkey", "ShipDate", "DueDate",
              F.pmod(F.col("_first_line"), F.lit(SUPPLIER_KEY_RANGE)).alias("CreditCardID"))
-    tx = (
-        orders.select(
-            F.col("o_orderkey").alias("SalesOrderID"),
-            F.col("o_custkey").alias("CustomerID"),
-            F.col("o_orderdate").alias("OrderDate"),
-            to_cents("o_totalprice").alias("TotalDue"),
-            F.when(F.col("o_orderpriority").isin(*ONLINE_PRIORITIES), 1).otherwise(0)
-            .alias("OnlineOrderFlag"),
-        )
-        .join(lines, F.col("SalesOrderID") == F.col("l_orderkey"), "left")
-        .join(customer.select("c_custkey", F.col("c_nationkey").cast("bigint").alias("BillToAddressID")),
-              F.col("CustomerID") == F.col("c_custkey"), "left")
-        .join(supplier.select("s_suppkey", F.col("s_nationkey").cast("bigint").alias("ShipToAddressID")),
-              F.col("CreditCardID") == F.col("s_suppkey"), "left")
-        .select(*TX_COLUMNS)
-    )
+
+
+def bind_driver_tables(spark: SparkSession, sf_dir: str, columns=TX_COLUMNS) -> Roles:
+    orders = read_table(spark, sf_dir, "orders")
+    lineitem = read_table(spark, sf_dir, "lineitem")
+    customer = read_table(spark, sf_dir, "customer")
+    supplier = read_table(spark, sf_dir, "supplier")
+    nation = read_table(spark, sf_dir, "nation")
+
+    tx = bind_orders(spark, sf_dir, columns)
     cust = customer.select(
         F.col("c_custkey").alias("CustomerID"),
         F.when(F.col("c_mktsegment") == NO_PERSON_SEGMENT, F.lit(None).cast("bigint"))
