@@ -157,13 +157,13 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 8) -> DataF
 
 def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 8) -> DataFrame:
     """The mix itself: every document as often as it is taken; the one at a source's target is cut after its last word taken."""
-    taken = (mix(docs, block_words, seed).where("taken > 0").groupBy("doc_id", "text_key")
-             .agg(F.first("size").alias("size"), F.sum("taken").alias("taken")).withColumnRenamed("doc_id", "id"))
-    keyed = docs.withColumn("text_key", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))).dropDuplicates(["doc_id", "text_key"])
-    both = keyed.join(taken.hint("merge"), (keyed.text_key == taken.text_key) & keyed.doc_id.eqNullSafe(taken.id))
-    part = F.expr("taken % size")
+    taken = (mix(docs, block_words, seed).where("taken > 0").groupBy(F.col("doc_id").alias("mix_id"), F.col("text_key").alias("mix_key"))
+             .agg(F.first("size").alias("mix_size"), F.sum("taken").alias("mix_taken")))
+    keyed = docs.withColumn("mix_text", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))).dropDuplicates(["doc_id", "mix_text"])
+    both = keyed.join(taken.hint("merge"), (F.col("mix_text") == F.col("mix_key")) & F.col("doc_id").eqNullSafe(F.col("mix_id")))
+    part = F.expr("mix_taken % mix_size")
     # how many words each copy holds: whole ones, then the rest
-    copies = both.withColumn("copy", F.explode(F.concat(
-        F.expr("array_repeat(size, int(taken div size))"), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")))))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)), 1, F.col("copy").cast("int")), " ")
-    return copies.withColumn("text", F.when(F.col("copy") < F.col("size"), cut).otherwise(F.col("text"))).select(*docs.columns)
+    copies = both.withColumn("mix_copy", F.explode(F.concat(
+        F.expr("array_repeat(mix_size, int(mix_taken div mix_size))"), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")))))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)), 1, F.col("mix_copy").cast("int")), " ")
+    return copies.withColumn("text", F.when(F.col("mix_copy") < F.col("mix_size"), cut).otherwise(F.col("text"))).select(*docs.columns)
