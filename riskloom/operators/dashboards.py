@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_up, to_cents
+from ..functions.ranking import value_positions
 from .patterns import gap_segment
 
 
@@ -89,3 +90,42 @@ def customer_dashboard(export: DataFrame) -> DataFrame:
                     .alias("avg_behaviour_percentile"),
                     round_half_up("_xp", 4).alias("max_behaviour_percentile")
                     ).orderBy(F.col("flagged_order_value").desc(), "CustomerID")
+
+
+# Lower ends of the ratio bands; the first band holds what is below 1.
+RATIO_BANDS = (1.0, 2.0, 3.0, 5.0)
+
+
+def ratio_bands(export: DataFrame) -> DataFrame:
+    """Orders, repeat orders and flagged orders per band of the ratio to the customer's average."""
+    ratio = F.col("amount_vs_customer_avg")
+    band = F.when(ratio.isNull(), -1).otherwise(sum((F.when(ratio >= lo, 1).otherwise(0) for lo in RATIO_BANDS), F.lit(0)))
+    return export.groupBy(band.cast("int").alias("ratio_band")).agg(
+        F.count(F.lit(1)).alias("transactions"),
+        F.sum("same_day_repeat_flag").cast("bigint").alias("same_day_repeats"),
+        F.sum("rapid_repeat_flag").cast("bigint").alias("rapid_repeats"),
+        F.sum("flagged_transaction_flag").cast("bigint").alias("flagged_transactions"))
+
+
+def geography_by_state(export: DataFrame) -> DataFrame:
+    """Per side (billing, shipping) and state: orders, mismatches and value."""
+    sides = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(f"{side}_state").alias("state"))
+                                for side in ("billing", "shipping")]))
+    return export.select(sides.alias("s"), "geographic_mismatch_flag", "flagged_transaction_flag", "order_value").groupBy(
+        F.col("s.side").alias("side"), F.col("s.state").alias("state")).agg(
+        F.count(F.lit(1)).alias("transactions"),
+        F.sum("geographic_mismatch_flag").cast("bigint").alias("mismatch_transactions"),
+        F.sum("flagged_transaction_flag").cast("bigint").alias("flagged_transactions"),
+        (F.sum(to_cents("order_value")).cast("double") / 100).alias("total_order_value"))
+
+
+def customer_ranking(export: DataFrame) -> DataFrame:
+    """Customers by flagged value, highest first, with their rank (equal values share it).
+
+    The rank is the number of customers with a higher value plus one, from the
+    distributed positions of the distinct values.
+    """
+    c = customer_dashboard(export).select("CustomerID", "transactions", "flagged_order_value")
+    c = c.withColumn("_v", -to_cents("flagged_order_value"))
+    at = value_positions(c, "_v").select(F.col("__rk_value").alias("_w"), (F.col("__rk_before") + 1).alias("customer_rank"))
+    return c.join(at, F.col("_v") == F.col("_w")).select("customer_rank", "CustomerID", "transactions", "flagged_order_value")

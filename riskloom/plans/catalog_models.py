@@ -12,6 +12,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
+from .. import config as K
 from ..functions.caching import run_folder
 from ..functions.numeric import round_half_up
 from ..operators import compare, dashboards, forest, marts, profile
@@ -21,6 +22,11 @@ from .catalog import _ds as _build_ds
 
 
 
+# The filters of the registered review queue: single-signal scores and two reasons.
+QUEUE_SCORES = (2, 3)
+QUEUE_REASONS = (K.REASON_SAME_DAY, K.REASON_SPIKE)
+
+
 def _published_once(spark, sf, name, build):
     """A table that the queries of an application share: written at first use, then read by path."""
     path = f"{run_folder(spark)}/{name}-{zlib.crc32(sf.encode()):08x}"
@@ -121,6 +127,12 @@ def model_queries():
         q[f"investigation_queue{suffix}"] = _exp_q(dashboards.investigation_queue, scorer)
         q[f"behaviour_dashboard{suffix}"] = _exp_q(dashboards.behaviour_dashboard, scorer)
         q[f"geography_dashboard{suffix}"] = _exp_q(dashboards.geography_dashboard, scorer)
+        q[f"ratio_bands{suffix}"] = _exp_q(dashboards.ratio_bands, scorer)
+        q[f"geography_by_state{suffix}"] = _exp_q(dashboards.geography_by_state, scorer)
+        q[f"customer_ranking{suffix}"] = _exp_q(dashboards.customer_ranking, scorer)
+        q[f"investigation_queue_filtered{suffix}"] = _exp_q(
+            dashboards.investigation_queue, scorer, scores=QUEUE_SCORES, reasons=QUEUE_REASONS)
+        q[f"behaviour_counts{suffix}"] = _res_q(compare.cross_method, scorer, "behaviour_")
         q[f"customer_dashboard{suffix}"] = _exp_q(dashboards.customer_dashboard, scorer)
     q["anomaly_scores"] = lambda s, sf: compare.forest_scores(
         _ds(s, sf), forest.INITIAL_FEATURES, forest.INITIAL_LOG, "anomaly_score")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .. import config as K
 from .oracle import r, with_binding
 from .oracle_profile import profile_oracles
 
@@ -220,6 +221,35 @@ def model_oracles() -> dict[str, str]:
                    AS flagged_transaction_rate
         FROM ds GROUP BY order_year_month""")
     o["published_monthly_risk"] = o["monthly_flagged_rate"]
+    o["ratio_bands" + s] = _m("""
+        SELECT CAST(CASE WHEN amount_vs_customer_avg IS NULL THEN -1 WHEN amount_vs_customer_avg < 1 THEN 0
+                         WHEN amount_vs_customer_avg < 2 THEN 1 WHEN amount_vs_customer_avg < 3 THEN 2
+                         WHEN amount_vs_customer_avg < 5 THEN 3 ELSE 4 END AS INTEGER) AS ratio_band,
+               COUNT(*) AS transactions, CAST(SUM(same_day_repeat_flag) AS BIGINT) AS same_day_repeats,
+               CAST(SUM(rapid_repeat_flag) AS BIGINT) AS rapid_repeats,
+               CAST(SUM(flagged_transaction_flag) AS BIGINT) AS flagged_transactions
+        FROM export GROUP BY ratio_band""")
+    o["geography_by_state" + s] = _m("""
+        SELECT side, state, COUNT(*) AS transactions, CAST(SUM(geographic_mismatch_flag) AS BIGINT) AS mismatch_transactions,
+               CAST(SUM(flagged_transaction_flag) AS BIGINT) AS flagged_transactions,
+               CAST(SUM(CAST(ROUND(order_value * 100) AS BIGINT)) AS DOUBLE) / 100 AS total_order_value
+        FROM (SELECT 'billing' AS side, billing_state AS state, * FROM export
+              UNION ALL SELECT 'shipping' AS side, shipping_state AS state, * FROM export) x
+        GROUP BY side, state""")
+    o["customer_ranking" + s] = _m("""
+        SELECT RANK() OVER (ORDER BY flagged DESC) AS customer_rank, CustomerID, transactions,
+               CAST(flagged AS DOUBLE) / 100 AS flagged_order_value
+        FROM (SELECT CustomerID, COUNT(*) AS transactions,
+                     SUM(CASE WHEN flagged_transaction_flag = 1 THEN CAST(ROUND(order_value * 100) AS BIGINT) ELSE 0 END) AS flagged
+              FROM export GROUP BY CustomerID) x""")
+    o["investigation_queue_filtered" + s] = _m("""
+        SELECT transaction_risk_score, risk_level, risk_reason, behaviour_anomaly_percentile, SalesOrderID, CustomerID,
+               order_value, days_since_previous_order, prior_order_count, amount_vs_customer_avg
+        FROM export WHERE flagged_transaction_flag = 1 AND transaction_risk_score IN (2, 3)
+          AND risk_reason IN (""" + ", ".join(f"'{x}'" for x in (K.REASON_SAME_DAY, K.REASON_SPIKE)) + ")")
+    o["behaviour_counts" + s] = _m(_cross("behaviour_anomaly_score", BEH_TOPS))
+    for name in ("ratio_bands", "geography_by_state", "customer_ranking"):
+        o[name] = o[name + s]
     # reports that hold no score are the same for every scorer
     for name in ("export_checks", "overview_kpis", "geography_dashboard"):
         o[name] = o[name + s]

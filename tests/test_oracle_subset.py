@@ -26,7 +26,7 @@ def test_query_matches_oracle(spark, name):
 # Queries of the reference's operators that rest on the fitted forest: checked
 # by forest_invariants and tests/test_forest.py instead of value by value.
 FOREST_ONLY = {
-    "anomaly_scores", "behaviour_anomaly_scores", "behaviour_comparison", "behaviour_dashboard",
+    "anomaly_scores", "behaviour_anomaly_scores", "behaviour_comparison", "behaviour_dashboard", "behaviour_counts", "investigation_queue_filtered",
     "behaviour_top_share_counts", "cross_method", "customer_dashboard", "export_csv", "export_dataset", "export_preview",
     "flag_rate", "forest_nodes_initial", "high_risk_both_models", "high_risk_validation", "investigation_queue",
     "level_flag_crosstab", "model_only", "model_only_count", "overlap_rates", "profile_comparison", "score_histogram",
