@@ -2,7 +2,10 @@
 
 Each job is executed completely with the ``noop`` sink (no collect to the
 driver). Times are the median wall seconds of three runs, after one warm-up
-run of the scoring job.
+run of the scoring job. Every run starts from the tables: nothing may be held
+in the block stores, and a job that finds a stored copy fails. Shuffle bytes
+come from Spark's event log in a scratch folder. Core counts other than the
+driver's: set BENCH_CPUS.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -26,9 +30,29 @@ def run(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
+def shuffled(events: str, windows: dict[str, tuple[float, float]]) -> dict[str, float]:
+    """MB that the last run of each job wrote to shuffles."""
+    out = dict.fromkeys(windows, 0.0)
+    for name in os.listdir(events):
+        with open(os.path.join(events, name)) as lines:
+            for line in lines:
+                if not line.startswith('{"Event":"SparkListenerTaskEnd"'):
+                    continue
+                e = json.loads(line)
+                n = (e.get("Task Metrics") or {}).get("Shuffle Write Metrics", {}).get("Shuffle Bytes Written", 0)
+                for job, (lo, hi) in windows.items():
+                    if lo <= e["Task Info"]["Launch Time"] <= hi:
+                        out[job] += n / 1e6
+    return {k: round(v, 1) for k, v in out.items()}
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    events = tempfile.mkdtemp(prefix="riskloom-events-")
+    os.environ["PYSPARK_SUBMIT_ARGS"] = (
+        f"--conf spark.eventLog.enabled=true --conf spark.eventLog.dir=file://{events} "
+        "--conf spark.eventLog.compress=false --conf spark.eventLog.rolling.enabled=false pyspark-shell")
     spark = local_session(cpus, app="riskloom-bench", shuffle_partitions=max(8, int(cpus) * 2))
     cfg = RiskConfig()
 
@@ -40,16 +64,19 @@ def main() -> None:
         return marts.vw_fraud_analytics_dataset(risk())
 
     run(risk())  # warm-up (JVM, Python workers, file listing)
-    times = {}
+    times, windows = {}, {}
 
     def timed(name, fn, runs: int = 3):
         # median of `runs` timed runs (after the common warm-up)
         samples = []
         for _ in range(runs):
-            t0 = time.perf_counter()
+            if not spark.sparkContext._jsc.getPersistentRDDs().isEmpty():
+                raise RuntimeError(f"{name} would start from a stored copy")
+            began, t0 = time.time(), time.perf_counter()
             fn()
             samples.append(time.perf_counter() - t0)
         times[name] = round(statistics.median(samples), 3)
+        windows[name] = (began * 1000, time.time() * 1000)
 
     timed("g1_score_transactions", lambda: run(risk()))
     timed("h4_customer_risk_summary", lambda: run(marts.vw_customer_risk_summary(risk())))
@@ -64,9 +91,10 @@ def main() -> None:
         run(compare.export_dataset(d, compare.model_scores(d, "forest")))
 
     timed("q9_export_dataset", q9)
+    spark.stop()
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "total_wall_time", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
+                      "queries": times, "shuffle_mb": shuffled(events, windows), "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
                       "cpus": int(cpus)}))
 
 
