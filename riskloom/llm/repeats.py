@@ -9,8 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import parts, size_in_bytes
 from .text import Fingerprints, blocks
 
+#: Key buckets at least; more with the size of the texts, so that a bucket fits a task.
+BUCKETS = 64
+BUCKET_BYTES = 32 << 20
+
+
+def key_buckets(docs: DataFrame) -> int:
+    return max(BUCKETS, parts(docs.sparkSession, 2 * size_in_bytes(docs.select("text")), BUCKET_BYTES))
+
 
 def code_of(key: np.ndarray, buckets: int) -> np.ndarray:
     """(bucket, 32 bits) of a key in one integer: what tells keys apart while they are counted."""

@@ -38,8 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import code_of, column, repeated_codes
-from .tables import parts, size_in_bytes
+from .repeats import code_of, column, key_buckets, repeated_codes
 from .text import Fingerprints, blocks, ragged, text_arrays
 
 LENGTH = 100
@@ -320,10 +319,9 @@ def _removed(table_start: np.ndarray, table_n: np.ndarray, n_bytes: int, length:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes as ``text``)."""
-    spark = docs.sparkSession
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "text",
                        F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
-    buckets = parts(spark, 2 * size_in_bytes(docs.select("text")), 32 << 20)
+    buckets = key_buckets(docs)
     def anchors(prints, data, offsets):
         doc, _, _, anchor = anchor_runs(prints, data, offsets, length)
         return doc, anchor
