@@ -1,22 +1,23 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles.
 
 Shingles are runs of five lower-case words. Weights are the count in the text
-times the inverse document frequency; document frequencies are counted over
-all documents in a table of ``2^CELL_BITS`` hashed cells, which bounds the
-broadcast. Each text gets ``BANDS x ROWS`` samples (shingle, level) by improved
+times the inverse document frequency, scaled to 1 ... 2: in a text with a
+thousand copies the shared shingles are common and an edit is not, and unscaled
+weights would make a few edits outweigh the text. Document frequencies are
+counted over all documents in a table of ``2^CELL_BITS`` hashed cells, which
+bounds the broadcast. Each text gets ``BANDS x ROWS`` samples (shingle, level) by improved
 consistent weighted sampling; two texts agree on a sample with probability
 equal to their weighted Jaccard similarity. Texts that agree on a whole band
 share a bucket, and pairs from buckets are verified by weighted Jaccard.
 
-Texts with equal shingle counts are one class from the start. Within a bucket
-every class is compared with the bucket's leader, not with all others: those
-verified share the leader's component. Weighted Jaccard distance is a metric,
-so a class that is not verified can link to a verified one only if it is
-within twice the limit of the leader, and only to members within the limit of
-its own distance; such pairs are verified where the components still differ.
-The classes not verified form a smaller bucket with a leader of its own, round
-after round; after ``ROUNDS`` rounds the few classes left in a bucket, all
-unlike their leaders, are compared with each other.
+Texts with equal shingle counts are one class from the start. In each of
+``ROUNDS`` rounds every bucket names a leader by hash, and each of its classes
+that is not yet linked to the leader is compared with it: pairs grow with the
+classes, not with their square, however large a group of copies is. Last,
+buckets of at most ``SMALL`` classes compare all classes that are still apart,
+so at most ``SMALL`` - 1 pairs for each. What is not compared: in a larger
+bucket, two classes that no leader of their ``BANDS`` x ``ROUNDS`` turns tied
+together, directly or through others.
 
 Defined results: a text of fewer than five words is one shingle; null and
 empty texts link with nothing; repeated rows are documents of one class, of
@@ -42,7 +43,8 @@ BANDS = 10
 ROWS = 3
 CELL_BITS = 20
 CHUNKS = 64
-ROUNDS = 4
+ROUNDS = 3
+SMALL = 32
 #: Size of the pool of (r, ln c, beta) draws; a shingle's hash picks one per sample.
 POOL = 1 << 16
 
@@ -95,7 +97,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     if not got:
         return np.ones(1 << CELL_BITS, np.float32)
     df, n = np.concatenate([got[k] for k in range(CHUNKS)]), got[CHUNKS][0]
-    return (np.maximum(np.log((1 + n) / (1 + df)), 0) + 1).astype(np.float32)
+    return (1 + np.maximum(np.log((1 + n) / (1 + df)), 0) / np.log(1 + n)).astype(np.float32)
 
 
 class Sampler:
@@ -223,54 +225,31 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, bands: int = BAND
     asked = classes.join(members.select("cls").distinct(), "cls", "left_semi").select("a", "b", "cls")
     held = written(vectors(docs).join(asked, ["a", "b"]).dropDuplicates(["cls"]).select("cls", "n", "v"), "near-vectors")
 
-    known = None
-    later = []
-    limit = 1 - similar
+    # every round compares each class of a bucket with one leader, unless they are linked already
+    known = written(spark.createDataFrame([], "x long, y long, sim double"), "near-known")
+    linked = spark.createDataFrame([], "node long, component long")
     for turn in range(ROUNDS + 1):
-        if members.isEmpty():
-            break
+        part = members.join(linked.withColumnRenamed("node", "cls"), "cls", "left").select(
+            "bucket", "cls", F.coalesce("component", "cls").alias("part"))
+        split = part.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"),
+                                           F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "part")).alias("lead"))
+        split = split.where("low < high")
         if turn < ROUNDS:
-            led = members.join(members.groupBy("bucket").agg(F.min("cls").alias("leader")), "bucket").where("cls <> leader")
-            led = led.select("bucket", F.col("leader").alias("x"), F.col("cls").alias("y"))
+            pairs = part.join(split.select("bucket", "lead"), "bucket").where("part <> lead.part").select("cls", F.col("lead.cls").alias("other"))
         else:
-            led = members.alias("m").join(members.alias("n"), F.expr("m.bucket = n.bucket AND m.cls < n.cls")).selectExpr(
-                "m.bucket AS bucket", "m.cls AS x", "n.cls AS y")
-        led = written(led, f"near-led{turn}")
-        pairs = led.select("x", "y").distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["x", "y"], "left_anti")
-        found = written(verify(pairs, held, idf), f"near-sim{turn}")
-        known = found if known is None else written(known.unionByName(found), f"near-known{turn}")
-        if turn == ROUNDS:
+            few = part.join(split.where(F.col("n") <= SMALL).select("bucket"), "bucket")
+            pairs = few.alias("m").join(few.alias("n"), F.expr("m.bucket = n.bucket AND m.cls < n.cls AND m.part <> n.part")).selectExpr(
+                "m.cls AS cls", "n.cls AS other")
+        pairs = pairs.select(F.least("cls", "other").alias("x"), F.greatest("cls", "other").alias("y")).distinct()
+        pairs = written(pairs.join(known, ["x", "y"], "left_anti"), f"near-pairs{turn}")
+        if pairs.isEmpty():
+            if turn < ROUNDS:
+                continue
             break
-        judged = led.join(known, ["x", "y"])
-        apart = judged.where(F.col("sim") < similar)
-        # unlike the leader, yet near enough to be like one of its verified members
-        edge = apart.where(F.col("sim") >= similar - limit).select("bucket", "x", F.col("y").alias("z"), F.col("sim").alias("far"))
-        like = judged.where(F.col("sim") >= similar).select("bucket", "x", "y", "sim")
-        later.append(written(edge.join(like, ["bucket", "x"]).where(F.col("sim") <= F.col("far") + limit + 1e-9)
-                             .select(F.least("y", "z").alias("x"), F.greatest("y", "z").alias("y")).distinct(), f"near-edge{turn}"))
-        rest = apart.select(F.xxhash64("bucket", "x").alias("bucket"), F.col("y").alias("cls"))
-        left = rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        members = written(rest.join(left, "bucket"), f"near-rest{turn}")
-
-    if known is None:
-        linked = spark.createDataFrame([], "cls long, component long")
-    else:
-        links = known.where(F.col("sim") >= similar).select(F.col("x").alias("src"), F.col("y").alias("dst"))
-        linked = components(links)
-        more = later[0]
-        for part in later[1:]:
-            more = more.unionByName(part)
-        own = linked.select(F.col("node").alias("x"), F.col("component").alias("cx"))
-        other = linked.select(F.col("node").alias("y"), F.col("component").alias("cy"))
-        more = more.distinct().join(known, ["x", "y"], "left_anti").join(own, "x", "left").join(other, "y", "left").where(
-            ~F.coalesce("cx", "x").eqNullSafe(F.coalesce("cy", "y"))).select("x", "y")
-        more = written(more, "near-more")
-        if not more.isEmpty():
-            found = verify(more, held, idf).where(F.col("sim") >= similar)
-            linked = components(links.unionByName(found.select(F.col("x").alias("src"), F.col("y").alias("dst"))))
-        linked = linked.withColumnRenamed("node", "cls")
+        found = written(verify(pairs, held, idf), f"near-sim{turn}")
+        known = known.unionByName(found)
+        linked = components(known.where(F.col("sim") >= similar).select(F.col("x").alias("src"), F.col("y").alias("dst")))
+    linked = linked.withColumnRenamed("node", "cls")
 
     grouped = classes.select("a", "b", "cls").join(linked, "cls", "left").select("a", "b", F.coalesce("component", "cls").alias("grp"))
     out = signed.drop("bands").join(grouped, ["a", "b"], "left").withColumn("grp", F.coalesce("grp", "row"))
