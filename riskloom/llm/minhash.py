@@ -13,11 +13,12 @@ share a bucket, and pairs from buckets are verified by weighted Jaccard.
 Texts with equal shingle counts are one class from the start. In each of
 ``ROUNDS`` rounds every bucket names a leader by hash, and each of its classes
 that is not yet linked to the leader is compared with it: pairs grow with the
-classes, not with their square, however large a group of copies is. Last,
-buckets of at most ``SMALL`` classes compare all classes that are still apart,
-so at most ``SMALL`` - 1 pairs for each. What is not compared: in a larger
-bucket, two classes that no leader of their ``BANDS`` x ``ROUNDS`` turns tied
-together, directly or through others.
+classes, not with their square, however large a group of copies is. Then
+buckets of at most ``SMALL`` classes compare all classes that are still apart.
+Last, larger buckets do the same in blocks: classes of a large component get
+blocks of their own, which never meet each other, and a task compares two
+blocks by products of their shingle columns and returns spanning links only.
+So two classes that share a bucket and are similar always end in one group.
 
 Defined results: a text of fewer than five words is one shingle; null and
 empty texts link with nothing; repeated rows are documents of one class, of
@@ -45,6 +46,11 @@ CELL_BITS = 20
 CHUNKS = 64
 ROUNDS = 3
 SMALL = 32
+#: Classes and shingles of one block of a larger bucket, about.
+BLOCK = 512
+BLOCK_SHINGLES = 1 << 19
+#: Shingle columns multiplied at a time.
+COLUMNS = 4096
 #: Size of the pool of (r, ln c, beta) draws; a shingle's hash picks one per sample.
 POOL = 1 << 16
 
@@ -212,6 +218,84 @@ def verify(pairs: DataFrame, held: DataFrame, idf) -> DataFrame:
     return joined.mapInArrow(measure, "x long, y long, sim double")
 
 
+def _levels(n: list[int], v: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class, element, weight): a shingle of count c is c elements, so weighted Jaccard is that of weighted sets."""
+    each = [_unpack(*x) for x in zip(n, v)]
+    shingle, count = (np.concatenate(x) for x in zip(*each))
+    cls = np.repeat(np.repeat(np.arange(len(n)), n), count)
+    level = np.arange(len(cls)) - np.repeat(np.cumsum(count) - count, count)
+    shingle = np.repeat(shingle, count)
+    return cls, shingle.astype(np.uint64) | level.astype(np.uint64) << np.uint64(32), idf[shingle >> np.uint32(32 - CELL_BITS)]
+
+
+def similar_pairs(n: list[int], v: list[bytes], left: np.ndarray, right: np.ndarray, idf: np.ndarray, similar: float) -> Iterator[tuple[int, int]]:
+    """Pairs (i of ``left``, j of ``right``) of classes whose weighted Jaccard similarity reaches ``similar``."""
+    cls, element, weight = _levels(n, v, idf)
+    total = np.bincount(cls, weight, len(n))
+    _, col = np.unique(element, return_inverse=True)
+    place, holds = np.full((2, len(n)), -1), np.zeros((2, col.max() + 1), bool)
+    for side, own in enumerate((left, right)):
+        place[side, own] = np.arange(len(own))
+        holds[side, col[place[side, cls] >= 0]] = True
+    both = holds.all(axis=0)
+    number = np.where(both, np.cumsum(both) - 1, -1)[col]
+    order = np.argsort(number, kind="stable")
+    order = order[np.searchsorted(number[order], 0):]
+    shared = np.zeros((len(left), len(right)), np.float32)
+    cuts = np.searchsorted(number[order], np.arange(0, both.sum() + COLUMNS, COLUMNS))
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+        part = order[a:b]
+        x, y = (np.zeros((len(own), COLUMNS), np.float32) for own in (left, right))
+        mine = part[place[0, cls[part]] >= 0]
+        x[place[0, cls[mine]], number[mine] - k * COLUMNS] = weight[mine]
+        mine = part[place[1, cls[part]] >= 0]
+        y[place[1, cls[mine]], number[mine] - k * COLUMNS] = 1
+        shared += x @ y.T
+    # the products are rounded: pairs near the limit are measured again
+    limit = similar / (1 + similar) * (total[left][:, None] + total[right][None, :])
+    for i, j in np.argwhere(shared >= limit * (1 - 1e-4)).tolist():
+        yield int(left[i]), int(right[j])
+
+
+def crowded_links(crowd: DataFrame, held: DataFrame, idf, similar: float) -> DataFrame:
+    """(x, y, sim): links between the parts of buckets (bucket, cls, part), all pairs of different parts compared."""
+    sized = crowd.join(held.select("cls", F.col("n").alias("width")), "cls")
+    own = sized.groupBy("bucket", "part").agg(F.count("*").alias("m")).where(F.col("m") >= BLOCK).select("bucket", "part", F.col("part").alias("own"))
+    sized = sized.join(own, ["bucket", "part"], "left").withColumn("own", F.coalesce("own", F.lit(-1).cast("long")))
+    slots = sized.groupBy("bucket", "own").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("width") / BLOCK_SHINGLES)).alias("slots"))
+    placed = written(sized.join(slots, ["bucket", "own"]).select(
+        "bucket", "own", F.pmod(F.xxhash64("cls"), F.col("slots")).alias("slot"), "cls", "part"), "near-blocks")
+    blocks_ = placed.select("bucket", F.struct("own", "slot").alias("at")).distinct()
+    meet = blocks_.alias("m").join(blocks_.alias("n"), F.expr(
+        "m.bucket = n.bucket AND m.at <= n.at AND (m.at.own <> n.at.own OR m.at.own = -1)")).selectExpr("m.bucket AS bucket", "m.at AS one", "n.at AS two")
+    sides = meet.select("bucket", "one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("at"))
+    dealt = sides.join(placed.select("bucket", F.struct("own", "slot").alias("at"), "cls", "part"), ["bucket", "at"]).select(
+        F.concat_ws(" ", "bucket", "one.own", "one.slot", "two.own", "two.slot").alias("pair"), (F.col("at") == F.col("one")).alias("first"),
+        (F.col("at") == F.col("two")).alias("second"), "cls", "part").join(held, "cls")
+
+    def compare(table: pa.Table) -> pa.Table:
+        cls, part = (table.column(c).to_numpy() for c in ("cls", "part"))
+        n, v = table.column("n").to_pylist(), table.column("v").to_pylist()
+        left, right = (np.flatnonzero(table.column(c).to_numpy()) for c in ("first", "second"))
+        root: dict[int, int] = {}
+
+        def find(p: int) -> int:
+            while root.get(p, p) != p:
+                p = root[p]
+            return p
+
+        out = []
+        for i, j in similar_pairs(n, v, left, right, idf.value, similar):
+            a, b = find(int(part[i])), find(int(part[j]))
+            if a != b and (sim := weighted_jaccard(_unpack(n[i], v[i]), _unpack(n[j], v[j]), idf.value)) >= similar:
+                root[max(a, b)] = min(a, b)
+                out.append((min(cls[i], cls[j]), max(cls[i], cls[j]), sim))
+        x, y, sim = zip(*out) if out else ((), (), ())
+        return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64()), "sim": pa.array(sim, pa.float64())})
+
+    return dealt.groupBy("pair").applyInArrow(compare, "x long, y long, sim double")
+
+
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id of its group), kept (one per group), text_key (hash of its text)."""
     spark = docs.sparkSession
@@ -228,26 +312,30 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, bands: int = BAND
     # every round compares each class of a bucket with one leader, unless they are linked already
     known = written(spark.createDataFrame([], "x long, y long, sim double"), "near-known")
     linked = spark.createDataFrame([], "node long, component long")
-    for turn in range(ROUNDS + 1):
+    for turn in range(ROUNDS + 2):
         part = members.join(linked.withColumnRenamed("node", "cls"), "cls", "left").select(
             "bucket", "cls", F.coalesce("component", "cls").alias("part"))
         split = part.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"),
                                            F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "part")).alias("lead"))
         split = split.where("low < high")
-        if turn < ROUNDS:
-            pairs = part.join(split.select("bucket", "lead"), "bucket").where("part <> lead.part").select("cls", F.col("lead.cls").alias("other"))
-        else:
-            few = part.join(split.where(F.col("n") <= SMALL).select("bucket"), "bucket")
-            pairs = few.alias("m").join(few.alias("n"), F.expr("m.bucket = n.bucket AND m.cls < n.cls AND m.part <> n.part")).selectExpr(
-                "m.cls AS cls", "n.cls AS other")
-        pairs = pairs.select(F.least("cls", "other").alias("x"), F.greatest("cls", "other").alias("y")).distinct()
-        pairs = written(pairs.join(known, ["x", "y"], "left_anti"), f"near-pairs{turn}")
-        if pairs.isEmpty():
+        if turn <= ROUNDS:
             if turn < ROUNDS:
+                pairs = part.join(split.select("bucket", "lead"), "bucket").where("part <> lead.part").select("cls", F.col("lead.cls").alias("other"))
+            else:
+                few = part.join(split.where(F.col("n") <= SMALL).select("bucket"), "bucket")
+                pairs = few.alias("m").join(few.alias("n"), F.expr("m.bucket = n.bucket AND m.cls < n.cls AND m.part <> n.part")).selectExpr(
+                    "m.cls AS cls", "n.cls AS other")
+            pairs = pairs.select(F.least("cls", "other").alias("x"), F.greatest("cls", "other").alias("y")).distinct()
+            pairs = written(pairs.join(known, ["x", "y"], "left_anti"), f"near-pairs{turn}")
+            if pairs.isEmpty():
                 continue
-            break
-        found = written(verify(pairs, held, idf), f"near-sim{turn}")
-        known = known.unionByName(found)
+            found = verify(pairs, held, idf)
+        else:
+            crowd = written(part.join(split.where(F.col("n") > SMALL).select("bucket"), "bucket"), "near-crowd")
+            if crowd.isEmpty():
+                break
+            found = crowded_links(crowd, held, idf, similar)
+        known = known.unionByName(written(found, f"near-sim{turn}"))
         linked = components(known.where(F.col("sim") >= similar).select(F.col("x").alias("src"), F.col("y").alias("dst")))
     linked = linked.withColumnRenamed("node", "cls")
 

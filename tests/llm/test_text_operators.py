@@ -102,6 +102,56 @@ def test_bucket_rounds_link_near_copies_of_one_text(spark):
     assert set(got.values()) == {0}
 
 
+def test_similar_classes_of_a_large_bucket_are_one_group(spark):
+    """Hundreds of unlike texts of one template with planted near copies: the groups are those of brute force over the buckets."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(8))
+    template, rows = [word() for _ in range(150)], []
+    for i in range(260):
+        own = [word() for _ in range(36)]
+        rows.append((i, " ".join(template + own), "en", "a"))
+        if i % 6 == 0:
+            rows.append((1000 + i, " ".join(template + own[:18] + ["edited"] + own[19:]), "en", "a"))
+    docs = frame(spark, rows)
+    idf = spark.sparkContext.broadcast(minhash.inverse_frequencies(docs))
+    bands = {r.doc_id: set(r.bands) for r in minhash.signatures(docs, idf, 2, 3).collect()}
+    cls = {(r.a, r.b): r.doc_id for r in minhash.signatures(docs, idf, 2, 3).collect()}
+    vector = {cls[r.a, r.b]: minhash._unpack(r.n, bytes(r.v)) for r in minhash.vectors(docs).collect()}
+    want = {i: i for i in bands}
+
+    def root(i):
+        while want[i] != i:
+            i = want[i]
+        return i
+
+    sizes = collections.Counter(b for own in bands.values() for b in own)
+    assert max(sizes.values()) > 3 * minhash.SMALL
+    for i in bands:
+        for j in bands:
+            if i < j and bands[i] & bands[j] and minhash.weighted_jaccard(vector[i], vector[j], idf.value) >= minhash.SIMILAR:
+                want[max(root(i), root(j))] = min(root(i), root(j))
+    assert len({root(i) for i in want}) < len(want) - 20
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs, bands=2).collect()}
+    assert got == {i: root(i) for i in want}
+
+
+def test_similar_pairs_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(minhash, "COLUMNS", 16)
+    rng = np.random.default_rng(1)
+    idf = (1 + rng.random(1 << minhash.CELL_BITS)).astype(np.float32)
+    pool = np.sort(rng.integers(0, 2**32, 60, dtype=np.uint32))
+    n, v = [], []
+    for _ in range(40):
+        own = pool[rng.random(60) < 0.9]
+        count = rng.integers(1, 4, len(own), dtype=np.uint32) if rng.random() < 0.5 else np.ones(len(own), np.uint32)
+        n.append(len(own))
+        v.append(own.tobytes() + (b"" if count.max() == 1 else count.tobytes()))
+    left, right = np.arange(0, 25), np.arange(20, 40)
+    sim = {(i, j): minhash.weighted_jaccard(minhash._unpack(n[i], v[i]), minhash._unpack(n[j], v[j]), idf) for i in left.tolist() for j in right.tolist()}
+    got = {p for p in minhash.similar_pairs(n, v, left, right, idf, 0.8) if sim[p] >= 0.8}
+    assert got == {p for p, s in sim.items() if s >= 0.8} and len(got) > 20
+
+
 def test_weighted_jaccard_and_sampling_agree():
     """Two weighted sets agree on a sample about as often as their weighted Jaccard similarity."""
     rng = np.random.default_rng(0)
