@@ -137,8 +137,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> list[tup
                     "label": label.slice(lo, len(counts)),
                     "counts": pa.array([np.stack([c := np.flatnonzero(x), x[c]]).astype("<i4").tobytes() for x in counts], pa.binary())})
     # at most `sample` rows: small enough to send to every task
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(pack, "label double, counts binary")
-    return sorted((r.label, bytes(r.counts)) for r in got.collect())[: 2 * sample]
+    one = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    got = one.select("label", "text").mapInArrow(pack, "label double, counts binary")
+    return sorted((r.label, bytes(r.counts)) for r in got.collect())
 
 
 def fit(sample: list[tuple[float, bytes]], df: np.ndarray, n: int, latent: int = LATENT) -> dict:

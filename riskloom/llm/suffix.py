@@ -326,22 +326,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
         doc, _, _, anchor = anchor_runs(prints, data, offsets, length)
         return doc, anchor
 
-    codes = repeated_codes(base, buckets, anchors).groupBy("id").agg(F.collect_list("codes").alias("codes"))
-    known = base.join(codes.hint("merge"), "id")
+    codes = repeated_codes(base, buckets, anchors).groupBy("id", "key").agg(F.collect_set("codes").alias("codes"))
+    known = base.join(codes.hint("merge"), ["id", "key"])
     found = sort_buckets(bucket_runs(known, buckets, length), length)
-    again = found.groupBy("id").agg(F.collect_list(F.struct("key", "start", "n")).alias("runs"))
+    again = found.groupBy("id", "key").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
 
     def finish(batches):
         for batch in batches:
             data, offsets = text_arrays(column(batch, "text"))
-            ids, keys, runs = column(batch, "id"), column(batch, "key").to_numpy(), column(batch, "runs")
+            ids, runs = column(batch, "id"), column(batch, "runs")
             raw, out = memoryview(data), []
             flat = runs.flatten()
-            f_key, f_start, f_n = (flat.field(j).to_numpy() for j in range(3))
+            f_start, f_n = (flat.field(j).to_numpy() for j in range(2))
             cuts = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(runs), 0).to_numpy())]).astype(np.int64)
             for d in range(batch.num_rows):
                 text, sha, lost, spans, kept = raw[offsets[d] : offsets[d + 1]], hashlib.sha256(), 0, 0, []
-                own = np.flatnonzero(f_key[cuts[d] : cuts[d + 1]] == keys[d]) + cuts[d]
+                own = np.arange(cuts[d], cuts[d + 1])
                 at = 0
                 if len(own):
                     for a, b in zip(*(x.tolist() for x in _removed(f_start[own], f_n[own], len(text), length))):
@@ -359,5 +359,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
                 fields["text"] = pa.array(cols[5], pa.binary())
             yield pa.RecordBatch.from_pydict(fields)
 
-    whole = base.join(again.hint("merge"), "id", "left").select("id", "text", "key", "runs")
+    whole = base.join(again.hint("merge"), ["id", "key"], "left").select("id", "text", "runs")
     return whole.mapInArrow(finish, RESULT + (", text binary" if with_text else ""))

@@ -331,6 +331,43 @@ def test_shared_passages_go_from_later_documents(spark):
     assert passages.remove_passages(frame(spark, [])).count() == 0
 
 
+# --- rows without an id of their own
+
+def test_rows_that_share_a_doc_id_are_not_gathered(spark, monkeypatch):
+    """A third of the rows has no doc_id: each gets the codes of its own text only, and the results of brute force."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for i in range(60):
+        shared, own = ([word() for _ in range(60)] for _ in range(2))
+        rows += [(None, " ".join(own[:20] + shared), "en", "a"), (i, " ".join(shared + own[20:40]), "en", "a"), (100 + i, " ".join(own[40:]), "en", "a")]
+    most = {}
+
+    def watched(module, name):
+        whole = getattr(module, name)
+
+        def call(known, *rest):
+            most[name] = known.selectExpr("max(aggregate(codes, 0, (n, c) -> n + length(c))) AS n").first().n // 8
+            return whole(known, *rest)
+        monkeypatch.setattr(module, name, call)
+
+    watched(suffix, "bucket_runs")
+    watched(passages, "repeated_windows")
+    found = suffix.remove_repeats(frame(spark, rows)).collect()
+    cut = passages.remove_passages(frame(spark, rows)).collect()
+    assert most["bucket_runs"] < 100 and most["repeated_windows"] < 100
+    # the passage stays in the rows with an id: rows without one come last
+    assert sum(r.n_removed > 300 for r in found if r.doc_id is None) == 60 and not any(r.n_removed for r in found if r.doc_id is not None)
+    assert sum(r.n_removed >= 60 for r in cut if r.doc_id is None) == 60 and not any(r.n_removed for r in cut if r.doc_id is not None)
+
+
+def test_labelled_sample_takes_one_row_of_a_repeated_doc_id(spark):
+    rows = [(i % 4, f"text {i} of some words", "en", "a") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    ids = labels.where(~quality.held_out("doc_id")).where("doc_id < 4").count()
+    assert 0 < ids and len(quality.labelled_sample(frame(spark, rows), labels, 100)) == ids
+
+
 # --- packing
 
 def test_pieces_and_packing(spark):
