@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kdtree, metric_join, minhash, mixing, packing, passages, ppm, quality, suffix, warc
+from . import kdtree, metric_join, minhash, mixing, packing, passages, pieces, ppm, quality, suffix, warc
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,23 +48,28 @@ def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.remove_passages(table(spark, sf_dir, "documents"))
 
 
-def tokenizer_path() -> str:
-    """The public tokenizer's file; the same path must exist on the executors."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A public tokenizer's file; the same path must exist on the executors."""
     import public_tokenizers
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_near_duplicates, op3_quality, op4_top_k, op5_near_vectors, op6_warc, op7_ppm_score, op8_mix_sources, op9_passages, op10_pack)} | {"pipeline": pipeline}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_near_duplicates, op3_quality, op4_top_k, op5_near_vectors, op6_warc, op7_ppm_score, op8_mix_sources, op9_passages, op10_pack,
+                                      op13_pieces)} | {"pipeline": pipeline}
 
 
 WARC_SQL = """
