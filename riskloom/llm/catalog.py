@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kdtree, metric_join, minhash, mixing, packing, passages, pieces, ppm, quality, suffix, warc
+from . import align, kdtree, metric_join, minhash, mixing, packing, passages, pieces, ppm, quality, suffix, warc
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -69,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_suffix_dedup, op2_near_duplicates, op3_quality, op4_top_k, op5_near_vectors, op6_warc, op7_ppm_score, op8_mix_sources, op9_passages, op10_pack,
-                                      op13_pieces)} | {"pipeline": pipeline}
+                                      op11_align, op13_pieces)} | {"pipeline": pipeline}
 
 
 WARC_SQL = """

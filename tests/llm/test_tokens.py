@@ -2,15 +2,18 @@
 
 import hashlib
 import random
+from collections import Counter
+from itertools import accumulate
 
 import pytest
 
-from riskloom.llm import pieces
+from riskloom.llm import align, pieces
 from riskloom.llm.catalog import tokenizer_path
 
 from .cases import documents, frame
 
 MODEL = tokenizer_path("piece_bpe_32k.model")
+BYTES = tokenizer_path("byte_bpe_50k.json")
 
 
 @pytest.fixture(scope="module")
@@ -96,3 +99,54 @@ def test_units_remembered_change_nothing(monkeypatch, model):
     table = pieces.UnitIds(MODEL)
     units = [(" " + w).encode() for w in text.split(" ")]
     assert [i for u in units for i in table.of(u)] == whole
+
+
+# --- alignment
+
+def by_hand(texts, library):
+    """Per text (n_a, n_b, n_groups, n_links, n_best, count_sum, digest), from whole texts and plain loops."""
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(BYTES)
+    tokenizer.encode_special_tokens = True
+    letters = align.byte_letters()
+    found, count = [], Counter()
+    for text in texts:
+        links, groups, a, b = [], [], [], []
+        if text:
+            a, b = tokenizer.encode(" " + text, add_special_tokens=False).ids, library.encode(text)
+            a_bytes = [bytes(letters[c] for c in tokenizer.id_to_token(i)) for i in a]
+            b_bytes = [bytes([int(library.id_to_piece(i)[3:5], 16)]) if library.is_byte(i) else library.id_to_piece(i).replace("▁", " ").encode() for i in b]
+            if b"".join(a_bytes) == b"".join(b_bytes) == (" " + text).encode():
+                a_end, b_end = list(accumulate(map(len, a_bytes))), list(accumulate(map(len, b_bytes)))
+                links = [(x, y) for k, x in enumerate(a) for m, y in enumerate(b)
+                         if max(a_end[k] - len(a_bytes[k]), b_end[m] - len(b_bytes[m])) < min(a_end[k], b_end[m])]
+                before = 0
+                for end in sorted(set(a_end) & set(b_end)):
+                    groups.append(",".join(str(x) for x, e in zip(a, a_end) if before < e <= end) + "|" + ",".join(str(y) for y, e in zip(b, b_end) if before < e <= end))
+                    before = end
+            else:
+                a, b = [], []
+        count.update(links)
+        found.append((len(a), len(b), groups, links))
+    best = Counter()
+    for (_, y), n in count.items():
+        best[y] = max(best[y], n)
+    return [(a, b, len(groups), len(links), sum(count[p] == best[p[1]] for p in links), sum(count[p] for p in links),
+             hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else "") for a, b, groups, links in found]
+
+
+def test_alignment_equals_brute_force(spark, library):
+    rng = random.Random(4)
+    texts = ["", None, "a", " ", "  a  b \u00a0 c \u3000 d", "x ▁ y", "<|endoftext|> z </s>", "it's  I'll\n\n  ok", "é " * 5, "日本 語  x\u0085 y", "same text", "same text"]
+    texts += ["".join(rng.choice(" ab's\n\t 12é日.,! x") for _ in range(rng.randrange(1, 60))) for _ in range(300)]
+    texts += [t for _, t, *_ in documents() if len(t or "") < 500]
+    rows = [(k if k % 7 else None, t, "en", "a") for k, t in enumerate(texts)]
+    got = [tuple(r) for r in align.align_documents(frame(spark, rows).repartition(3), BYTES, MODEL).collect()]
+    assert sorted(got, key=str) == sorted(((r[0], *x) for r, x in zip(rows, by_hand(texts, library))), key=str)
+    assert align.align_documents(frame(spark, []), BYTES, MODEL).count() == 0
+
+
+def test_alignment_does_not_depend_on_blocks(spark, monkeypatch):
+    one = sorted(map(str, align.align_documents(frame(spark), BYTES, MODEL).collect()))
+    monkeypatch.setattr(align, "BLOCK", 300)
+    assert sorted(map(str, align.align_documents(frame(spark), BYTES, MODEL).collect())) == one
