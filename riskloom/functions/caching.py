@@ -9,7 +9,9 @@ adaptive execution sizes and splits its partitions.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +29,37 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def input_key(spark: SparkSession, folder: str) -> str:
+    """Names the state of an input folder: its full path and its entries' names, sizes and times of change.
+
+    A table that is a folder counts by its total size, number of files and own
+    time of change, so the key costs a few calls, not one per file.
+    """
+    files, at = _file_system(spark, folder)
+    seen = [str(files.resolvePath(at))]
+    for entry in files.listStatus(at):
+        inner = files.getContentSummary(entry.getPath()) if entry.isDirectory() else None
+        size = (inner.getLength(), inner.getFileCount()) if inner else (entry.getLen(), 1)
+        seen.append(f"{entry.getPath().getName()} {size[0]} {size[1]} {entry.getModificationTime()}")
+    return hashlib.sha256("\n".join([seen[0], *sorted(seen[1:])]).encode()).hexdigest()[:32]
+
+
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a table at ``path`` was written to its end."""
+    files, done = _file_system(spark, f"{path}/_SUCCESS")
+    return files.exists(done)
+
+
+def published_once(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that the queries of an application share: written at first use of this state of ``folder``, then read by path."""
+    path = f"{run_folder(spark)}/{name}-{input_key(spark, folder)}"
+    if not is_written(spark, path):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import cents_to_money, round_half_up
+from . import column_profile
 
 # Fixed name patterns of the published table inventory (natural order).
 SOURCE_PATTERNS = ("customer", "salesorder", "creditcard", "personcredit", "purchaseorder",
@@ -39,30 +40,14 @@ def audit_tables(tables: dict[str, DataFrame], patterns=SOURCE_PATTERNS) -> Data
     return _union(frames).orderBy("table_name")
 
 
-def audit_columns(tables: dict[str, DataFrame], names=CORE_TABLES,
-                  approx_distinct: bool = False) -> DataFrame:
-    """A2: column inventory in ordinal order with a NULL profile per column.
+def audit_columns(tables: dict[str, DataFrame], names=CORE_TABLES) -> DataFrame:
+    """A2: column inventory in ordinal order with NULL count, minimum, maximum and approximate distinct count.
 
-    ``approx_distinct`` adds an HLL distinct estimate per column.
+    One aggregate per table; see :mod:`riskloom.operators.column_profile` for
+    profiles that are stored by part and united without another scan.
     """
-    frames = []
-    for name in names:
-        if name not in tables:
-            continue
-        df = tables[name]
-        aggs = [F.count(F.lit(1)).alias("__rows")]
-        for i, c in enumerate(df.columns):
-            aggs.append(F.count(F.col(c)).alias(f"__nn{i}"))
-            if approx_distinct:
-                aggs.append(F.approx_count_distinct(F.col(c)).alias(f"__ad{i}"))
-        # one aggregate per table, then a row per column from its single result row
-        rows = F.array(*[F.struct(
-            F.lit(f.name).alias("column_name"), F.lit(i + 1).cast("bigint").alias("ordinal_position"),
-            F.lit(f.dataType.simpleString()).alias("data_type"), (F.col("__rows") - F.col(f"__nn{i}")).alias("null_count"),
-            *([F.col(f"__ad{i}").alias("approx_distinct")] if approx_distinct else []))
-            for i, f in enumerate(df.schema.fields)])
-        frames.append(df.agg(*aggs).select(F.lit(name).alias("table_name"), F.explode(rows).alias("c")).select("table_name", "c.*"))
-    return _union(frames).orderBy("table_name", "ordinal_position")
+    profiles = [column_profile.profile_parts(tables[name], name) for name in names if name in tables]
+    return column_profile.described(_union(profiles)).orderBy("table_name", "ordinal_position")
 
 
 def table_volumes(tables: dict[str, DataFrame], names=CORE_TABLES) -> DataFrame:

@@ -6,13 +6,15 @@ driver tables by :func:`riskloom.sources.binding.bind_driver_tables`.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import RiskConfig
-from ..operators import audit, baselines, geopay, marts, patterns, quality, scoring
+from ..functions.caching import input_key, published_once
+from ..operators import audit, baselines, column_profile, geopay, marts, patterns, quality, scoring
 from ..sources.binding import CORE_COLUMNS, SCORE_COLUMNS, TX_COLUMNS, bind_driver_tables, bind_events, bind_orders
 from ..sources.io import mart_path, register_views, write_mart
 
@@ -66,7 +68,9 @@ def base_queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     # A - source audit
     q["audit_tables"] = lambda s, sf: audit.audit_tables(_roles(s, sf).tables())
-    q["audit_columns"] = lambda s, sf: audit.audit_columns(_roles(s, sf).tables())
+    q["audit_columns"] = lambda s, sf: _inventory(s, sf).drop("approx_distinct")
+    q["audit_distinct_estimates"] = lambda s, sf: _inventory(s, sf).select("table_name", "column_name", "approx_distinct")
+    q["audit_distinct_error"] = lambda s, sf: column_profile.distinct_check(_inventory(s, sf), _roles(s, sf).tables())
     q["table_volumes"] = lambda s, sf: audit.table_volumes(_roles(s, sf).tables())
     q["transaction_coverage"] = _tx(audit.transaction_coverage, *CORE_COLUMNS)
     q["value_baseline"] = _tx(audit.value_baseline, *CORE_COLUMNS)
@@ -136,6 +140,15 @@ def base_queries() -> dict[str, Query]:
     return q
 
 
+def _inventory(spark, sf):
+    """A2 from stored profiles: orders by year of order, the other tables whole; the queries of an application share one scan."""
+    def profiles():
+        tables = _roles(spark, sf).tables()
+        parts = [column_profile.profile_parts(tables[n], n, F.year("OrderDate") if n == "salesorderheader" else None) for n in audit.CORE_TABLES]
+        return reduce(DataFrame.unionByName, parts)
+    return column_profile.described(column_profile.united(published_once(spark, sf, "profiles", profiles)))
+
+
 def _no_addresses(spark):
     return spark.createDataFrame([], "AddressID bigint, City string, StateProvinceID int")
 
@@ -155,7 +168,7 @@ def _view_level_counts(spark, sf):
 def _mart_monthly_risk(spark, sf):
     """The monthly report over the dataset written as a month-partitioned mart."""
     ds = _ds(spark, sf)
-    path = mart_path(spark, f"fraud_dataset_{zlib.crc32(sf.encode()):08x}")
+    path = mart_path(spark, f"fraud_dataset_{input_key(spark, sf)}")
     write_mart(ds, path, "order_year_month")
     return marts.monthly_risk(spark.read.schema(ds.schema).parquet(path))
 

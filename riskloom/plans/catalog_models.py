@@ -8,12 +8,10 @@ against SQL).
 
 from __future__ import annotations
 
-import zlib
-
 from pyspark.sql import functions as F
 
 from .. import config as K
-from ..functions.caching import run_folder
+from ..functions.caching import input_key, published_once, run_folder
 from ..functions.numeric import round_half_up
 from ..operators import compare, dashboards, forest, marts, profile
 from ..functions.ranking import average_rank_pct
@@ -27,21 +25,12 @@ QUEUE_SCORES = (2, 3)
 QUEUE_REASONS = (K.REASON_SAME_DAY, K.REASON_SPIKE)
 
 
-def _published_once(spark, sf, name, build):
-    """A table that the queries of an application share: written at first use, then read by path."""
-    path = f"{run_folder(spark)}/{name}-{zlib.crc32(sf.encode()):08x}"
-    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def _ds(spark, sf):
-    return _published_once(spark, sf, "dataset", lambda: _build_ds(spark, sf))
+    return published_once(spark, sf, "dataset", lambda: _build_ds(spark, sf))
 
 
 def _scores(spark, sf, scorer):
-    return _published_once(spark, sf, f"scores-{scorer}", lambda: compare.model_scores(_ds(spark, sf), scorer))
+    return published_once(spark, sf, f"scores-{scorer}", lambda: compare.model_scores(_ds(spark, sf), scorer))
 
 
 def _res(spark, sf, scorer):
@@ -197,6 +186,7 @@ def _forest_nodes(spark, ds):
 
 def _published(spark, sf):
     from ..sources.binding import bind_driver_tables
-    from .publish import publish_marts
-    return publish_marts(spark, bind_driver_tables(spark, sf), name=f"risk_{zlib.crc32(sf.encode()):08x}",
-                         scorer="ratio", base=f"{run_folder(spark)}/published")
+    from .publish import existing, publish_marts
+    base, name = f"{run_folder(spark)}/published", f"risk_{input_key(spark, sf)}"
+    done = existing(spark, base, name)
+    return done or publish_marts(spark, bind_driver_tables(spark, sf), name=name, scorer="ratio", base=base)

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.caching import is_written
 from ..operators import compare, marts, scoring
 from ..session import ensure_checkpoint_dir
 from ..sources.binding import Roles
@@ -32,6 +33,12 @@ class Published:
         return spark.read.parquet(self.export)
 
 
+def existing(spark: SparkSession, base: str, name: str) -> Published | None:
+    """What an earlier ``publish_marts`` of that name wrote whole, if it did."""
+    found = Published(dataset=os.path.join(base, f"{name}_dataset"), export=os.path.join(base, f"{name}_export"))
+    return found if is_written(spark, found.dataset) and is_written(spark, found.export) else None
+
+
 def publish_marts(spark: SparkSession, roles: Roles, name: str = "risk", scorer: str = "forest",
                   base: str | None = None) -> Published:
     """Write the 36-column dataset and the 45-column export (both by month)."""
