@@ -54,11 +54,25 @@ from .units import Units, after_solid
 BLOCK = 4 << 20
 #: Blocks in one file of the written table; a reader holds a file's rows at once.
 BLOCKS_A_FILE = 4
-BLOCK_TYPE = ("block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, "
-              "groups_sha256 array<string>, units array<array<int>>, slots array<array<int>>, pair array<long>, n array<long>")
+#: Per document, but for ``units`` (of all documents end to end), ``n_slots`` (per unit), ``slots`` (of all units), and ``pair`` and ``n`` (per pair).
+BLOCK_TYPE = ("block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, "
+              "n_units array<long>, units binary, n_slots binary, slots binary, pair array<long>, n array<long>")
+BLOCK_COLUMNS = [c.split()[0] for c in BLOCK_TYPE.split(", ")]
 RESULT_TYPE = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Small integers, byte plane after byte plane, compressed."""
+    planes = np.ascontiguousarray(values.astype("<u4")).view(np.uint8).reshape(-1, 4).T
+    return len(values).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], 4 * n, codec="zstd"), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(n).astype(np.int64)
+
+
 def byte_letters() -> dict[str, int]:
     """The byte behind each letter of a byte-level vocabulary: printable ones stand for themselves, the others follow from U+0100 on."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
@@ -191,15 +205,13 @@ class Aligner:
         links = pa.table({"pair": pair, "n": weight[aligned.unit]})
         counted = links.group_by("pair", use_threads=False).aggregate([("n", "sum")]).sort_by("pair")
         distinct = counted.column("pair").to_numpy()
-        slot_offsets = np.concatenate([[0], np.cumsum(aligned.n_links)])
         spelled = pc.binary_join(units.gather(aligned.spelled), pa.scalar(";", pa.large_string()))
         out = {name: np.where(broken, 0, units.sums(per_unit)) for name, per_unit in (
             ("n_a", aligned.n_a), ("n_b", aligned.n_b), ("n_groups", aligned.n_groups), ("n_links", aligned.n_links))}
         out["groups_sha256"] = ["" if bad or not n else hashlib.sha256(text.as_py().encode()).hexdigest()
                                 for text, bad, n in zip(spelled, broken.tolist(), lengths.tolist())]
-        kept = np.concatenate([[0], np.cumsum(np.where(broken, 0, lengths))])
-        out["units"] = pa.ListArray.from_arrays(pa.array(kept, pa.int32()), pa.array(units.index[used], pa.int32()))
-        out["slots"] = pa.ListArray.from_arrays(pa.array(slot_offsets, pa.int32()), pa.array(np.searchsorted(distinct, pair), pa.int32()))
+        out["n_units"] = np.where(broken, 0, lengths)
+        out["units"], out["n_slots"], out["slots"] = packed(units.index[used]), packed(aligned.n_links), packed(np.searchsorted(distinct, pair))
         out["pair"], out["n"] = distinct, counted.column("n_sum").to_numpy()
         return out
 
@@ -210,9 +222,10 @@ def as_row(block: int, doc_id: pa.Array, found: dict) -> pa.RecordBatch:
         values = values if isinstance(values, pa.Array) else pa.array(values, kind)
         return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
     columns = {"block": pa.array([block], pa.int64()), "doc_id": one(doc_id, pa.int64())}
-    columns |= {c: one(found[c], pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")}
-    columns |= {"groups_sha256": one(found["groups_sha256"], pa.string()), "units": one(found["units"], None), "slots": one(found["slots"], None)}
-    return pa.RecordBatch.from_pydict(columns | {c: one(found[c], pa.int64()) for c in ("pair", "n")})
+    columns |= {c: one(found[c], pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links", "n_units", "pair", "n")}
+    columns |= {c: pa.array([found[c]], pa.binary()) for c in ("units", "n_slots", "slots")}
+    columns["groups_sha256"] = one(found["groups_sha256"], pa.string())
+    return pa.RecordBatch.from_pydict({c: columns[c] for c in BLOCK_COLUMNS})
 
 
 def only(column: pa.ChunkedArray) -> pa.Array:
@@ -227,14 +240,14 @@ def with_counts(counts: pa.Table, block: pa.Table) -> pa.Table:
     slot = counts.column("slot").to_numpy()
     total[slot], best[slot] = counts.column("count").to_numpy(), counts.column("best").to_numpy().astype(np.int64)
 
-    def sums(values: np.ndarray, lists: pa.Array) -> np.ndarray:
-        running = np.concatenate([[0], np.cumsum(values[lists.flatten().to_numpy()])])
-        at = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        running, at = np.concatenate([[0], np.cumsum(values)]), np.concatenate([[0], np.cumsum(lengths)])
         return running[at[1:]] - running[at[:-1]]
 
-    slots, units = only(block.column("slots")), only(block.column("units"))
+    slots, n_slots, units = (unpacked(block.column(c)[0].as_py()) for c in ("slots", "n_slots", "units"))
+    n_units = only(block.column("n_units")).to_numpy()
     columns = {c: only(block.column(c)) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")}
-    columns["n_best"], columns["count_sum"] = (pa.array(sums(sums(v, slots), units), pa.int64()) for v in (best, total))
+    columns["n_best"], columns["count_sum"] = (pa.array(sums(sums(v[slots], n_slots)[units], n_units), pa.int64()) for v in (best, total))
     return pa.table(columns | {"groups_sha256": only(block.column("groups_sha256"))})
 
 
@@ -249,6 +262,7 @@ def aligned_blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         task = TaskContext.get().partitionId()
         for k, (rows, data, offsets) in enumerate(blocks(batches, BLOCK)):
             yield as_row((task << 32) | k, rows.column(rows.schema.get_field_index("doc_id")), aligner.block(data, offsets))
+            pa.default_memory_pool().release_unused()
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(align, BLOCK_TYPE)
 
 

@@ -49,9 +49,9 @@ from .text import blocks
 from .units import Units, after_other_than_space
 
 BLOCK = 4 << 20
-UNIT_CACHE = 400_000
+UNIT_CACHE = 200_000
 UNIT_BYTES = 64
-PAIR_CACHE = 1_000_000
+PAIR_CACHE = 500_000
 MARK = "▁"
 NEVER = 1 << 60
 
