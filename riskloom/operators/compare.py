@@ -17,7 +17,8 @@ from .. import config as K
 from ..config import ForestConfig
 from ..functions.caching import materialise
 from ..functions.numeric import flag, round_half_up
-from ..functions.ranking import average_rank_pct, exact_percentiles
+from ..functions import quantiles
+from ..functions.ranking import average_rank_pct
 from . import forest as M
 
 # Fixed shares, column lists and preview fields of the published results.
@@ -127,10 +128,13 @@ def top_anomalies(res: DataFrame, n: int = 10) -> DataFrame:
                .orderBy(F.col("anomaly_score").desc(), "SalesOrderID").limit(n))
 
 
-def score_percentiles(res: DataFrame, col: str = "anomaly_score") -> DataFrame:
+SCORE_PERCENTILES = (0.50, 0.75, 0.90, 0.95, 0.99)
+
+
+def score_percentiles(res: DataFrame, col: str = "anomaly_score", table: DataFrame | None = None) -> DataFrame:
     """Percentiles of the score (4 places)."""
     from .profile import percentile_profile
-    return percentile_profile(res, col, (0.50, 0.75, 0.90, 0.95, 0.99), digits=4)
+    return percentile_profile(res, col, SCORE_PERCENTILES, digits=4, table=table)
 
 
 def top_share_counts(res: DataFrame, prefix: str = "") -> DataFrame:
@@ -199,15 +203,11 @@ def high_risk_validation(res: DataFrame) -> DataFrame:
 
 def profile_comparison(res: DataFrame) -> DataFrame:
     """Q6: medians of five features, model-only vs the other Low rows."""
-    low = res.where(F.col("risk_level") == K.LEVEL_LOW).withColumn(
-        "group", F.when(F.col("top_1pct_anomaly") == 1, "Model Top 1%").otherwise("Other Low Risk"))
-    long = low.select("group", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in PROFILE_FEATURES
-    ])).alias("s")).select("group", "s.*")
-    med = exact_percentiles(long, "v", [0.5], groups=["group", "feature"], out="median")
-    wide = med.groupBy("feature").agg(
-        F.max(F.when(F.col("group") == "Model Top 1%", F.col("median"))).alias("model_top_1pct"),
-        F.max(F.when(F.col("group") == "Other Low Risk", F.col("median"))).alias("other_low_risk"))
+    low = res.where(F.col("risk_level") == K.LEVEL_LOW)
+    top, other = "model_top_1pct", "other_low_risk"
+    side = F.when(F.col("top_1pct_anomaly") == 1, top).otherwise(other)
+    med = quantiles.quantiles_by_group(low, side, (top, other), {c: (0.5,) for c in PROFILE_FEATURES})
+    wide = med.groupBy(F.col("column_name").alias("feature")).agg(*[F.max(F.when(F.col("group") == g, F.col("value"))).alias(g) for g in (top, other)])
     return wide.select("feature", round_half_up("model_top_1pct", 2).alias("model_top_1pct"),
                        round_half_up("other_low_risk", 2).alias("other_low_risk")).orderBy("feature")
 

@@ -1,7 +1,8 @@
 """P* exploratory profile of the analytics dataset (the notebook's first half).
 
-Every statistic is a distributed aggregate: exact percentiles and medians
-come from :mod:`riskloom.functions.ranking` (no single task holds a column).
+Every statistic is a distributed aggregate. Exact percentiles and medians come
+from :mod:`riskloom.functions.quantiles` (all columns in shared passes); no
+single task holds a column.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .. import config as K
 from ..functions.numeric import round_half_up, to_cents
-from ..functions.ranking import equal_width_histogram, exact_percentiles
+from ..functions import quantiles
+from ..functions.ranking import equal_width_histogram
 
 NUMERIC_COLUMNS = ("order_value", "days_since_previous_order", "prior_order_count",
                    "prior_avg_order_value", "amount_vs_customer_avg", "transaction_risk_score")
@@ -22,6 +24,10 @@ VELOCITY_SEGMENTS = (("Same day", 0), ("1-7 days", 7), ("8-30 days", 30), ("31-9
                      ("More than 90 days", None))
 VALUE_PERCENTILES = (0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 RATIO_PERCENTILES = (0.50, 0.75, 0.90, 0.95, 0.99)
+QUARTILES = (0.25, 0.50, 0.75)
+# What P4, P7, P10, P11 and P12 ask of the dataset's numeric columns, answered by shared passes.
+PROFILED = {c: QUARTILES for c in NUMERIC_COLUMNS} | {
+    "order_value": VALUE_PERCENTILES, "amount_vs_customer_avg": (0.25, *RATIO_PERCENTILES), "days_since_previous_order": VALUE_PERCENTILES}
 
 
 def dataset_shape(ds: DataFrame) -> DataFrame:
@@ -56,25 +62,22 @@ def missing_summary(ds: DataFrame) -> DataFrame:
                 .orderBy(F.col("missing_count").desc(), "column_name"))
 
 
-def _long_numeric(ds: DataFrame, cols) -> DataFrame:
-    return ds.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in cols
-    ])).alias("s")).select("s.*")
+def numeric_table(ds: DataFrame, wanted=PROFILED) -> DataFrame:
+    """Moments and exact quantiles of the numeric columns as (column_name, statistic, percentile, value)."""
+    return quantiles.profile_table(ds, wanted)
 
 
-def describe_numeric(ds: DataFrame, cols=NUMERIC_COLUMNS) -> DataFrame:
+def describe_numeric(ds: DataFrame, cols=NUMERIC_COLUMNS, table: DataFrame | None = None) -> DataFrame:
     """Count, mean, sample std, min, quartiles and max per column (2 places)."""
-    long = _long_numeric(ds, cols)
-    stats = long.groupBy("column_name").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    q = (exact_percentiles(long, "value", [0.25, 0.5, 0.75], groups=["column_name"])
-         .groupBy("column_name").agg(*[F.max(F.when(F.col("percentile") == p, F.col("value"))).alias(n)
-                                       for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]))
-    j = stats.join(q, "column_name", "left")
-    return j.select("column_name", "count",
-                    *[round_half_up(c, 2).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")]
-                    ).orderBy("column_name")
+    table = numeric_table(ds, {c: QUARTILES for c in cols}) if table is None else table
+
+    def one(statistic: str, percentile: float | None = None):
+        here = F.col("statistic") == statistic
+        return F.max(F.when(here & (F.col("percentile") == percentile) if percentile is not None else here, F.col("value")))
+    named = {"mean": one("mean"), "std": one("std"), "min": one("min"), "p25": one("quantile", 0.25), "p50": one("quantile", 0.5),
+             "p75": one("quantile", 0.75), "max": one("max")}
+    return table.where(F.col("column_name").isin(*cols)).groupBy("column_name").agg(
+        one("count").cast("bigint").alias("count"), *[round_half_up(v, 2).alias(n) for n, v in named.items()]).orderBy("column_name")
 
 
 def value_shares(ds: DataFrame, col: str) -> DataFrame:
@@ -93,19 +96,13 @@ def top_values(ds: DataFrame, col: str, n: int = 10) -> DataFrame:
               .orderBy(F.col("count").desc(), F.col("value").asc_nulls_first()).limit(n))
 
 
-def percentile_profile(ds: DataFrame, col: str, probs=VALUE_PERCENTILES, digits: int = 2) -> DataFrame:
+def percentile_profile(ds: DataFrame, col: str, probs=VALUE_PERCENTILES, digits: int = 2, table: DataFrame | None = None) -> DataFrame:
     """``describe(percentiles=...)`` as (statistic, value) rows."""
-    v = F.col(col).cast("double")
-    base = ds.select(v.alias("value"))
-    a = base.agg(F.count("value").alias("count"), F.avg("value").alias("mean"),
-                 F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-                 F.max("value").alias("max"))
-    stats = a.select(F.explode(F.array(*[
-        F.struct(F.lit(s).alias("statistic"), F.col(s).cast("double").alias("value"))
-        for s in ("count", "mean", "std", "min", "max")])).alias("s")).select("s.*")
-    pct = exact_percentiles(base, "value", probs).select(
-        F.concat(F.format_number(F.col("percentile") * 100, 0), F.lit("%")).alias("statistic"), "value")
-    return stats.unionByName(pct).select("statistic", round_half_up("value", digits).alias("value"))
+    table = numeric_table(ds, {col: probs}) if table is None else table
+    name = F.when(F.col("percentile").isNull(), F.col("statistic")).otherwise(
+        F.concat(F.format_number(F.col("percentile") * 100, 0), F.lit("%")))
+    asked = F.col("percentile").isNull() | F.col("percentile").isin(*[float(p) for p in probs])
+    return table.where((F.col("column_name") == col) & asked).select(name.alias("statistic"), round_half_up("value", digits).alias("value"))
 
 
 def histogram(ds: DataFrame, col: str, bins: int = 50) -> DataFrame:
@@ -124,10 +121,12 @@ def log_value_histogram(ds: DataFrame, bins: int = 50) -> DataFrame:
 
 
 def trimmed_histogram(ds: DataFrame, col: str = "amount_vs_customer_avg", upper_p: float = 0.99,
-                      marker: float = K.SPIKE_RATIO, bins: int = 50) -> DataFrame:
+                      marker: float = K.SPIKE_RATIO, bins: int = 50, table: DataFrame | None = None) -> DataFrame:
     """Histogram of values in [0, p99]; flags the bin holding the marker."""
-    p = exact_percentiles(ds, col, [upper_p]).first()
-    hi = p["value"] if p else None
+    if table is None:
+        hi = quantiles.numeric_profile(ds, {col: [upper_p]})[col]["quantiles"][upper_p]
+    else:
+        hi = table.where((F.col("column_name") == col) & (F.col("percentile") == upper_p)).first()["value"]
     if hi is None:
         return equal_width_histogram(ds.where(F.lit(False)), col, bins, marker=marker)
     kept = ds.where(F.col(col).between(0, hi))
@@ -195,10 +194,10 @@ def behaviour_by_level(ds: DataFrame) -> DataFrame:
         round_half_up(F.sum("transaction_risk_score").cast("double")
                       / F.count("transaction_risk_score").cast("double"), 2).alias("avg_risk_score"),
     )
-    med = exact_percentiles(ds, "order_value", [0.5], groups=["risk_level"], out="median_order_value")
-    med = med.select(F.col("risk_level").alias("_lvl"), round_half_up("median_order_value", 2)
-                     .alias("median_order_value"))
-    j = g.join(med, F.col("risk_level").eqNullSafe(F.col("_lvl")), "left")
+    levels = (K.LEVEL_HIGH, K.LEVEL_MEDIUM, K.LEVEL_LOW)
+    med = quantiles.quantiles_by_group(ds, F.col("risk_level"), levels, {"order_value": (0.5,)}).select(
+        F.col("group").alias("_lvl"), round_half_up("value", 2).alias("median_order_value"))
+    j = g.join(F.broadcast(med), F.col("risk_level") == F.col("_lvl"), "left")  # three rows
     return j.select("risk_level", "transaction_count", "avg_order_value", "median_order_value",
                     "avg_days_since_previous_order", "avg_amount_vs_customer_avg", "avg_risk_score"
                     ).orderBy("risk_level")

@@ -41,6 +41,19 @@ def _export(spark, sf, scorer):
     return compare.export_dataset(_ds(spark, sf), _scores(spark, sf, scorer))
 
 
+def _numeric(spark, sf):
+    """Quantiles of the dataset's columns and of the stand-in score: P4, P7, P10, P11, P12 and M10 read this one table."""
+    def build():
+        score = _scores(spark, sf, "ratio").select("anomaly_score")
+        both = _ds(spark, sf).select(*profile.PROFILED).unionByName(score, allowMissingColumns=True)
+        return profile.numeric_table(both, profile.PROFILED | {"anomaly_score": compare.SCORE_PERCENTILES})
+    return published_once(spark, sf, "numeric", build)
+
+
+def _numeric_q(fn, *a, **k):
+    return lambda s, sf: fn(_ds(s, sf), *a, **k, table=_numeric(s, sf))
+
+
 def _ds_q(fn, *a, **k):
     return lambda s, sf: fn(_ds(s, sf), *a, **k)
 
@@ -67,18 +80,18 @@ def model_queries():
     q["dataset_shape"] = _ds_q(profile.dataset_shape)
     q["duplicate_profile"] = _ds_q(profile.duplicate_profile)
     q["missing_summary"] = _ds_q(profile.missing_summary)
-    q["describe_numeric"] = _ds_q(profile.describe_numeric)
+    q["describe_numeric"] = _numeric_q(profile.describe_numeric)
     q["value_shares_risk_level"] = _ds_q(profile.value_shares, "risk_level")
     q["value_shares_channel"] = _ds_q(profile.value_shares, "OnlineOrderFlag")
     q["top_reasons"] = _ds_q(profile.top_values, "risk_reason", 10)
-    q["value_percentiles"] = _ds_q(profile.percentile_profile, "order_value", profile.VALUE_PERCENTILES)
+    q["value_percentiles"] = _numeric_q(profile.percentile_profile, "order_value", profile.VALUE_PERCENTILES)
     q["value_histogram"] = _ds_q(profile.histogram, "order_value", 50)
     q["log_value_histogram"] = _ds_q(profile.log_value_histogram)
-    q["ratio_percentiles"] = _ds_q(profile.percentile_profile, "amount_vs_customer_avg",
-                                   profile.RATIO_PERCENTILES)
-    q["trimmed_ratio_histogram"] = _ds_q(profile.trimmed_histogram)
-    q["gap_percentiles"] = _ds_q(profile.percentile_profile, "days_since_previous_order",
-                                 profile.VALUE_PERCENTILES)
+    q["ratio_percentiles"] = _numeric_q(profile.percentile_profile, "amount_vs_customer_avg",
+                                       profile.RATIO_PERCENTILES)
+    q["trimmed_ratio_histogram"] = _numeric_q(profile.trimmed_histogram)
+    q["gap_percentiles"] = _numeric_q(profile.percentile_profile, "days_since_previous_order",
+                                      profile.VALUE_PERCENTILES)
     q["velocity_segments"] = _ds_q(profile.velocity_segments)
     q["indicator_totals"] = _ds_q(profile.indicator_totals)
     q["score_counts"] = _ds_q(profile.score_counts)
@@ -95,7 +108,6 @@ def model_queries():
     for scorer, suffix in (("forest", ""), ("ratio", "_standin")):
         q[f"flag_rate{suffix}"] = _res_q(compare.flag_rate, scorer)
         q[f"top_anomalies{suffix}"] = _res_q(compare.top_anomalies, scorer)
-        q[f"score_percentiles{suffix}"] = _res_q(compare.score_percentiles, scorer)
         q[f"top_share_counts{suffix}"] = _res_q(compare.top_share_counts, scorer)
         q[f"behaviour_top_share_counts{suffix}"] = _res_q(compare.top_share_counts, scorer, "behaviour_")
         q[f"level_flag_crosstab{suffix}"] = _res_q(compare.level_flag_crosstab, scorer)
@@ -123,6 +135,8 @@ def model_queries():
             dashboards.investigation_queue, scorer, scores=QUEUE_SCORES, reasons=QUEUE_REASONS)
         q[f"behaviour_counts{suffix}"] = _res_q(compare.cross_method, scorer, "behaviour_")
         q[f"customer_dashboard{suffix}"] = _exp_q(dashboards.customer_dashboard, scorer)
+    q["score_percentiles"] = lambda s, sf: compare.score_percentiles(_scores(s, sf, "forest"))
+    q["score_percentiles_standin"] = lambda s, sf: compare.score_percentiles(None, table=_numeric(s, sf))
     q["anomaly_scores"] = lambda s, sf: compare.forest_scores(
         _ds(s, sf), forest.INITIAL_FEATURES, forest.INITIAL_LOG, "anomaly_score")
     q["behaviour_anomaly_scores"] = lambda s, sf: compare.forest_scores(
