@@ -6,8 +6,8 @@ value to one task. Here the values are first pre-aggregated to
 one row after the partial aggregate), then the positions of the distinct
 values come from the skew-proof prefix scan over a range-partitioned table.
 
-* average-tie percentile rank (``pandas.Series.rank(pct=True)``):
-  ``(rows before + (ties + 1) / 2) / n``
+* average-tie percentile rank (``pandas.Series.rank(pct=True)``): see
+  :mod:`riskloom.functions.two_way`, which needs neither groups nor a join
 * exact percentile with linear interpolation (``quantile_cont``,
   ``numpy.percentile``): the values at positions floor/ceil((n-1)p).
 """
@@ -17,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .caching import materialise
 from .scan import ScanSpec, prefix_scan
+from .two_way import average_rank_pct  # noqa: F401 - the ranks are offered together
 
 _V = "__rk_value"
 
@@ -55,26 +55,6 @@ def _attach_totals(pos: DataFrame, groups: list[str]) -> DataFrame:
     return pos.join(t, cond, "left").drop(*[f"__rk_g_{g}" for g in groups])
 
 
-def average_rank_pct(df: DataFrame, value: str, out: str,
-                     groups: list[str] | None = None) -> DataFrame:
-    """Add ``out`` = average-tie rank / count of non-null values (NULL stays NULL)."""
-    groups = list(groups or [])
-    # the input is read twice (value counts, then the join back): one copy
-    df = materialise(df, "ranked")
-    pos = _attach_totals(value_positions(df, value, groups), groups)
-    pct = pos.select(
-        *[F.col(g).alias(f"__rk_j_{g}") for g in groups],
-        F.col(_V).alias("__rk_j_v"),
-        ((F.col("__rk_before") + (F.col("__rk_c") + 1) / 2.0) / F.col("__rk_n")).alias(out),
-    )
-    cond = F.col(value) == F.col("__rk_j_v")
-    for g in groups:
-        cond = cond & F.col(g).eqNullSafe(F.col(f"__rk_j_{g}"))
-    # one row per distinct value on the right; the planner picks broadcast when
-    # the distinct table is small, else a sort-merge join whose hot keys AQE splits
-    return df.join(pct, cond, "left").drop("__rk_j_v", *[f"__rk_j_{g}" for g in groups])
-
-
 def exact_percentiles(df: DataFrame, value, probs, groups: list[str] | None = None,
                       prob_col: str = "percentile", out: str = "value") -> DataFrame:
     """Linear-interpolation percentiles, one row per (group, probability)."""

@@ -7,7 +7,7 @@ import re
 import pytest
 
 import __spark_entry__ as E
-from riskloom.functions import ranking, scan
+from riskloom.functions import scan, two_way
 from riskloom.functions.ranking import average_rank_pct
 from riskloom.operators import audit, marts, scoring
 from riskloom.sources.binding import SCORE_COLUMNS, bind_driver_tables
@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture
 def unwritten(monkeypatch):
     """Plans in one piece: intermediate tables are not written."""
-    for module in (scan, ranking):
+    for module in (scan, two_way):
         monkeypatch.setattr(module, "materialise", lambda df, label: df)
 
 
@@ -67,7 +67,8 @@ def test_monthly_summary_aggregates_partially_before_the_shuffle(spark):
 def test_rank_has_no_single_partition_exchange_over_rows(spark, unwritten):
     df = spark.range(0, 5000).selectExpr("id", "cast(id % 97 as double) as x")
     p = _plan(average_rank_pct(df, "x", "pct"))
-    assert "rangepartitioning(__rk_value" in p
+    assert "rangepartitioning(__rk_none" in p and "__rk_value" in p
+    assert p.count("rangepartitioning(") == 1 and "hashpartitioning" not in p and "SortMergeJoin" not in p  # the only join is the broadcast of a row per partition
 
 
 def test_nothing_stays_in_the_block_stores(spark):

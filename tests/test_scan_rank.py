@@ -53,6 +53,35 @@ def test_average_rank_matches_pandas_with_heavy_ties(spark):
     assert np.allclose(a[~np.isnan(a)], b[~np.isnan(b)], rtol=0, atol=1e-12)
 
 
+@pytest.mark.parametrize("parts", [3, 40, 200])
+@pytest.mark.parametrize("groups", [[], ["g"]])
+def test_rank_of_ties_and_groups_over_many_partitions(spark, parts, groups):
+    # a value and a group that hold most rows cross many partitions; 200 partitions leave some empty
+    rng = np.random.default_rng(parts)
+    n = 2500
+    x = np.where(rng.random(n) < 0.5, 7.0, rng.integers(0, 12, n).astype(float))
+    x[rng.random(n) < 0.05] = np.nan
+    g = np.where(rng.random(n) < 0.6, "hot", np.where(rng.random(n) < 0.2, "", rng.choice(["a", "b"], n)))
+    pdf = pd.DataFrame({"id": np.arange(n), "x": x, "g": g})
+    df = spark.createDataFrame(pdf).withColumn("g", F.nullif("g", F.lit("")))
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = average_rank_pct(df, "x", "pct", groups).toPandas().sort_values("id")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    exp = (pdf.groupby("g")["x"] if groups else pdf["x"]).rank(pct=True)
+    a, b = got["pct"].to_numpy(dtype=float), exp.to_numpy(dtype=float)
+    assert len(got) == n and np.array_equal(np.isnan(a), np.isnan(b))
+    assert np.allclose(a[~np.isnan(a)], b[~np.isnan(b)], rtol=0, atol=1e-12)
+
+
+def test_rank_of_an_empty_table_and_of_nulls(spark):
+    assert average_rank_pct(spark.createDataFrame([], "id int, x double"), "x", "pct").count() == 0
+    assert [r.pct for r in average_rank_pct(spark.createDataFrame([(1, None), (2, None)], "id int, x bigint"), "x", "pct").collect()] == [None, None]
+
+
 def test_fixture_rank_rows(spark):
     df = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 2.0), (4, 4.0), (5, None)], "id int, x double")
     got = {r.id: r.pct for r in average_rank_pct(df, "x", "pct").collect()}
