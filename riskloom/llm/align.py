@@ -1,7 +1,7 @@
 """Cross-tokenizer alignment of two tokenizations by byte offsets, Arrow-native.
 
-A is a byte-level BPE of the ``tokenizers`` library, B a SentencePiece model
-(encoded by its prefix table). Both spell the bytes of a space and the text.
+A is a byte-level BPE of the ``tokenizers`` library, B a model of the
+``sentencepiece`` library. Both spell the bytes of a space and the text.
 
 One pass over the documents, block by block, all steps on Arrow columns:
 
@@ -46,14 +46,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import MARK, UNIT_BYTES, UNIT_CACHE, UnitIds
+from .pieces import MARK, UNIT_BYTES
 from .tables import written
 from .text import blocks
 from .units import Units, after_solid
 
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Blocks in one file of the written table; a reader holds a file's rows at once.
 BLOCKS_A_FILE = 4
+#: Units whose ids a worker remembers, for each of the two tokenizers.
+UNIT_CACHE = 120_000
 #: Per document, but for ``units`` (of all documents end to end), ``n_slots`` (per unit), ``slots`` (of all units), and ``pair`` and ``n`` (per pair).
 BLOCK_TYPE = ("block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, "
               "n_units array<long>, units binary, n_slots binary, slots binary, pair array<long>, n array<long>")
@@ -79,10 +81,44 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
 
 
-class ByteLevel:
+class Remembered:
+    """Ids of distinct units; short ones stay for later blocks of the worker, the longest unused go first."""
+
+    def __init__(self) -> None:
+        self.young: dict[bytes, list[int]] = {}
+        self.old: dict[bytes, list[int]] = {}
+
+    def encoded(self, units: list[bytes]) -> list[list[int]]:
+        raise NotImplementedError
+
+    def of_all(self, units: list[bytes]) -> list[list[int]]:
+        out: list[list[int]] = [[]] * len(units)
+        new = []
+        for k, unit in enumerate(units):
+            ids = self.young.get(unit)
+            if ids is None:
+                ids = self.old.get(unit)
+                if ids is None:
+                    new.append(k)
+                    continue
+                self.young[unit] = ids
+            out[k] = ids
+        for lo in range(0, len(new), 2048):
+            part = new[lo : lo + 2048]
+            for k, ids in zip(part, self.encoded([units[k] for k in part])):
+                out[k] = ids
+                if len(units[k]) <= UNIT_BYTES:
+                    self.young[units[k]] = ids
+            if len(self.young) >= UNIT_CACHE // 2:
+                self.old, self.young = self.young, {}
+        return out
+
+
+class ByteLevel(Remembered):
     """Ids of units by a byte-level BPE file, and the bytes of each id."""
 
     def __init__(self, path: str) -> None:
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -96,22 +132,29 @@ class ByteLevel:
         self.bytes: list[bytes] = [b""] * (max(vocabulary.values(), default=-1) + 1)
         for name, i in vocabulary.items():
             self.bytes[i] = bytes(letters[c] for c in name)
-        self.young: dict[bytes, list[int]] = {}
-        self.old: dict[bytes, list[int]] = {}
 
-    def of_all(self, units: list[bytes]) -> list[list[int]]:
-        new = [u for u in units if u not in self.young and u not in self.old]
-        found: dict[bytes, list[int]] = {}
-        for lo in range(0, len(new), 2048):
-            part = new[lo : lo + 2048]
-            found.update(zip(part, (e.ids for e in self.tokenizer.encode_batch_fast([u.decode() for u in part], add_special_tokens=False))))
-        out = [found.get(u) or self.young.get(u) or self.old.get(u) or [] for u in units]
-        for u, ids in zip(units, out):
-            if len(u) <= UNIT_BYTES:
-                if len(self.young) >= UNIT_CACHE // 2:
-                    self.old, self.young = self.young, {}
-                self.young[u] = ids
-        return out
+    def encoded(self, units: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
+
+
+class Pieces(Remembered):
+    """Ids of units by a SentencePiece model, and the bytes of each id."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__()
+        import sentencepiece
+        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        every = range(self.library.get_piece_size())
+        names = [self.library.id_to_piece(i) for i in every]
+        self.bytes = [bytes([int(n[3:5], 16)]) if self.library.is_byte(i) else n.replace(MARK, " ").encode() for i, n in zip(every, names)]
+        self.by_word = not any(MARK in n.lstrip(MARK) for i, n in zip(every, names) if not (self.library.is_byte(i) or self.library.is_control(i) or self.library.is_unknown(i)))
+        mark = self.library.piece_to_id(MARK)
+        self.space = [mark] if mark != self.library.unk_id() else [self.library.piece_to_id(f"<0x{b:02X}>") for b in MARK.encode()]
+
+    def encoded(self, units: list[bytes]) -> list[list[int]]:
+        """The library puts the first space before a text itself, but not before an empty one."""
+        lists = self.library.encode([u[1:].decode() for u in units], num_threads=1)
+        return [ids if len(u) > 1 else self.space for u, ids in zip(units, lists)]
 
 
 class Side:
@@ -123,10 +166,6 @@ class Side:
         self.names = pa.array([str(i) for i in range(len(spelled))], pa.large_string())
 
 
-def piece_bytes(model) -> list[bytes]:
-    return [bytes([model.byte_of[i]]) if i in model.byte_of else name.replace(MARK, " ").encode() for i, name in enumerate(model.names)]
-
-
 class Tokens:
     """One side's tokens of a list of units: flat ids, their units, byte ends and whether they spell the unit."""
 
@@ -185,9 +224,9 @@ class Aligner:
     """Both tokenizers of a worker, and the work on one block."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
-        self.a, self.b = ByteLevel(a_path), UnitIds(b_path)
-        self.a_side, self.b_side = Side(self.a.bytes), Side(piece_bytes(self.b.model))
-        self.by_word = self.a.by_word and self.b.model.by_word
+        self.a, self.b = ByteLevel(a_path), Pieces(b_path)
+        self.a_side, self.b_side = Side(self.a.bytes), Side(self.b.bytes)
+        self.by_word = self.a.by_word and self.b.by_word
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
         return after_solid(data) if self.by_word else np.zeros(len(data), bool)
@@ -196,7 +235,7 @@ class Aligner:
         """Per text the sizes and the digest of its groups, its units, the units' pairs, and the pairs' counts."""
         units = Units(data, offsets, self.cuts)
         names = units.distinct.to_pylist()
-        aligned = Aligned(self.a.of_all(names), [self.b.of(u) for u in names], self.a_side, self.b_side, units.distinct)
+        aligned = Aligned(self.a.of_all(names), self.b.of_all(names), self.a_side, self.b_side, units.distinct)
         broken = units.sums((~aligned.whole).astype(np.int64)) > 0
         lengths = np.diff(units.first)
         used = np.repeat(~broken, lengths)
