@@ -59,11 +59,17 @@ def table_volumes(tables: dict[str, DataFrame], names=CORE_TABLES) -> DataFrame:
 
 
 def transaction_coverage(tx: DataFrame) -> DataFrame:
-    """A4: first and last order date, orders and active customers."""
-    return tx.agg(F.min("OrderDate").alias("first_order_date"),
-                  F.max("OrderDate").alias("last_order_date"),
-                  F.count(F.lit(1)).alias("total_orders"),
-                  F.countDistinct("CustomerID").alias("active_customers"))
+    """A4: first and last order date, orders and active customers.
+
+    Dates and orders are aggregated along with the customers' bitmaps, bucket
+    by bucket; orders without a customer form a bucket of their own.
+    """
+    buckets = tx.groupBy(F.bitmap_bucket_number("CustomerID").alias("bucket")).agg(
+        F.min("OrderDate").alias("first"), F.max("OrderDate").alias("last"), F.count(F.lit(1)).alias("orders"),
+        F.bitmap_construct_agg(F.bitmap_bit_position("CustomerID")).alias("customers"))
+    active = F.sum(F.when(F.col("bucket").isNotNull(), F.bitmap_count("customers")))
+    return buckets.agg(F.min("first").alias("first_order_date"), F.max("last").alias("last_order_date"),
+                       F.coalesce(F.sum("orders"), F.lit(0)).alias("total_orders"), F.coalesce(active, F.lit(0)).alias("active_customers"))
 
 
 def value_baseline(tx: DataFrame) -> DataFrame:

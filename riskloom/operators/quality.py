@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.distinct import distinct_counts, shared_counts
 from ..functions.numeric import flag
 
 
@@ -78,16 +79,20 @@ def card_coverage(tx: DataFrame) -> DataFrame:
 def customer_coverage(cust: DataFrame, tx: DataFrame) -> DataFrame:
     """Customers, customers with orders, customers without orders.
 
-    The customer x order left join of the published check is replaced by a
-    join to the *distinct* ordering customers (partial aggregate first), so no
-    customer is multiplied by its orders.
+    The customer x order left join of the published check is replaced by the
+    two tables' id bitmaps: no row is joined or multiplied.
     """
-    buyers = (tx.select(F.col("CustomerID").alias("_o_id")).where(F.col("_o_id").isNotNull())
-                .distinct().withColumn("_has", F.lit(1)))
-    c = cust.select("CustomerID").where(F.col("CustomerID").isNotNull()).distinct()
-    j = c.join(buyers, F.col("CustomerID") == F.col("_o_id"), "left")
-    return j.agg(
-        F.count(F.lit(1)).alias("total_customers"),
-        F.count("_has").alias("customers_with_orders"),
-        F.count(F.when(F.col("_has").isNull(), F.lit(1))).alias("customers_without_orders"),
-    )
+    known = shared_counts(cust, "CustomerID", tx, "CustomerID")
+    return known.select(F.col("in_one").alias("total_customers"), F.col("in_both").alias("customers_with_orders"),
+                        (F.col("in_one") - F.col("in_both")).alias("customers_without_orders"))
+
+
+def channel_coverage(tx: DataFrame) -> DataFrame:
+    """Per channel, orders and the distinct customers with any order, with and without a card, and above 1,000 in value.
+
+    Several conditional distinct counts over one column: one pass of bitmaps.
+    """
+    paid = F.col("CreditCardID").isNotNull()
+    counts = distinct_counts(tx, "CustomerID", {"customers": None, "customers_with_card": paid, "customers_without_card": ~paid,
+                                                "customers_above_1000": F.col("TotalDue") > 100_000}, ("OnlineOrderFlag",))
+    return counts.orderBy("OnlineOrderFlag")

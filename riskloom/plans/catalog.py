@@ -89,6 +89,7 @@ def base_queries() -> dict[str, Query]:
     q["orphan_addresses"] = _tx_addr(quality.orphan_addresses)
     q["card_coverage"] = _tx(quality.card_coverage)
     q["customer_coverage"] = lambda s, sf: (lambda r: quality.customer_coverage(r.cust, r.tx))(_roles(s, sf))
+    q["channel_coverage"] = _tx(quality.channel_coverage, *CORE_COLUMNS, "CreditCardID")
     # D - baselines
     q["order_sequence"] = _tx(baselines.order_sequence, *CORE_COLUMNS)
     q["previous_order"] = _tx(baselines.previous_order, *CORE_COLUMNS)
