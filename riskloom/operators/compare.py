@@ -17,7 +17,7 @@ from .. import config as K
 from ..config import ForestConfig
 from ..functions.caching import materialise
 from ..functions.numeric import flag, round_half_up
-from ..functions import quantiles
+from ..functions import bucketed, quantiles
 from ..functions.ranking import average_rank_pct
 from . import forest as M
 
@@ -70,33 +70,51 @@ def _ranked(ds: DataFrame, scorer: str, which: str, cfg: ForestConfig | None) ->
     return r
 
 
-def model_scores(ds: DataFrame, scorer: str = "forest", cfg: ForestConfig | None = None) -> DataFrame:
-    """M6 + M11 + M12 + M14 + M15 on narrow frames: one row per eligible id.
+def ranked_models(ds: DataFrame, scorer: str = "forest", cfg: ForestConfig | None = None, keep=None) -> tuple[DataFrame, DataFrame]:
+    """M6 + M11 + M12 and M14 + M15: each model's scores, percentiles and top-share flags, one narrow row per scored id.
 
-    Columns: SalesOrderID, anomaly_score, anomaly_prediction, anomaly_flag,
-    anomaly_percentile, top_*_anomaly, behaviour_anomaly_score,
-    behaviour_anomaly_percentile, behaviour_top_*. Ranks are computed on the
-    (id, score) frames, not on the wide dataset. With the forest, the two
+    Ranks are computed on the (id, score) frames, not on the wide dataset.
+    ``keep(frame, which)`` stores a model's frame. With the forest, the two
     independent models (fit, score, rank) run as concurrent Spark jobs from
     two driver threads; results do not depend on it.
     """
     if scorer not in ("forest", "ratio"):
         raise ValueError(scorer)
+    keep = keep or (lambda df, which: materialise(df, f"ranked-{which}"))
+    models = ("initial", "behaviour")
     if scorer == "forest":
-        def build(which):
-            return materialise(_ranked(ds, scorer, which, cfg), f"ranked-{which}")
         with ThreadPoolExecutor(max_workers=2) as pool:
-            r1, r2 = pool.map(build, ["initial", "behaviour"])
-    else:
-        r1, r2 = _ranked(ds, scorer, "initial", cfg), _ranked(ds, scorer, "behaviour", cfg)
-    ids = M.eligible(ds).select("SalesOrderID")
-    out = ids.join(r1, "SalesOrderID", "left").join(r2, "SalesOrderID", "left")
+            return tuple(pool.map(lambda which: keep(_ranked(ds, scorer, which, cfg), which), models))
+    return tuple(keep(_ranked(ds, scorer, which, cfg), which) for which in models)
+
+
+def with_scores(rows: DataFrame, initial: DataFrame, behaviour: DataFrame) -> DataFrame:
+    """Rows with both models' columns, by order id; where all three are bucketed by it no row moves."""
+    out = rows.join(initial, "SalesOrderID", "left").join(behaviour, "SalesOrderID", "left")
     # a row without a score is neither normal nor an anomaly: prediction and flags stay NULL
     scored = F.col("anomaly_score").isNotNull()
-    flags = {"anomaly_prediction": F.when(scored, F.when(F.col("anomaly_score") > 0, -1).otherwise(1)),
-             "anomaly_flag": F.when(scored, flag(F.col("anomaly_score") > 0))}
+    return out.withColumns({"anomaly_prediction": F.when(scored, F.when(F.col("anomaly_score") > 0, -1).otherwise(1)),
+                            "anomaly_flag": F.when(scored, flag(F.col("anomaly_score") > 0))})
+
+
+def model_scores(ds: DataFrame, scorer: str = "forest", cfg: ForestConfig | None = None) -> DataFrame:
+    """M6 + M11 + M12 + M14 + M15 on narrow frames: one row per eligible id.
+
+    Columns: SalesOrderID, anomaly_score, anomaly_prediction, anomaly_flag,
+    anomaly_percentile, top_*_anomaly, behaviour_anomaly_score,
+    behaviour_anomaly_percentile, behaviour_top_*.
+    """
+    out = with_scores(M.eligible(ds).select("SalesOrderID"), *ranked_models(ds, scorer, cfg))
     # narrow (id + a dozen numbers), read by the results frame and the export
-    return materialise(out.withColumns(flags), "model-scores")
+    return materialise(out, "model-scores")
+
+
+def stored_models(ds: DataFrame, name: str, scorer: str = "forest", cfg: ForestConfig | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The dataset and both models' frames as tables bucketed by order id: ``ds`` is computed once, each is exchanged once."""
+    buckets = bucketed.bucket_count(ds)
+    stored = bucketed.write_bucketed(ds, f"{name}_dataset", "SalesOrderID", buckets)
+    models = ranked_models(stored, scorer, cfg, lambda df, which: bucketed.write_bucketed(df, f"{name}_{scorer}_{which}", "SalesOrderID", buckets))
+    return stored, *models
 
 
 def model_results(ds: DataFrame, scorer: str = "forest", cfg: ForestConfig | None = None,
@@ -234,19 +252,21 @@ def export_dataset(ds: DataFrame, scores: DataFrame) -> DataFrame:
     ``scores`` is :func:`model_scores` output (or a results frame with the
     same columns): one narrow join on the order id.
     """
-    r = scores.select(F.col("SalesOrderID").alias("_rid"), "behaviour_anomaly_score",
-                      "behaviour_anomaly_percentile", F.col("behaviour_top_1pct").alias("_b1"),
-                      F.col("behaviour_top_5pct").alias("_b5"), F.col("behaviour_top_10pct").alias("_b10"),
-                      "anomaly_score", "anomaly_percentile", F.lit(1).alias("_elig"))
-    j = ds.withColumn("log_order_value", F.log1p("order_value")).join(
-        r, F.col("SalesOrderID") == F.col("_rid"), "left")
-    return j.select(*ds.columns, "log_order_value",
-                    F.coalesce(F.col("_elig"), F.lit(0)).alias("model_eligible_flag"),
-                    "behaviour_anomaly_score", "behaviour_anomaly_percentile",
-                    F.coalesce(F.col("_b1"), F.lit(0)).alias("behaviour_top_1pct"),
-                    F.coalesce(F.col("_b5"), F.lit(0)).alias("behaviour_top_5pct"),
-                    F.coalesce(F.col("_b10"), F.lit(0)).alias("behaviour_top_10pct"),
-                    "anomaly_score", "anomaly_percentile")
+    narrow = scores.select("SalesOrderID", *[c for c in EXPORT_MODEL_COLUMNS if c != "model_eligible_flag"])
+    return _exported(ds.join(narrow, "SalesOrderID", "left"), ds.columns)
+
+
+def export_stored(ds: DataFrame, initial: DataFrame, behaviour: DataFrame) -> DataFrame:
+    """Q9 from :func:`stored_models`: the joins read bucket by bucket."""
+    return _exported(with_scores(ds, initial, behaviour), ds.columns)
+
+
+def _exported(joined: DataFrame, columns: list[str]) -> DataFrame:
+    eligible = F.coalesce(F.col("prior_order_count") > 0, F.lit(False))
+    flags = ("behaviour_top_1pct", "behaviour_top_5pct", "behaviour_top_10pct")
+    made = {"model_eligible_flag": eligible.cast("int")} | {c: F.coalesce(F.col(c), F.lit(0)) for c in flags}
+    return joined.select(*columns, F.log1p("order_value").alias("log_order_value"),
+                         *[made[c].alias(c) if c in made else F.col(c) for c in EXPORT_MODEL_COLUMNS])
 
 
 def export_checks(export: DataFrame) -> DataFrame:

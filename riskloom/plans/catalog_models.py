@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import config as K
+from ..functions.bucketed import bucketed_once, table_name
 from ..functions.caching import input_key, published_once, run_folder
 from ..functions.numeric import round_half_up
 from ..operators import compare, dashboards, forest, marts, profile
@@ -26,25 +27,30 @@ QUEUE_REASONS = (K.REASON_SAME_DAY, K.REASON_SPIKE)
 
 
 def _ds(spark, sf):
-    return published_once(spark, sf, "dataset", lambda: _build_ds(spark, sf))
+    return bucketed_once(spark, sf, "dataset", "SalesOrderID", lambda: _build_ds(spark, sf))
 
 
-def _scores(spark, sf, scorer):
-    return published_once(spark, sf, f"scores-{scorer}", lambda: compare.model_scores(_ds(spark, sf), scorer))
+def _models(spark, sf, scorer):
+    """Both models' frames, bucketed like the dataset."""
+    ds = _ds(spark, sf)
+    names = {which: f"{scorer}_{which}" for which in ("initial", "behaviour")}
+    if all(spark.catalog.tableExists(table_name(spark, sf, n)) for n in names.values()):
+        return tuple(spark.table(table_name(spark, sf, n)) for n in names.values())
+    return compare.ranked_models(ds, scorer, keep=lambda df, which: bucketed_once(spark, sf, names[which], "SalesOrderID", lambda: df, "dataset"))
 
 
 def _res(spark, sf, scorer):
-    return compare.model_results(_ds(spark, sf), scores=_scores(spark, sf, scorer))
+    return compare.with_scores(forest.eligible(_ds(spark, sf)), *_models(spark, sf, scorer))
 
 
 def _export(spark, sf, scorer):
-    return compare.export_dataset(_ds(spark, sf), _scores(spark, sf, scorer))
+    return compare.export_stored(_ds(spark, sf), *_models(spark, sf, scorer))
 
 
 def _numeric(spark, sf):
     """Quantiles of the dataset's columns and of the stand-in score: P4, P7, P10, P11, P12 and M10 read this one table."""
     def build():
-        score = _scores(spark, sf, "ratio").select("anomaly_score")
+        score = _models(spark, sf, "ratio")[0].select("anomaly_score")
         both = _ds(spark, sf).select(*profile.PROFILED).unionByName(score, allowMissingColumns=True)
         return profile.numeric_table(both, profile.PROFILED | {"anomaly_score": compare.SCORE_PERCENTILES})
     return published_once(spark, sf, "numeric", build)
@@ -135,7 +141,7 @@ def model_queries():
             dashboards.investigation_queue, scorer, scores=QUEUE_SCORES, reasons=QUEUE_REASONS)
         q[f"behaviour_counts{suffix}"] = _res_q(compare.cross_method, scorer, "behaviour_")
         q[f"customer_dashboard{suffix}"] = _exp_q(dashboards.customer_dashboard, scorer)
-    q["score_percentiles"] = lambda s, sf: compare.score_percentiles(_scores(s, sf, "forest"))
+    q["score_percentiles"] = lambda s, sf: compare.score_percentiles(_models(s, sf, "forest")[0])
     q["score_percentiles_standin"] = lambda s, sf: compare.score_percentiles(None, table=_numeric(s, sf))
     q["anomaly_scores"] = lambda s, sf: compare.forest_scores(
         _ds(s, sf), forest.INITIAL_FEATURES, forest.INITIAL_LOG, "anomaly_score")

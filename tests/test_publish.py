@@ -1,7 +1,8 @@
 import os
 import tempfile
+import uuid
 
-from riskloom.operators import dashboards, marts, scoring
+from riskloom.operators import compare, dashboards, marts, scoring
 from riskloom.plans.publish import publish_marts
 from riskloom.sources.binding import bind_driver_tables
 
@@ -34,3 +35,36 @@ def test_month_filter_prunes_partitions(spark):
     assert "PartitionFilters: [isnotnull(order_year_month" in buf.getvalue()
     live = marts.vw_fraud_analytics_dataset(scoring.score_transactions(roles.tx, roles.addr))
     assert one.count() == live.where("order_year_month = '1998-08'").count() > 0
+
+
+def test_export_from_bucketed_tables_moves_no_rows(spark):
+    roles = bind_driver_tables(spark, "/root/testdata/sf0.001")
+    ds = marts.vw_fraud_analytics_dataset(scoring.score_transactions(roles.tx, roles.addr))
+    stored = compare.stored_models(ds, f"publish_test_{uuid.uuid4().hex}", "ratio")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as tables beyond the limit are joined
+    try:
+        export = compare.export_stored(*stored)
+        plan = export._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan
+        rows = sorted(map(str, export.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert rows == sorted(map(str, compare.export_dataset(ds, compare.model_scores(ds, "ratio")).collect()))
+
+
+def test_bucketed_tables_are_shared_and_seen_by_other_sessions(spark, tmp_path):
+    from riskloom.functions.bucketed import bucketed_once, buckets_of, table_name
+    folder = str(tmp_path / "in")
+    spark.range(100).write.parquet(f"{folder}/t.parquet")
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.read.parquet(f"{folder}/t.parquet").withColumnRenamed("id", "k")
+    one = bucketed_once(spark, folder, "t", "k", build)
+    assert bucketed_once(spark, folder, "t", "k", build).count() == one.count() == 100 and len(built) == 1
+    assert buckets_of(spark, table_name(spark, folder, "t")) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert spark.newSession().table(table_name(spark, folder, "t")).count() == 100
+    spark.range(7).write.mode("overwrite").parquet(f"{folder}/t.parquet")  # another state of the input is another table
+    assert bucketed_once(spark, folder, "t", "k", build).count() == 7 and len(built) == 2
