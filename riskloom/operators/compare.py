@@ -27,17 +27,20 @@ PROFILE_FEATURES = ("order_value", "days_since_previous_order", "prior_order_cou
                     "prior_avg_order_value", "amount_vs_customer_avg")
 
 
+# The two models: score column, percentile column, prefix of the share flags, features and log columns.
+MODELS = {"initial": ("anomaly_score", "anomaly_percentile", "", M.INITIAL_FEATURES, M.INITIAL_LOG),
+          "behaviour": ("behaviour_anomaly_score", "behaviour_anomaly_percentile", "behaviour_", M.BEHAVIOUR_FEATURES, M.BEHAVIOUR_LOG)}
+
+
+def fit_model(ds: DataFrame, which: str, cfg: ForestConfig | None = None) -> M.StoredForest:
+    """One of the two models, fitted on ``ds``."""
+    return M.fit_forest(ds, *MODELS[which][3:], cfg or ForestConfig())
+
+
 def forest_scores(ds: DataFrame, features, log_cols, out: str, cfg: ForestConfig | None = None) -> DataFrame:
-    """M3-M6 (or M13-M14): transform, standardise, fit and score -> (id, out)."""
-    cfg = cfg or ForestConfig()
-    # the model input (id + a few doubles) is read four times: scaler
-    # statistics, row count, tree sample and scoring -> keep one copy
-    x = materialise(M.transform(M.eligible(ds), features, log_cols), "model-input")
-    fcols = [f"f_{c}" for c in features]
-    z, stats = M.standardise(x, fcols)
-    model = M.fit_isolation_forest(z, fcols, cfg, n=M.row_count(stats))
-    # scores feed a rank (several passes) and a join: compute them once
-    return materialise(M.score(z, model, out=out), "scores")
+    """M3-M6 (or M13-M14): fit and score -> (id, out)."""
+    # scores feed a rank and a join: compute them once
+    return materialise(M.fit_forest(ds, features, log_cols, cfg or ForestConfig()).score(ds, out), "scores")
 
 
 # Deterministic stand-in scores, one per model, so that swapped models show.
@@ -54,38 +57,33 @@ def with_top_flags(df: DataFrame, pct: str, prefix: str) -> DataFrame:
     return df.withColumns({f"{prefix}{name}": F.when(F.col(pct).isNotNull(), flag(F.col(pct) >= p)) for p, name in SHARES})
 
 
-def _ranked(ds: DataFrame, scorer: str, which: str, cfg: ForestConfig | None) -> DataFrame:
+def _ranked(ds: DataFrame, scorer: str, which: str, fitted) -> DataFrame:
     """One model's narrow frame: id, score, percentile and top-share flags."""
-    if which == "initial":
-        name, pct, prefix = "anomaly_score", "anomaly_percentile", ""
-        s = (forest_scores(ds, M.INITIAL_FEATURES, M.INITIAL_LOG, name, cfg) if scorer == "forest"
-             else _stand_in(ds, name))
-    else:
-        name, pct, prefix = "behaviour_anomaly_score", "behaviour_anomaly_percentile", "behaviour_"
-        s = (forest_scores(ds, M.BEHAVIOUR_FEATURES, M.BEHAVIOUR_LOG, name, cfg) if scorer == "forest"
-             else _stand_in(ds, name))
+    name, pct, prefix = MODELS[which][:3]
+    s = fitted(which).score(ds, name) if scorer == "forest" else _stand_in(ds, name)
     r = with_top_flags(average_rank_pct(s, name, pct), pct, prefix)
     if which == "initial":
         r = r.withColumnsRenamed({n: f"{n}_anomaly" for _, n in SHARES})
     return r
 
 
-def ranked_models(ds: DataFrame, scorer: str = "forest", cfg: ForestConfig | None = None, keep=None) -> tuple[DataFrame, DataFrame]:
+def ranked_models(ds: DataFrame, scorer: str = "forest", cfg: ForestConfig | None = None, keep=None, fitted=None) -> tuple[DataFrame, DataFrame]:
     """M6 + M11 + M12 and M14 + M15: each model's scores, percentiles and top-share flags, one narrow row per scored id.
 
     Ranks are computed on the (id, score) frames, not on the wide dataset.
-    ``keep(frame, which)`` stores a model's frame. With the forest, the two
-    independent models (fit, score, rank) run as concurrent Spark jobs from
-    two driver threads; results do not depend on it.
+    ``keep(frame, which)`` stores a model's frame; ``fitted(which)`` gives a
+    stored forest (without it both are fitted here). With the forest, the two
+    independent models run as concurrent Spark jobs from two driver threads;
+    results do not depend on it.
     """
     if scorer not in ("forest", "ratio"):
         raise ValueError(scorer)
     keep = keep or (lambda df, which: materialise(df, f"ranked-{which}"))
-    models = ("initial", "behaviour")
+    fitted = fitted or (lambda which: fit_model(ds, which, cfg))
     if scorer == "forest":
         with ThreadPoolExecutor(max_workers=2) as pool:
-            return tuple(pool.map(lambda which: keep(_ranked(ds, scorer, which, cfg), which), models))
-    return tuple(keep(_ranked(ds, scorer, which, cfg), which) for which in models)
+            return tuple(pool.map(lambda which: keep(_ranked(ds, scorer, which, fitted), which), MODELS))
+    return tuple(keep(_ranked(ds, scorer, which, fitted), which) for which in MODELS)
 
 
 def with_scores(rows: DataFrame, initial: DataFrame, behaviour: DataFrame) -> DataFrame:

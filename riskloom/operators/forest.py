@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -287,6 +287,77 @@ def score(x: DataFrame, model: IsolationForestModel, out: str = "anomaly_score",
     return x.select(id_col, *feats).mapInPandas(fn, schema)
 
 
+# ---------------------------------------------------------------- stored models
+
+@dataclass
+class StoredForest:
+    """A fitted forest with all it needs to score other rows: features, log columns, scaler, offset."""
+
+    model: IsolationForestModel
+    log_cols: list[str]
+    scaler: dict[str, tuple[float, float]]
+    version: int = 0
+
+    def inputs(self, ds: DataFrame, id_col: str = "SalesOrderID") -> DataFrame:
+        """The eligible rows' features under the stored scaler."""
+        names = [c.removeprefix("f_") for c in self.model.features]
+        return standardise(transform(eligible(ds), names, self.log_cols, id_col), self.model.features, self.scaler)[0]
+
+    def score(self, ds: DataFrame, out: str = "anomaly_score", id_col: str = "SalesOrderID") -> DataFrame:
+        """(id, ``out``) of the eligible rows: map-only, nothing is fitted."""
+        return score(self.inputs(ds, id_col), self.model, out, id_col)
+
+
+META_SCHEMA = ("features array<string>, log_cols array<string>, means array<double>, deviations array<double>, "
+               "psi int, n_trees int, offset double, version int")
+
+
+def save_forest(spark: SparkSession, forest: StoredForest, path: str) -> int:
+    """Writes the next version below ``path`` and returns its number.
+
+    The node table goes first, the row that describes it last, so a version
+    exists once it is whole; a broken save leaves no version.
+    """
+    version = max([m.version for m in _versions(spark, path)], default=0) + 1
+    m = forest.model
+    nodes = spark.createDataFrame(m.nodes.astype({c.name: "float64" if c.name == "threshold" else "int32" for c in NODE_SCHEMA}), NODE_SCHEMA)
+    nodes.coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes-{version}")
+    row = (list(m.features), list(forest.log_cols), [float(forest.scaler[c][0]) for c in m.features], [float(forest.scaler[c][1]) for c in m.features],
+           int(m.psi), int(m.n_trees), float(m.offset), version)
+    spark.createDataFrame([row], META_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    return version
+
+
+def _versions(spark: SparkSession, path: str) -> list:
+    from ..functions.caching import is_written
+    if not is_written(spark, f"{path}/versions"):
+        return []
+    return spark.read.schema(META_SCHEMA).parquet(f"{path}/versions").collect()  # one row per saved model
+
+
+def load_forest(spark: SparkSession, path: str, version: int | None = None) -> StoredForest | None:
+    """A saved model (the latest, or one version), or None."""
+    found = [m for m in _versions(spark, path) if version in (None, m.version)]
+    if not found:
+        return None
+    meta = max(found, key=lambda m: m.version)
+    # at most trees x (2 psi - 1) rows, the bound of the fit
+    nodes = spark.read.schema(NODE_SCHEMA).parquet(f"{path}/nodes-{meta.version}").toPandas()
+    model = IsolationForestModel(features=list(meta.features), psi=meta.psi, n_trees=meta.n_trees, offset=meta.offset, nodes=nodes)
+    return StoredForest(model, list(meta.log_cols), {c: (m, d) for c, m, d in zip(meta.features, meta.means, meta.deviations)}, meta.version)
+
+
+def fit_forest(ds: DataFrame, features, log_cols, cfg: ForestConfig | None = None) -> StoredForest:
+    """M3-M5 (or M13-M14): transform, standardise and fit on the eligible rows of ``ds``."""
+    from ..functions.caching import materialise
+    # the model input (id + a few doubles) is read for the scaler, the row count and the sample: one copy
+    x = materialise(transform(eligible(ds), features, log_cols), "model-input")
+    columns = [f"f_{c}" for c in features]
+    z, stats = standardise(x, columns)
+    model = fit_isolation_forest(z, columns, cfg, n=row_count(stats))
+    return StoredForest(model, list(log_cols), {c: stats[c] for c in columns})
+
+
 # ---------------------------------------------------------------- API in the survey's terms
 
 def transform_initial(x: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ against SQL).
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from .. import config as K
@@ -30,13 +31,21 @@ def _ds(spark, sf):
     return bucketed_once(spark, sf, "dataset", "SalesOrderID", lambda: _build_ds(spark, sf))
 
 
+def _forest(spark, sf, which):
+    """The stored forest of one model: fitted and saved at first use of this state of the tables."""
+    path = f"{run_folder(spark)}/forest-{which}-{input_key(spark, sf)}"
+    if forest.load_forest(spark, path) is None:
+        forest.save_forest(spark, compare.fit_model(_ds(spark, sf), which), path)
+    return forest.load_forest(spark, path)
+
+
 def _models(spark, sf, scorer):
     """Both models' frames, bucketed like the dataset."""
     ds = _ds(spark, sf)
     names = {which: f"{scorer}_{which}" for which in ("initial", "behaviour")}
     if all(spark.catalog.tableExists(table_name(spark, sf, n)) for n in names.values()):
         return tuple(spark.table(table_name(spark, sf, n)) for n in names.values())
-    return compare.ranked_models(ds, scorer, keep=lambda df, which: bucketed_once(spark, sf, names[which], "SalesOrderID", lambda: df, "dataset"))
+    return compare.ranked_models(ds, scorer, fitted=lambda which: _forest(spark, sf, which), keep=lambda df, which: bucketed_once(spark, sf, names[which], "SalesOrderID", lambda: df, "dataset"))
 
 
 def _res(spark, sf, scorer):
@@ -143,10 +152,9 @@ def model_queries():
         q[f"customer_dashboard{suffix}"] = _exp_q(dashboards.customer_dashboard, scorer)
     q["score_percentiles"] = lambda s, sf: compare.score_percentiles(_models(s, sf, "forest")[0])
     q["score_percentiles_standin"] = lambda s, sf: compare.score_percentiles(None, table=_numeric(s, sf))
-    q["anomaly_scores"] = lambda s, sf: compare.forest_scores(
-        _ds(s, sf), forest.INITIAL_FEATURES, forest.INITIAL_LOG, "anomaly_score")
-    q["behaviour_anomaly_scores"] = lambda s, sf: compare.forest_scores(
-        _ds(s, sf), forest.BEHAVIOUR_FEATURES, forest.BEHAVIOUR_LOG, "behaviour_anomaly_score")
+    for which, (name, *_) in compare.MODELS.items():
+        q[name + "s"] = (lambda which, name: lambda s, sf: _forest(s, sf, which).score(_ds(s, sf), name))(which, name)
+    q["stored_model_scores"] = _stored_model_scores
     q["monthly_flagged_rate"] = _ds_q(marts.monthly_risk)
     # reports over the published (written) marts
     q["published_monthly_risk"] = lambda s, sf: marts.monthly_risk(_published(s, sf).read_dataset(s))
@@ -159,7 +167,7 @@ def model_queries():
     q["scaled_check_behaviour"] = _ds_q(lambda d: _scaled_check(
         forest.transform_behaviour(forest.eligible(d)), [f"f_{c}" for c in forest.BEHAVIOUR_FEATURES]))
     q["forest_invariants"] = lambda s, sf: _forest_invariants(s, sf)
-    q["forest_nodes_initial"] = lambda s, sf: _forest_nodes(s, _ds(s, sf))
+    q["forest_nodes_initial"] = lambda s, sf: s.createDataFrame(_forest(s, sf, "initial").model.nodes, forest.NODE_SCHEMA)
     q["score_histogram"] = _res_q(lambda r: profile.histogram(r, "anomaly_score", 50), "forest")
     q["score_histogram_standin"] = _res_q(lambda r: profile.histogram(r, "anomaly_score", 50), "ratio")
 
@@ -184,8 +192,8 @@ def _scaled_check(x, cols):
 
 def _forest_invariants(spark, sf):
     """What holds for any fitted forest: trees, rows per root, score range, flags, scored rows."""
-    ds = _ds(spark, sf)
-    nodes = _forest_nodes(spark, ds).where("node = 0").agg(
+    fitted = spark.createDataFrame(_forest(spark, sf, "initial").model.nodes, forest.NODE_SCHEMA)
+    nodes = fitted.where("node = 0").agg(
         F.countDistinct("tree").alias("trees"), F.min("size").cast("bigint").alias("least_root_rows"),
         F.max("size").cast("bigint").alias("most_root_rows"))
     res = _res(spark, sf, "forest").agg(
@@ -197,11 +205,30 @@ def _forest_invariants(spark, sf):
     return nodes.withColumn("one", F.lit(1)).join(res.withColumn("one", F.lit(1)), "one").drop("one")
 
 
-def _forest_nodes(spark, ds):
-    """M5 output: the fitted node table, as the trees' tasks return it."""
-    x, cols = _model_input(ds)
-    z, stats = forest.standardise(x, cols)
-    return forest.grow_forest(z, cols, n=forest.row_count(stats))
+# A model made by a rule, so that SQL can make it too: complete trees over the initial features.
+RULE_TREES, RULE_DEPTH, RULE_PSI = 12, 4, 64
+
+
+def rule_forest():
+    """Node ``n`` of tree ``t`` splits feature (t + n) mod 6 at ((7 n + 3 t) mod 11 - 5) / 4; leaves hold 1 + (5 n + t) mod 9 rows."""
+    inner, nodes = 2 ** RULE_DEPTH - 1, []
+    for t in range(RULE_TREES):
+        for n in range(2 * inner + 1):
+            depth = (n + 1).bit_length() - 1
+            leaf = n >= inner
+            nodes.append((t, n, -1 if leaf else (t + n) % 6, 0.0 if leaf else ((7 * n + 3 * t) % 11 - 5) / 4,
+                          -1 if leaf else 2 * n + 1, -1 if leaf else 2 * n + 2, 1 + (5 * n + t) % 9, depth))
+    columns = [f"f_{c}" for c in forest.INITIAL_FEATURES]
+    model = forest.IsolationForestModel(columns, RULE_PSI, RULE_TREES, -0.5, pd.DataFrame(nodes, columns=forest.NODE_SCHEMA.fieldNames()))
+    return forest.StoredForest(model, list(forest.INITIAL_LOG), {c: (2.0 * k, 1.0 + k / 2) for k, c in enumerate(columns)})
+
+
+def _stored_model_scores(spark, sf):
+    """M6 on a stored model: saved as a table, loaded by path, applied to every eligible order (six places)."""
+    path = f"{run_folder(spark)}/forest-rule"
+    if forest.load_forest(spark, path) is None:
+        forest.save_forest(spark, rule_forest(), path)
+    return forest.load_forest(spark, path).score(_ds(spark, sf)).select("SalesOrderID", round_half_up("anomaly_score", 6).alias("anomaly_score"))
 
 
 def _published(spark, sf):

@@ -264,6 +264,7 @@ def model_oracles() -> dict[str, str]:
                CAST(COUNT(*) FILTER (WHERE {UNSCORED}) AS BIGINT) AS unscored_rows,
                CAST(0 AS BIGINT) AS scores_out_of_range, CAST(0 AS BIGINT) AS wrong_flags
         FROM ds WHERE prior_order_count > 0""")
+    o["stored_model_scores"] = _stored_model_oracle()
     return o
 
 
@@ -279,3 +280,23 @@ def _hist_res(bins: int = 50) -> str:
         SELECT g.bin, lo + (g.bin - 1) * (hi - lo) / {bins} AS bin_start, lo + g.bin * (hi - lo) / {bins} AS bin_end,
                CAST(COALESCE(c.n, 0) AS BIGINT) AS count
         FROM g CROSS JOIN rng LEFT JOIN c ON g.bin = c.bin""")
+
+
+def _stored_model_oracle() -> str:
+    """The rule's node table walked from the root, one level per round; a leaf adds the mean path of its rows."""
+    columns = {c: k for k, c in enumerate(INITIAL)}
+    scaled = ", ".join(f"(f_{c} - {2.0 * k}) / {1 + k / 2}" for c, k in columns.items())
+    path = "CASE {n} WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 2 * (LN({n} - 1) + 0.5772156649015329) - 2 * CAST({n} - 1 AS DOUBLE) / {n} END"
+    return with_binding(f"""
+        , x AS (SELECT SalesOrderID, [{scaled}] AS z FROM ({_input(INITIAL, INITIAL_LOGS)}) i),
+        nodes AS (SELECT t.range AS tree, n.range AS node, (t.range + n.range) % 6 AS feature,
+                         CAST((7 * n.range + 3 * t.range) % 11 - 5 AS DOUBLE) / 4 AS threshold, 1 + (5 * n.range + t.range) % 9 AS size
+                  FROM range(12) t, range(31) n),
+        walk AS (
+            SELECT SalesOrderID, z, t.range AS tree, CAST(0 AS BIGINT) AS node FROM x, range(12) t
+            UNION ALL
+            SELECT w.SalesOrderID, w.z, w.tree, 2 * w.node + CASE WHEN w.z[n.feature + 1] <= n.threshold THEN 1 ELSE 2 END
+            FROM walk w JOIN nodes n ON n.tree = w.tree AND n.node = w.node WHERE w.node < 15),
+        paths AS (SELECT w.SalesOrderID, AVG(4 + {path.format(n='n.size')}) AS h FROM walk w JOIN nodes n ON n.tree = w.tree AND n.node = w.node
+                  WHERE w.node >= 15 GROUP BY w.SalesOrderID)
+        SELECT SalesOrderID, {r(f"POW(2, -h / ({path.format(n='64')})) - 0.5", 6)} AS anomaly_score FROM paths""").replace("WITH ", "WITH RECURSIVE ", 1)
