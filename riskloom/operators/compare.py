@@ -20,6 +20,7 @@ from ..functions.numeric import flag, round_half_up
 from ..functions import bucketed, quantiles
 from ..functions.ranking import average_rank_pct
 from . import forest as M
+from .crosstab import crosstab
 
 # Fixed shares, column lists and preview fields of the published results.
 SHARES = ((0.99, "top_1pct"), (0.95, "top_5pct"), (0.90, "top_10pct"))
@@ -163,10 +164,7 @@ def top_share_counts(res: DataFrame, prefix: str = "") -> DataFrame:
 
 def level_flag_crosstab(res: DataFrame) -> DataFrame:
     """Q1: level x automatic flag counts."""
-    return (res.groupBy("risk_level").agg(
-        F.sum(flag(F.col("anomaly_flag") == 0)).cast("bigint").alias("flag_0"),
-        F.sum(flag(F.col("anomaly_flag") == 1)).cast("bigint").alias("flag_1"))
-        .orderBy("risk_level"))
+    return crosstab(res, "risk_level", "anomaly_flag", "flag_", categories=(0, 1)).orderBy("risk_level")
 
 
 def _names(prefix: str):

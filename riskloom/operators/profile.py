@@ -36,15 +36,46 @@ def dataset_shape(ds: DataFrame) -> DataFrame:
         "column_count", F.lit(len(ds.columns)).cast("bigint"))
 
 
+def dataset_types(ds: DataFrame) -> DataFrame:
+    """Columns in order with their type and the number of values (one aggregate)."""
+    counts = ds.agg(*[F.count(f"`{c}`").alias(f"_{i}") for i, c in enumerate(ds.columns)])
+    return counts.select(F.explode(F.array(*[
+        F.struct(F.lit(i + 1).cast("bigint").alias("ordinal_position"), F.lit(f.name).alias("column_name"),
+                 F.lit(f.dataType.simpleString()).alias("data_type"), F.col(f"_{i}").alias("non_null_count"))
+        for i, f in enumerate(ds.schema.fields)])).alias("c")).select("c.*").orderBy("ordinal_position")
+
+
+def dataset_preview(ds: DataFrame, n: int = 5, key: str = "SalesOrderID") -> DataFrame:
+    """The first ``n`` rows by key, all columns (each task keeps its own first ``n``)."""
+    return ds.orderBy(key).limit(n)
+
+
+def fingerprint(df: DataFrame) -> list:
+    """128 bits of a row's values, with its NULLs' places, as two bigints."""
+    nulls = F.concat(*[F.when(F.col(f"`{c}`").isNull(), "1").otherwise("0") for c in df.columns])
+    return [F.xxhash64(F.lit(lane), nulls, *[f"`{c}`" for c in df.columns]).alias(f"_fp{lane}") for lane in (1, 2)]
+
+
+def exact_duplicates(df: DataFrame) -> DataFrame:
+    """Rows that occur more than once, each once with its number of copies (``copies``).
+
+    Rows are grouped by fingerprint first: 16 bytes a row, combined before the
+    shuffle. Only rows whose fingerprint occurs again are compared in full,
+    which also tells apart different rows that share one.
+    """
+    marked = df.select("*", *fingerprint(df))
+    again = marked.groupBy("_fp1", "_fp2").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_fp1", "_fp2")
+    return marked.join(again, ["_fp1", "_fp2"], "left_semi").groupBy(*[f"`{c}`" for c in df.columns]).agg(
+        F.count(F.lit(1)).alias("copies")).where("copies > 1")
+
+
 def duplicate_profile(ds: DataFrame, key: str = "SalesOrderID") -> DataFrame:
     """Rows repeating an earlier row exactly, and repeated ids."""
-    exact = ds.groupBy(*ds.columns).agg(F.count(F.lit(1)).alias("n")).agg(
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("v")).withColumn("m", F.lit("exact"))
-    ids = ds.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("v")).withColumn("m", F.lit("ids"))
+    exact = exact_duplicates(ds).agg(F.sum(F.col("copies") - 1).alias("v")).withColumn("m", F.lit("exact"))
+    ids = ds.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") - 1).alias("v")).withColumn("m", F.lit("ids"))
     both = exact.unionByName(ids)
-    return both.agg(F.max(F.when(F.col("m") == "exact", F.col("v"))).cast("bigint").alias("exact_duplicate_rows"),
-                    F.max(F.when(F.col("m") == "ids", F.col("v"))).cast("bigint").alias("duplicate_ids"))
+    return both.agg(*[F.coalesce(F.max(F.when(F.col("m") == m, F.col("v"))), F.lit(0)).cast("bigint").alias(name)
+                      for m, name in (("exact", "exact_duplicate_rows"), ("ids", "duplicate_ids"))])
 
 
 def missing_summary(ds: DataFrame) -> DataFrame:
@@ -133,13 +164,19 @@ def trimmed_histogram(ds: DataFrame, col: str = "amount_vs_customer_avg", upper_
     return equal_width_histogram(kept, col, bins, marker=marker)
 
 
-def velocity_segments(ds: DataFrame) -> DataFrame:
-    """Five fixed gap segments; first orders (NULL gap) are left out."""
+def velocity_segment():
+    """The label of a row's gap; NULL for first orders."""
     g = F.col("days_since_previous_order")
     seg = None
     for label, upper in VELOCITY_SEGMENTS:
         cond = g <= upper if upper is not None else g.isNotNull()
         seg = F.when(cond, label) if seg is None else seg.when(cond, label)
+    return seg
+
+
+def velocity_segments(ds: DataFrame) -> DataFrame:
+    """Five fixed gap segments; first orders (NULL gap) are left out."""
+    g, seg = F.col("days_since_previous_order"), velocity_segment()
     counts = (ds.where(g > -1).groupBy(seg.alias("_seg")).agg(F.count(F.lit(1)).alias("_n")))
     spark = ds.sparkSession
     order = spark.createDataFrame([(i + 1, s) for i, (s, _) in enumerate(VELOCITY_SEGMENTS)],

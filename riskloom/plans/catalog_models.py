@@ -16,6 +16,7 @@ from ..functions.bucketed import bucketed_once, table_name
 from ..functions.caching import input_key, published_once, run_folder
 from ..functions.numeric import round_half_up
 from ..operators import compare, dashboards, forest, marts, profile
+from ..operators.crosstab import crosstab, pair_counts
 from ..functions.ranking import average_rank_pct
 from ..sources.io import mart_path, read_dataset_csv, write_dataset_csv
 from .catalog import _ds as _build_ds
@@ -93,7 +94,15 @@ def model_queries():
     q = {}
     # P - profile of the dataset
     q["dataset_shape"] = _ds_q(profile.dataset_shape)
+    q["dataset_types"] = _ds_q(profile.dataset_types)
+    q["dataset_preview"] = _ds_q(profile.dataset_preview)
     q["duplicate_profile"] = _ds_q(profile.duplicate_profile)
+    # planted copies: every tenth order once more, every hundredth twice more, every seventh with another value
+    q["duplicate_profile_planted"] = _ds_q(lambda d: profile.duplicate_profile(_with_copies(d)))
+    q["exact_duplicates_planted"] = _ds_q(lambda d: profile.exact_duplicates(_with_copies(d)).select("SalesOrderID", "copies"))
+    q["crosstab_level_channel"] = _ds_q(crosstab, "risk_level", "OnlineOrderFlag", "channel_")
+    q["crosstab_level_segment"] = _ds_q(lambda d: crosstab(d.withColumn("segment", profile.velocity_segment()), "risk_level", "segment"))
+    q["pair_counts_segment_reason"] = _ds_q(lambda d: pair_counts(d.withColumn("segment", profile.velocity_segment()), "segment", "risk_reason"))
     q["missing_summary"] = _ds_q(profile.missing_summary)
     q["describe_numeric"] = _numeric_q(profile.describe_numeric)
     q["value_shares_risk_level"] = _ds_q(profile.value_shares, "risk_level")
@@ -174,6 +183,11 @@ def model_queries():
     return q
 
 
+def _with_copies(ds):
+    changed = ds.where("SalesOrderID % 7 = 0").withColumn("order_value", F.col("order_value") + 1)
+    return ds.unionByName(ds.where("SalesOrderID % 10 = 0")).unionByName(ds.where("SalesOrderID % 100 = 0")).unionByName(changed)
+
+
 def _model_input(ds):
     x = forest.transform(forest.eligible(ds), forest.INITIAL_FEATURES, forest.INITIAL_LOG)
     return x, [f"f_{c}" for c in forest.INITIAL_FEATURES]

@@ -59,6 +59,29 @@ def profile_oracles() -> dict[str, str]:
                     AS BIGINT) AS exact_duplicate_rows,
                CAST((SELECT COALESCE(SUM(n - 1), 0) FROM (SELECT COUNT(*) AS n FROM ds GROUP BY SalesOrderID) b)
                     AS BIGINT) AS duplicate_ids""")
+    copies = ("(SELECT * FROM ds UNION ALL SELECT * FROM ds WHERE SalesOrderID % 10 = 0 UNION ALL SELECT * FROM ds WHERE SalesOrderID % 100 = 0 "
+              "UNION ALL SELECT * REPLACE (order_value + 1 AS order_value) FROM ds WHERE SalesOrderID % 7 = 0)")
+    repeated = f"(SELECT SalesOrderID, copies FROM (SELECT {cols}, COUNT(*) AS copies FROM {copies} u GROUP BY {cols}) g WHERE copies > 1)"
+    o["duplicate_profile_planted"] = with_binding(f"""
+        SELECT CAST(COALESCE((SELECT SUM(copies - 1) FROM {repeated} a), 0) AS BIGINT) AS exact_duplicate_rows,
+               CAST((SELECT COALESCE(SUM(n - 1), 0) FROM (SELECT COUNT(*) AS n FROM {copies} u GROUP BY SalesOrderID) b) AS BIGINT) AS duplicate_ids""")
+    o["exact_duplicates_planted"] = with_binding(f"SELECT * FROM {repeated} r")
+    kinds = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "TIMESTAMP": "timestamp_ntz", "DOUBLE": "double"}
+    named = "CASE typeof({0}) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in kinds.items()) + " ELSE lower(typeof({0})) END"
+    o["dataset_types"] = with_binding(" UNION ALL ".join(
+        f"SELECT CAST({i + 1} AS BIGINT) AS ordinal_position, '{c}' AS column_name, (SELECT {named.format(c)} FROM ds LIMIT 1) AS data_type, "
+        f"(SELECT COUNT({c}) FROM ds) AS non_null_count" for i, c in enumerate(DS_COLUMNS)))
+    o["dataset_preview"] = with_binding(f"SELECT {cols} FROM ds ORDER BY SalesOrderID LIMIT 5")
+    o["crosstab_level_channel"] = with_binding("SELECT risk_level, " + ", ".join(
+        f"COUNT(*) FILTER (OnlineOrderFlag = {c}) AS channel_{c}" for c in (0, 1)) + " FROM ds GROUP BY risk_level")
+    segment = ("CASE WHEN days_since_previous_order <= 0 THEN 'Same day' WHEN days_since_previous_order <= 7 THEN '1-7 days' "
+               "WHEN days_since_previous_order <= 30 THEN '8-30 days' WHEN days_since_previous_order <= 90 THEN '31-90 days' "
+               "WHEN days_since_previous_order > 90 THEN 'More than 90 days' END")
+    o["crosstab_level_segment"] = with_binding("SELECT risk_level, " + ", ".join(
+        f"""COUNT(*) FILTER ({segment} = '{c}') AS "{c}" """ for c in ("1-7 days", "31-90 days", "8-30 days", "More than 90 days", "Same day"))
+        + f', COUNT(*) FILTER ({segment} IS NULL) AS "null" FROM ds GROUP BY risk_level')
+    o["pair_counts_segment_reason"] = with_binding(
+        f'SELECT {segment} AS "row", risk_reason AS "column", COUNT(*) AS count FROM ds GROUP BY ALL')
     miss = " UNION ALL ".join(f"SELECT '{c}' AS column_name, COUNT(*) - COUNT({c}) AS missing_count, "
                               f"COUNT(*) AS n FROM ds" for c in DS_COLUMNS)
     o["missing_summary"] = with_binding(f"""
