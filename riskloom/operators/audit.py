@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import cents_to_money, round_half_up
+from ..sources import warehouse
 from . import column_profile
 
 # Fixed name patterns of the published table inventory (natural order).
@@ -40,6 +41,12 @@ def audit_tables(tables: dict[str, DataFrame], patterns=SOURCE_PATTERNS) -> Data
     return _union(frames).orderBy("table_name")
 
 
+def audit_catalog(spark: SparkSession, database: str, patterns=SOURCE_PATTERNS) -> DataFrame:
+    """A1 over the catalog: the tables and views of a database whose names match, with rows, columns and NULL cells."""
+    names = [r["table_name"] for r in warehouse.tables_like(spark, database, patterns).collect()]  # names of a catalog
+    return audit_tables({n: spark.table(f"{database}.{n}") for n in names}, patterns)
+
+
 def audit_columns(tables: dict[str, DataFrame], names=CORE_TABLES) -> DataFrame:
     """A2: column inventory in ordinal order with NULL count, minimum, maximum and approximate distinct count.
 

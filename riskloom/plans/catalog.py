@@ -17,6 +17,7 @@ from ..functions.caching import input_key, published_once
 from ..operators import audit, baselines, column_profile, geopay, marts, patterns, quality, scoring
 from ..sources.binding import CORE_COLUMNS, SCORE_COLUMNS, TX_COLUMNS, bind_driver_tables, bind_events, bind_orders
 from ..sources.io import mart_path, register_views, write_mart
+from ..sources.warehouse import RISK_VIEWS, open_warehouse, publish_views, tables_like
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,7 +68,8 @@ def _on_ds(fn):
 def base_queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     # A - source audit
-    q["audit_tables"] = lambda s, sf: audit.audit_tables(_roles(s, sf).tables())
+    q["audit_tables"] = lambda s, sf: audit.audit_catalog(s, open_warehouse(s, sf).database)
+    q["catalog_tables"] = lambda s, sf: tables_like(s, open_warehouse(s, sf).database, audit.SOURCE_PATTERNS)
     q["audit_columns"] = lambda s, sf: _inventory(s, sf).drop("approx_distinct")
     q["audit_distinct_estimates"] = lambda s, sf: _inventory(s, sf).select("table_name", "column_name", "approx_distinct")
     q["audit_distinct_error"] = lambda s, sf: column_profile.distinct_check(_inventory(s, sf), _roles(s, sf).tables())
@@ -136,6 +138,8 @@ def base_queries() -> dict[str, Query]:
         scoring.score_frame(bind_events(s, sf), _no_addresses(s)))
     # Views registered and read back through the SQL surface
     q["view_level_counts"] = _view_level_counts
+    for view in RISK_VIEWS:
+        q[f"stored_{view}"] = (lambda view: lambda s, sf: s.table(f"{publish_views(s, sf).database}.{view}"))(view)
     # the dataset written as a month-partitioned mart to the shared folder, read back
     q["mart_monthly_risk"] = _mart_monthly_risk
     return q
