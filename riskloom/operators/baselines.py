@@ -14,15 +14,19 @@ from pyspark.sql import functions as F
 from ..config import RiskConfig
 from ..functions.numeric import cents_to_money, round_half_up
 from ..functions.scan import ScanSpec, prefix_scan
+from .history_state import with_state
 
 HISTORY_KEYS = ["CustomerID"]
 HISTORY_ORDER = ["OrderDate", "SalesOrderID"]
 
 
 def customer_history(tx: DataFrame, cfg: RiskConfig | None = None,
-                     with_max: bool = True, with_previous_value: bool = False) -> DataFrame:
+                     with_max: bool = True, with_previous_value: bool = False, state: DataFrame | None = None) -> DataFrame:
     """C1 + C2: add previous order, prior count / sum / max, gap and ratio.
 
+    With ``state`` (:mod:`riskloom.operators.history_state`) ``tx`` holds only
+    orders after those behind the state, and their history continues from it.
+
     Added columns: previous_order_date, _previous_cents, prior_order_count,
     _prior_nn, _prior_sum, _prior_max (cents), days_since_previous_order,
     _prior_avg (money, unrounded), _ratio (value / prior average, unrounded).
@@ -37,6 +41,8 @@ def customer_history(tx: DataFrame, cfg: RiskConfig | None = None,
               **({"_previous_cents": "TotalDue"} if with_previous_value else {})},
     )
     h = prefix_scan(tx, HISTORY_KEYS, HISTORY_ORDER, spec, cfg.history_partitions)
+    if state is not None:
+        h = with_state(h, state)
     nn = F.col("_prior_nn")
     return h.withColumns({
         "days_since_previous_order": F.datediff("OrderDate", "previous_order_date"),

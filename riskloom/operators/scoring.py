@@ -26,7 +26,7 @@ FLAG_COLUMNS = ("same_day_repeat_flag", "rapid_repeat_flag", "amount_spike_flag"
 
 
 def features(tx: DataFrame, addr: DataFrame, cfg: RiskConfig | None = None,
-             rapid_from: int | None = None, with_max: bool = False) -> DataFrame:
+             rapid_from: int | None = None, with_max: bool = False, state: DataFrame | None = None) -> DataFrame:
     """History, deviation, geography and the five 0/1 flags.
 
     ``rapid_from`` is 1 for scoring and 0 for the pattern / feature extracts
@@ -34,7 +34,7 @@ def features(tx: DataFrame, addr: DataFrame, cfg: RiskConfig | None = None,
     """
     cfg = cfg or RiskConfig()
     lo = cfg.rapid_min_days if rapid_from is None else rapid_from
-    h = with_locations(customer_history(tx, cfg, with_max=with_max), addr)
+    h = with_locations(customer_history(tx, cfg, with_max=with_max, state=state), addr)
     gap = F.col("days_since_previous_order")
     return h.withColumns({
         "same_day_repeat_flag": flag(gap == 0),
@@ -81,10 +81,10 @@ def with_score(f: DataFrame, cfg: RiskConfig) -> DataFrame:
     })
 
 
-def score_frame(tx: DataFrame, addr: DataFrame, cfg: RiskConfig | None = None) -> DataFrame:
+def score_frame(tx: DataFrame, addr: DataFrame, cfg: RiskConfig | None = None, state: DataFrame | None = None) -> DataFrame:
     """Scored frame with the internal helper columns (_ratio, _prior_sum ...)."""
     cfg = cfg or RiskConfig()
-    return with_score(features(tx, addr, cfg), cfg)
+    return with_score(features(tx, addr, cfg, state=state), cfg)
 
 
 def risk_projection(scored: DataFrame) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import RiskConfig
-from ..functions.caching import input_key, published_once
-from ..operators import audit, baselines, column_profile, geopay, marts, patterns, quality, scoring
+from ..functions.caching import input_key, published_once, run_folder
+from ..operators import audit, baselines, column_profile, geopay, history_state, marts, patterns, quality, scoring
 from ..sources.binding import CORE_COLUMNS, SCORE_COLUMNS, TX_COLUMNS, bind_driver_tables, bind_events, bind_orders
 from ..sources.io import mart_path, register_views, write_mart
 from ..sources.warehouse import RISK_VIEWS, open_warehouse, publish_views, tables_like
@@ -116,6 +116,8 @@ def base_queries() -> dict[str, Query]:
     q["score_transactions"] = _tx_addr(scoring.score_transactions)
     q["risk_level_distribution"] = lambda s, sf: scoring.risk_level_distribution(_scored(s, sf))
     q["risk_score_distribution"] = lambda s, sf: scoring.risk_score_distribution(_scored(s, sf))
+    q["incremental_risk"] = _incremental_risk
+    q["customer_state"] = _customer_state
     # H - views
     q["vw_transaction_risk_analysis"] = _risk
     q["top_risk"] = _on_risk(marts.top_risk)
@@ -154,6 +156,27 @@ def _inventory(spark, sf):
     return column_profile.described(column_profile.united(published_once(spark, sf, "profiles", profiles)))
 
 
+def _incremental_risk(spark, sf):
+    """G1 year by year: each year scans its own orders and continues from the state of the years before."""
+    r = _scoring_roles(spark, sf)
+    mart = history_state.RiskMart(spark, f"{run_folder(spark)}/risk-mart-{input_key(spark, sf)}")
+    dates = bind_orders(spark, sf, CORE_COLUMNS).agg(F.min(F.year("OrderDate")).alias("lo"), F.max(F.year("OrderDate")).alias("hi")).first()
+    done = mart.parts()
+    for year in range(dates.lo, dates.hi + 1):
+        if str(year) not in done:
+            since, until = F.lit(f"{year}-01-01").cast("timestamp_ntz"), F.lit(f"{year + 1}-01-01").cast("timestamp_ntz")
+            own = (F.col("OrderDate") >= since) & (F.col("OrderDate") < until)
+            mart.advance(str(year), r.tx.where(own | F.col("OrderDate").isNull() if year == dates.lo else own), r.addr)
+    return mart.scored()
+
+
+def _customer_state(spark, sf):
+    """The state after all orders, merged from the states of two halves."""
+    tx = bind_orders(spark, sf, CORE_COLUMNS)
+    halves = [history_state.state_of(tx.where(F.pmod("SalesOrderID", F.lit(2)) == k)) for k in (0, 1)]
+    return history_state.merged(*halves).select("CustomerID", "orders", "valued_orders", "total_cents", "max_cents", F.col("last.OrderDate").alias("last_order_date"))
+
+
 def _no_addresses(spark):
     return spark.createDataFrame([], "AddressID bigint, City string, StateProvinceID int")
 
