@@ -18,7 +18,7 @@ from ..functions.numeric import round_half_up
 from ..operators import compare, dashboards, forest, marts, profile
 from ..operators.crosstab import crosstab, pair_counts
 from ..functions.ranking import average_rank_pct
-from ..sources.io import mart_path, read_dataset_csv, write_dataset_csv
+from ..sources.io import mart_path, read_checked_csv, read_dataset_csv, write_dataset_csv
 from .catalog import _ds as _build_ds
 
 
@@ -90,6 +90,20 @@ def _export_csv(spark, sf, scorer):
     return read_dataset_csv(spark, path, exp.schema)
 
 
+def _checked_csv(spark, sf):
+    """The dataset written as CSV with every fiftieth value and every seventieth date damaged, and read back with its rejects."""
+    ds = _ds(spark, sf)
+    text = ds.withColumns({"order_value": F.when(F.col("SalesOrderID") % 50 == 0, "n/a").otherwise(F.col("order_value").cast("string")),
+                           "OrderDate": F.when(F.col("SalesOrderID") % 70 == 0, "yesterday").otherwise(F.date_format("OrderDate", "yyyy-MM-dd'T'HH:mm:ss"))})
+    path = mart_path(spark, "checked-csv")
+    write_dataset_csv(text, path)
+    return read_checked_csv(spark, path, ds.schema, mart_path(spark, "checked-rows"), max_rejected_share=0.1)
+
+
+def _checked_csv_counts(spark, sf):
+    return _checked_csv(spark, sf).counts().agg(F.sum("good_rows").alias("good_rows"), F.sum("rejected_rows").alias("rejected_rows"))
+
+
 def model_queries():
     q = {}
     # P - profile of the dataset
@@ -122,6 +136,8 @@ def model_queries():
     q["level_counts"] = _ds_q(profile.level_counts)
     q["behaviour_by_level"] = _ds_q(profile.behaviour_by_level)
     q["high_risk_review"] = _ds_q(profile.high_risk_review)
+    q["checked_csv_good"] = lambda s, sf: _checked_csv(s, sf).good
+    q["checked_csv_counts"] = _checked_csv_counts
     # X56 - average-tie percentile rank, on the ratio of every order
     q["ratio_percentile_rank"] = lambda s, sf: average_rank_pct(
         _ds(s, sf).select("SalesOrderID", "amount_vs_customer_avg"), "amount_vs_customer_avg",

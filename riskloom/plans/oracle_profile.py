@@ -72,6 +72,9 @@ def profile_oracles() -> dict[str, str]:
         f"SELECT CAST({i + 1} AS BIGINT) AS ordinal_position, '{c}' AS column_name, (SELECT {named.format(c)} FROM ds LIMIT 1) AS data_type, "
         f"(SELECT COUNT({c}) FROM ds) AS non_null_count" for i, c in enumerate(DS_COLUMNS)))
     o["dataset_preview"] = with_binding(f"SELECT {cols} FROM ds ORDER BY SalesOrderID LIMIT 5")
+    damaged = "(SalesOrderID % 50 = 0 OR SalesOrderID % 70 = 0)"
+    o["checked_csv_good"] = with_binding(f"SELECT {cols} FROM ds WHERE NOT {damaged}")
+    o["checked_csv_counts"] = with_binding(f"SELECT COUNT(*) FILTER (NOT {damaged}) AS good_rows, COUNT(*) FILTER ({damaged}) AS rejected_rows FROM ds")
     o["crosstab_level_channel"] = with_binding("SELECT risk_level, " + ", ".join(
         f"COUNT(*) FILTER (OnlineOrderFlag = {c}) AS channel_{c}" for c in (0, 1)) + " FROM ds GROUP BY risk_level")
     segment = ("CASE WHEN days_since_previous_order <= 0 THEN 'Same day' WHEN days_since_previous_order <= 7 THEN '1-7 days' "
