@@ -13,7 +13,7 @@ the data. This module computes the same columns without that limit:
    also marks the partition's first and last row.
 3. A key can only continue across a partition boundary through those two
    rows, so the carry from earlier partitions is computed from the marked
-   rows alone: at most two rows per partition (a filter over the persisted
+   rows alone: at most two rows per partition (a filter over the written
    scan, no aggregate over the data, no shuffle of per-key summaries). The
    carry table has at most one row per partition - a proven bound - and is
    broadcast.
@@ -21,9 +21,9 @@ the data. This module computes the same columns without that limit:
 
 One full shuffle of the data (the range exchange); no task holds more than
 one range partition; nothing passes through the driver. The scanned
-partitions are persisted so the marked rows and the final join read the same
-copy; a lost block is recomputed through the same shuffle dependency (same
-range bounds), so partition ids stay consistent after executor loss.
+partitions are written to the shared folder, so the marked rows and the final
+join read the same copy and the same partition ids, whichever executors are
+lost.
 """
 
 from __future__ import annotations

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import config as K
 from ..functions.numeric import flag, round_half_up, share_pct, to_cents
 
+# Fixed columns of the published high-risk view.
 HIGH_COLUMNS = (
     "SalesOrderID", "CustomerID", "OrderDate", "order_value", "OnlineOrderFlag", "CreditCardID",
     "days_since_previous_order", "prior_order_count", "prior_avg_order_value", "amount_vs_customer_avg",
@@ -142,6 +143,7 @@ def dataset_levels(ds: DataFrame) -> DataFrame:
               .orderBy(F.col("risk_level_order").desc()).select("risk_level", "transaction_count"))
 
 
+# Fixed columns of the published preview.
 PREVIEW_COLUMNS = (
     "SalesOrderID", "CustomerID", "OrderDate", "order_year", "order_month", "order_year_month",
     "order_value", "days_since_previous_order", "prior_order_count", "prior_avg_order_value",

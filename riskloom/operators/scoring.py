@@ -11,6 +11,7 @@ from ..functions.numeric import cents_to_money, flag, round_half_up, share_pct
 from .baselines import customer_history, money2
 from .geopay import city_mismatch, state_mismatch, with_locations
 
+# Fixed columns of the published risk view.
 RISK_COLUMNS = (
     "SalesOrderID", "CustomerID", "OrderDate", "order_value", "OnlineOrderFlag", "CreditCardID",
     "previous_order_date", "days_since_previous_order", "prior_order_count",

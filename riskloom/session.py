@@ -37,13 +37,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     machine) a scratch folder is made when it is unset.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        current = current.get() if current.isDefined() else None
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    known = known.get() if known.isDefined() else None
+    current = current or known
     if not current:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="riskloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    if known is None:  # each call would make another folder below it
+        spark.sparkContext.setCheckpointDir(current)
     return current

@@ -35,7 +35,8 @@ FOREST_ONLY = {
 
 def test_only_the_forest_queries_lack_a_twin():
     q, o = catalog.all_queries(), oracle.all_oracles()
-    assert {k for k in q if k not in o} == FOREST_ONLY
+    # the distinct estimates are checked against exact counts by audit_distinct_error
+    assert {k for k in q if k not in o} == FOREST_ONLY | {"audit_distinct_estimates"}
     assert set(o) <= set(q)
 
 
