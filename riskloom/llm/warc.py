@@ -9,6 +9,12 @@ without payload. Spark's text sink writes the records (its line separator is
 the record terminator) as gzip files in the shared folder; ``read_chunks``
 streams those files back into chunk rows and digests them anew.
 
+A file ends after ``FILE_RECORDS`` records wherever that falls, so the segments
+of a long record may lie in two files or more. Records of one segment are
+digested where they are read. Segments are put together by record key and
+segment number: an exchange of long records alone, sorted and streamed, one
+segment in memory at a time.
+
 Defined results: a null html is an empty payload; payloads under ``min_bytes``
 are always responses; a null page_id never names a response, it revisits the
 smallest id of its payload if there is one; repeated rows are archived each;
@@ -22,6 +28,7 @@ import uuid
 import zlib
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +46,8 @@ DATE = "2024-01-01T00:00:00Z"
 
 CHUNK_SCHEMA = ("page_id long, url string, record_type string, refers_to long, payload_digest string, "
                 "payload_bytes long, chunk int, start long, data binary, running_digest string, last boolean")
+SEGMENT_SCHEMA = ("record_key string, number int, page_id long, url string, kind string, refers_to long, payload_digest string, "
+                  "payload_bytes long, last boolean, data binary")
 
 
 def decide(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -63,6 +72,9 @@ def _flush(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 CHUNK_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()),
                          ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("chunk", pa.int32()), ("start", pa.int64()),
                          ("data", pa.binary()), ("running_digest", pa.string()), ("last", pa.bool_())])
+SEGMENT_ARROW = pa.schema([("record_key", pa.string()), ("number", pa.int32()), ("page_id", pa.int64()), ("url", pa.string()), ("kind", pa.string()),
+                           ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("last", pa.bool_()),
+                           ("data", pa.binary())])
 
 
 def chunk_rows(decided: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -100,9 +112,11 @@ def _record_id(page_id, digest: str) -> str:
 def record_bytes(chunks: DataFrame) -> DataFrame:
     """One WARC record (without its terminator) per chunk row, in chunk order."""
     def encode(batches):
+        task, record = TaskContext.get().partitionId(), 0
         for batch in batches:
             out = []
             for r in batch.to_pylist():
+                record += r["chunk"] == 0  # tells repeated rows apart, whose record ids are the same
                 own = _record_id(r["page_id"], r["payload_digest"])
                 k, segmented = r["chunk"], r["chunk"] > 0 or not r["last"]
                 kind = "continuation" if k else r["record_type"]
@@ -116,7 +130,7 @@ def record_bytes(chunks: DataFrame) -> DataFrame:
                 if r["page_id"] is not None:
                     head.append(f"X-Page-Id: {r['page_id']}")
                 if segmented:
-                    head.append(f"WARC-Segment-Number: {k + 1}")
+                    head += [f"WARC-Segment-Number: {k + 1}", f"X-Record-Key: {task}-{record}"]
                     if k:
                         head.append(f"WARC-Segment-Origin-ID: {own}")
                     if r["last"]:
@@ -180,9 +194,9 @@ class _Stream:
         return out
 
 
-def _parse(packed: memoryview):
-    """Chunk rows of one archive file; a record that continues keeps its running digest."""
-    stream, sha, start, origin = _Stream(packed), None, 0, {}
+def _records(packed: memoryview):
+    """(headers, body) of one archive file, each checked against its block digest."""
+    stream = _Stream(packed)
     while (head := stream.until(END)) is not None:
         first, *lines = head.decode().split("\r\n")
         if not first.startswith("WARC/"):
@@ -193,43 +207,83 @@ def _parse(packed: memoryview):
             raise ValueError("record without its end")
         if f"sha256:{hashlib.sha256(body).hexdigest()}" != h["WARC-Block-Digest"]:
             raise ValueError(f"damaged record {h['WARC-Record-ID']}")
-        kind = h["WARC-Type"]
-        if kind == "continuation":
-            if h["WARC-Segment-Origin-ID"] != origin["WARC-Record-ID"]:
-                raise ValueError(f"segment out of order: {h['WARC-Record-ID']}")
-            data = body
-        else:
-            origin, sha, start, data = h, hashlib.sha256(), 0, body[len(HTTP):]
-        sha.update(data)
-        last = "WARC-Segment-Number" not in h or "WARC-Segment-Total-Length" in h
-        digest = sha.hexdigest()
-        if last and origin["WARC-Type"] == "response" and (
-                h["WARC-Payload-Digest"] != f"sha256:{digest}" or start + len(data) != int(h["X-Payload-Bytes"])):
-            raise ValueError(f"payload differs from its digest: {origin['WARC-Record-ID']}")
-        page, to = h.get("X-Page-Id"), origin.get("X-Refers-To-Page")
-        yield (None if page is None else int(page), h["WARC-Target-URI"], origin["WARC-Type"], None if to is None else int(to),
-               h["WARC-Payload-Digest"].removeprefix("sha256:"), int(h["X-Payload-Bytes"]),
-               int(h.get("WARC-Segment-Number", "1")) - 1, start, data, digest, last)
-        start += len(data)
+        yield h, body if h["WARC-Type"] == "continuation" else body[len(HTTP):]
+
+
+def _number(h: dict, name: str) -> int | None:
+    return int(h[name]) if name in h else None
+
+
+def _check(record: str, kind: str, digest: str, size: int, said_digest: str, said_size: int) -> None:
+    if kind == "response" and (digest != said_digest or size != said_size):
+        raise ValueError(f"payload differs from its digest: {record}")
+
+
+def _whole(packed: memoryview):
+    """Chunk rows of the records of one segment."""
+    for h, data in _records(packed):
+        if "WARC-Segment-Number" not in h:
+            digest, said, size = hashlib.sha256(data).hexdigest(), h["WARC-Payload-Digest"].removeprefix("sha256:"), int(h["X-Payload-Bytes"])
+            _check(h["WARC-Record-ID"], h["WARC-Type"], digest, len(data), said, size)
+            yield (_number(h, "X-Page-Id"), h["WARC-Target-URI"], h["WARC-Type"], _number(h, "X-Refers-To-Page"), said, size, 0, 0, data, digest, True)
+
+
+def _segments(packed: memoryview):
+    """Segment rows (``SEGMENT_SCHEMA``) of the longer records."""
+    for h, data in _records(packed):
+        if "WARC-Segment-Number" in h:
+            yield (h["X-Record-Key"], int(h["WARC-Segment-Number"]), _number(h, "X-Page-Id"), h["WARC-Target-URI"], h["WARC-Type"], _number(h, "X-Refers-To-Page"),
+                   h["WARC-Payload-Digest"].removeprefix("sha256:"), int(h["X-Payload-Bytes"]), "WARC-Segment-Total-Length" in h, data)
+
+
+def _batched(rows, schema: pa.Schema, data_at: int):
+    """Record batches of about a megabyte."""
+    out, held = [], 0
+    for row in rows:
+        out.append(row)
+        held += len(row[data_at])
+        if held >= 1 << 20 or len(out) >= 1000:
+            yield _flush(out, schema)
+            out, held = [], 0
+    if out:
+        yield _flush(out, schema)
+
+
+def _put_together(batches):
+    """Chunk rows of long records from their segments in order; only the digest and the length so far are held."""
+    def rows():
+        key, sha, start, number, first = None, None, 0, 0, None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["record_key"] != key:
+                    if key is not None and first is not None:
+                        raise ValueError(f"record {key} lacks its last segment")
+                    key, sha, start, number, first = r["record_key"], hashlib.sha256(), 0, 0, r
+                if r["number"] != number + 1 or first is None:
+                    raise ValueError(f"record {key}: segment {r['number']} after {number}")
+                number, data = r["number"], r["data"]
+                sha.update(data)
+                digest = sha.hexdigest()
+                if r["last"]:
+                    _check(key, first["kind"], digest, start + len(data), r["payload_digest"], r["payload_bytes"])
+                yield (r["page_id"], r["url"], first["kind"], first["refers_to"], r["payload_digest"], r["payload_bytes"], number - 1, start, data, digest, r["last"])
+                start += len(data)
+                first = None if r["last"] else first
+        if first is not None:
+            raise ValueError(f"record {key} lacks its last segment")
+    yield from _batched(rows(), CHUNK_ARROW, 8)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """The chunked record table read back from archives."""
-    def parse(batches):
-        for batch in batches:
-            rows, held = [], 0
-            for content in batch.column(0):
-                for row in _parse(memoryview(content.as_buffer())):
-                    rows.append(row)
-                    held += len(row[8])
-                    if held >= 1 << 20 or len(rows) >= 1000:
-                        yield _flush(rows, CHUNK_ARROW)
-                        rows, held = [], 0
-            if rows:
-                yield _flush(rows, CHUNK_ARROW)
-    return (spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").schema(
-        "path string, modificationTime timestamp, length long, content binary").load(path)
-        .select("content").mapInArrow(parse, CHUNK_SCHEMA))
+    def parsed(parse, schema: pa.Schema, data_at: int, kind: str) -> DataFrame:
+        def read(batches):
+            yield from _batched((row for batch in batches for content in batch.column(0) for row in parse(memoryview(content.as_buffer()))), schema, data_at)
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").schema("path string, modificationTime timestamp, length long, content binary")
+        return files.load(path).select("content").mapInArrow(read, kind)
+
+    segments = parsed(_segments, SEGMENT_ARROW, 9, SEGMENT_SCHEMA).repartition("record_key").sortWithinPartitions("record_key", "number")
+    return parsed(_whole, CHUNK_ARROW, 8, CHUNK_SCHEMA).unionByName(segments.mapInArrow(_put_together, CHUNK_SCHEMA))
 
 
 def archive_round_trip(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:

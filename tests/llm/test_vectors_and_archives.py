@@ -3,6 +3,7 @@
 import hashlib
 
 import duckdb
+import pytest
 import numpy as np
 import pyarrow as pa
 
@@ -116,6 +117,37 @@ def test_chunks_carry_running_digests_and_rebuild_the_payload(spark, tmp_path):
     assert len(chunks) == 300 and body == b"y" * 300_000
 
 
+def test_segments_cross_file_borders(spark, tmp_path):
+    """Records of several segments over many files, among them repeated rows and a record longer than a file."""
+    rows = [(i, f"http://x/{i}", f"{i} " * 400) for i in range(300)] + [(7, "http://x/7", "7 " * 400)] * 3 + [(None, None, "z" * 4000)] * 2
+    rows += [(1000, "http://x/long", "".join(chr(97 + i % 26) for i in range(60_000))), (1001, "u", "é" * 3000)]
+    path = f"file://{tmp_path}/archive"
+    warc.write_archives(pages(spark, rows).coalesce(2), path, chunk_bytes=300, file_records=7)
+    assert len([f for f in (tmp_path / "archive").iterdir() if f.name.endswith(".gz")]) > 100
+    found = warc.read_chunks(spark, path).where("last").collect()
+    assert len(found) == len(rows)
+    want = sorted((str(i), hashlib.sha256(h.encode()).hexdigest()) for i, _, h in rows)
+    assert sorted((str(r.page_id), r.payload_digest) for r in found) == want
+    for r in found:
+        if r.record_type == "response":
+            assert r.running_digest == r.payload_digest
+    long = warc.read_chunks(spark, path).where("page_id = 1000").orderBy("chunk").collect()
+    assert b"".join(c.data for c in long) == rows[-2][2].encode() and [c.chunk for c in long] == list(range(200))
+
+
+def test_a_lost_file_is_noticed(spark, tmp_path):
+    path = f"file://{tmp_path}/archive"
+    warc.write_archives(pages(spark, [(1, "u", "".join(chr(97 + i % 26) for i in range(30_000)))]).coalesce(1), path, chunk_bytes=300, file_records=7)
+    lost = sorted(f for f in (tmp_path / "archive").iterdir() if f.name.endswith(".gz"))[3]
+    kept = f"file://{tmp_path}/kept"
+    (tmp_path / "kept").mkdir()
+    for f in (tmp_path / "archive").iterdir():
+        if f != lost and f.name.endswith(".gz"):
+            (tmp_path / "kept" / f.name).write_bytes(f.read_bytes())
+    with pytest.raises(Exception, match="segment"):
+        warc.read_chunks(spark, kept).collect()
+
+
 def test_pipeline_stages_take_effect(spark):
     sf = "/root/testdata/sf0.001"
     docs, counts = tables.table(spark, sf, "documents"), []
