@@ -2,15 +2,17 @@
 
 Documents become ids of a public tokenizer plus one end id; those longer than a
 sequence are cut into pieces. Pieces that fill a sequence stand alone; the rest
-are dealt by hash into demes of about ``DEME`` pieces. A solution is a list of
-bins. Crossover injects well-filled bins of one parent into the other, drops
+are laid out by length over range partitions and dealt in turn into demes of
+about ``DEME`` pieces, so every deme has the same mix of lengths, and copies of
+a row spread over all demes. A solution is a list of bins. Crossover injects well-filled bins of one parent into the other, drops
 the bins that hold a duplicate, and puts the displaced pieces back by best fit,
 longest first; mutation empties the worst bins. Each deme evolves on
 ``ISLANDS`` islands; after every epoch an island's elite migrates to the next
 island of its deme, and the best elite wins. A deme that reaches the lower
 bound (total length over sequence length) stops at once.
 
-A word's ids do not depend on the words around it, so each task tokenises the
+Ids are the tokenizer's own: the strings of its special tokens in a text become
+their ids. A word's ids do not depend on the words around it, so each task tokenises the
 distinct words of a block once and gathers the ids of whole texts from them.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
@@ -56,7 +58,6 @@ class WordIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.prints = Fingerprints()
         self.known, self.start, self.count = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.flat = np.empty(0, np.uint32)
@@ -209,14 +210,18 @@ def _to_bins(which: np.ndarray) -> list[list[int]]:
 def pack(parts: DataFrame, sequence: int = SEQUENCE, deme: int = DEME, islands: int = ISLANDS,
          epochs: int = EPOCHS, seed: int = 10) -> DataFrame:
     """``parts`` (with column ``length``) plus sequence_id and offset."""
-    parts = written(parts.withColumn("row", F.monotonically_increasing_id()), "pack-pieces")
+    names = [c for c in ("doc_id", "piece", "ids_crc32") if c in parts.columns]
+    # in order of length; the last key splits a row that has many copies over partitions
+    keyed = parts.withColumn("h", F.xxhash64(F.lit(seed), *names, "length")).withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
+    keyed = keyed.repartitionByRange("length", "h", "salt").sortWithinPartitions("length", "h", "salt")
+    parts = written(keyed.drop("salt").withColumn("row", F.monotonically_increasing_id()), "pack-pieces")
     short = parts.where(F.col("length") < sequence)
     demes = max(1, -(-short.count() // deme))
-    # a deme is one packed row; its pieces come in hash order, so reruns agree
-    names = [c for c in ("doc_id", "piece") if c in parts.columns]
-    order = F.xxhash64(F.lit(seed), *names, "length")
+    # the place within the partition deals the rows in turn, from a start of the partition's own
+    turn = F.col("row").bitwiseAND(F.lit((1 << 33) - 1)) + F.shiftright("row", 33) * F.lit(0x9E3779B1)
+    # a deme is one packed row; its pieces come in hash order
     groups = written(
-        short.select(F.pmod(order, F.lit(demes)).alias("deme"), order.alias("h"), "length", "row")
+        short.select(F.pmod(turn, F.lit(demes)).alias("deme"), "h", "length", "row")
         .groupBy("deme").agg(F.array_sort(F.collect_list(F.struct("h", "length", "row"))).alias("p"))
         .select("deme", F.transform("p", lambda x: x["length"]).alias("sizes"), F.transform("p", lambda x: x["row"]).alias("rows")), "pack-demes")
 
@@ -250,7 +255,7 @@ def pack(parts: DataFrame, sequence: int = SEQUENCE, deme: int = DEME, islands:
     placed = placed.select("row", (F.col("deme") * F.lit(1 << 24) + F.col("bin")).alias("sequence_id"),
                            F.coalesce(F.sum("size").over(inside), F.lit(0)).alias("offset"))
     alone = parts.where(F.col("length") >= sequence).select("row", (-F.col("row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return parts.join(placed.unionByName(alone), "row").drop("row")
+    return parts.join(placed.unionByName(alone), "row").drop("row", "h")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -> DataFrame:

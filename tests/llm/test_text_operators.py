@@ -395,6 +395,23 @@ def test_pieces_and_packing(spark):
     assert packing.pack_documents(frame(spark, []), tokenizer_path()).count() == 0
 
 
+def test_special_token_strings_get_the_tokenizers_ids(spark):
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    texts = ["abc <|endoftext|> def", "abc<|endoftext|>def", "<|startoftext|>", "<|STARTOFTEXT|> x <|endoftext", "a  <|endoftext|><|endoftext|>\n b", "\x01 <|endoftext|>"]
+    got = packing.pieces(frame(spark, [(k, t, "en", "a") for k, t in enumerate(texts)]), tokenizer_path()).collect()
+    for r in got:
+        ids = tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids + [1]
+        assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+
+
+def test_rows_without_ids_and_copies_spread_over_demes(spark):
+    for a, b in ((2500, 1500), (2222, 1777)):
+        rows = spark.range(8200).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "0 AS piece", f"IF(id < 4100, {a}, {b}) AS length", "CAST(5 AS BIGINT) AS ids_crc32")
+        got = packing.pack(rows.repartition(4)).groupBy("sequence_id").sum("length").collect()
+        assert len(got) <= 4100 * 1.01 and max(r[1] for r in got) <= 4096 and sum(r[1] for r in got) == 4100 * (a + b)
+
+
 def test_crossover_and_mutation_keep_every_piece():
     rng = np.random.default_rng(4)
     sizes = rng.integers(1, 100, 80).tolist()
