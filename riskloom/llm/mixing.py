@@ -5,7 +5,12 @@ point falls into one source's share of the cumulative weights. The slots of a
 source are ranked; turn r takes the r-th block of that source's shuffled
 documents, cyclically, until the source's target is met (its last block is
 cut). The points are evenly spread over every prefix, so every prefix of the
-mix has about the target shares.
+schedule has about the target shares.
+
+``schedule`` gives the slots with their source, turn, block and words; what a
+document contributes (``mix``) is the sum over the slots that hold a part of
+it, and ``mixed_documents`` lays every copy of a document out at the slot that
+holds its first word, in the order of the slots.
 
 Only the list of sources (one row each, the mix's specification) reaches the
 driver. Documents stay distributed: their places in the shuffled order come
@@ -114,8 +119,8 @@ def _need(size: int, target: float, block_words: int) -> int:
     return passes * -(-size // block_words) + -(-rest // block_words)
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 8) -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target, taken, text_key (hash of doc_id and text)."""
+def _laid_out(docs: DataFrame, seed: int) -> tuple[DataFrame, list[tuple[str | None, int, float]]]:
+    """Every document's place in its source's shuffled order (``place``, ``at``: words before it), and the sources' targets."""
     spark = docs.sparkSession
     sized = written(docs.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "source",
@@ -133,22 +138,33 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 8) -> DataF
         "place", "range", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
     inside = Window.partitionBy("place", "range").orderBy("h", "doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
     at = rows.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(base.hint("merge"), ["place", "range"])
-    at = at.withColumn("at", F.col("base") + F.col("within"))
+    return at.withColumn("at", F.col("base") + F.col("within")), targets
+
+
+def _sizes(spark, targets: list[tuple[str | None, int, float]], block_words: int) -> DataFrame:
+    return spark.createDataFrame([(k, s, -(-n // block_words), n, round(t)) for k, (s, n, t) in enumerate(targets)],
+                                 "place long, source string, blocks long, words long, goal long")
+
+
+def schedule(spark, targets: list[tuple[str | None, int, float]], block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(slot, place, source, turn, block, words): what the mix takes, in order; a slot holds one block, its source's last one up to the target."""
+    sizes = _sizes(spark, targets, block_words)
+    slots = turns(spark, targets, block_words).join(F.broadcast(sizes.where("blocks > 0")), "place")  # one row per source
+    block, whole = F.expr("turn % blocks"), F.expr(f"least({block_words}, words - (turn % blocks) * {block_words})")
+    upto = F.expr(f"goal - (turn div blocks) * words - (turn % blocks) * {block_words}")
+    return slots.select("slot", "place", "source", "turn", block.alias("block"), F.least(whole, upto).alias("words"))
 
+
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 8) -> DataFrame:
+    """One row per document: doc_id, size, source, source_size, target, taken, text_key (hash of doc_id and text)."""
+    at, targets = _laid_out(docs, seed)
     # a document's share of each block (place, block): words [lo, hi) of the block
     cut = at.where("size > 0").select("row", "place", "at", "size", F.explode(F.expr(
         f"sequence(at div {block_words}, (at + size - 1) div {block_words})")).alias("block")).select(
         "row", "place", "block",
         F.greatest(F.lit(0), F.col("at") - F.col("block") * block_words).alias("lo"),
         F.least(F.lit(block_words), F.col("at") + F.col("size") - F.col("block") * block_words).alias("hi"))
-
-    sizes = spark.createDataFrame([(k, -(-n // block_words), n, round(t)) for k, (_, n, t) in enumerate(targets)],
-                                  "place long, blocks long, words long, goal long")
-    slots = turns(spark, targets, block_words).join(F.broadcast(sizes.where("blocks > 0")), "place")
-    # a turn takes the whole block, but for the last one, which stops at the target
-    used = slots.select("place", F.expr("turn % blocks").alias("block"), F.expr(
-        f"least({block_words}, goal - (turn div blocks) * words - (turn % blocks) * {block_words})").alias("reach"))
-    used = used.groupBy("place", "block", "reach").agg(F.count("*").alias("times"))
+    used = schedule(docs.sparkSession, targets, block_words).groupBy("place", "block", F.col("words").alias("reach")).agg(F.count("*").alias("times"))
     taken = (cut.join(used.hint("merge"), ["place", "block"])
              .groupBy("row").agg(F.sum(F.expr("times * greatest(0, least(hi, reach) - lo)")).alias("taken")))
     return at.join(taken.hint("merge"), "row", "left").select(
@@ -156,14 +172,27 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 8) -> DataF
 
 
 def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 8) -> DataFrame:
-    """The mix itself: every document as often as it is taken; the one at a source's target is cut after its last word taken."""
-    taken = (mix(docs, block_words, seed).where("taken > 0").groupBy(F.col("doc_id").alias("mix_id"), F.col("text_key").alias("mix_key"))
-             .agg(F.first("size").alias("mix_size"), F.sum("taken").alias("mix_taken")))
+    """The mix itself, in slot order: every document as often as it is taken; the one at a source's target is cut after its last word taken.
+
+    A copy of a document stands at the slot of its first word: its source's
+    pass over the shuffled documents and its block there make the turn, and
+    the schedule has the turn's slot. Rows lie in order of the slots over the
+    partitions and within each.
+    """
+    spark = docs.sparkSession
+    at, targets = _laid_out(docs, seed)
+    sizes = _sizes(spark, targets, block_words).drop("source")
+    passes = F.expr("IF(goal > at, (goal - at - 1) div words, -1)")  # the last pass that reaches the document's first word
+    copies = at.where("size > 0").join(F.broadcast(sizes), "place").where(passes >= 0).select(
+        F.col("doc_id").alias("mix_id"), F.col("h").alias("mix_key"), "place", "at", F.col("size").alias("mix_size"), "blocks", "words", "goal",
+        F.explode(F.sequence(F.lit(0), passes)).alias("pass"))
+    copies = copies.select("mix_id", "mix_key", "place", "at", "mix_size", F.expr(f"pass * blocks + at div {block_words}").alias("turn"),
+                           F.expr("least(mix_size, goal - pass * words - at)").alias("mix_copy"))
+    slots = schedule(spark, targets, block_words).select("place", "turn", F.col("slot").alias("mix_slot"))
+    placed = copies.join(slots.hint("merge"), ["place", "turn"])
     keyed = docs.withColumn("mix_text", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))).dropDuplicates(["doc_id", "mix_text"])
-    both = keyed.join(taken.hint("merge"), (F.col("mix_text") == F.col("mix_key")) & F.col("doc_id").eqNullSafe(F.col("mix_id")))
-    part = F.expr("mix_taken % mix_size")
-    # how many words each copy holds: whole ones, then the rest
-    copies = both.withColumn("mix_copy", F.explode(F.concat(
-        F.expr("array_repeat(mix_size, int(mix_taken div mix_size))"), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")))))
+    both = keyed.join(placed.select("mix_id", "mix_key", F.col("at").alias("mix_at"), "mix_size", "mix_copy", "mix_slot").hint("merge"),
+                      (F.col("mix_text") == F.col("mix_key")) & F.col("doc_id").eqNullSafe(F.col("mix_id")))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)), 1, F.col("mix_copy").cast("int")), " ")
-    return copies.withColumn("text", F.when(F.col("mix_copy") < F.col("mix_size"), cut).otherwise(F.col("text"))).select(*docs.columns)
+    ordered = both.withColumn("text", F.when(F.col("mix_copy") < F.col("mix_size"), cut).otherwise(F.col("text")))
+    return ordered.repartitionByRange("mix_slot", "mix_at").sortWithinPartitions("mix_slot", "mix_at").select(*docs.columns)

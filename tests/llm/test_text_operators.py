@@ -253,10 +253,64 @@ def test_targets_share_the_excess_again():
     assert got[1][2] == 6 and math.isclose(got[3][2], min(24, left / 5)) and math.isclose(sum(t for *_, t in got), 160)
 
 
-def test_mixed_documents_hold_the_words_taken(spark):
+def targets_by_hand(sizes):
+    """The contract's rule: weights 1, 2, 3 by code point, null last; shares above three times a source are shared again."""
+    names = sorted(s for s in sizes if s is not None) + [s for s in sizes if s is None]
+    weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(names)}
+    total, full = sum(sizes.values()), {}
+    while True:
+        rest, unit = total - sum(full.values()), sum(w for s, w in weight.items() if s not in full)
+        share = {s: full.get(s, rest * weight[s] / unit if unit else 0) for s in names}
+        over = {s: 3 * sizes[s] for s in names if s not in full and share[s] > 3 * sizes[s]}
+        if not over:
+            return share
+        full |= over
+
+
+def test_targets_equal_the_rule():
+    rng = random.Random(6)
+    for _ in range(200):
+        sizes = {s: rng.choice([0, 1, 10, rng.randrange(10000)]) for s in rng.sample(["a", "b", "é", "Z", "", None, "zz"], rng.randrange(1, 8))}
+        if not sum(sizes.values()):
+            continue
+        want = targets_by_hand(sizes)
+        assert all(math.isclose(t, want[s], abs_tol=1e-6) for s, _, t in mixing.source_targets(sizes))
+
+
+@pytest.mark.parametrize("sizes", [{"a": 90_000, "b": 50_000, "c": 20_000, None: 700}, {"a": 100_000, "b": 10, "c": 100_000}])
+def test_every_prefix_of_the_schedule_has_the_target_shares(spark, sizes):
+    targets = mixing.source_targets(sizes)
+    total, block = sum(t for *_, t in targets), 64
+    rows = mixing.schedule(spark, targets, block).orderBy("slot", "turn").collect()
+    words = collections.Counter()
+    for k, r in enumerate(rows):
+        words[r.source] += r.words
+        assert all(abs(words[s] - t / total * sum(words.values())) <= 6 * block for s, _, t in targets), k
+    assert {s: words[s] for s, *_ in targets} == {s: round(t) for s, _, t in targets}
+    by_source = collections.defaultdict(list)
+    for r in rows:
+        by_source[r.source].append(r.turn)
+    assert all(sorted(t) == list(range(len(t))) for t in by_source.values())
+
+
+def test_taken_is_the_sum_over_the_slots(spark, monkeypatch):
+    """Another schedule gives another mix: a schedule without one source's slots takes nothing of it."""
+    whole = mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda *a: whole(*a).where("source = 'b'"))
+    assert {r.source for r in mixing.mix(frame(spark), block_words=16).where("taken > 0").collect()} == {"b"}
+    assert {r.source for r in mixing.mixed_documents(frame(spark), block_words=16).collect()} == {"b"}
+
+
+def test_mixed_documents_hold_the_words_taken_in_slot_order(spark):
     taken = sum(r.taken for r in mixing.mix(frame(spark), block_words=16).collect())
     out = mixing.mixed_documents(frame(spark), block_words=16).collect()
     assert sum(len(TOKEN.findall(r.text)) for r in out) == taken
+    rows = [(k, " ".join(["w"] * 40), "en", "abc"[k % 3]) for k in range(900)]
+    mixed = mixing.mixed_documents(frame(spark, rows), block_words=64).collect()
+    seen, share = collections.Counter(), {"a": 1 / 6, "b": 2 / 6, "c": 3 / 6}
+    for k, r in enumerate(mixed, 1):
+        seen[r.source] += 1
+        assert all(abs(seen[s] - share[s] * k) <= 8 for s in share), (k, seen)
 
 
 # --- passages
