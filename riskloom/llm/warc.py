@@ -109,11 +109,18 @@ def _record_id(page_id, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}')}>"
 
 
+def slices(batches, rows: int = 32):
+    """The batches a few rows at a time: with chunks of 64 KB, about two megabytes are Python objects at once."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def record_bytes(chunks: DataFrame) -> DataFrame:
     """One WARC record (without its terminator) per chunk row, in chunk order."""
     def encode(batches):
         task, record = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for r in batch.to_pylist():
                 record += r["chunk"] == 0  # tells repeated rows apart, whose record ids are the same
@@ -253,7 +260,7 @@ def _put_together(batches):
     """Chunk rows of long records from their segments in order; only the digest and the length so far are held."""
     def rows():
         key, sha, start, number, first = None, None, 0, 0, None
-        for batch in batches:
+        for batch in slices(batches):
             for r in batch.to_pylist():
                 if r["record_key"] != key:
                     if key is not None and first is not None:
