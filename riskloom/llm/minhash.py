@@ -296,6 +296,19 @@ def crowded_links(crowd: DataFrame, held: DataFrame, idf, similar: float) -> Dat
     return dealt.groupBy("pair").applyInArrow(compare, "x long, y long, sim double")
 
 
+def joined_components(linked: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after more links (x, y): only the components that the new links join are worked on."""
+    def top(side: str) -> DataFrame:
+        return linked.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+    contracted = links.select("x", "y").join(top("x"), "x", "left").join(top("y"), "y", "left").select(
+        F.coalesce("of_x", "x").alias("src"), F.coalesce("of_y", "y").alias("dst")).where("src <> dst")
+    moved = components(contracted)
+    old = linked.join(moved.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select(
+        "node", F.coalesce("top", "component").alias("component"))
+    new = moved.join(linked.select("node"), "node", "left_anti").select("node", "component")
+    return written(old.unionByName(new), "near-components")
+
+
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id of its group), kept (one per group), text_key (hash of its text)."""
     spark = docs.sparkSession
@@ -335,8 +348,9 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, bands: int = BAND
             if crowd.isEmpty():
                 break
             found = crowded_links(crowd, held, idf, similar)
-        known = known.unionByName(written(found, f"near-sim{turn}"))
-        linked = components(known.where(F.col("sim") >= similar).select(F.col("x").alias("src"), F.col("y").alias("dst")))
+        found = written(found, f"near-sim{turn}")
+        known = known.unionByName(found)
+        linked = joined_components(linked, found.where(F.col("sim") >= similar))
     linked = linked.withColumnRenamed("node", "cls")
 
     grouped = classes.select("a", "b", "cls").join(linked, "cls", "left").select("a", "b", F.coalesce("component", "cls").alias("grp"))

@@ -152,7 +152,12 @@ def fit(sample: list[tuple[float, bytes]], df: np.ndarray, n: int, latent: int =
     for i, (_, packed) in enumerate(sample):
         column, value = np.frombuffer(packed, "<i4").reshape(2, -1)
         counts[i, column] = value
-    x = weigh(counts, idf)
+    np.sqrt(counts, out=counts)  # as weigh(), in the one array that is there
+    counts *= idf
+    x = counts
+    for lo in range(0, len(x), 256):
+        length = np.sqrt((x[lo : lo + 256] ** 2).sum(axis=1, keepdims=True))
+        x[lo : lo + 256] /= np.where(length > 0, length, 1)
     # truncated SVD: orthonormal range of random projections after three power steps
     basis = np.random.default_rng(3).standard_normal((DIMS, latent + 16)).astype(np.float32)
     for _ in range(4):
