@@ -122,7 +122,9 @@ def _carried(edges: list, ahead: str, behind: str) -> dict[int, tuple[int, int]]
 def average_rank_pct(df: DataFrame, value: str, out: str, groups: list[str] | None = None) -> DataFrame:
     """Adds ``out`` = average-tie rank / count of non-null values, per group (NULL and NaN stay unranked).
 
-    NULL group keys form one group. ``df`` is read once and written once.
+    NULL group keys form one group. ``df`` is written once and read twice, the
+    first time for a sample of its keys that sets the ranges: pass a stored
+    table rather than a long computation.
     """
     groups = list(groups or [])
     names = df.columns

@@ -61,7 +61,8 @@ def with_top_flags(df: DataFrame, pct: str, prefix: str) -> DataFrame:
 def _ranked(ds: DataFrame, scorer: str, which: str, fitted) -> DataFrame:
     """One model's narrow frame: id, score, percentile and top-share flags."""
     name, pct, prefix = MODELS[which][:3]
-    s = fitted(which).score(ds, name) if scorer == "forest" else _stand_in(ds, name)
+    # the range exchange of the rank reads its input twice (once for a sample): score once
+    s = materialise(fitted(which).score(ds, name), "scores") if scorer == "forest" else _stand_in(ds, name)
     r = with_top_flags(average_rank_pct(s, name, pct), pct, prefix)
     if which == "initial":
         r = r.withColumnsRenamed({n: f"{n}_anomaly" for _, n in SHARES})
