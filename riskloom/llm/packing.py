@@ -212,6 +212,8 @@ def pack(parts: DataFrame, sequence: int = SEQUENCE, deme: int = DEME, islands:
     """``parts`` (with column ``length``) plus sequence_id and offset."""
     names = [c for c in ("doc_id", "piece", "ids_crc32") if c in parts.columns]
     # in order of length; the last key splits a row that has many copies over partitions
+    # written first: finding the ranges reads the pieces once more, and they must not be tokenised again for it
+    parts = written(parts, "pack-tokens")
     keyed = parts.withColumn("h", F.xxhash64(F.lit(seed), *names, "length")).withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
     keyed = keyed.repartitionByRange("length", "h", "salt").sortWithinPartitions("length", "h", "salt")
     parts = written(keyed.drop("salt").withColumn("row", F.monotonically_increasing_id()), "pack-pieces")
