@@ -32,12 +32,14 @@ def bucket_count(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // BUCKET_BYTES), MOST_BUCKETS))
 
 
-def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """Writes ``df`` bucketed and sorted by ``key`` as table ``name``, and reads it back."""
+def write_bucketed(df: DataFrame, name: str, key: str | tuple[str, ...], buckets: int) -> DataFrame:
+    """Writes ``df`` bucketed and sorted by ``key`` (one column or several) as table ``name``, and reads it back."""
     spark = df.sparkSession
     path = f"{run_folder(spark)}/{name}"
-    spread = df.repartition(buckets, f"`{key}`").sortWithinPartitions(f"`{key}`")
-    spread.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    keys = (key,) if isinstance(key, str) else key
+    quoted = [f"`{k}`" for k in keys]
+    spread = df.repartition(buckets, *quoted).sortWithinPartitions(*quoted)
+    spread.write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
