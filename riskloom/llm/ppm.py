@@ -9,12 +9,24 @@ shorter context leaves out the symbols the longer one has seen (exclusion),
 down to equal chances for the bytes never seen. The code length is summed per
 document, log10.
 
-Every context of the training documents is counted; the ``CONTEXTS`` most
-frequent ones form the trie that is broadcast, so the broadcast is bounded
-while the counts grow with the corpus. With a given ``trie`` the operator
-scores with that pretrained model instead. Tasks turn the trie into a table of
-states: a state is the longest known context, so many stretches of text are
-scored side by side, each warmed up by the ``ORDER`` bytes before it.
+The chance of a byte depends on the ``ORDER`` bytes before it and itself, its
+gram. So the model is worked out once for every distinct gram of all documents:
+
+1. Blocks count their distinct grams, and one exchange adds them up (grams of
+   held-out documents count 0). They grow with the corpus, and none is dropped.
+2. Grams are dealt by the last three bytes of their context, so every context
+   of three bytes or more meets all its suffixes in one place; a chunk of whole
+   groups is turned into chances level by level (``Level``). A group has at
+   most 2^24 grams. The contexts of up to two bytes have at most 2^24 grams in
+   all and are broadcast.
+3. Texts are scored block by block: the ``COMMON`` most frequent grams are
+   broadcast, the other distinct grams of a block are joined with their chances
+   by an exchange and come back to the block.
+
+With a given ``trie`` the operator scores with that pretrained model instead.
+Tasks turn the trie into a table of states: a state is the longest known
+context, so many stretches of text are scored side by side, each warmed up by
+the ``ORDER`` bytes before it.
 
 Token counts for the base score: the ``FREQUENT`` most frequent training
 tokens are broadcast; the others are joined by a shuffle.
@@ -28,15 +40,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .align import packed, unpacked
 from .tables import written
 from .text import Fingerprints, blocks, lower_ascii, ragged, word_prints
 
 ORDER = 5
-CONTEXTS = 1 << 16
 FREQUENT = 1 << 17
+#: Grams whose chances are broadcast; the others are joined.
+COMMON = 1 << 20
+#: Bytes of a block that is scored at a time.
+BLOCK = 2 << 20
+#: Grams turned into chances at a time, beyond the group that is being read.
+CHUNK = 1 << 20
 BLANK, END = 0x20, 0x0A
 #: Bytes scored in one stretch.
 STRETCH = 256
@@ -112,7 +131,7 @@ class _Folder:
 
 
 def gather(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(kind, key, n): counts of context-and-byte grams (kind 0) and tokens (kind 1) in the training documents."""
+    """(kind, key, n): counts in the training documents of the context-and-byte grams of all documents (kind 0) and of tokens (kind 1)."""
     def emit(kind: int, key: np.ndarray, count: np.ndarray):
         key = key.view(np.int64) if key.dtype == np.uint64 else key
         for lo in range(0, len(key), 100_000):
@@ -125,35 +144,108 @@ def gather(docs: DataFrame, order: int = ORDER) -> DataFrame:
         for rows, data, offsets in blocks(batches):
             word, start, end, first = word_prints(prints, data, offsets)
             text, at = stream(data, offsets, start, end, first)
-            for kind, values in ((0, context_codes(text, at, order)),
-                                 (1, np.concatenate([word, np.full(rows.num_rows, END_TOKEN, np.int64).view(np.uint64)]))):
-                if full := folders[kind].add(*_distinct(values)):
+            out = np.asarray(rows.column(rows.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False), bool)
+            codes, outside = context_codes(text, at, order), np.repeat(out, np.diff(at))
+            unseen = np.unique(codes[outside])
+            own = np.repeat(~out, np.diff(first))
+            for kind, (values, counts) in ((0, _distinct(codes[~outside])), (0, (unseen, np.zeros(len(unseen), np.int64))),
+                                           (1, _distinct(np.concatenate([word[own], np.full(int((~out).sum()), END_TOKEN, np.int64).view(np.uint64)])))):
+                if full := folders[kind].add(values, counts):
                     yield from emit(kind, *full)
         for kind in (0, 1):
             yield from emit(kind, *folders[kind].fold())
 
-    counted = docs.where(~held_out()).select("text").mapInArrow(count, "kind int, key long, n long")
+    counted = docs.select(held_out().alias("held_out"), "text").mapInArrow(count, "kind int, key long, n long")
     return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def choose_trie(grams: DataFrame, order: int = ORDER, contexts: int = CONTEXTS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per context length: (context, symbol, count) of the most frequent contexts, at most ``contexts`` in all."""
-    levels = []
-    for k in range(order + 1):
-        code = F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1)
-        level = grams.groupBy(code.alias("key")).agg(F.sum("n").alias("n")) if k < order else grams.select(code.alias("key"), "n")
-        levels.append(level.select(F.lit(k).alias("k"), F.shiftright("key", 8).alias("context"), F.col("key").bitwiseAND(255).alias("symbol"), "n"))
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.unionByName(level)
-    every = written(every, "ppm-grams")
-    # a context's suffix is at least as frequent and comes first, so the chosen set holds it
-    top = (every.groupBy("k", "context").agg(F.sum("n").alias("total"))
-           .orderBy(F.desc("total"), "k", "context").limit(contexts).select("k", "context"))
-    rows = every.join(F.broadcast(top), ["k", "context"]).toArrow().sort_by([("k", "ascending"), ("context", "ascending"), ("symbol", "ascending")])
-    column = lambda c: rows.column(c).to_numpy().astype(np.int64)
-    k, context, symbol, n = (column(c) for c in ("k", "context", "symbol", "n"))
-    return [(context[k == j], symbol[k == j], n[k == j]) for j in range(order + 1)]
+class Level:
+    """Chances of the grams of one context length, from those one byte shorter.
+
+    ``gram``: distinct and sorted, ``p``: chance of the last byte in the context
+    of the others, ``after``: its chance after an escape from that context.
+    """
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray, up: Level | None) -> None:
+        self.gram, self.n = gram, n.astype(np.float64)
+        context = gram >> np.uint64(8)
+        head = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(gram) else np.empty(0, np.int64)
+        width = np.diff(np.append(head, len(gram)))
+
+        def whole(values: np.ndarray) -> np.ndarray:
+            """Sums over a context, for each of its grams."""
+            return np.repeat(np.add.reduceat(values, head), width) if len(gram) else values
+        seen = self.n > 0
+        self.total, self.symbols = whole(self.n), whole(seen.astype(np.float64))
+        total = np.where(self.total > 0, self.total, 1)
+        if up is None:
+            self.after = 1.0 / np.maximum(1, 256 - self.symbols)
+            shorter = self.after  # without any training text all bytes are equally likely
+        else:
+            at = np.searchsorted(up.gram, gram & np.uint64((1 << 8 * up.bytes) - 1))
+            theirs, later, shorter = up.n[at], up.after[at], up.p[at]
+            left = up.total[at] - whole(np.where(seen, theirs, 0.0))  # what the shorter context has seen beyond this one
+            safe = np.where(left > 0, left, 1)
+            new = up.symbols[at] - self.symbols
+            self.after = np.where(left > 0, np.where(theirs > 0, (theirs - 0.5) / safe, new / 2 / safe * later), later)
+        own = np.where(seen, (self.n - np.where(self.symbols < 256, 0.5, 0)) / total, self.symbols / 2 / total * self.after)
+        self.p = np.where(self.total > 0, own, shorter)
+        self.bytes = 1 if up is None else up.bytes + 1
+
+
+def _shortened(gram: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the last ``size`` bytes of grams."""
+    return _folded([gram & np.uint64((1 << 8 * size) - 1)], [n])
+
+
+def levels(gram: np.ndarray, n: np.ndarray, sizes: range, up: Level | None) -> Level:
+    """The level of the longest of ``sizes``, built from the shortest on; grams are whole groups of what ``up`` tells apart."""
+    for size in sizes:
+        up = Level(*_shortened(gram, n, size), up)
+    return up
+
+
+#: Bytes of the grams that are broadcast: contexts of up to two bytes.
+SHORT = 3
+
+
+def gram_chances(grams: DataFrame, order: int) -> DataFrame:
+    """(key, n, logp): log10 of the chance of every gram."""
+    spark = grams.sparkSession
+    short = min(SHORT, order + 1)
+    low = grams.groupBy(F.col("key").bitwiseAND((1 << 8 * short) - 1).alias("key")).agg(F.sum("n").alias("n")).toArrow().sort_by("key")
+    base = spark.sparkContext.broadcast(levels(low.column("key").to_numpy().astype(np.uint64), low.column("n").to_numpy(), range(1, short + 1), None))
+
+    def chances(batches):
+        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def done(parts):
+            tail, key, n = (np.concatenate(x) for x in zip(*parts))
+            by_key = np.argsort(key)
+            key, n = key[by_key], n[by_key]
+            top = levels(key, n, range(short + 1, order + 2), base.value)
+            logp = np.log10(top.p[np.searchsorted(top.gram, key)])
+            for lo in range(0, len(key), 100_000):
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key[lo : lo + 100_000].view(np.int64)), "n": pa.array(n[lo : lo + 100_000], pa.int64()),
+                                                  "logp": pa.array(logp[lo : lo + 100_000])})
+        for batch in batches:
+            tail, key, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()
+            if held >= CHUNK and len(tail):  # a group that goes on is kept whole
+                last = waiting[-1][0][-1]
+                cut = int(np.searchsorted(tail, last, side="right"))
+                if cut < len(tail):
+                    yield from done([*waiting, (tail[:cut], key[:cut], n[:cut])])
+                    waiting, held, tail, key, n = [], 0, tail[cut:], key[cut:], n[cut:]
+            if len(tail):
+                waiting.append((tail, key, n))
+                held += len(tail)
+        if waiting:
+            yield from done(waiting)
+
+    tail = F.shiftright("key", 8).bitwiseAND((1 << 8 * SHORT) - 1)
+    dealt = grams.select(tail.alias("tail"), "key", "n").repartition("tail").sortWithinPartitions("tail")
+    return written(dealt.mapInArrow(chances, "key long, n long, logp double"), "ppm-chances")
 
 
 class Model:
@@ -233,46 +325,91 @@ def _model(shared: dict) -> Model:
     return shared["model"]
 
 
-def score(docs: DataFrame, order: int = ORDER, contexts: int = CONTEXTS, frequent: int = FREQUENT,
-          trie: list | None = None) -> DataFrame:
+DOC = "block long, place long, doc_id long, held_out boolean, n_tokens long, known long, gain double, score double, rare array<long>, misses binary, codes array<long>"
+DOC_COLUMNS = [c.split()[0] for c in DOC.split(", ")]
+SCORED = "doc_id long, held_out boolean, n_tokens long, known long, gain double, score double, rare array<long>"
+
+
+def _finished(chances: pa.Table, docs: pa.Table) -> pa.Table:
+    """A block's documents with the chances of its joined grams added; ``chances`` has (slot, logp) of each."""
+    slot = chances.column("slot").to_numpy()
+    logp = np.zeros(int(slot.max(initial=-1)) + 1)
+    logp[slot] = chances.column("logp").to_numpy()
+    more = [float(logp[unpacked(m)].sum()) if m else 0.0 for m in docs.column("misses").to_pylist()]
+    names = [c.split()[0] for c in SCORED.split(", ")]
+    return pa.table({c: pa.array(docs.column(c).to_numpy() + np.array(more)) if c == "score" else docs.column(c) for c in names})
+
+
+def score(docs: DataFrame, order: int = ORDER, frequent: int = FREQUENT, common: int = COMMON, trie: list | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     spark = docs.sparkSession
     counts = written(gather(docs, order), "ppm-counts")
     tokens = counts.where("kind = 1").select("key", "n")
-    if trie is None:
-        trie = choose_trie(counts.where("kind = 0").select("key", "n"), order, contexts)
     total = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     often = tokens.orderBy(F.desc("n"), "key").limit(frequent).toArrow().sort_by("key")
-    shared = spark.sparkContext.broadcast({"trie": trie})
     known = spark.sparkContext.broadcast((often.column("key").to_numpy(), often.column("n").to_numpy()))
+    shared = spark.sparkContext.broadcast({"trie": trie})
+    if trie is None:
+        chances = gram_chances(counts.where("kind = 0").select("key", "n"), order)
+        top = chances.orderBy(F.desc("n"), "key").limit(common).select("key", "logp").toArrow().sort_by("key")
+        spread = spark.sparkContext.broadcast((top.column("key").to_numpy().view(np.uint64), top.column("logp").to_numpy()))
 
-    def run(batches):
-        model, prints = _model(shared.value), Fingerprints()
+    def tokens_of(word: np.ndarray, first: np.ndarray, n: int) -> dict:
         keys, n_of = known.value
-        for rows, data, offsets in blocks(batches):
-            word, start, end, first = word_prints(prints, data, offsets)
-            text, at = stream(data, offsets, start, end, first)
-            n = rows.num_rows
-            doc = np.concatenate([np.repeat(np.arange(n), np.diff(first)), np.arange(n)])
-            token = np.concatenate([word.view(np.int64), np.full(n, END_TOKEN, np.int64)])
-            value, back = np.unique(token, return_inverse=True)
-            place = np.minimum(np.searchsorted(keys, value), max(0, len(keys) - 1))
-            hit = keys[place] == value if len(keys) else np.zeros(len(value), bool)
-            seen = np.where(hit, n_of[place] if len(keys) else 0, 0)
-            rare = ~hit[back]
-            order_ = np.lexsort((token[rare], doc[rare]))
-            r_doc, r_token = doc[rare][order_], token[rare][order_]
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": rows.column(rows.schema.get_field_index("doc_id")),
-                "held_out": rows.column(rows.schema.get_field_index("held_out")),
-                "n_tokens": pa.array(np.diff(first) + 1, pa.int64()),
+        doc = np.concatenate([np.repeat(np.arange(n), np.diff(first)), np.arange(n)])
+        token = np.concatenate([word.view(np.int64), np.full(n, END_TOKEN, np.int64)])
+        value, back = np.unique(token, return_inverse=True)
+        place = np.minimum(np.searchsorted(keys, value), max(0, len(keys) - 1))
+        hit = keys[place] == value if len(keys) else np.zeros(len(value), bool)
+        seen = np.where(hit, n_of[place] if len(keys) else 0, 0)
+        rare = ~hit[back]
+        order_ = np.lexsort((token[rare], doc[rare]))
+        r_doc, r_token = doc[rare][order_], token[rare][order_]
+        return {"n_tokens": pa.array(np.diff(first) + 1, pa.int64()),
                 "known": pa.array(np.bincount(doc, weights=hit[back], minlength=n).astype(np.int64)),
                 "gain": pa.array(np.bincount(doc, weights=np.log10(seen + 1.0)[back], minlength=n)),
-                "score": pa.array(model.score(text, at)),
-                "rare": pa.ListArray.from_arrays(pa.array(np.searchsorted(r_doc, np.arange(n + 1)), pa.int32()), pa.array(r_token, pa.int64()))})
+                "rare": pa.ListArray.from_arrays(pa.array(np.searchsorted(r_doc, np.arange(n + 1)), pa.int32()), pa.array(r_token, pa.int64()))}
+
+    def grams_of(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[bytes | None], np.ndarray]:
+        """Per document the sum over its broadcast grams and its other grams as slots, and the grams of the slots."""
+        keys, logp = spread.value
+        n = len(at) - 1
+        value, back = np.unique(context_codes(text, at, order), return_inverse=True)
+        place = np.minimum(np.searchsorted(keys, value), max(0, len(keys) - 1))
+        hit = keys[place] == value if len(keys) else np.zeros(len(value), bool)
+        logs = np.where(hit, logp[place], 0.0) if len(keys) else np.zeros(len(value))
+        sums = np.bincount(np.repeat(np.arange(n), np.diff(at)), weights=logs[back], minlength=n)
+        slot = np.where(hit, -1, np.cumsum(~hit) - 1)[back]
+        missed = slot >= 0
+        cuts = np.concatenate([[0], np.cumsum(missed)])[at]
+        slot = slot[missed]
+        return sums, [packed(slot[a:b]) if b > a else None for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())], value[~hit]
 
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, gain double, score double, rare array<long>"
-    scored = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(run, schema)
+    def run(batches):
+        prints, task = Fingerprints(), TaskContext.get().partitionId()
+        for k, (rows, data, offsets) in enumerate(blocks(batches, BLOCK)):
+            word, start, end, first = word_prints(prints, data, offsets)
+            text, at = stream(data, offsets, start, end, first)
+            n, block = rows.num_rows, (task << 32) | k
+            if trie is None:
+                sums, misses, codes = grams_of(text, at)
+            else:
+                sums, misses, codes = _model(shared.value).score(text, at), [None] * n, np.empty(0, np.uint64)
+            # the block's joined grams travel with its first document
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.full(n, len(codes))]), pa.int32()), pa.array(codes.view(np.int64)))
+            made = tokens_of(word, first, n) | {
+                "block": pa.array(np.full(n, block), pa.int64()), "place": pa.array(np.arange(n), pa.int64()), "score": pa.array(sums),
+                "misses": pa.array(misses, pa.binary()), "codes": lists}
+            made |= {c: rows.column(rows.schema.get_field_index(c)) for c in ("doc_id", "held_out")}
+            yield pa.RecordBatch.from_pydict({c: made[c] for c in DOC_COLUMNS})
+
+    scored = written(docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(run, DOC), "ppm-blocks")
+    if trie is None:
+        asked = scored.where("size(codes) > 0").select(F.col("block").alias("of_block"), F.posexplode("codes").alias("slot", "key"))
+        answers = asked.join(chances.select("key", "logp").hint("merge"), "key").select("of_block", "slot", "logp")
+        scored = answers.groupBy("of_block").cogroup(scored.drop("codes", "place").groupBy("block")).applyInArrow(_finished, SCORED)
+    else:
+        scored = scored.select(*[c.split()[0] for c in SCORED.split(", ")])
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "ppm-scored")
     if total.v > frequent:
         # tokens outside the broadcast table: unseen ones have count 0 and add nothing, so an inner join is whole

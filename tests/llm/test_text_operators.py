@@ -208,6 +208,62 @@ def test_ppm_counts_and_base_score(spark):
     assert ppm.score(frame(spark, [])).count() == 0
 
 
+def ppm_by_hand(train, texts, order):
+    """log10 probabilities by dictionaries, one byte at a time, with exclusion by sets."""
+    counts = collections.defaultdict(collections.Counter)
+    for text in train:
+        padded = b"\n" * order + text
+        for k in range(order, len(padded)):
+            for j in range(order + 1):
+                counts[padded[k - j : k]][padded[k]] += 1
+
+    def chance(context, symbol):
+        if context and context not in counts:
+            return chance(context[1:], symbol)
+        own, excluded, p = counts.get(context, {}), set(), 1.0
+        while True:
+            left = {b: n for b, n in own.items() if b not in excluded}
+            total = sum(left.values())
+            if total:
+                if symbol in left:
+                    return p * (left[symbol] - (0.5 if excluded or len(left) < 256 else 0)) / total
+                p *= len(left) / 2 / total
+                excluded |= set(left)
+            if not context:
+                return p / max(1, 256 - len(excluded))
+            context = context[1:]
+            own = counts.get(context, {})
+
+    out = []
+    for text in texts:
+        padded = b"\n" * order + text
+        out.append(sum(math.log10(chance(padded[k - order : k], padded[k])) for k in range(order, len(padded))))
+    return out
+
+
+def normal(text):
+    return (" ".join(TOKEN.findall(lower(text))) + "\n").encode()
+
+
+@pytest.mark.parametrize("order", [1, 3, 5])
+@pytest.mark.parametrize("common,chunk", [(1 << 20, 1 << 20), (50, 100), (0, 1)])
+def test_ppm_scores_equal_a_plain_model(spark, monkeypatch, order, common, chunk):
+    """With all grams broadcast, some, or none."""
+    monkeypatch.setattr(ppm, "CHUNK", chunk)
+    rows = [r for r in documents() if len(r[1] or "") < 1500] + [(20 + k, f"abc abd {'ab' * k} é", "en", "a") for k in range(8)]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in rows]
+    want = ppm_by_hand([normal(t) for (_, t, *_), h in zip(rows, held) if not h], [normal(t) for _, t, *_ in rows], order)
+    got = ppm.score(frame(spark, rows), order=order, common=common).collect()
+    assert any(held) and not all(held)
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == sorted((str(i), round(x, 6)) for (i, *_), x in zip(rows, want))
+
+
+def test_ppm_without_training_documents(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:5]
+    got = ppm.score(frame(spark, [(i, "some words", "en", "a") for i in ids])).collect()
+    assert all(math.isclose(r.score, -len(b"some words\n") * math.log10(256), rel_tol=1e-9) and r.train_tokens == 0 for r in got)
+
+
 def test_ppm_is_a_probability_with_escape_and_exclusion():
     """Every state's chances sum to one, and scoring in stretches equals scoring byte by byte."""
     text = np.frombuffer(b"abracadabra abracadabra alakazam\n" * 9, np.uint8)
