@@ -7,18 +7,21 @@ any point of its box can have with the query. A block of queries first
 searches one home shard; its k-th scores are then handed to the searches in all
 other shards, which skip every box whose bound is below it.
 
-Queries meet shards in blocks: each (query block, shard) pair is one row, so
-the work spreads over pairs and a task holds one tree and one block.
+A tree is built once and stored with its boxes. Query blocks are sent to the
+shards they search; a task reads a shard's tree and then streams the blocks
+past it, so it holds one tree and one block, and a shard travels once.
 
 Defined results: vectors that are null, empty, or hold null or non-finite
 components take no part, nor do rows without vec_id; only vectors of the same
 length are compared; repeated rows are separate candidates, and a repeated
-query row counts once; ties go to the smaller vec_id; with no candidates a
+query row counts once; rows are dealt to shards one by one, so many rows of one
+vec_id spread over all; ties go to the smaller vec_id; with no candidates a
 query has no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import copy
 import heapq
 
 import numpy as np
@@ -68,6 +71,29 @@ class Tree:
             self.child[node] = (self._split(index, lo, lo + half, leaf), self._split(index, lo + half, hi, leaf))
         return node
 
+    def packed(self) -> dict[str, bytes]:
+        """The tree as bytes; points are integers."""
+        child = np.array([(-1, -1) if c is None else c for c in self.child])
+        return {"ids": self.ids.astype("<i8").tobytes(), "vectors": self.points.astype("<i8").tobytes(), "low": self.low.astype("<i8").tobytes(),
+                "high": self.high.astype("<i8").tobytes(), "least": self.least.astype("<i8").tobytes(),
+                "span": np.array(self.span).astype("<i8").tobytes(), "child": child.astype("<i8").tobytes()}
+
+    @classmethod
+    def unpacked(cls, parts: dict[str, bytes], dim: int) -> Tree:
+        tree = cls.__new__(cls)
+        tree.ids, tree.least = (np.frombuffer(parts[c], "<i8") for c in ("ids", "least"))
+        tree.points, tree.low, tree.high = (_matrix(parts[c], dim) for c in ("vectors", "low", "high"))
+        tree.span = [tuple(x) for x in _matrix(parts["span"], 2).tolist()]
+        tree.child = [None if a < 0 else (a, b) for a, b in _matrix(parts["child"], 2).tolist()]
+        tree.most = max(int(np.abs(tree.low).max(initial=0)), int(np.abs(tree.high).max(initial=0)))
+        return tree
+
+    def of_kind(self, kind: type) -> Tree:
+        """The same tree with numbers of another kind."""
+        tree = copy.copy(self)
+        tree.points, tree.low, tree.high = (x.astype(kind) for x in (self.points, self.low, self.high))
+        return tree
+
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """Largest inner product of each query with any point of each node's box."""
         return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
@@ -103,42 +129,66 @@ def _matrix(blob: bytes, dim: int) -> np.ndarray:
     return np.frombuffer(blob, "<i8").reshape(-1, dim)
 
 
-def _exact(points: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _kind(most: int, queries: np.ndarray, dim: int) -> type:
     """Doubles while every product sum is below 2^53, else Python integers."""
-    most = int(np.abs(points).max(initial=0)) * int(np.abs(queries).max(initial=0)) * max(1, points.shape[1])
-    kind = np.float64 if most < 2**53 else object
-    return points.astype(kind), queries.astype(kind)
+    return np.float64 if most * int(np.abs(queries).max(initial=0)) * max(1, dim) < 2**53 else object
+
+
+def _stacked(vectors: pd.Series) -> np.ndarray:
+    return np.ascontiguousarray(np.stack(vectors.to_numpy()), "<i8")
+
+
+TREE = "shard long, dim int, ids binary, vectors binary, low binary, high binary, least binary, span binary, child binary"
+TREE_COLUMNS = [c.split()[0] for c in TREE.split(", ")]
+
+
+def _trees(rows: DataFrame) -> DataFrame:
+    """One row per (shard, dim): its tree."""
+    def build(key, pdf):
+        tree = Tree(pdf["vec_id"].to_numpy("<i8"), _stacked(pdf["v"]))
+        return pd.DataFrame([{"shard": key[0], "dim": key[1], **tree.packed()}])[TREE_COLUMNS]
+    return rows.groupBy("shard", "dim").applyInPandas(build, TREE)
 
 
-def _packed(rows: DataFrame, group: str) -> DataFrame:
-    """One row per (group, dim): packed ids and integer vectors."""
+def _blocks(asked: DataFrame) -> DataFrame:
+    """One row per (query block, dim): packed ids and integer vectors."""
     def pack(key, pdf):
-        v = np.ascontiguousarray(np.stack(pdf["v"].to_numpy()), "<i8")
-        return pd.DataFrame({group: [key[0]], "dim": [key[1]], "ids": [pdf["vec_id"].to_numpy("<i8").tobytes()], "vectors": [v.tobytes()]})
-    return rows.groupBy(group, "dim").applyInPandas(pack, f"{group} long, dim int, ids binary, vectors binary")
+        return pd.DataFrame({"qblock": [key[0]], "dim": [key[1]], "qids": [pdf["vec_id"].to_numpy("<i8").tobytes()], "queries": [_stacked(pdf["v"]).tobytes()]})
+    return asked.groupBy("qblock", "dim").applyInPandas(pack, "qblock long, dim int, qids binary, queries binary")
 
 
 RESULT = "qblock long, query_id long, vec_id long, score long"
 
 
-def _search(pairs: DataFrame, k: int) -> DataFrame:
-    """Search every (query block, shard) row; ``floors`` holds the k-th scores known so far."""
+def _search(sent: DataFrame, trees: DataFrame, shards: int, k: int) -> DataFrame:
+    """Search every query block in the shard it is sent to; ``floors`` holds the k-th scores known so far."""
     def run(batches):
+        at, tree, kinds = None, None, {}
         for batch in batches:
             for n in range(batch.num_rows):
                 r = {c: batch.column(j)[n].as_py() for j, c in enumerate(batch.schema.names)}
+                if r["qids"] is None:  # a tree comes before its blocks
+                    at, tree, kinds = (r["shard"], r["dim"]), Tree.unpacked(r, r["dim"]), {}
+                    continue
+                if at != (r["shard"], r["dim"]):
+                    continue  # no rows of this length in the shard
                 qid, q = np.frombuffer(r["qids"], "<i8"), _matrix(r["queries"], r["dim"])
-                points, q = _exact(_matrix(r["vectors"], r["dim"]), q)
-                tree = Tree(np.frombuffer(r["ids"], "<i8"), points)
-                bound = tree.bounds(q)
+                kind = _kind(tree.most, q, r["dim"])
+                if kind not in kinds:
+                    kinds[kind] = tree.of_kind(kind)
+                own = kinds[kind]
+                q = q.astype(kind)
+                bound = own.bounds(q)
                 floors = np.frombuffer(r["floors"], "<f8") if r["floors"] else np.full(len(qid), -np.inf)
-                found = [tree.search(q[i], qid[i], bound[i], k, floors[i]) for i in range(len(qid))]
+                found = [own.search(q[i], qid[i], bound[i], k, floors[i]) for i in range(len(qid))]
                 yield pa.RecordBatch.from_pydict({
                     "qblock": pa.array(np.full(sum(len(f[0]) for f in found), r["qblock"]), pa.int64()),
                     "query_id": pa.array(np.repeat(qid, [len(f[0]) for f in found]), pa.int64()),
                     "vec_id": pa.array(np.concatenate([f[0] for f in found]), pa.int64()),
                     "score": pa.array([int(x) for f in found for x in f[1]], pa.int64())})
-    return pairs.mapInArrow(run, RESULT)
+    both = trees.unionByName(sent, allowMissingColumns=True).repartition(shards, "shard", "dim")
+    order = [F.col("shard"), F.col("dim"), F.col("qids").isNotNull(), F.col("qblock")]
+    return both.sortWithinPartitions(*order).mapInArrow(run, RESULT)
 
 
 def top_k(embeddings: DataFrame, every: int = 100, k: int = 10, scale: int = 1024,
@@ -146,19 +196,17 @@ def top_k(embeddings: DataFrame, every: int = 100, k: int = 10, scale: int = 102
     """(query_id, rank, vec_id, score): the k best rows for every row whose vec_id is divisible by ``every``."""
     spark = embeddings.sparkSession
     rows = written(embeddings.where(usable("embedding") & F.col("vec_id").isNotNull()).select(
-        "vec_id", F.size("embedding").alias("dim"),
+        "vec_id", F.size("embedding").alias("dim"), F.monotonically_increasing_id().alias("row"),
         F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long")).alias("v")), "topk-rows")
-    asked = rows.where(F.col("vec_id") % every == 0).distinct()
+    asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "dim", "v").distinct()
     n, m = rows.count(), asked.count()
     shards, qblocks = max(1, -(-n // shard_rows)), max(1, -(-m // query_block))
 
-    trees = written(_packed(rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))), "shard"), "topk-shards")
-    blocks = _packed(asked.withColumn("qblock", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(qblocks))), "qblock")
-    blocks = written(blocks.select("qblock", "dim", F.col("ids").alias("qids"), F.col("vectors").alias("queries")), "topk-queries")
+    trees = written(_trees(rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))), "topk-trees")
+    blocks = written(_blocks(asked.withColumn("qblock", F.pmod(F.xxhash64("vec_id", "v"), F.lit(qblocks)))), "topk-queries")
 
     home = F.pmod("qblock", F.lit(shards))
-    first = written(_search(blocks.withColumn("floors", F.lit(None).cast("binary")).withColumn("shard", home)
-                            .join(trees, ["shard", "dim"]), k), "topk-home")
+    first = written(_search(blocks.withColumn("floors", F.lit(None).cast("binary")).withColumn("shard", home), trees, shards, k), "topk-home")
     # the k-th score of each query in its home shard, laid out as its block's ids are
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = (first.withColumn("n", F.row_number().over(best)).where(F.col("n") == k)
@@ -174,8 +222,7 @@ def top_k(embeddings: DataFrame, every: int = 100, k: int = 10, scale: int = 102
 
     told = blocks.join(kth, "qblock", "left").mapInPandas(floors, "qblock long, dim int, qids binary, queries binary, floors binary")
     pairs = told.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != home)
-    # one row is a whole search: deal the pairs out evenly
-    rest = _search(pairs.join(trees.repartition(shards, "shard"), ["shard", "dim"]), k)
+    rest = _search(pairs, trees, shards, k)
     return (first.unionByName(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
 

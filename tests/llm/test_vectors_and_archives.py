@@ -34,8 +34,12 @@ def usable(v):
     return v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v)
 
 
-def test_top_k_equals_brute_force(spark):
+@pytest.mark.parametrize("hot", [False, True])
+def test_top_k_equals_brute_force(spark, hot):
     rows = awkward()
+    if hot:  # one vec_id holds half of the rows
+        rng = np.random.default_rng(4)
+        rows += [(777, rng.standard_normal(8).tolist()) for _ in range(500)]
     got = sorted(tuple(r) for r in kdtree.top_k(vectors(spark, rows), every=20, k=5, shard_rows=64, query_block=8).collect())
     ints = [(i, np.floor(1024 * np.array(v, np.float32).astype(np.float64)).astype(np.int64)) for i, v in rows if usable(v) and i is not None]
     want = []
@@ -117,6 +121,21 @@ def test_chunks_carry_running_digests_and_rebuild_the_payload(spark, tmp_path):
     assert len(chunks) == 300 and body == b"y" * 300_000
 
 
+def test_rows_of_one_id_spread_over_shards_and_a_stored_tree_is_the_tree(spark):
+    from pyspark.sql import functions as F
+    rows = spark.range(2000).select(F.lit(7).cast("long").alias("vec_id"), F.lit(2).alias("dim"), F.array(F.col("id"), F.col("id") % 13).alias("v"), F.col("id").alias("row"))
+    trees = kdtree._trees(rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(8)))).collect()
+    sizes = [len(r["ids"]) // 8 for r in trees]
+    assert len(trees) == 8 and max(sizes) < 400 and sum(sizes) == 2000
+    points = np.array([[k, k % 13] for k in range(300)])
+    tree = kdtree.Tree(np.arange(300), points, leaf=16)
+    again = kdtree.Tree.unpacked(tree.packed(), 2)
+    query = np.array([3, -5])
+    assert again.span == [tuple(map(int, x)) for x in tree.span] and (again.points == tree.points).all()
+    one, two = (t.search(query, 5, t.bounds(query[None, :])[0], 7, -np.inf) for t in (tree, again))
+    assert (one[0] == two[0]).all() and (one[1] == two[1]).all()
+
+
 def test_segments_cross_file_borders(spark, tmp_path):
     """Records of several segments over many files, among them repeated rows and a record longer than a file."""
     rows = [(i, f"http://x/{i}", f"{i} " * 400) for i in range(300)] + [(7, "http://x/7", "7 " * 400)] * 3 + [(None, None, "z" * 4000)] * 2
