@@ -191,6 +191,48 @@ def test_quality_held_out_accuracy(spark):
     assert len(rows) > 50 and right / len(rows) > 0.95
 
 
+def test_near_copies_are_recalled_over_all_pairs(spark):
+    """Copies with one to five changed words: of all pairs of similarity 0.8 or more, at least 0.95 share a class."""
+    rng = random.Random(12)
+    rows, originals = [], [[f"{rng.randrange(10**6):x}" for _ in range(200)] for _ in range(250)]
+    for k, words_ in enumerate(originals):
+        near = list(words_)
+        for place in rng.sample(range(200), 1 + k % 5):
+            near[place] = f"new{rng.randrange(10**6):x}"
+        rows += [(2 * k, " ".join(words_), "en", "a"), (2 * k + 1, " ".join(near), "en", "a")]
+    docs = frame(spark, rows)
+    classes = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
+    idf = minhash.inverse_frequencies(docs)
+    sets = {}
+    for r in minhash.vectors(docs.select("doc_id", "text")).join(
+            minhash.signatures(docs, spark.sparkContext.broadcast(idf), minhash.BANDS, minhash.ROWS).select("doc_id", "a", "b"), ["a", "b"]).collect():
+        sets[r["doc_id"]] = minhash._unpack(r["n"], r["v"])
+    alike = [k for k in range(250) if minhash.weighted_jaccard(sets[2 * k], sets[2 * k + 1], idf) >= minhash.SIMILAR]
+    found = sum(classes[2 * k] == classes[2 * k + 1] for k in alike)
+    assert len(alike) > 150 and found >= 0.95 * len(alike)
+    # different originals share no words: no other pair is alike, and none may be joined
+    assert all(classes[2 * k] in (2 * k, 2 * k + 1) and classes[2 * k + 1] in (2 * k, 2 * k + 1) for k in range(250))
+
+
+def test_components_of_new_links_join_what_was_linked(spark):
+    rng = random.Random(5)
+    linked, every, parent = spark.createDataFrame([], "node long, component long"), [], {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+    for _ in range(3):
+        links = [(rng.randrange(60), rng.randrange(60)) for _ in range(18)]
+        every += links
+        for a, b in links:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+        linked = minhash.joined_components(linked, spark.createDataFrame(links, "x long, y long"))
+        want = {x: find(x) for a, b in every if a != b for x in (a, b)}
+        assert {r.node: r.component for r in linked.collect()} == want
+
+
 # --- language model
 
 def test_ppm_counts_and_base_score(spark):
