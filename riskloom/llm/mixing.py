@@ -41,6 +41,8 @@ BLOCK_WORDS = 256
 MAX_REPEAT = 3
 #: log2 of the hash ranges a source is cut into for the distributed prefix sum.
 RANGE_BITS = 12
+#: Stands for a null doc_id where rows are matched; the text's hash still tells the two apart.
+NO_ID = 2**63 - 1
 #: Slots generated and ranked at a time.
 CHUNK = 1 << 14
 
@@ -190,9 +192,12 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int =
                            F.expr("least(mix_size, goal - pass * words - at)").alias("mix_copy"))
     slots = schedule(spark, targets, block_words).select("place", "turn", F.col("slot").alias("mix_slot"))
     placed = copies.join(slots.hint("merge"), ["place", "turn"])
-    keyed = docs.withColumn("mix_text", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))).dropDuplicates(["doc_id", "mix_text"])
-    both = keyed.join(placed.select("mix_id", "mix_key", F.col("at").alias("mix_at"), "mix_size", "mix_copy", "mix_slot").hint("merge"),
-                      (F.col("mix_text") == F.col("mix_key")) & F.col("doc_id").eqNullSafe(F.col("mix_id")))
+    # both sides meet on the same two columns, without nulls, so that one exchange of the texts serves to drop repeats and to join
+    keyed = docs.withColumns({"mix_id": F.coalesce(F.col("doc_id"), F.lit(NO_ID)), "mix_text": F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))})
+    keyed = keyed.dropDuplicates(["mix_id", "mix_text"])
+    placed = placed.select(F.coalesce("mix_id", F.lit(NO_ID)).alias("mix_id"), F.col("mix_key").alias("mix_text"), F.col("at").alias("mix_at"),
+                           "mix_size", "mix_copy", "mix_slot")
+    both = keyed.join(placed.hint("merge"), ["mix_id", "mix_text"])
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)), 1, F.col("mix_copy").cast("int")), " ")
     ordered = both.withColumn("text", F.when(F.col("mix_copy") < F.col("mix_size"), cut).otherwise(F.col("text")))
     return ordered.repartitionByRange("mix_slot", "mix_at").sortWithinPartitions("mix_slot", "mix_at").select(*docs.columns)
