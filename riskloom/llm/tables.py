@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,25 @@ def written(df: DataFrame, label: str, **options: object) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it, a write's shuffle files go as soon as the write has ended: what they led to is stored.
+
+    A lost executor still costs no more than its own tasks: while a write runs
+    its shuffles are kept, and afterwards nothing reads them.
+    """
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(setting)
+        else:
+            spark.conf.set(setting, before)
+
+
 def size_in_bytes(df: DataFrame) -> int:
     """The planner's estimate of a frame's bytes (file sizes for a scan); sets partition counts only."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
