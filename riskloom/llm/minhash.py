@@ -51,6 +51,8 @@ BLOCK = 512
 BLOCK_SHINGLES = 1 << 19
 #: Shingle columns multiplied at a time.
 COLUMNS = 4096
+#: Bytes of texts that are worked on at a time.
+TEXT_BYTES = 1 << 20
 #: Size of the pool of (r, ln c, beta) draws; a shingle's hash picks one per sample.
 POOL = 1 << 16
 
@@ -71,7 +73,7 @@ def _counts(word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _texts(batches):
     prints = Fingerprints()
-    for rows, data, offsets in blocks(batches):
+    for rows, data, offsets in blocks(batches, TEXT_BYTES):
         word, _, _, first = word_prints(prints, data, offsets)
         yield rows, *_counts(word, first)
 
