@@ -2,21 +2,22 @@
 
 A quantile needs the values at one or two ranks. One aggregate builds a KLL
 sketch per column (a few KB whatever the rows) and takes from it a bracket
-[low, high] for each rank. A second aggregate counts, for all brackets at once,
-the values below, on and inside them, which says exactly where the rank lies:
+[low, high] for each rank. A second pass counts, for all brackets at once, the
+values below, on and inside them, which says exactly where the rank lies (a
+batch of a column is sorted once, then every bracket costs a binary search):
 
 * on an end of the bracket: that end is the answer, however often it occurs;
 * inside: if at most ``GATHER`` values are, they are grouped, ordered within
-  their bracket and picked from; else the same pass has sketched the inside,
-  which gives the next, far narrower bracket;
+  their bracket and picked from; else a sketch of the inside alone gives the
+  next, far narrower bracket;
 * outside (the sketch missed): the certified bounds of the rank still enclose
   it and shrink with every pass.
 
 So the result never depends on the sketch; only the number of passes does. Two
-aggregates and a bounded pick are usual; a pass narrows a bracket about a
+passes and a bounded pick are usual; a sketch narrows a bracket about a
 hundredfold. All columns and probabilities share each pass. Nothing is
-exchanged but one row of partial aggregates per task, and at most ``GATHER``
-values per bracket in the pick.
+exchanged but a few numbers per task and bracket, and at most ``GATHER`` values
+per bracket in the pick.
 
 NULL and NaN are ignored. Values are compared as doubles. A column without
 values has NULL quantiles.
@@ -28,6 +29,8 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,24 +111,53 @@ def _inside(h: Hunt) -> Column:
     return F.when((v > h.low) & (v < h.high), v)
 
 
+def _columns(df: DataFrame, hunts: list[Hunt]) -> tuple[DataFrame, list[int]]:
+    """The hunted columns as doubles, and each hunt's place among them."""
+    names = list(dict.fromkeys(h.column for h in hunts))
+    return df.select(*[_value(c).alias(f"v{k}") for k, c in enumerate(names)]), [names.index(h.column) for h in hunts]
+
+
+def _sorted_values(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.sort(c.drop_null().to_numpy(zero_copy_only=False)) for c in batch.columns]
+
+
+def _bounds(values: np.ndarray, low: float, high: float) -> tuple[int, int, int, int]:
+    """Of sorted values: how many are < low, <= low, < high and <= high."""
+    return (*(int(np.searchsorted(values, low, side)) for side in ("left", "right")), *(int(np.searchsorted(values, high, side)) for side in ("left", "right")))
+
+
+def bracket_counts(df: DataFrame, hunts: list[Hunt]) -> dict[int, dict]:
+    """Per hunt the values below, on the ends of and inside its bracket; a task sends one row per hunt."""
+    values, at = _columns(df, hunts)
+    brackets = [(k, h.low, h.high) for k, h in zip(at, hunts)]
+
+    def count(batches):
+        found = np.zeros((len(brackets), 4), np.int64)
+        for batch in batches:
+            columns = _sorted_values(batch)
+            for i, (k, low, high) in enumerate(brackets):
+                below, upto, before, end = _bounds(columns[k], low, high)
+                found[i] += (below, upto - below, max(before - upto, 0), end - before if high > low else 0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(brackets)), pa.int32()), *(pa.array(found[:, n]) for n in range(4))], names=names)
+
+    names = ["hunt", "below", "at_low", "inside", "at_high"]
+    counted = values.mapInArrow(count, "hunt int, below long, at_low long, inside long, at_high long")
+    return {r["hunt"]: r.asDict() for r in counted.groupBy("hunt").agg(*[F.sum(n).alias(n) for n in names[1:]]).collect()}
+
+
 def count_pass(df: DataFrame, hunts: list[Hunt]) -> None:
-    """Counts every open bracket in one aggregate and moves each hunt on."""
-    aggregates = []
-    for i, h in enumerate(hunts):
-        v = _value(h.column)
-        aggregates += [F.count(F.when(v < h.low, 1)).alias(f"below{i}"), F.count(F.when(v == h.low, 1)).alias(f"at_low{i}"),
-                       F.count(_inside(h)).alias(f"inside{i}"), F.count(F.when((v == h.high) & F.lit(h.high > h.low), 1)).alias(f"at_high{i}"),
-                       _sketch(_inside(h)).alias(f"sketch{i}")]
-    row = df.agg(*aggregates).first()
-    narrower = []
+    """Counts every open bracket in one pass and moves each hunt on."""
+    counts = bracket_counts(df, hunts)
+    wide = []
     for i, h in enumerate(hunts):
-        below = row[f"below{i}"]
-        start = below + row[f"at_low{i}"]
-        end = start + row[f"inside{i}"]
+        row = counts[i]
+        below = row["below"]
+        start = below + row["at_low"]
+        end = start + row["inside"]
         for r in h.open():
             if below <= r < start:
                 h.found[r] = h.low
-            elif end <= r < end + row[f"at_high{i}"]:
+            elif end <= r < end + row["at_high"]:
                 h.found[r] = h.high
         left = h.open()
         if not left:
@@ -135,24 +167,36 @@ def count_pass(df: DataFrame, hunts: list[Hunt]) -> None:
         elif all(r >= end for r in left):
             h.low, h.high, h.least = h.high, h.greatest, h.high
         elif all(start <= r < end for r in left):
-            if row[f"inside{i}"] <= GATHER:
+            if row["inside"] <= GATHER:
                 h.gather_from = start
             else:
                 h.least, h.greatest = h.low, h.high
-                n, sketch = row[f"inside{i}"], F.lit(bytes(row[f"sketch{i}"]))
-                narrower.append((h, _at(sketch, (min(left) - start) / n - RANK_ERROR), _at(sketch, (max(left) + 1 - start) / n + RANK_ERROR)))
+                n = row["inside"]
+                wide.append((h, (min(left) - start) / n - RANK_ERROR, (max(left) + 1 - start) / n + RANK_ERROR))
         else:  # the two ranks lie on different sides: go on with all of the certified range
             h.low, h.high = h.least, h.greatest
-    if narrower:  # a few KB for each bracket that held too much, read by one row
-        ends = df.sparkSession.range(1).select(*[e.alias(f"e{k}") for k, e in enumerate(e for _, *pair in narrower for e in pair)]).first()
-        for k, (h, *_) in enumerate(narrower):
-            h.low, h.high = ends[2 * k], ends[2 * k + 1]
+    if wide:  # only brackets that hold too much are sketched again
+        sketched = df.agg(*[_sketch(_inside(h)).alias(f"sketch{k}") for k, (h, *_) in enumerate(wide)])
+        ends = sketched.select(*[_at(F.col(f"sketch{k}"), p).alias(f"{end}{k}") for k, (_, *ps) in enumerate(wide) for end, p in zip(("low", "high"), ps)]).first()
+        for k, (h, *_) in enumerate(wide):
+            h.low, h.high = ends[f"low{k}"], ends[f"high{k}"]
 
 
 def gather_pass(df: DataFrame, hunts: list[Hunt]) -> None:
     """Picks the open ranks of small brackets: at most ``GATHER`` values each, ordered bracket by bracket."""
-    rows = F.array(*[F.struct(F.lit(i).alias("hunt"), _inside(h).alias("value")) for i, h in enumerate(hunts)])
-    counted = df.select(F.explode(F.filter(rows, lambda x: x["value"].isNotNull())).alias("x")).groupBy("x.hunt", "x.value").agg(F.count(F.lit(1)).alias("ties"))
+    values, at = _columns(df, hunts)
+    brackets = [(k, h.low, h.high) for k, h in zip(at, hunts)]
+
+    def inside(batches):
+        for batch in batches:
+            columns = _sorted_values(batch)
+            for i, (k, low, high) in enumerate(brackets):
+                _, start, end, _ = _bounds(columns[k], low, high)
+                if start < end:
+                    value, ties = np.unique(columns[k][start:end], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), i), pa.int32()), pa.array(value), pa.array(ties, pa.int64())], names=["hunt", "value", "ties"])
+
+    counted = values.mapInArrow(inside, "hunt int, value double, ties long").groupBy("hunt", "value").agg(F.sum("ties").alias("ties"))
     upto = F.sum("ties").over(Window.partitionBy("hunt").orderBy("value"))
     ranked = counted.withColumn("upto", upto)
     hit = F.lit(False)

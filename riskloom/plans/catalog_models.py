@@ -58,12 +58,14 @@ def _export(spark, sf, scorer):
 
 
 def _numeric(spark, sf):
-    """Quantiles of the dataset's columns and of the stand-in score: P4, P7, P10, P11, P12 and M10 read this one table."""
-    def build():
-        score = _models(spark, sf, "ratio")[0].select("anomaly_score")
-        both = _ds(spark, sf).select(*profile.PROFILED).unionByName(score, allowMissingColumns=True)
-        return profile.numeric_table(both, profile.PROFILED | {"anomaly_score": compare.SCORE_PERCENTILES})
-    return published_once(spark, sf, "numeric", build)
+    """Quantiles of the dataset's columns: P4, P7, P10, P11 and P12 read this one table."""
+    return published_once(spark, sf, "numeric", lambda: profile.numeric_table(_ds(spark, sf)))
+
+
+def _numeric_score(spark, sf):
+    """Quantiles of the stand-in score (M10): the questions on the dataset alone need no ranked score."""
+    return published_once(spark, sf, "numeric_score", lambda: profile.numeric_table(
+        _models(spark, sf, "ratio")[0], {"anomaly_score": compare.SCORE_PERCENTILES}))
 
 
 def _numeric_q(fn, *a, **k):
@@ -176,7 +178,7 @@ def model_queries():
         q[f"behaviour_counts{suffix}"] = _res_q(compare.cross_method, scorer, "behaviour_")
         q[f"customer_dashboard{suffix}"] = _exp_q(dashboards.customer_dashboard, scorer)
     q["score_percentiles"] = lambda s, sf: compare.score_percentiles(_models(s, sf, "forest")[0])
-    q["score_percentiles_standin"] = lambda s, sf: compare.score_percentiles(None, table=_numeric(s, sf))
+    q["score_percentiles_standin"] = lambda s, sf: compare.score_percentiles(None, table=_numeric_score(s, sf))
     for which, (name, *_) in compare.MODELS.items():
         q[name + "s"] = (lambda which, name: lambda s, sf: _forest(s, sf, which).score(_ds(s, sf), name))(which, name)
     q["stored_model_scores"] = _stored_model_scores

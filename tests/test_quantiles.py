@@ -59,3 +59,19 @@ def test_columns_share_passes_and_values_are_not_exchanged(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "gather_pass", lambda *a: (passes.append("gather"), gather(*a)))
     quantiles.numeric_profile(df, {c: PROBS for c in data})
     assert passes == ["count", "gather"]
+
+
+def test_passes_build_no_aggregate_per_bracket(spark, monkeypatch):
+    """Dozens of brackets cost a row of counts each, not five aggregates and a sketch of every row, in the count and in the pick."""
+    data = columns()
+    df, known = frame(spark, data)
+    hunts = quantiles._hunts(quantiles.first_pass(df, {c: PROBS for c in data}), {c: PROBS for c in data})
+    counts = quantiles.bracket_counts(df, hunts)
+    for i, h in enumerate(hunts):
+        v = known[h.column]
+        assert (counts[i]["below"], counts[i]["at_low"]) == ((v < h.low).sum(), (v == h.low).sum())
+        assert counts[i]["inside"] == ((v > h.low) & (v < h.high)).sum() and counts[i]["at_high"] == ((v == h.high).sum() if h.high > h.low else 0)
+    sketches, sketch = [], quantiles._sketch
+    monkeypatch.setattr(quantiles, "_sketch", lambda v: sketches.append(v) or sketch(v))
+    quantiles.numeric_profile(df, {c: PROBS for c in data})
+    assert len(sketches) == len(data)  # one per column in the first pass, none per bracket
