@@ -52,3 +52,30 @@ def test_wrapper_api(spark):
     f = M.IsolationForest(ForestConfig(n_trees=40)).fit(df)
     s = f.score(df).toPandas().set_index("SalesOrderID")["anomaly_score"]
     assert len(s) == 800 and s.loc[out].min() > s.median()
+
+
+def test_scoring_needs_memory_for_rows_not_for_rows_times_trees():
+    """A batch walks tree after tree: equal to the walk of all trees at once, bit by bit, in a small part of its memory."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 4))
+    names = [f"f{k}" for k in range(4)]
+    trees = []
+    for t in range(60):
+        own = pd.DataFrame(x[rng.choice(600, 128, replace=False)], columns=names).assign(tree=t, __h=rng.random(128), __id=np.arange(128))
+        trees.append(M._build_tree(own, names, 128, 7))
+    arr = M.IsolationForestModel(names, 128, 60, -0.5, pd.concat(trees)).arrays()
+    rows = rng.normal(size=(12_000, 4))
+    rows[::50, 1] = np.nan
+    idx = np.repeat(arr["roots"][:, None], len(rows), axis=1)
+    for _ in range(arr["steps"]):
+        go_left = rows.T[arr["feature"][idx], np.arange(len(rows))[None, :]] <= arr["threshold"][idx]
+        idx = np.where(go_left, arr["left"][idx], arr["right"][idx])
+    expected = np.power(2.0, -arr["leaf"][idx].mean(axis=0) / arr["norm"])
+    tracemalloc.start()
+    found = M._score_batch(rows, arr)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(found, expected)
+    assert peak < 60 * len(rows) * 8 / 4  # one array of a value per row and tree is four times that
