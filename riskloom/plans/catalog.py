@@ -157,16 +157,20 @@ def _inventory(spark, sf):
 
 
 def _incremental_risk(spark, sf):
-    """G1 year by year: each year scans its own orders and continues from the state of the years before."""
+    """G1 year by year: each year scans its own orders and continues from the state of the years before.
+
+    The orders are bound to their lines, customers and suppliers once and stored; the years read that table.
+    """
     r = _scoring_roles(spark, sf)
     mart = history_state.RiskMart(spark, f"{run_folder(spark)}/risk-mart-{input_key(spark, sf)}")
     dates = bind_orders(spark, sf, CORE_COLUMNS).agg(F.min(F.year("OrderDate")).alias("lo"), F.max(F.year("OrderDate")).alias("hi")).first()
     done = mart.parts()
     for year in range(dates.lo, dates.hi + 1):
         if str(year) not in done:
+            tx = published_once(spark, sf, "score-orders", lambda: r.tx)
             since, until = F.lit(f"{year}-01-01").cast("timestamp_ntz"), F.lit(f"{year + 1}-01-01").cast("timestamp_ntz")
             own = (F.col("OrderDate") >= since) & (F.col("OrderDate") < until)
-            mart.advance(str(year), r.tx.where(own | F.col("OrderDate").isNull() if year == dates.lo else own), r.addr)
+            mart.advance(str(year), tx.where(own | F.col("OrderDate").isNull() if year == dates.lo else own), r.addr)
     return mart.scored()
 
 

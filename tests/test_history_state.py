@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,3 +90,18 @@ def test_empty_part(spark, tx, addr, tmp_path):
     mart.advance("1", tx.where("false"), addr)
     mart.advance("2", tx, addr)
     assert as_rows(mart.scored()) == as_rows(scoring.score_transactions(tx, addr))
+
+
+def test_years_read_the_bound_orders_not_the_lines_again(spark, monkeypatch):
+    """Orders are joined to their lines once; a year's step reads that table alone."""
+    from riskloom.plans import catalog
+    read = []
+    advance = history_state.RiskMart.advance
+
+    def spied(self, part, tx, addr):
+        read.append({f for f in tx.inputFiles() if "lineitem" in f})
+        advance(self, part, tx, addr)
+    monkeypatch.setattr(history_state.RiskMart, "advance", spied)
+    monkeypatch.setattr(catalog, "input_key", lambda *a, own=uuid.uuid4().hex: f"read-test-{own}")  # a mart of its own
+    assert catalog._incremental_risk(spark, "/root/testdata/sf0.001").count() == 1500
+    assert len(read) == 7 and not any(read)
