@@ -152,7 +152,8 @@ def publish_views(spark: SparkSession, folder: str, name: str | None = None) ->
     path = f"{run_folder(spark)}/warehouse/{house.database}/{SCORED}"
     if not is_written(spark, path):
         roles = bind_driver_tables(spark, folder)
-        scoring.score_transactions(roles.tx, roles.addr).hint("rebalance").write.mode("overwrite").parquet(path)
+        # the scan's own stored partitions set the files: the wide rows are not dealt out once more
+        scoring.score_transactions(roles.tx, roles.addr).write.mode("overwrite").parquet(path)
     if not spark.catalog.tableExists(f"{house.database}.vw_fraud_analytics_dataset"):
         external_table(spark, house.database, SCORED, path)
         register_sql_views(spark, house.database, RISK_VIEWS, db=house.database)

@@ -1,5 +1,7 @@
 """Tables and views by name: catalog scans, stored views, other sessions."""
 
+import uuid
+
 import pytest
 
 from riskloom.operators import audit, marts, scoring
@@ -63,3 +65,13 @@ def test_an_external_table_leaves_its_files(spark, tmp_path):
     assert spark.read.parquet(path).count() == 5
     with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND"):
         spark.table("riskloom_external_test.t")
+
+
+def test_scored_orders_are_written_without_another_exchange(spark, monkeypatch):
+    """The stored scores are written from the scan's partitions: the wide rows are not dealt out once more."""
+    frame = type(spark.range(1))
+    hints, hint = [], frame.hint
+    monkeypatch.setattr(frame, "hint", lambda self, name, *a: (hints.append(name), hint(self, name, *a))[1])
+    house = warehouse.publish_views(spark, SF, f"exchange_{uuid.uuid4().hex[:8]}")
+    assert spark.table(f"{house.database}.vw_transaction_risk_analysis").count() == 1500
+    assert "rebalance" not in hints
