@@ -483,6 +483,46 @@ def test_shared_passages_go_from_later_documents(spark):
     assert passages.remove_passages(frame(spark, [])).count() == 0
 
 
+def test_passages_of_lines_that_stand_alone_in_many_documents(spark):
+    """The partner of a passage is neither the earliest of its windows' keys nor the earliest with its surroundings."""
+    rng = random.Random(31)
+    word = lambda n: ["".join(rng.choice("abcdefghijk") for _ in range(6)) for _ in range(n)]
+    rows, late, alone = [], [], 3 * passages.FEW // 2
+    for group in range(12):
+        lines = [word(18) for _ in range(4)]
+        # every second group has its lines in more documents than are linked one by one
+        for i in range(alone if group % 2 else 4):
+            rows += [(len(rows) + k, " ".join(word(40) + line + word(40)), "en", "a") for k, line in enumerate(lines)]
+        whole = sum(lines, [])
+        near = list(whole)
+        near[rng.randrange(20, 50)] = "changed"
+        late += [(100_000 + group, " ".join(word(40) + whole + word(40)), "en", "a"), (200_000 + group, " ".join(word(40) + near + word(40)), "en", "a")]
+    cut = {r.doc_id: r.n_removed for r in passages.remove_passages(frame(spark, rows + late)).collect()}
+    assert [i for i in range(12) if cut[200_000 + i] < 50] == []
+    assert not any(n for i, n in cut.items() if i < 200_000)
+
+
+def test_prefix_shingles_of_similar_stretches_meet():
+    """Random passages of 46 shingles with up to a fifth changed, in any common order of the shingles."""
+    rng, width = np.random.default_rng(4), passages.MIN_WORDS - passages.SHINGLE + 1
+    for trial in range(300):
+        own = rng.integers(0, 2**62, 91).astype(np.uint64)
+        other, lo = rng.integers(0, 2**62, 91).astype(np.uint64), int(rng.integers(0, 46))
+        stretch = own[lo : lo + width].copy()
+        lost = rng.choice(width, int(rng.integers(0, 6)), replace=False)
+        stretch[lost] = rng.integers(0, 2**62, len(lost))
+        at = int(rng.integers(0, 46))
+        other[at : at + width] = stretch
+        c = 45 if 45 - lo not in lost.tolist() and lo <= 45 < lo + width else None
+        if c is None:
+            continue
+        common = np.concatenate([own[: int(rng.integers(0, 91))], stretch[: int(rng.integers(0, width))]])
+        order = lambda x: x | np.isin(x, common).astype(np.uint64) << np.uint64(63)
+        mine = own[passages.prefix_shingles(order(own), c, width, passages.SIMILAR)]
+        theirs = other[passages.prefix_shingles(order(other), at + 45 - lo, width, passages.SIMILAR)]
+        assert np.isin(mine, theirs).any(), trial
+
+
 # --- rows without an id of their own
 
 def test_rows_that_share_a_doc_id_are_not_gathered(spark, monkeypatch):
