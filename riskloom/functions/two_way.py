@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .caching import materialise
 from .scan import _fill_for, _np_values
 
-_V, _NONE, _TIE = "__rk_value", "__rk_none", "__rk_tie"
+_V, _NONE = "__rk_value", "__rk_none"
 _PID, _ROW, _POS, _LESS, _MORE, _N = "__rk_pid", "__rk_row", "__rk_pos", "__rk_less", "__rk_more", "__rk_n"
 
 
@@ -133,14 +133,15 @@ def average_rank_pct(df: DataFrame, value: str, out: str, groups: list[str] | No
         rows = df.withColumn(_NONE, v.isNull() | F.isnan(v)).withColumn(_V, F.when(~F.col(_NONE), v + F.lit(0.0).cast(df.schema[value].dataType)))
     else:
         rows = df.withColumn(_NONE, v.isNull()).withColumn(_V, v)
-    rows = rows.withColumn(_TIE, F.xxhash64(*[f"`{c}`" for c in names]))
-    order = [F.col(f"`{c}`").asc_nulls_first() for c in (*groups, _NONE, _V, _TIE)]
+    # the hash is worked out on both sides of the exchange: as a column it would be the widest of it
+    tie = F.xxhash64(*[f"`{c}`" for c in names])
+    order = [*(F.col(f"`{c}`").asc_nulls_first() for c in (*groups, _NONE, _V)), tie.asc_nulls_first()]
     keys = [*groups, _NONE]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     up = T.StructType([*rows.schema.fields, T.StructField(_PID, T.IntegerType()), *(T.StructField(c, T.LongType()) for c in (_ROW, _POS, _LESS))])
     both = T.StructType([*up.fields, T.StructField(_MORE, T.LongType()), T.StructField(_N, T.LongType())])
     counted = ranged.mapInArrow(_ascending(keys), up).sortWithinPartitions(F.col(_ROW).desc()).mapInArrow(_descending(keys), both)
-    counted = materialise(counted.drop(_TIE), "ranked")
+    counted = materialise(counted, "ranked")
 
     edge = F.struct(F.struct(*[f"`{c}`" for c in keys]).alias("key"), F.col(_V).alias("value"), F.col(_N).alias("n"),
                     (F.col(_N) - F.col(_LESS) - F.col(_MORE)).alias("ties"))

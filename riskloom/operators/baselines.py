@@ -21,11 +21,13 @@ HISTORY_ORDER = ["OrderDate", "SalesOrderID"]
 
 
 def customer_history(tx: DataFrame, cfg: RiskConfig | None = None,
-                     with_max: bool = True, with_previous_value: bool = False, state: DataFrame | None = None) -> DataFrame:
+                     with_max: bool = True, with_previous_value: bool = False, state: DataFrame | None = None,
+                     deal=None) -> DataFrame:
     """C1 + C2: add previous order, prior count / sum / max, gap and ratio.
 
     With ``state`` (:mod:`riskloom.operators.history_state`) ``tx`` holds only
     orders after those behind the state, and their history continues from it.
+    ``deal(rows)`` lays the rows out anew before columns are derived from them.
 
     Added columns: previous_order_date, _previous_cents, prior_order_count,
     _prior_nn, _prior_sum, _prior_max (cents), days_since_previous_order,
@@ -43,6 +45,8 @@ def customer_history(tx: DataFrame, cfg: RiskConfig | None = None,
     h = prefix_scan(tx, HISTORY_KEYS, HISTORY_ORDER, spec, cfg.history_partitions)
     if state is not None:
         h = with_state(h, state)
+    if deal is not None:
+        h = deal(h)
     nn = F.col("_prior_nn")
     return h.withColumns({
         "days_since_previous_order": F.datediff("OrderDate", "previous_order_date"),

@@ -106,8 +106,8 @@ def top_customers(summary: DataFrame, n: int = 100) -> DataFrame:
 
 # ---------------------------------------------------------------- I*
 
-def vw_fraud_analytics_dataset(risk: DataFrame) -> DataFrame:
-    """The 36-column analytics dataset (one row per order)."""
+def vw_fraud_analytics_dataset(risk: DataFrame, *more: str) -> DataFrame:
+    """The 36-column analytics dataset (one row per order), and ``more`` of the frame's own columns."""
     one = F.lit(1)
     velocity = flag((F.col("same_day_repeat_flag") == one) | (F.col("rapid_repeat_flag") == one))
     geo = flag((F.col("city_mismatch_flag") == one) | (F.col("state_mismatch_flag") == one))
@@ -128,7 +128,7 @@ def vw_fraud_analytics_dataset(risk: DataFrame) -> DataFrame:
         "transaction_risk_score", "risk_dimension_count", "risk_level", "risk_reason",
         flag(lvl == K.LEVEL_HIGH).alias("high_risk_flag"),
         flag(lvl.isin(K.LEVEL_HIGH, K.LEVEL_MEDIUM)).alias("flagged_transaction_flag"),
-        F.when(lvl == K.LEVEL_HIGH, 3).when(lvl == K.LEVEL_MEDIUM, 2).otherwise(1).alias("risk_level_order"),
+        F.when(lvl == K.LEVEL_HIGH, 3).when(lvl == K.LEVEL_MEDIUM, 2).otherwise(1).alias("risk_level_order"), *more,
     )
 
 

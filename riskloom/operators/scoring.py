@@ -27,19 +27,26 @@ FLAG_COLUMNS = ("same_day_repeat_flag", "rapid_repeat_flag", "amount_spike_flag"
 
 
 def features(tx: DataFrame, addr: DataFrame, cfg: RiskConfig | None = None,
-             rapid_from: int | None = None, with_max: bool = False, state: DataFrame | None = None) -> DataFrame:
+             rapid_from: int | None = None, with_max: bool = False, state: DataFrame | None = None, deal=None) -> DataFrame:
     """History, deviation, geography and the five 0/1 flags.
 
+    ``deal`` lays the rows out anew where they are narrowest (:func:`customer_history`).
     ``rapid_from`` is 1 for scoring and 0 for the pattern / feature extracts
     that count same-day orders as rapid as well.
     """
     cfg = cfg or RiskConfig()
     lo = cfg.rapid_min_days if rapid_from is None else rapid_from
-    h = with_locations(customer_history(tx, cfg, with_max=with_max, state=state), addr)
+    h = customer_history(tx, cfg, with_max=with_max, state=state, deal=deal)
+    return history_features(h, addr, cfg, lo)
+
+
+def history_features(history: DataFrame, addr: DataFrame, cfg: RiskConfig, rapid_from: int) -> DataFrame:
+    """C3-C4 on a customer history: geography and the five flags."""
+    h = with_locations(history, addr)
     gap = F.col("days_since_previous_order")
     return h.withColumns({
         "same_day_repeat_flag": flag(gap == 0),
-        "rapid_repeat_flag": flag(gap.between(lo, cfg.rapid_max_days)),
+        "rapid_repeat_flag": flag(gap.between(rapid_from, cfg.rapid_max_days)),
         "amount_spike_flag": flag((F.col("prior_order_count") >= cfg.spike_min_prior)
                                   & (F.col("_ratio") >= cfg.spike_ratio)),
         "city_mismatch_flag": city_mismatch(),
@@ -82,14 +89,14 @@ def with_score(f: DataFrame, cfg: RiskConfig) -> DataFrame:
     })
 
 
-def score_frame(tx: DataFrame, addr: DataFrame, cfg: RiskConfig | None = None, state: DataFrame | None = None) -> DataFrame:
+def score_frame(tx: DataFrame, addr: DataFrame, cfg: RiskConfig | None = None, state: DataFrame | None = None, deal=None) -> DataFrame:
     """Scored frame with the internal helper columns (_ratio, _prior_sum ...)."""
     cfg = cfg or RiskConfig()
-    return with_score(features(tx, addr, cfg, state=state), cfg)
+    return with_score(features(tx, addr, cfg, state=state, deal=deal), cfg)
 
 
-def risk_projection(scored: DataFrame) -> DataFrame:
-    """The 27 published columns (money rounded for display)."""
+def risk_projection(scored: DataFrame, *more: str) -> DataFrame:
+    """The 27 published columns (money rounded for display), and ``more`` of the frame's own."""
     return scored.select(
         "SalesOrderID", "CustomerID", "OrderDate",
         cents_to_money("TotalDue").alias("order_value"),
@@ -100,13 +107,13 @@ def risk_projection(scored: DataFrame) -> DataFrame:
         "billing_city", "billing_state", "shipping_city", "shipping_state",
         *FLAG_COLUMNS,
         "velocity_risk_points", "behavioural_risk_points", "geographic_risk_points",
-        "transaction_risk_score", "risk_dimension_count", "risk_level", "risk_reason",
+        "transaction_risk_score", "risk_dimension_count", "risk_level", "risk_reason", *more,
     )
 
 
-def score_transactions(tx: DataFrame, addr: DataFrame, cfg: RiskConfig | None = None) -> DataFrame:
+def score_transactions(tx: DataFrame, addr: DataFrame, cfg: RiskConfig | None = None, deal=None) -> DataFrame:
     """G1: one scored row per order, 27 columns. Rows in == rows out."""
-    return risk_projection(score_frame(tx, addr, cfg))
+    return risk_projection(score_frame(tx, addr, cfg, deal=deal))
 
 
 def ranked_risk(risk: DataFrame) -> DataFrame:

@@ -41,8 +41,9 @@ def _scored(spark, sf):
     return scoring.score_frame(r.tx, r.addr, RiskConfig())
 
 
-def _ds(spark, sf):
-    return marts.vw_fraud_analytics_dataset(_risk(spark, sf))
+def _ds(spark, sf, deal=None):
+    r = _scoring_roles(spark, sf)
+    return marts.vw_fraud_analytics_dataset(scoring.score_transactions(r.tx, r.addr, RiskConfig(), deal))
 
 
 def _tx(fn, *columns):

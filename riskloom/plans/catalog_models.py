@@ -29,7 +29,7 @@ QUEUE_REASONS = (K.REASON_SAME_DAY, K.REASON_SPIKE)
 
 
 def _ds(spark, sf):
-    return bucketed_once(spark, sf, "dataset", "SalesOrderID", lambda: _build_ds(spark, sf))
+    return bucketed_once(spark, sf, "dataset", "SalesOrderID", lambda deal: _build_ds(spark, sf, deal), early=True)
 
 
 def _forest(spark, sf, which):

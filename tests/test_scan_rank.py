@@ -106,3 +106,16 @@ def test_histogram_edges(spark):
     df = spark.createDataFrame([(0.0,), (9.99,), (10.0,)], "v double")
     h = {r.bin: r["count"] for r in equal_width_histogram(df, "v", 50, lo=0.0, hi=10.0).collect()}
     assert h[1] == 1 and h[50] == 2 and sum(h.values()) == 3 and len(h) == 50
+
+
+def test_rank_exchanges_no_column_that_follows_from_the_others(spark, monkeypatch):
+    from riskloom.functions import two_way
+    seen, keep = [], two_way.materialise
+    monkeypatch.setattr(two_way, "materialise", lambda df, label: seen.append(df) or keep(df, label))
+    df = spark.range(500).select("id", (F.col("id") % 7).cast("double").alias("v"))
+    ranks = {r.id: r.p for r in two_way.average_rank_pct(df, "v", "p").collect()}
+    assert ranks == pytest.approx((pd.Series(range(500)) % 7).rank(pct=True).to_dict())
+    at = seen[0]._jdf.queryExecution().optimizedPlan()
+    while at.nodeName() != "RepartitionByExpression":
+        at = at.children().apply(0)
+    assert {at.output().apply(i).name() for i in range(at.output().size())} == {"id", "v", "__rk_none", "__rk_value"}
