@@ -97,16 +97,17 @@ def with_scores(rows: DataFrame, initial: DataFrame, behaviour: DataFrame) -> Da
                             "anomaly_flag": F.when(scored, flag(F.col("anomaly_score") > 0))})
 
 
-def model_scores(ds: DataFrame, scorer: str = "forest", cfg: ForestConfig | None = None) -> DataFrame:
+def model_scores(ds: DataFrame, scorer: str = "forest", cfg: ForestConfig | None = None, stored: bool = True) -> DataFrame:
     """M6 + M11 + M12 + M14 + M15 on narrow frames: one row per eligible id.
 
     Columns: SalesOrderID, anomaly_score, anomaly_prediction, anomaly_flag,
     anomaly_percentile, top_*_anomaly, behaviour_anomaly_score,
-    behaviour_anomaly_percentile, behaviour_top_*.
+    behaviour_anomaly_percentile, behaviour_top_*. Without ``stored`` they are
+    joined where they are read, which is cheaper for a single reader.
     """
-    out = with_scores(M.eligible(ds).select("SalesOrderID"), *ranked_models(ds, scorer, cfg))
+    out = with_scores(M.eligible(ds).select("SalesOrderID"), *ranked_models(ds, scorer, cfg, keep=None if stored else lambda df, which: df))
     # narrow (id + a dozen numbers), read by the results frame and the export
-    return materialise(out, "model-scores")
+    return materialise(out, "model-scores") if stored else out
 
 
 def stored_models(ds: DataFrame, name: str, scorer: str = "forest", cfg: ForestConfig | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -253,6 +254,16 @@ def export_dataset(ds: DataFrame, scores: DataFrame) -> DataFrame:
     return _exported(ds.join(narrow, "SalesOrderID", "left"), ds.columns)
 
 
+def export_from_history(history: DataFrame, scores: DataFrame, score, deal) -> DataFrame:
+    """Q9 from the customer history: joined with the scores and laid out while narrow, scored afterwards.
+
+    ``score(rows, *more)`` makes the dataset's columns and keeps ``more``.
+    """
+    own = [c for c in EXPORT_MODEL_COLUMNS if c != "model_eligible_flag"]
+    joined = score(deal(history.join(scores.select("SalesOrderID", *own), "SalesOrderID", "left")), *own)
+    return _exported(joined, [c for c in joined.columns if c not in own])
+
+
 def export_stored(ds: DataFrame, initial: DataFrame, behaviour: DataFrame) -> DataFrame:
     """Q9 from :func:`stored_models`: the joins read bucket by bucket."""
     return _exported(with_scores(ds, initial, behaviour), ds.columns)

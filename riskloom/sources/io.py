@@ -101,11 +101,13 @@ def register_views(spark: SparkSession, views: dict[str, DataFrame]) -> None:
 
 
 def write_mart(df: DataFrame, path: str, partition_by: str | None = "order_year_month",
-               mode: str = "overwrite") -> None:
-    """Persist a mart as Parquet, partitioned for month-pruned reads."""
+               mode: str = "overwrite", dealt: bool = False) -> None:
+    """Persist a mart as Parquet, partitioned for month-pruned reads; ``dealt`` rows are laid out for it already."""
     # rebalance by the partition column: each task writes few months (few
     # files), and AQE splits a month that holds a large share of the rows
-    if partition_by:
+    if dealt:
+        df.write.mode(mode).partitionBy(*([partition_by] if partition_by else [])).parquet(path)
+    elif partition_by:
         df.hint("rebalance", partition_by).write.mode(mode).partitionBy(partition_by).parquet(path)
     else:
         df.hint("rebalance").write.mode(mode).parquet(path)
