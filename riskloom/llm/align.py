@@ -55,7 +55,7 @@ BLOCK = 2 << 20
 #: Blocks in one file of the written table; a reader holds a file's rows at once.
 BLOCKS_A_FILE = 4
 #: Units whose ids a worker remembers, for each of the two tokenizers.
-UNIT_CACHE = 120_000
+UNIT_CACHE = 360_000
 #: Per document, but for ``units`` (of all documents end to end), ``n_slots`` (per unit), ``slots`` (of all units), and ``pair`` and ``n`` (per pair).
 BLOCK_TYPE = ("block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, "
               "n_units array<long>, units binary, n_slots binary, slots binary, pair array<long>, n array<long>")
@@ -82,36 +82,38 @@ def byte_letters() -> dict[str, int]:
 
 
 class Remembered:
-    """Ids of distinct units; short ones stay for later blocks of the worker, the longest unused go first."""
+    """Ids of distinct units, four bytes each; short ones stay for later blocks of the worker, the longest unused go first."""
 
     def __init__(self) -> None:
-        self.young: dict[bytes, list[int]] = {}
-        self.old: dict[bytes, list[int]] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def encoded(self, units: list[bytes]) -> list[list[int]]:
         raise NotImplementedError
 
-    def of_all(self, units: list[bytes]) -> list[list[int]]:
-        out: list[list[int]] = [[]] * len(units)
+    def of_all(self, units: list[bytes]) -> pa.LargeListArray:
+        """The ids of each unit."""
+        young, old = self.young, self.old
+        out = list(map(young.get, units))
         new = []
-        for k, unit in enumerate(units):
-            ids = self.young.get(unit)
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            ids = old.get(units[k])
             if ids is None:
-                ids = self.old.get(unit)
-                if ids is None:
-                    new.append(k)
-                    continue
-                self.young[unit] = ids
-            out[k] = ids
+                new.append(k)
+            else:
+                out[k] = young[units[k]] = ids
         for lo in range(0, len(new), 2048):
             part = new[lo : lo + 2048]
-            for k, ids in zip(part, self.encoded([units[k] for k in part])):
-                out[k] = ids
+            lists = pa.array(self.encoded([units[k] for k in part]), pa.large_list(pa.uint32()))
+            raw, at = lists.values.to_numpy().tobytes(), (lists.offsets.to_numpy() * 4).tolist()
+            for k, begin, end in zip(part, at, at[1:]):
+                ids = out[k] = raw[begin:end]
                 if len(units[k]) <= UNIT_BYTES:
                     self.young[units[k]] = ids
             if len(self.young) >= UNIT_CACHE // 2:
                 self.old, self.young = self.young, {}
-        return out
+        ends = np.cumsum(np.fromiter(map(len, out), np.int64, len(out))) // 4
+        return pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int64)), pa.array(np.frombuffer(b"".join(out), np.uint32).astype(np.int64)))
 
 
 class ByteLevel(Remembered):
@@ -169,8 +171,7 @@ class Side:
 class Tokens:
     """One side's tokens of a list of units: flat ids, their units, byte ends and whether they spell the unit."""
 
-    def __init__(self, lists: list[list[int]], side: Side, units: pa.Array) -> None:
-        column = pa.array(lists, pa.large_list(pa.int64()))
+    def __init__(self, column: pa.LargeListArray, side: Side, units: pa.Array) -> None:
         self.ids = pc.list_flatten(column)
         self.unit = pc.list_parent_indices(column)
         self.count = pc.list_value_length(column).cast(pa.int64())
@@ -189,13 +190,12 @@ class Tokens:
 class Aligned:
     """Groups and links of a list of units."""
 
-    def __init__(self, a_lists: list[list[int]], b_lists: list[list[int]], a_side: Side, b_side: Side, units: pa.Array) -> None:
+    def __init__(self, a_lists: pa.LargeListArray, b_lists: pa.LargeListArray, a_side: Side, b_side: Side, units: pa.Array) -> None:
         a, b = Tokens(a_lists, a_side, units), Tokens(b_lists, b_side, units)
         self.whole = pc.and_(a.whole, b.whole).to_numpy(zero_copy_only=False).astype(bool)
         if not self.whole.all():  # such units have no tokens; their texts are left out
-            good = self.whole.tolist()
-            a = Tokens([x if ok else [] for x, ok in zip(a_lists, good)], a_side, units)
-            b = Tokens([x if ok else [] for x, ok in zip(b_lists, good)], b_side, units)
+            good, none = pa.array(self.whole), pa.scalar([], a_lists.type)
+            a, b = (Tokens(pc.if_else(good, x, none), side, units) for x, side in ((a_lists, a_side), (b_lists, b_side)))
         self.n_a, self.n_b = a.count.to_numpy(zero_copy_only=False), b.count.to_numpy(zero_copy_only=False)
         ends = a.table("a").join(b.table("b"), ["unit", "end"], join_type="full outer", use_threads=False).combine_chunks()
         ends = ends.sort_by([("unit", "ascending"), ("end", "ascending")]).combine_chunks()

@@ -150,3 +150,17 @@ def test_alignment_does_not_depend_on_blocks(spark, monkeypatch):
     one = sorted(map(str, align.align_documents(frame(spark), BYTES, MODEL).collect()))
     monkeypatch.setattr(align, "BLOCK", 300)
     assert sorted(map(str, align.align_documents(frame(spark), BYTES, MODEL).collect())) == one
+
+
+def test_units_of_a_few_blocks_ago_are_not_encoded_again():
+    class Counted(align.Remembered):
+        calls = 0
+
+        def encoded(self, units):
+            self.calls += len(units)
+            return [[int(u), 7] if int(u) % 3 else [] for u in units]
+    memory, size = Counted(), 80_000  # about the distinct units of a block
+    rounds = [[str(size * r + k).encode() for k in range(size)] for r in range(3)]
+    for units in [*rounds, rounds[0]]:
+        assert memory.of_all(units).to_pylist() == [[int(u), 7] if int(u) % 3 else [] for u in units]
+    assert memory.calls == 3 * size
