@@ -73,25 +73,46 @@ def _shifts(cover: list[int], v: int) -> np.ndarray:
 
 def _words(data: np.ndarray) -> np.ndarray:
     """The eight bytes from every position as one big-endian integer."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    out = np.zeros(len(data), np.uint64)
+    n = len(data)
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    out = np.empty(n, np.uint64)
     for j in range(8):
-        out = out << np.uint64(8) | padded[j : j + len(data)]
+        part = out[j::8]
+        part[:] = padded[j : j + 8 * len(part)].view(">u8")
     return out
 
 
-def _names(*keys: np.ndarray) -> np.ndarray:
-    """Ranks of rows by their keys, equal rows alike."""
-    order = np.lexsort(keys[::-1])
+def _numbered(order: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """By row the position of its value among the distinct ones, from 0; ``s`` are the values in ``order``."""
     new = np.zeros(len(order), bool)
-    for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
+    new[1:] = s[1:] != s[:-1]
     out = np.empty(len(order), np.int64)
     out[order] = np.cumsum(new)
     return out
 
 
+def _ranks(key: np.ndarray) -> np.ndarray:
+    order = np.argsort(key)
+    return _numbered(order, key[order])
+
+
+def _pair_ranks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Ranks by two small numbers, at most that of the rows each."""
+    bits = (len(a) + 1).bit_length()
+    if 3 * bits > 63:
+        return _ranks(a << 32 | b)
+    packed = np.sort((a << 2 * bits) | (b << bits) | np.arange(len(a)))  # values and row: sorting them moves no index
+    return _numbered(packed & ((1 << bits) - 1), packed >> bits)
+
+
+def _names(*keys: np.ndarray) -> np.ndarray:
+    """Ranks of rows by their keys, equal rows alike; sorts of one integer are many times faster than one of several keys."""
+    names = [_ranks(key) for key in keys]
+    while len(names) > 1:  # neighbours make a pair: the order stays
+        names = [_pair_ranks(a, b) for a, b in zip(names[::2], names[1::2])] + names[len(names) & ~1 :]
+    return names[0]
+
+
 class SuffixSorter:
     """Classes of equal ``LENGTH``-byte strings of a text, by difference-cover suffix sorting."""
 
@@ -111,7 +132,7 @@ class SuffixSorter:
         if len(at):
             name[at] = _names(*(word[at + j] for j in (0, 8, 16, 24)))
             # the cover repeats every 32 bytes, so the next name is at a cover position too
-            name[at] = _names(name[at], name[at + 32])
+            name[at] = _pair_ranks(name[at], name[at + 32] + 1)
         return name
 
     def classes(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -119,7 +140,7 @@ class SuffixSorter:
         word = _words(data)
         rank = self.cover_ranks(data, word)
         head = _names(*(word[starts + j] for j in (0, 8, 16, 24)))
-        order = np.argsort(head, kind="stable")
+        order = np.argsort(head)
         group = head[order]
         out = np.empty(len(starts), np.int64)
         active, serial = order, 0
@@ -262,12 +283,14 @@ def repeats_of(sorter: SuffixSorter, data: np.ndarray, at: np.ndarray, ids: np.n
     inner = np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)
     cls = sorter.classes(data, at[run] + inner)
     own, place = ids[run], starts[run] + inner
-    order = np.lexsort((place, own, cls))
-    c = cls[order]
+    order = np.argsort(cls)
+    c, o, p = cls[order], own[order], place[order]
     head = np.concatenate([[True], c[1:] != c[:-1]])
-    lead = order[np.flatnonzero(head)][np.cumsum(head) - 1]
+    at_head, number = np.flatnonzero(head), np.cumsum(head) - 1
+    least = np.minimum.reduceat(o, at_head)[number]  # of its class: the smallest id, and the earliest start there
+    early = np.minimum.reduceat(np.where(o == least, p, LAST), at_head)[number]
     again = np.zeros(len(run), bool)
-    again[order] = (own[order] != own[lead]) | (place[order] != place[lead])
+    again[order] = (o != least) | (p != early)
     first, n = _spans(again, inner == 0)
     return run[first], place[first], n
 

@@ -612,3 +612,19 @@ def test_crossover_and_mutation_keep_every_piece():
     for x in (a, b, packing.crossover(rng, sizes, 100, a, b), packing.evolve(sizes, 100, 1, [])):
         assert sorted(i for k in x for i in k) == list(range(80))
         assert all(sum(sizes[i] for i in k) <= 100 for k in x)
+
+
+def test_names_of_rows_by_several_words_follow_their_order():
+    """Pairs of numbers are sorted packed with their row; plain tuples say what has to come out."""
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 700):
+        keys = [rng.integers(0, 4, n).astype(np.uint64) << np.uint64(61) for _ in range(4)]
+        rows = list(zip(*(k.tolist() for k in keys)))
+        for many in (1, 2, 3, 4):
+            short = [row[:many] for row in rows]
+            rank = {row: i for i, row in enumerate(sorted(set(short)))}
+            assert suffix._names(*keys[:many]).tolist() == [rank[row] for row in short]
+        small = [k.astype(np.int64) for k in (rng.integers(0, n, n), rng.integers(0, n + 1, n))]
+        pairs = list(zip(*(k.tolist() for k in small)))
+        rank = {row: i for i, row in enumerate(sorted(set(pairs)))}
+        assert suffix._pair_ranks(*small).tolist() == [rank[row] for row in pairs]
