@@ -37,7 +37,7 @@ empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -104,10 +104,15 @@ class PieceModel:
             steps, formed = self._replay(name)
             if formed:
                 self.steps[i], self.length[i] = steps, len(name)
-                self.automaton.add_word(name, i)
+                self.automaton.add_word(name, (i, len(name)))
         if self.symbols:
             self.automaton.make_automaton()
-        self.fits: dict[int, bool] = {}
+        # by token, the tokens already tested after it
+        self.fits: dict[int, dict[int, bool]] = {i: {} for i in self.steps}
+        self.tested = 0
+        # the text of ids that stand for themselves; None: bytes, control and unknown ids
+        self.texts = [n.replace(MARK, " ") if k == kind.NORMAL else None for n, k in zip(self.names, self.kinds)]
+        self.decimals = [str(i) for i in range(len(self.names))]
 
     def _replay(self, name: str) -> tuple[list[tuple[int, int, int]], bool]:
         """The edges of ``name`` before its first merge and after each, and whether one symbol is left.
@@ -144,26 +149,31 @@ class PieceModel:
 
     def encode_unit(self, text: str) -> list[int]:
         """Ids of a text whose spaces are marks already."""
-        n, width, fits, length = len(text), self.width, self.fits, self.length
+        n, fits = len(text), self.fits
         last = [-1] * (n + 1)  # of each prefix; -1: none, or a character in no piece
-        if len(fits) > PAIR_CACHE:
-            fits.clear()
-        for end, token in self.automaton.iter(text) if self.symbols else ():
-            if last[end + 1] >= 0:
+        after: list[dict[int, bool] | None] = [None] * (n + 1)  # what is known to fit after that token
+        if self.tested > PAIR_CACHE:
+            for known in fits.values():
+                known.clear()
+            self.tested = 0
+        for end, (token, size) in self.automaton.iter(text) if self.symbols else ():
+            end += 1
+            if after[end] is not None:
                 continue
-            before = last[end + 1 - length[token]]
-            if before >= 0:
-                pair = before * width + token
-                ok = fits.get(pair)
+            known = after[end - size]
+            if known is not None:
+                ok = known.get(token)
                 if ok is None:
-                    ok = fits[pair] = self.compatible(before, token)
+                    ok = known[token] = self.compatible(last[end - size], token)
+                    self.tested += 1
                 if not ok:
                     continue
-            last[end + 1] = token
+            last[end], after[end] = token, fits[token]
+        length, base = self.length, self.base
         ids: list[int] = []
         while n:
             token = last[n]
-            if 0 <= token < self.base:
+            if 0 <= token < base:
                 ids.append(token)
                 n -= length[token]
             else:
@@ -176,8 +186,11 @@ class PieceModel:
         """Ids of a whole text with the end id."""
         return [*(self.encode_unit(MARK + text.replace(" ", MARK)) if text else ()), self.end_id]
 
-    def surface(self, ids: Iterable[int]) -> str:
+    def surface(self, ids: Sequence[int]) -> str:
         """The text of ids, with the space in front."""
+        plain = [self.texts[i] for i in ids]
+        if None not in plain:
+            return "".join(plain)
         out: list[bytes] = []
         run = bytearray()
         for i in ids:
@@ -296,12 +309,13 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     def digests(batches):
         table = worker_table(shared.value, path)
         model = table.model
+        decimals = model.decimals
         end = str(model.end_id)
         for rows, data, offsets in blocks(batches, BLOCK):
             units = Units(data, offsets, table.cuts)
             lists = [table.of(u) for u in units.distinct.to_pylist()]
             count = np.fromiter(map(len, lists), np.int64, len(lists))
-            spelled = units.gather(pa.array([" ".join(map(str, x)) for x in lists], pa.large_string()))
+            spelled = units.gather(pa.array([" ".join([decimals[i] for i in x]) for x in lists], pa.large_string()))
             surface = units.gather(pa.array([model.surface(x) for x in lists], pa.large_string()))
             spelled, surface = (pc.binary_join(x, pa.scalar(by, pa.large_string())) for x, by in ((spelled, " "), (surface, "")))
             ids_hash, text_hash = [], []

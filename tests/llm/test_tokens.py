@@ -52,6 +52,18 @@ def test_decoding_any_ids_equals_the_library(model, library):
         assert model.decode(ids) == library.decode(ids), ids
 
 
+def test_pair_results_kept_per_token_and_forgotten(monkeypatch, library):
+    monkeypatch.setattr(pieces, "PAIR_CACHE", 20)
+    own = pieces.PieceModel(MODEL)
+    for text in awkward(own, random.Random(3)):
+        ids = own.encode(text)
+        assert ids == library.encode(text, add_eos=True), text
+        kept = sum(map(len, own.fits.values()))
+        assert kept == own.tested <= 20 + 4 * len(text) ** 2 + 4
+        plain = [i for i in ids if own.texts[i] is not None]
+        assert own.surface(plain) == "".join(own.names[i].replace("▁", " ") for i in plain)
+
+
 def test_pair_test_equals_merging_the_pair(model):
     def merged(text):
         """Plain merging: the best pair, leftmost first, until none is left."""
