@@ -10,14 +10,14 @@ consistent weighted sampling; two texts agree on a sample with probability
 equal to their weighted Jaccard similarity. Texts that agree on a whole band
 share a bucket, and pairs from buckets are verified by weighted Jaccard.
 
-Texts with equal shingle counts are one class from the start. In each of
-``ROUNDS`` rounds every bucket names a leader by hash, and each of its classes
-that is not yet linked to the leader is compared with it: pairs grow with the
-classes, not with their square, however large a group of copies is. Then
-buckets of at most ``SMALL`` classes compare all classes that are still apart.
-Last, larger buckets do the same in blocks: classes of a large component get
-blocks of their own, which never meet each other, and a task compares two
-blocks by products of their shingle columns and returns spanning links only.
+Texts with equal shingle counts are one class from the start. Every bucket
+names ``LEADERS`` leaders by hash, and each of its classes is compared with
+them, in one pass: pairs grow with the classes, not with their square, however
+large a group of copies is. Then buckets of at most ``SMALL`` classes compare
+all classes that are still apart. Larger buckets do the same in blocks:
+classes of a large component get blocks of their own, which never meet each
+other, and a task compares two blocks by products of their shingle columns and
+returns spanning links only. So components are made twice, whatever the input.
 So two classes that share a bucket and are similar always end in one group.
 
 Defined results: a text of fewer than five words is one shingle; null and
@@ -29,6 +29,7 @@ null); an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ BANDS = 10
 ROWS = 3
 CELL_BITS = 20
 CHUNKS = 64
-ROUNDS = 3
+LEADERS = 3
 SMALL = 32
 #: Classes and shingles of one block of a larger bucket, about.
 BLOCK = 512
@@ -322,37 +323,38 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, bands: int = BAND
     crowded = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     members = written(keyed.join(crowded, "bucket").select("bucket", "cls"), "near-buckets")
     asked = classes.join(members.select("cls").distinct(), "cls", "left_semi").select("a", "b", "cls")
-    held = written(vectors(docs).join(asked, ["a", "b"]).dropDuplicates(["cls"]).select("cls", "n", "v"), "near-vectors")
+    held = written(vectors(docs).join(asked, ["a", "b"]).dropDuplicates(["a", "b"]).select("cls", "n", "v"), "near-vectors")
 
-    # every round compares each class of a bucket with one leader, unless they are linked already
-    known = written(spark.createDataFrame([], "x long, y long, sim double"), "near-known")
+    known = spark.createDataFrame([], "x long, y long, sim double")
     linked = spark.createDataFrame([], "node long, component long")
-    for turn in range(ROUNDS + 2):
-        part = members.join(linked.withColumnRenamed("node", "cls"), "cls", "left").select(
-            "bucket", "cls", F.coalesce("component", "cls").alias("part"))
-        split = part.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"),
-                                           F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "part")).alias("lead"))
-        split = split.where("low < high")
-        if turn <= ROUNDS:
-            if turn < ROUNDS:
-                pairs = part.join(split.select("bucket", "lead"), "bucket").where("part <> lead.part").select("cls", F.col("lead.cls").alias("other"))
-            else:
-                few = part.join(split.where(F.col("n") <= SMALL).select("bucket"), "bucket")
-                pairs = few.alias("m").join(few.alias("n"), F.expr("m.bucket = n.bucket AND m.cls < n.cls AND m.part <> n.part")).selectExpr(
-                    "m.cls AS cls", "n.cls AS other")
-            pairs = pairs.select(F.least("cls", "other").alias("x"), F.greatest("cls", "other").alias("y")).distinct()
-            pairs = written(pairs.join(known, ["x", "y"], "left_anti"), f"near-pairs{turn}")
-            if pairs.isEmpty():
-                continue
-            found = verify(pairs, held, idf)
-        else:
-            crowd = written(part.join(split.where(F.col("n") > SMALL).select("bucket"), "bucket"), "near-crowd")
-            if crowd.isEmpty():
-                break
-            found = crowded_links(crowd, held, idf, similar)
-        found = written(found, f"near-sim{turn}")
-        known = known.unionByName(found)
-        linked = joined_components(linked, found.where(F.col("sim") >= similar))
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("cls", "other").alias("x"), F.greatest("cls", "other").alias("y")).distinct()
+
+    # each class of a bucket is compared with all its leaders at once
+    leads = members.groupBy("bucket").agg(*(F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("h"), "cls")).alias(f"lead{k}") for k in range(LEADERS)))
+    leads = leads.select("bucket", F.array(*(f"lead{k}.cls" for k in range(LEADERS))).alias("leads"))
+    led = members.join(leads, "bucket").select("cls", F.explode("leads").alias("other")).where("cls <> other")
+    led = written(ordered(led), "near-led")
+    if not led.isEmpty():
+        known = written(verify(led, held, idf), "near-led-sim")
+        linked = written(components(known.where(F.col("sim") >= similar).select(F.col("x").alias("src"), F.col("y").alias("dst"))), "near-components")
+
+    # buckets whose classes are still apart: all pairs in small ones, blocks in larger ones
+    part = members.join(linked.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", F.coalesce("component", "cls").alias("part"))
+    split = part.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low < high")
+    rest = written(part.join(split.select("bucket", "n"), "bucket"), "near-rest")
+    few, crowd = rest.where(F.col("n") <= SMALL), rest.where(F.col("n") > SMALL).drop("n")
+    pairs = few.alias("m").join(few.alias("n"), F.expr("m.bucket = n.bucket AND m.cls < n.cls AND m.part <> n.part")).selectExpr("m.cls AS cls", "n.cls AS other")
+    found = []
+    if not few.isEmpty():
+        found.append(verify(written(ordered(pairs).join(known, ["x", "y"], "left_anti"), "near-few"), held, idf))
+    if not crowd.isEmpty():
+        found.append(crowded_links(crowd, held, idf, similar))
+    if found:
+        links = written(reduce(DataFrame.unionByName, found).where(F.col("sim") >= similar), "near-links")
+        if not links.isEmpty():
+            linked = joined_components(linked, links)
     linked = linked.withColumnRenamed("node", "cls")
 
     grouped = classes.select("a", "b", "cls").join(linked, "cls", "left").select("a", "b", F.coalesce("component", "cls").alias("grp"))

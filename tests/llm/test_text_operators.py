@@ -102,6 +102,23 @@ def test_bucket_rounds_link_near_copies_of_one_text(spark):
     assert set(got.values()) == {0}
 
 
+def test_near_duplicates_make_components_twice_at_most(spark, monkeypatch):
+    """Leaders, small buckets and blocks: the passes over all edges do not grow with the leaders."""
+    calls, made = [], minhash.components
+    monkeypatch.setattr(minhash, "components", lambda edges: calls.append(1) or made(edges))
+    rng = random.Random(1)
+    base = documents()[0][1].split()
+    rows = [(100, " ".join(base), "en", "a")]
+    for i in range(40):
+        w = list(base)
+        for _ in range(3):
+            w[rng.randrange(len(w))] = f"edit{i}"
+        rows.append((i, " ".join(w), "en", "a"))
+    got = minhash.near_duplicates(frame(spark, rows)).collect()
+    assert {r.class_id for r in got} == {0} and sum(r.kept for r in got) == 1
+    assert 1 <= len(calls) <= 2
+
+
 def test_similar_classes_of_a_large_bucket_are_one_group(spark):
     """Hundreds of unlike texts of one template with planted near copies: the groups are those of brute force over the buckets."""
     rng = random.Random(4)

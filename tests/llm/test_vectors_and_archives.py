@@ -82,6 +82,17 @@ def test_components_of_chains_stars_and_cycles(spark):
     assert components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    labels, kept = [], tables.written
+    monkeypatch.setattr(tables, "written", lambda df, label, **options: labels.append(label) or kept(df, label, **options))
+    stars = [(1, i) for i in range(10, 30)] + [(40, 2), (2, 41), (41, 2), (None, 3)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(stars, "src long, dst long")).collect()}
+    assert got == {1: 1, 2: 2, 40: 2, 41: 2} | {i: 1 for i in range(10, 30)}
+    assert labels == ["links"]
+    assert {r.component for r in components(spark.createDataFrame([(1, 3), (2, 3)], "src long, dst long")).collect()} == {1}
+    assert len(labels) > 2
+
+
 def pages(spark, rows):
     return spark.createDataFrame(pa.table({
         "page_id": pa.array([r[0] for r in rows], pa.int64()), "url": pa.array([r[1] for r in rows], pa.string()),
