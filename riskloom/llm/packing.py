@@ -8,8 +8,8 @@ a row spread over all demes. A solution is a list of bins. Crossover injects wel
 the bins that hold a duplicate, and puts the displaced pieces back by best fit,
 longest first; mutation empties the worst bins. Each deme evolves on
 ``ISLANDS`` islands; after every epoch an island's elite migrates to the next
-island of its deme, and the best elite wins. A deme that reaches the lower
-bound (total length over sequence length) stops at once.
+island of its deme, and the best elite wins. A deme that has as few bins as its
+total length allows evolves on: its bins may still be filled better.
 
 Ids are the tokenizer's own: the strings of its special tokens in a text become
 their ids. A word's ids do not depend on the words around it, so each task tokenises the
@@ -25,6 +25,7 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_left, insort
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -140,8 +141,12 @@ class Bins:
 
     def put(self, items: list[int]) -> list[list[int]]:
         """Best fit, longest first; returns the bins."""
+        return self.put_in_turn(sorted(items, key=lambda i: -self.sizes[i]))
+
+    def put_in_turn(self, items: list[int]) -> list[list[int]]:
+        """Best fit in the order given; returns the bins."""
         sizes, free, bins = self.sizes, self.free, self.bins
-        for i in sorted(items, key=lambda i: -sizes[i]):
+        for i in items:
             k = bisect_left(free, (sizes[i], -1))
             if k < len(free):
                 room, b = free.pop(k)
@@ -181,25 +186,20 @@ def mutate(rng: np.random.Generator, sizes: list[int], capacity: int, a: list[li
 
 def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[list[int]]],
            population: int = POPULATION, offspring: int = OFFSPRING) -> list[list[int]]:
-    """Best packing after one epoch that starts from best-fit decreasing, shuffled best fits and the given elites."""
+    """Best packing after one epoch that starts from best-fit decreasing, shuffled best fits, the given elites and mutations."""
     rng = np.random.default_rng(seed)
-    least = -(-sum(sizes) // capacity)
-    pool = [x for x in elites] or [Bins(sizes, capacity, []).put(list(range(len(sizes))))]
-    if len(pool[0]) == least:
-        return pool[0]
-    while len(pool) < population:
-        pool.append(mutate(rng, sizes, capacity, pool[0]))
-    score = lambda x: fitness(sizes, capacity, x)
-    pool.sort(key=score, reverse=True)
-    for _ in range(offspring):
-        if len(pool[0]) == least:
-            break
+    score = lambda x: (fitness(sizes, capacity, x), x)
+    starts = [*elites, Bins(sizes, capacity, []).put(list(range(len(sizes))))]
+    starts += [mutate(rng, sizes, capacity, starts[0]) for _ in range(population - max(1, len(elites)))]
+    starts += [Bins(sizes, capacity, []).put_in_turn(rng.permutation(len(sizes)).tolist()) for _ in range(population - 1)]
+    pool = sorted(map(score, starts), key=itemgetter(0), reverse=True)
+    for _ in range(offspring + len(pool) - population):  # a larger pool has so many children more, and shrinks with them
         a, b = rng.choice(len(pool), 2, replace=False)
-        child = crossover(rng, sizes, capacity, pool[a], pool[b])
+        child = crossover(rng, sizes, capacity, pool[a][1], pool[b][1])
         if rng.random() < 0.5:
             child = mutate(rng, sizes, capacity, child)
-        pool = sorted([*pool, child], key=score, reverse=True)[:population]
-    return pool[0]
+        pool = sorted([*pool, score(child)], key=itemgetter(0), reverse=True)[: max(population, len(pool) - 1)]
+    return pool[0][1]
 
 
 def _to_bins(which: np.ndarray) -> list[list[int]]:

@@ -631,6 +631,25 @@ def test_crossover_and_mutation_keep_every_piece():
         assert all(sum(sizes[i] for i in k) <= 100 for k in x)
 
 
+def test_demes_of_the_fewest_bins_evolve_on(monkeypatch):
+    """Best-fit decreasing reaches the lower bound; all offspring are made all the same, and bins get fuller."""
+    calls, better = [], 0
+    crossover = packing.crossover
+    monkeypatch.setattr(packing, "crossover", lambda *a: (calls.append(1), crossover(*a))[1])
+    for seed in (1, 2, 4, 16, 24, 39):
+        sizes = np.random.default_rng(seed).integers(5, 60, 80).tolist()
+        first = packing.Bins(sizes, 100, []).put(list(range(80)))
+        assert len(first) == -(-sum(sizes) // 100)
+        elite = packing.evolve(sizes, 100, [seed, 0], [])
+        last = packing.evolve(sizes, 100, [seed, 1], [elite, first])
+        grown = [packing.fitness(sizes, 100, x) for x in (first, elite, last)]
+        assert grown == sorted(grown)
+        better += grown[2] > grown[0]
+    assert len(calls) >= 12 * packing.OFFSPRING and better >= 3
+    for sizes in ([7], [7, 7]):
+        assert sorted(i for k in packing.evolve(sizes, 100, 1, []) for i in k) == list(range(len(sizes)))
+
+
 def test_names_of_rows_by_several_words_follow_their_order():
     """Pairs of numbers are sorted packed with their row; plain tuples say what has to come out."""
     rng = np.random.default_rng(5)
