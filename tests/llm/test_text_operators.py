@@ -542,6 +542,61 @@ def test_prefix_shingles_of_similar_stretches_meet():
 
 # --- rows without an id of their own
 
+def test_windows_of_a_repeated_shingle_are_one_chain():
+    """A run of one word gives a window per place; as a chain they cover what their links cover one by one."""
+    rng, width = np.random.default_rng(6), 46
+    shingle = rng.integers(1, 2**63, 400).astype(np.uint64)
+    shingle[100:160], shingle[250:330:5] = 77, 78
+    at = np.array([0, 200, 400])
+    many = 0
+    for j in range(passages.HASHES):
+        l, c, r = passages.compact_windows(shingle, at, j, width)
+        _, group = np.unique(passages._keys(shingle, c, j), return_inverse=True)
+        order = np.lexsort((c, group))
+        l, c, r, group = l[order], c[order], r[order], group[order]
+        start = passages._chains(group, np.zeros(len(c), np.int32), l, c, r, width)
+        many = max(many, len(c) - len(start))
+        for a, b in zip(start.tolist(), [*start[1:].tolist(), len(c)]):
+            for back, on in ((0, 45), (45, 0), (3, 60), (20, 25)):
+                covered = set()
+                for k in range(a, b):
+                    covered |= set(range(max(l[k], c[k] - back), min(r[k], c[k] + on) + 1))
+                assert min(covered) == max(l[a], c[a] - back) and max(covered) == min(r[a], c[b - 1] + on)
+                assert len(covered) == max(covered) - min(covered) + 1
+    assert many > 10
+
+
+def test_candidates_that_hold_a_segment_pass_the_sift():
+    rng, width, similar, passed = np.random.default_rng(7), 12, 0.8, 0
+    rows, other = [], np.arange(1, 60, dtype=np.uint64)
+    for _ in range(300):
+        own = np.where(rng.random(rng.integers(5, 40)) < 0.2, 10**6, 0).astype(np.uint64) + np.arange(rng.integers(1, 20), 60, dtype=np.uint64)[0]
+        own = own + np.arange(len(own), dtype=np.uint64)
+        rows.append(own)
+    hit = [np.isin(x, other) for x in rows]
+    good = passages.hopeful(np.concatenate(hit), np.cumsum([len(x) for x in rows]), width, similar)
+    for x, h, g in zip(rows, hit, good):
+        value = np.where(h, 1.0, -similar / (1 - similar))
+        want = any(h[a] and h[b - 1] and value[a:b].sum() > -1e-6 for a in range(len(x)) for b in range(a + width, len(x) + 1))
+        assert g == want and (g or not passages.near_segments(x, other, width, similar))
+        passed += g
+    assert 20 < passed < 280
+
+
+def test_keys_of_a_block_are_found_once(spark, monkeypatch, tmp_path):
+    """What a block settles goes through the buckets with the rest: texts are not cut into shingles again for it."""
+    from riskloom.llm.repeats import repeated_codes
+    seen = tmp_path / "seen"
+
+    def keys_of(prints, data, offsets):
+        with open(seen, "a") as f:
+            f.write(f"{len(offsets) - 1}\n")
+        return np.arange(len(offsets) - 1), np.full(len(offsets) - 1, 5, np.uint64)
+    rows = spark.createDataFrame([(k, k, "abc") for k in range(40)], "id long, key long, text string").repartition(2)
+    assert len({r.id for r in repeated_codes(rows, 64, keys_of).collect()}) == 40
+    assert sum(map(int, seen.read_text().split())) == 40
+
+
 def test_rows_that_share_a_doc_id_are_not_gathered(spark, monkeypatch):
     """A third of the rows has no doc_id: each gets the codes of its own text only, and the results of brute force."""
     rng = random.Random(9)
