@@ -74,6 +74,24 @@ def test_metric_join_equals_brute_force(spark):
     assert metric_join.link(vectors(spark, rows[:0])).count() == 0
 
 
+def test_metric_join_deals_copies_out_in_turns(spark, monkeypatch):
+    """Whatever the turns, blocks and parts of guests: the same links; no turn's copies take more than a turn may."""
+    import re
+    rows = awkward()
+    want = sorted(map(str, metric_join.link(vectors(spark, rows)).collect()))
+    told, unit = [], metric_join._cells
+
+    def cells(classes, dim, width, threshold, reach, cell_rows, path):
+        unit(classes, dim, width, threshold, reach, cell_rows, path)
+        files = [str(r[0]) for r in spark.read.parquet(path).select("_metadata.file_path").distinct().collect()]
+        told.append(len({re.search(r"part-\d+-([0-9a-f-]{36})", f)[1] for f in files}))
+    monkeypatch.setattr(metric_join, "_cells", cells)
+    monkeypatch.setattr(metric_join, "TURN_BYTES", 1 << 10)
+    for cell_rows in (16, 64):
+        assert sorted(map(str, metric_join.link(vectors(spark, rows), cell_rows=cell_rows).collect())) == want
+    assert max(told) > 3
+
+
 def test_components_of_chains_stars_and_cycles(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(200, 260)] + [(7, 8), (8, 9), (9, 7), (5, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
